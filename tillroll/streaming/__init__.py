@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The reference works on a fixed historical file and refreshes only by a full
+rebuild; it has no watermark, event-time window or stateful operator, so
+nothing is built here (see README, "Not built").
+"""
