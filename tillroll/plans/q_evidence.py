@@ -1 +1,230 @@
-"""Queries (placeholder until filled)."""
+"""Evidence checks over claims and long-form evidence."""
+
+from __future__ import annotations
+
+from ..operators import evidence as ev
+from ..sources.warehouse import warehouse
+from .catalog import query
+
+
+def _tables(spark, sf):
+    e = ev.evidence_from_sales(warehouse(spark, sf).sales)
+    return e, ev.claims_from_evidence(e)
+
+
+def near_sql(a: str, b: str) -> str:
+    return (f"COALESCE(isfinite({a}) AND isfinite({b}) AND abs({a} - {b}) <= "
+            f"greatest(0.011, 1e-6 * greatest(abs({a}), abs({b}))), FALSE)")
+
+
+RECOMPUTE_SQL = """CASE
+  WHEN calc = 'pct_change' AND len(inputs) = 2 AND inputs[2] <> 0 THEN (inputs[1] - inputs[2]) / inputs[2] * 100.0
+  WHEN calc IN ('difference', 'diff') AND len(inputs) = 2 THEN inputs[1] - inputs[2]
+  WHEN calc = 'ratio' AND len(inputs) = 2 AND inputs[2] <> 0 THEN inputs[1] / inputs[2]
+  WHEN calc = 'share' AND len(inputs) = 2 AND inputs[2] <> 0 THEN inputs[1] / inputs[2] * 100.0
+  WHEN calc = 'sum' AND len(inputs) >= 1
+    THEN CAST(list_sum(list_transform(inputs, lambda x: TRY_CAST(x AS DECIMAL(38,2)))) AS DOUBLE)
+  WHEN calc = 'mean' AND len(inputs) >= 1
+    THEN CAST(list_sum(list_transform(inputs, lambda x: TRY_CAST(x AS DECIMAL(38,2)))) AS DOUBLE) / CAST(len(inputs) AS DOUBLE)
+END"""
+
+UNIT_OK_SQL = """CASE WHEN "column" IN ('revenue', 'aov') THEN lower(trim(COALESCE(unit, ''))) IN ('gbp', '£', 'pounds')
+     WHEN "column" = 'trading_days' THEN lower(trim(COALESCE(unit, ''))) IN ('days', 'trading days')
+     ELSE TRUE END"""
+
+LABEL_OK_SQL = """("row" IS NULL OR contains(lower(COALESCE(text, '')), lower("row")))"""
+
+EVIDENCE_CTES = """
+wide AS (
+  SELECT year(invoice_date) AS call, country AS "row",
+         CAST(SUM(revenue) AS DOUBLE) AS revenue,
+         CAST(COUNT(DISTINCT invoice_no) AS DOUBLE) AS orders,
+         CAST(COUNT(DISTINCT customer_id) AS DOUBLE) AS customers,
+         CAST(SUM(revenue) AS DOUBLE) / NULLIF(CAST(COUNT(DISTINCT invoice_no) AS DOUBLE), 0) AS aov
+  FROM sales WHERE NOT is_cancellation GROUP BY 1, 2),
+evidence AS (
+  SELECT * FROM (
+    SELECT call, "row", 'revenue' AS "column", revenue AS value FROM wide
+    UNION ALL SELECT call, "row", 'orders', orders FROM wide
+    UNION ALL SELECT call, "row", 'customers', customers FROM wide
+    UNION ALL SELECT call, "row", 'aov', aov FROM wide) u
+  WHERE value IS NOT NULL AND isfinite(value)),
+att AS (SELECT 1 AS attempt UNION ALL SELECT 2),
+cells AS (
+  SELECT e.*, CAST(regexp_extract("row", '([0-9]+)', 1) AS BIGINT) AS k,
+         CASE "column" WHEN 'revenue' THEN 0 WHEN 'orders' THEN 1 WHEN 'customers' THEN 2 WHEN 'aov' THEN 3 END AS ci
+  FROM evidence e),
+cell_claims AS (
+  SELECT a.attempt, c.call, c."row", c."column",
+         CASE WHEN a.attempt = 2 AND (c.call + c.k + c.ci) % 3 = 0 THEN c.value * 1.001 ELSE c.value END AS value,
+         CASE WHEN c."column" IN ('revenue', 'aov') THEN CASE WHEN (c.k + c.ci) % 5 = 0 THEN 'USD' ELSE 'GBP' END
+              ELSE c."column" END AS unit,
+         'none' AS calc, CAST(NULL AS DOUBLE[]) AS inputs,
+         CASE WHEN (c.k + c.ci) % 7 = 0 THEN c."column" || ' was' ELSE lower(c."row") || ' ' || c."column" END AS text
+  FROM cells c, att a),
+rw AS (
+  SELECT call, "row", MAX(CASE WHEN "column" = 'revenue' THEN value END) AS revenue,
+         MAX(CASE WHEN "column" = 'orders' THEN value END) AS orders
+  FROM evidence GROUP BY call, "row"),
+ratio_claims AS (
+  SELECT a.attempt, r.call, r."row", 'aov_calc' AS "column",
+         CASE WHEN a.attempt = 2 AND (r.call + CAST(regexp_extract(r."row", '([0-9]+)', 1) AS BIGINT)) % 3 = 0
+              THEN (r.revenue / r.orders) * 1.001 ELSE r.revenue / r.orders END AS value,
+         'GBP' AS unit, 'ratio' AS calc, [r.revenue, r.orders] AS inputs, lower(r."row") AS text
+  FROM rw r, att a WHERE r.orders > 0),
+tot AS (
+  SELECT call, list_sort(list(value)) AS inputs, CAST(SUM(CAST(value AS DECIMAL(38,2))) AS DOUBLE) AS value
+  FROM evidence WHERE "column" = 'revenue' GROUP BY call),
+total_claims AS (
+  SELECT a.attempt, t.call, CAST(NULL AS VARCHAR) AS "row", 'revenue_total' AS "column",
+         CASE WHEN a.attempt = 2 AND t.call % 2 = 0 THEN t.value * 1.001 ELSE t.value END AS value,
+         'GBP' AS unit, 'sum' AS calc, t.inputs, 'total revenue' AS text
+  FROM tot t, att a),
+claims AS (
+  SELECT CAST(attempt AS VARCHAR) || ':' || CAST(call AS VARCHAR) || ':' || COALESCE("row", '*') || ':' || "column" AS claim_id, *
+  FROM (SELECT * FROM cell_claims UNION ALL SELECT * FROM ratio_claims UNION ALL SELECT * FROM total_claims) u),
+cited AS (
+  SELECT c.claim_id, c.value, e.value AS cell_value, e.value IS NOT NULL AS found,
+         """ + near_sql("c.value", "e.value") + """ AS matches
+  FROM claims c LEFT JOIN evidence e ON c.call = e.call AND c."row" = e."row" AND c."column" = e."column"
+  WHERE c.calc = 'none'),
+recal AS (SELECT claim_id, calc, value, """ + RECOMPUTE_SQL + """ AS expected FROM claims WHERE calc <> 'none'),
+items AS (SELECT claim_id, unnest(inputs) AS input FROM claims WHERE calc <> 'none'),
+item_flags AS (
+  SELECT i.claim_id, EXISTS (SELECT 1 FROM evidence e WHERE """ + near_sql("i.input", "e.value") + """) AS backed
+  FROM items i),
+backed AS (
+  SELECT c.claim_id, COUNT(f.claim_id) AS inputs, COUNT(f.claim_id) FILTER (WHERE NOT f.backed) AS unbacked
+  FROM claims c LEFT JOIN item_flags f ON c.claim_id = f.claim_id WHERE c.calc <> 'none' GROUP BY c.claim_id),
+status AS (
+  SELECT c.claim_id, c.attempt, c.call, p.problem,
+         CASE WHEN p.problem IS NULL THEN 'supported' WHEN p.problem = 'the recalculated value differs' THEN 'flagged'
+              ELSE 'unsupported' END AS status
+  FROM claims c JOIN (
+    SELECT c.claim_id,
+      CASE WHEN c.calc = 'none' AND NOT COALESCE(ci.matches, FALSE) THEN 'The cited row and column do not contain this value.'
+           WHEN c.calc = 'none' AND NOT (""" + UNIT_OK_SQL.replace('"column"', 'c."column"').replace("unit,", "c.unit,") + """) THEN 'Revenue and order value use GBP.'
+           WHEN c.calc = 'none' AND NOT (c."row" IS NULL OR contains(lower(COALESCE(c.text, '')), lower(c."row"))) THEN 'Include the exact result label with this value.'
+           WHEN c.calc <> 'none' AND r.expected IS NULL THEN 'unknown calculation or invalid inputs'
+           WHEN c.calc <> 'none' AND NOT COALESCE(b.inputs > 0 AND b.unbacked = 0, FALSE) THEN 'calculation inputs are not backed by query evidence'
+           WHEN c.calc <> 'none' AND NOT """ + near_sql("c.value", "r.expected") + """ THEN 'the recalculated value differs'
+      END AS problem
+    FROM claims c LEFT JOIN cited ci ON c.claim_id = ci.claim_id LEFT JOIN recal r ON c.claim_id = r.claim_id
+         LEFT JOIN backed b ON c.claim_id = b.claim_id) p ON c.claim_id = p.claim_id)"""
+
+
+@query("evidence_unpivot", 'SELECT call, "row", "column", value FROM evidence', ctes=EVIDENCE_CTES)
+def evidence_unpivot(spark, sf):
+    """Wide per-(year, country) results unpivoted to one row per measured cell."""
+    return ev.evidence_from_sales(warehouse(spark, sf).sales)
+
+
+@query("claim_near_equal", "SELECT claim_id, value, cell_value, matches AS near_equal FROM cited WHERE found",
+       ctes=EVIDENCE_CTES)
+def claim_near_equal(spark, sf):
+    e, c = _tables(spark, sf)
+    return ev.claim_near_equal(c, e)
+
+
+@query("claim_cited_cell", "SELECT claim_id, value, cell_value, found, matches FROM cited", ctes=EVIDENCE_CTES)
+def claim_cited_cell(spark, sf):
+    e, c = _tables(spark, sf)
+    return ev.claim_cited_cell(c, e)
+
+
+@query("claim_bind_unique", f"""
+SELECT c.claim_id, CAST(COUNT(e.value) AS BIGINT) AS candidates,
+       CASE WHEN COUNT(e.value) = 0 THEN 'unbound' WHEN COUNT(e.value) = 1 THEN 'bound' ELSE 'ambiguous' END AS binding,
+       CASE WHEN COUNT(e.value) = 1 THEN MIN(e."row") END AS bound_row,
+       CASE WHEN COUNT(e.value) = 1 THEN MIN(e."column") END AS bound_column
+FROM claims c LEFT JOIN evidence e ON e.call = c.call AND {near_sql('c.value', 'e.value')}
+WHERE c.calc = 'none' GROUP BY c.claim_id""", ctes=EVIDENCE_CTES)
+def claim_bind_unique(spark, sf):
+    e, c = _tables(spark, sf)
+    return ev.claim_bind_unique(c, e)
+
+
+@query("claim_recompute", f"""
+SELECT claim_id, calc, value, expected, expected IS NOT NULL AND NOT {near_sql('value', 'expected')} AS flagged FROM recal""",
+       ctes=EVIDENCE_CTES)
+def claim_recompute(spark, sf):
+    _, c = _tables(spark, sf)
+    return ev.claim_recompute(c)
+
+
+@query("claim_inputs_backed", """
+SELECT claim_id, inputs, unbacked, inputs > 0 AND unbacked = 0 AS backed FROM backed""", ctes=EVIDENCE_CTES)
+def claim_inputs_backed(spark, sf):
+    e, c = _tables(spark, sf)
+    return ev.claim_inputs_backed(c, e)
+
+
+@query("claim_unit_check", f'SELECT claim_id, "column", unit, {UNIT_OK_SQL} AS unit_ok FROM claims', ctes=EVIDENCE_CTES)
+def claim_unit_check(spark, sf):
+    _, c = _tables(spark, sf)
+    return ev.claim_unit_check(c)
+
+
+@query("claim_label_check", f'SELECT claim_id, "row", text, {LABEL_OK_SQL} AS label_ok FROM claims WHERE "row" IS NOT NULL',
+       ctes=EVIDENCE_CTES)
+def claim_label_check(spark, sf):
+    _, c = _tables(spark, sf)
+    return ev.claim_label_check(c)
+
+
+@query("claim_status", "SELECT claim_id, attempt, call, status, problem FROM status", ctes=EVIDENCE_CTES)
+def claim_status(spark, sf):
+    e, c = _tables(spark, sf)
+    return ev.claim_status(c, e)
+
+
+@query("claim_totals", f"""
+SELECT claim_id, value, expected, {near_sql('value', 'expected')} AS ok FROM recal WHERE calc = 'sum'""", ctes=EVIDENCE_CTES)
+def claim_totals(spark, sf):
+    _, c = _tables(spark, sf)
+    return ev.claim_totals(c)
+
+
+@query("claim_coverage", """
+SELECT attempt, call, COUNT(*) AS claims, COUNT(*) FILTER (WHERE status = 'supported') AS supported,
+       COUNT(*) FILTER (WHERE status = 'flagged') AS flagged,
+       COUNT(*) - COUNT(*) FILTER (WHERE status = 'supported') AS unsupported,
+       CAST(COUNT(*) FILTER (WHERE status = 'supported') AS DOUBLE) / NULLIF(CAST(COUNT(*) AS DOUBLE), 0) AS evidence_coverage,
+       CAST(COUNT(*) - COUNT(*) FILTER (WHERE status = 'supported') AS DOUBLE) / NULLIF(CAST(COUNT(*) AS DOUBLE), 0) AS unsupported_rate
+FROM status GROUP BY attempt, call""", ctes=EVIDENCE_CTES)
+def claim_coverage(spark, sf):
+    e, c = _tables(spark, sf)
+    return ev.claim_coverage(ev.claim_status(c, e))
+
+
+@query("claim_conflicting_total", f"""
+SELECT call, COALESCE("row", '*') AS scope, "column", COUNT(*) AS claims, MIN(value) AS low, MAX(value) AS high
+FROM claims GROUP BY call, COALESCE("row", '*'), "column"
+HAVING COUNT(*) > 1 AND NOT {near_sql('MIN(value)', 'MAX(value)')}""", ctes=EVIDENCE_CTES)
+def claim_conflicting_total(spark, sf):
+    _, c = _tables(spark, sf)
+    return ev.claim_conflicting_total(c)
+
+
+@query("result_match_all", f"""
+SELECT c.attempt, COUNT(*) AS facts,
+       COUNT(*) - COUNT(*) FILTER (WHERE {near_sql('c.value', 'e.value')}) AS missing,
+       COUNT(*) = COUNT(*) FILTER (WHERE {near_sql('c.value', 'e.value')}) AS all_matched
+FROM claims c JOIN evidence e ON c.call = e.call AND c."row" = e."row"
+WHERE c."column" = 'revenue' AND c.calc = 'none' AND e."column" = 'revenue'
+GROUP BY c.attempt""", ctes=EVIDENCE_CTES)
+def result_match_all(spark, sf):
+    e, c = _tables(spark, sf)
+    return ev.result_match_all(c, e)
+
+
+@query("best_rows_covered", """
+WITH rev_cells AS (SELECT * FROM evidence WHERE "column" = 'revenue'),
+winners AS (SELECT c.call, c."row" FROM rev_cells c WHERE c.value = (SELECT MAX(value) FROM rev_cells x WHERE x.call = c.call)),
+ok AS (SELECT DISTINCT cl.call, cl."row" FROM claims cl JOIN status s ON cl.claim_id = s.claim_id
+       WHERE cl.attempt = 2 AND cl."column" = 'revenue' AND cl.calc = 'none' AND s.status = 'supported')
+SELECT w.call, COUNT(*) AS winners, COUNT(ok.call) AS covered, COUNT(*) = COUNT(ok.call) AS all_covered
+FROM winners w LEFT JOIN ok ON w.call = ok.call AND w."row" = ok."row" GROUP BY w.call""", ctes=EVIDENCE_CTES)
+def best_rows_covered(spark, sf):
+    e, c = _tables(spark, sf)
+    return ev.best_rows_covered(ev.claim_status(c, e), c, e)
