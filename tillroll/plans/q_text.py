@@ -1 +1,130 @@
-"""Queries (placeholder until filled)."""
+"""Text jobs over the text tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import evidence as ev
+from ..operators import textjobs
+from ..sources.tables import read_table
+from ..sources.warehouse import warehouse
+from .catalog import query
+from .q_evidence import EVIDENCE_CTES
+
+
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents", "doc_id", "text")
+
+
+def _declared(spark, sf):
+    """Declared values: every number an answer states (the claims table)."""
+    e = ev.evidence_from_sales(warehouse(spark, sf).sales)
+    return ev.claims_from_evidence(e).select("value")
+
+
+@query("text_number_tokens")
+def text_number_tokens(spark, sf):
+    """Every number in every document, with sign, separators, exponent and scale."""
+    return textjobs.number_tokens(_docs(spark, sf), "doc_id", "text")
+
+
+@query("text_undeclared_numbers")
+def text_undeclared_numbers(spark, sf):
+    return textjobs.undeclared_numbers(_docs(spark, sf), "doc_id", "text", _declared(spark, sf), "value")
+
+
+@query("text_redact_numbers")
+def text_redact_numbers(spark, sf):
+    return textjobs.redact_numbers(_docs(spark, sf), "doc_id", "text", _declared(spark, sf), "value")
+
+
+@query("text_strip_trace", r"""
+SELECT doc_id,
+       regexp_replace(
+         regexp_replace(regexp_replace(text, '(?i)\[call\s+(?:\d+|\[unverified\])\]', '', 'g'),
+                        '(?is)\b(?:from_call\s*:|from[_ ]run_sql\b).*', '', 'g'),
+         '^\s+|\s+$', '', 'g') AS text
+FROM documents""")
+def text_strip_trace(spark, sf):
+    return textjobs.strip_trace(_docs(spark, sf), "doc_id", "text")
+
+
+@query("text_requested_periods")
+def text_requested_periods(spark, sf):
+    return textjobs.requested_periods(_docs(spark, sf), "doc_id", "text")
+
+
+def _words_sql(words) -> str:
+    return tx.words_regex(words).replace("'", "''")
+
+
+def _route_sql() -> str:
+    t = "regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[?.]+$', '')"
+    partial = " OR ".join(f"contains(t, '{m}')" for m in textjobs.PARTIAL_MONTH_MENTIONS)
+    known = " OR ".join(f"regexp_matches(t, '{p}')" for p in textjobs.KNOWN_PATTERNS)
+    return f"""
+WITH q AS (SELECT conv_id, turn, {t} AS t FROM conversations WHERE role = 'user')
+SELECT conv_id, turn,
+  CASE WHEN regexp_matches(t, '{_words_sql(tx.MISSING_DATA_WORDS)}') THEN 'data_gap'
+       WHEN regexp_matches(t, '{_words_sql(tx.FORECAST_WORDS)}') THEN 'forecast'
+       WHEN ({partial}) AND regexp_matches(t, '{_words_sql(tx.COMPARISON_WORDS)}')
+            AND NOT (contains(t, 'per trading day') OR contains(t, 'per day')) THEN 'incomplete_month'
+       WHEN {known} THEN 'known_pattern'
+       ELSE 'free' END AS route
+FROM q"""
+
+
+@query("text_route_questions", _route_sql())
+def text_route_questions(spark, sf):
+    """Label user turns: data gap, forecast, incomplete month, known pattern, free."""
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role") == "user")
+    return textjobs.route_questions(conv, ["conv_id", "turn"], "text")
+
+
+def _metric_sql() -> str:
+    t = "trim(replace(lower(text), '_', ' '))"
+    cases = []
+    for kind, rx in tx.METRIC_RULES:
+        rx_sql = rx.replace("'", "''")
+        if kind == "money":
+            cases.append(f"WHEN regexp_matches(t, '{rx_sql}') THEN CASE WHEN regexp_matches(t, '{tx.PER_DAY}') "
+                         "THEN 'money_per_day' ELSE 'money' END")
+        else:
+            cases.append(f"WHEN regexp_matches(t, '{rx_sql}') THEN '{kind}'")
+    return f"""
+WITH l AS (SELECT DISTINCT text FROM claims), m AS (SELECT text, {t} AS t FROM l)
+SELECT text, CASE {' '.join(cases)} END AS kind FROM m"""
+
+
+@query("text_metric_kind", _metric_sql(), ctes=EVIDENCE_CTES)
+def text_metric_kind(spark, sf):
+    e = ev.evidence_from_sales(warehouse(spark, sf).sales)
+    labels = ev.claims_from_evidence(e).select("text").distinct()
+    return textjobs.metric_kinds(labels, "text")
+
+
+@query("text_country_mentions")
+def text_country_mentions(spark, sf):
+    """Countries named by each claim text and user turn, included or excluded."""
+    wh = warehouse(spark, sf)
+    e = ev.evidence_from_sales(wh.sales)
+    claims = ev.claims_from_evidence(e).select(F.col("claim_id").alias("key"), "text")
+    turns = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role") == "user").select(
+        F.concat_ws(":", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "text"
+    )
+    return textjobs.country_mentions(claims.unionByName(turns), "key", "text", wh.dim_customer, "country")
+
+
+@query("label_normalise", """
+SELECT 'invoice_month' AS kind, invoice_month AS label,
+       lower(strftime(CAST(invoice_month || '-01' AS DATE), '%B %Y')) AS long_label,
+       lower(strftime(CAST(invoice_month || '-01' AS DATE), '%b %Y')) AS short_label
+FROM dim_month
+UNION ALL
+SELECT 'customer_id', CAST(customer_id AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM dim_customer""")
+def label_normalise(spark, sf):
+    wh = warehouse(spark, sf)
+    return textjobs.month_labels(wh.dim_month, "invoice_month").unionByName(
+        textjobs.id_labels(wh.dim_customer, "customer_id", "customer_id")
+    )
