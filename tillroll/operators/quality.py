@@ -156,3 +156,32 @@ def share_breakdown_valid(parts: DataFrame, value_col: str) -> DataFrame:
     ).withColumn(
         "valid", (F.col("categories") >= 2) & (F.col("smallest") >= 0) & (F.col("total") > 0)
     )
+
+
+class ResultTooLarge(RuntimeError):
+    """A bounded result had more rows than its cap; it is never cut silently."""
+
+
+def bounded_result(df: DataFrame, cap: int) -> DataFrame:
+    """Fetch at most ``cap + 1`` rows; more than ``cap`` is an error.
+
+    Only ``cap + 1`` rows ever reach the driver (a limit, not a collect of
+    the whole result)."""
+    probe = df.limit(cap + 1)
+    if probe.count() > cap:
+        raise ResultTooLarge(f"result has more than {cap} rows")
+    return probe
+
+
+def top_n_short_result(top: DataFrame, population: DataFrame, key: str, asked: int) -> DataFrame:
+    """A ranked list must have ``asked`` rows, or every group when there are
+    fewer groups than that."""
+    return top.sparkSession.sql(
+        f"""
+        SELECT asked, rows, groups, rows = least(asked, groups) AS complete FROM (
+            SELECT CAST({int(asked)} AS BIGINT) AS asked, (SELECT COUNT(*) FROM {{top}}) AS rows,
+                   (SELECT COUNT(DISTINCT `{key}`) FROM {{pop}}) AS groups)
+        """,
+        top=top,
+        pop=population,
+    )

@@ -281,3 +281,27 @@ SELECT stock_code, description FROM (
   FROM sales WHERE description IS NOT NULL) t WHERE rk = 1""")
 def first_label_per_key(spark, sf):
     return rankings.first_per_key(warehouse(spark, sf).sales, "stock_code", "description", ["invoice_ts", "invoice_no"])
+
+
+@query("top_n_short_result", f"""
+WITH pop AS (SELECT * FROM sales WHERE {NC} AND year(invoice_date) = {Y} AND country <> '{P.HOME}'),
+top AS (SELECT country, SUM(revenue) AS revenue FROM pop GROUP BY country ORDER BY revenue DESC, country LIMIT {P.TOP_MARKETS * 10})
+SELECT CAST({P.TOP_MARKETS * 10} AS BIGINT) AS asked, (SELECT COUNT(*) FROM top) AS rows,
+       (SELECT COUNT(DISTINCT country) FROM pop) AS groups,
+       (SELECT COUNT(*) FROM top) = least({P.TOP_MARKETS * 10}, (SELECT COUNT(DISTINCT country) FROM pop)) AS complete""")
+def top_n_short_result(spark, sf):
+    """Asking for more markets than exist must return every market."""
+    from ..operators import quality
+
+    pop = kpis.excluding(kpis.completed(kpis.in_year(warehouse(spark, sf).sales, Y)), "country", P.HOME)
+    per = pop.groupBy("country").agg(F.sum("revenue").alias("revenue"))
+    top = rankings.top_k(per, "revenue", "country", P.TOP_MARKETS * 10)
+    return quality.top_n_short_result(top, pop, "country", P.TOP_MARKETS * 10)
+
+
+@query("bounded_result")
+def bounded_result(spark, sf):
+    """Revenue by country behind a 50-row cap (more rows would raise)."""
+    from ..operators import quality
+
+    return quality.bounded_result(kpis.kpi_revenue_by_country(warehouse(spark, sf).sales, Y), P.RESULT_CAP)

@@ -395,3 +395,27 @@ def set_subset_check(spark, sf):
     requested = F.array(*[F.lit(c) for c in (P.COUNTRY_A, P.COUNTRY_B, "NATION_99")])
     missing = F.array_sort(F.array_except(requested, F.col("seen")))
     return present.select(F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("covered"))
+
+
+# ---- 2.4 summary tables ------------------------------------------------------------
+
+
+@query("build_dim_month", """
+SELECT invoice_month, trading_days, last_day, CAST(net_revenue AS DOUBLE) AS net_revenue,
+       CAST(gross_revenue AS DOUBLE) AS gross_revenue, is_complete_month FROM dim_month""")
+def build_dim_month(spark, sf):
+    dm = marts.dim_month(warehouse(spark, sf).sales)
+    return dm.withColumns({"net_revenue": dbl("net_revenue"), "gross_revenue": dbl("gross_revenue")})
+
+
+@query("build_dim_product", """
+SELECT stock_code, description, units_sold, CAST(gross_revenue AS DOUBLE) AS gross_revenue FROM dim_product""")
+def build_dim_product(spark, sf):
+    dp = marts.dim_product(warehouse(spark, sf).sales)
+    return dp.withColumns({"units_sold": F.col("units_sold").cast("bigint"), "gross_revenue": dbl("gross_revenue")})
+
+
+@query("build_dim_customer", """
+SELECT customer_id, country, first_order, last_order, orders, CAST(net_revenue AS DOUBLE) AS net_revenue FROM dim_customer""")
+def build_dim_customer(spark, sf):
+    return marts.dim_customer(warehouse(spark, sf).sales).withColumn("net_revenue", dbl("net_revenue"))
