@@ -54,9 +54,18 @@ def exact_quantiles(values: DataFrame, value: str, key: str, qs: list[float]) ->
         (F.floor("pos") + 1).cast("bigint").alias("lo_rank"),
         (F.ceil("pos") + 1).cast("bigint").alias("hi_rank"),
     )
-    lo = ranked.select(F.col("rank").alias("lo_rank"), dbl(value).alias("lo"))
-    hi = ranked.select(F.col("rank").alias("hi_rank"), dbl(value).alias("hi"))
-    got = bounds.join(lo, "lo_rank").join(hi, "hi_rank")
+    # One pass over the ranking: keep only the (at most 2 per q) needed ranks.
+    wanted = bounds.select(
+        "q", "pos", F.explode(F.array(
+            F.struct(F.lit("lo").alias("side"), F.col("lo_rank").alias("rank")),
+            F.struct(F.lit("hi").alias("side"), F.col("hi_rank").alias("rank")),
+        )).alias("w")
+    ).select("q", "pos", "w.side", "w.rank")
+    picked = ranked.join(F.broadcast(wanted), "rank").select("q", "pos", "side", dbl(value).alias("v"))
+    got = picked.groupBy("q", "pos").agg(
+        F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
+        F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"),
+    )
     frac = F.col("pos") - F.floor("pos").cast("double")
     return got.select("q", (F.col("lo") + (F.col("hi") - F.col("lo")) * frac).alias("value"))
 

@@ -7,9 +7,17 @@ from ..sources.warehouse import warehouse
 from .catalog import query
 
 
+def evidence_table(spark, sf):
+    """The evidence log, derived once per session from the published sales."""
+    return warehouse(spark, sf).derived("evidence", lambda wh: ev.evidence_from_sales(wh.sales))
+
+
+def claims_table(spark, sf):
+    return warehouse(spark, sf).derived("claims", lambda wh: ev.claims_from_evidence(evidence_table(spark, sf)))
+
+
 def _tables(spark, sf):
-    e = ev.evidence_from_sales(warehouse(spark, sf).sales)
-    return e, ev.claims_from_evidence(e)
+    return evidence_table(spark, sf), claims_table(spark, sf)
 
 
 def near_sql(a: str, b: str) -> str:

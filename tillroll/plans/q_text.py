@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import evidence as ev
 from ..operators import textjobs
 from ..sources.tables import read_table
 from ..sources.warehouse import warehouse
 from .catalog import query
-from .q_evidence import EVIDENCE_CTES
+from .q_evidence import EVIDENCE_CTES, claims_table
 
 
 def _docs(spark, sf):
@@ -19,8 +18,7 @@ def _docs(spark, sf):
 
 def _declared(spark, sf):
     """Declared values: every number an answer states (the claims table)."""
-    e = ev.evidence_from_sales(warehouse(spark, sf).sales)
-    return ev.claims_from_evidence(e).select("value")
+    return claims_table(spark, sf).select("value")
 
 
 @query("text_number_tokens")
@@ -99,8 +97,7 @@ SELECT text, CASE {' '.join(cases)} END AS kind FROM m"""
 
 @query("text_metric_kind", _metric_sql(), ctes=EVIDENCE_CTES)
 def text_metric_kind(spark, sf):
-    e = ev.evidence_from_sales(warehouse(spark, sf).sales)
-    labels = ev.claims_from_evidence(e).select("text").distinct()
+    labels = claims_table(spark, sf).select("text").distinct()
     return textjobs.metric_kinds(labels, "text")
 
 
@@ -108,8 +105,7 @@ def text_metric_kind(spark, sf):
 def text_country_mentions(spark, sf):
     """Countries named by each claim text and user turn, included or excluded."""
     wh = warehouse(spark, sf)
-    e = ev.evidence_from_sales(wh.sales)
-    claims = ev.claims_from_evidence(e).select(F.col("claim_id").alias("key"), "text")
+    claims = claims_table(spark, sf).select(F.col("claim_id").alias("key"), "text")
     turns = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role") == "user").select(
         F.concat_ws(":", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "text"
     )

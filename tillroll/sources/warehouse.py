@@ -51,10 +51,22 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, target: str, version: str):
         self.spark, self.target, self.version = spark, target, version
+        self._derived: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.target}/version={self.version}/{name}"
 
+    def derived(self, name: str, build) -> DataFrame:
+        """A table Spark derives from the published ones (e.g. the evidence
+        log), written once beside them on first use and read back after.
+        Many checks read it, so it is computed once instead of per query."""
+        with _LOCK:
+            if name not in self._derived:
+                path = self.path(f"derived/{name}")
+                build(self).write.mode("overwrite").parquet(path)
+                self._derived[name] = path
+        return self.spark.read.parquet(self._derived[name])
+
     def table(self, name: str) -> DataFrame:
         if name == "sales":
             return read_sales(self.spark, self.path("sales"))
@@ -106,7 +118,7 @@ def build(spark: SparkSession, sf_dir: str, target: str) -> Warehouse:
     return wh
 
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _BUILT: dict[tuple[str, str], Warehouse] = {}
 
 
