@@ -66,6 +66,8 @@ def near_matched(left: DataFrame, id_col: str, lval: str, right: DataFrame, rval
     """``left`` plus a boolean ``flag``: does any right row lie within
     tolerance (with equal ``on`` keys)? ``id_col`` must identify left rows."""
     keys = list(on or [])
+    # Only the distinct (keys, value) pairs of the right side can matter for a flag.
+    right = right.select(*keys, rval).distinct()
     lb, rb, cond = _candidates(left, lval, right, rval, keys)
     hits = lb.join(rb, cond, "left_semi").select(id_col).distinct().withColumn(flag, F.lit(True))
     return left.join(hits, id_col, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

@@ -91,12 +91,12 @@ def null_counts(df: DataFrame) -> DataFrame:
     return wide.unpivot([], df.columns, "column", "nulls")
 
 
-def date_range(sheets_df: DataFrame, sheet_col: str | None = None) -> DataFrame:
-    """First and last timestamp (per sheet when ``sheet_col`` is given)."""
-    aggs = [F.min("invoice_ts").alias("first_ts"), F.max("invoice_ts").alias("last_ts"), F.count(F.lit(1)).alias("lines")]
-    if sheet_col:
-        return sheets_df.groupBy(sheet_col).agg(*aggs)
-    return sheets_df.agg(*aggs)
+def date_range(tagged: DataFrame, sheet_col: str = "sheet") -> DataFrame:
+    """First and last timestamp and line count per sheet plus the stacked
+    total (sheet NULL), in one pass: ROLLUP over the sheet tag."""
+    return tagged.rollup(sheet_col).agg(
+        F.min("invoice_ts").alias("first_ts"), F.max("invoice_ts").alias("last_ts"), F.count(F.lit(1)).alias("lines")
+    )
 
 
 def sanity_totals(sales: DataFrame) -> DataFrame:

@@ -198,15 +198,9 @@ SELECT 1 AS sheet, MIN(invoice_ts) AS first_ts, MAX(invoice_ts) AS last_ts, COUN
 UNION ALL SELECT 2, MIN(invoice_ts), MAX(invoice_ts), COUNT(*) FROM sheet2
 UNION ALL SELECT NULL, MIN(invoice_ts), MAX(invoice_ts), COUNT(*) FROM sheets""")
 def date_range(spark, sf):
-    from ..sources.invoices import raw_lines, sheet
+    from ..sources.invoices import tagged_sheets
 
-    raw = raw_lines(spark, sf)
-    from pyspark.sql import functions as F
-
-    one = quality.date_range(sheet(raw, 1)).withColumn("sheet", F.lit(1))
-    two = quality.date_range(sheet(raw, 2)).withColumn("sheet", F.lit(2))
-    both = quality.date_range(sheets(spark, sf)).withColumn("sheet", F.lit(None).cast("int"))
-    return one.unionByName(two).unionByName(both)
+    return quality.date_range(tagged_sheets(spark, sf))
 
 
 @query("sanity_totals", """

@@ -364,9 +364,12 @@ def set_distinct(spark, sf):
 @query("set_intersect_invoices", """
 SELECT COUNT(*) AS invoices_in_both FROM (SELECT invoice FROM sheet1 INTERSECT SELECT invoice FROM sheet2) t""")
 def set_intersect_invoices(spark, sf):
-    raw = raw_lines(spark, sf).select("invoice", "invoice_ts")
-    both = sheet(raw, 1).select("invoice").intersect(sheet(raw, 2).select("invoice"))
-    return both.agg(F.count(F.lit(1)).alias("invoices_in_both"))
+    """Invoices present in both sheets. One pass over the tagged stack: an
+    invoice is in the intersection when it carries both sheet tags."""
+    from ..sources.invoices import tagged_sheets
+
+    per = tagged_sheets(spark, sf).groupBy("invoice").agg(F.min("sheet").alias("lo"), F.max("sheet").alias("hi"))
+    return per.filter((F.col("lo") == 1) & (F.col("hi") == 2)).agg(F.count(F.lit(1)).alias("invoices_in_both"))
 
 
 @query("set_except_periods", """

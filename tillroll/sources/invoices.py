@@ -92,8 +92,8 @@ def sheet(raw: DataFrame, which: int) -> DataFrame:
     raise ValueError("sheet is 1 or 2")
 
 
-def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sheets stacked, duplicates kept (UNION ALL); the input of cleaning.
+def tagged_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sheets stacked, each row tagged with its ``sheet`` (1 or 2).
 
     Same rows as ``sheet(raw, 1).unionByName(sheet(raw, 2))`` but in a single
     scan and join: each line carries the ids of the sheets it belongs to and
@@ -106,5 +106,10 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ts < F.lit(SHEET1_END).cast("timestamp_ntz"), F.lit(1)),
         F.when(ts >= F.lit(SHEET2_START).cast("timestamp_ntz"), F.lit(2)),
     )
-    member = F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("_sheet")
-    return raw.select(*RAW_COLUMNS, member).drop("_sheet")
+    member = F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("sheet")
+    return raw.select(*RAW_COLUMNS, member)
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sheets stacked, duplicates kept (UNION ALL); the input of cleaning."""
+    return tagged_sheets(spark, sf_dir).drop("sheet")
