@@ -52,6 +52,7 @@ class Warehouse:
     def __init__(self, spark: SparkSession, target: str, version: str):
         self.spark, self.target, self.version = spark, target, version
         self._derived: dict[str, str] = {}
+        self._tables: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.target}/version={self.version}/{name}"
@@ -65,12 +66,22 @@ class Warehouse:
                 path = self.path(f"derived/{name}")
                 build(self).write.mode("overwrite").parquet(path)
                 self._derived[name] = path
-        return self.spark.read.parquet(self._derived[name])
+                self._tables[f"derived/{name}"] = self.spark.read.parquet(path)
+            return self._tables[f"derived/{name}"]
 
     def table(self, name: str) -> DataFrame:
-        if name == "sales":
-            return read_sales(self.spark, self.path("sales"))
-        return self.spark.read.parquet(self.path(name))
+        """Reader over a published table. A version never changes after it is
+        published, so one DataFrame per table is kept and reused: the folder
+        listing (one directory per month) happens once, not per query."""
+        with _LOCK:
+            df = self._tables.get(name)
+            if df is None:
+                if name == "sales":
+                    df = read_sales(self.spark, self.path("sales"))
+                else:
+                    df = self.spark.read.parquet(self.path(name))
+                self._tables[name] = df
+            return df
 
     @property
     def sales(self) -> DataFrame:
