@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.money import dbl
 
@@ -74,35 +73,25 @@ def running_share(
 ) -> DataFrame:
     """Running share of ``value`` ordered by value desc (or asc), key asc.
 
-    Distributed prefix sum: rows are range-partitioned in ranking order, each
-    partition's total is computed (one row per partition), offsets are the
-    sums of all earlier partitions (a window over ``partitions`` rows only),
-    and each row adds its within-partition running sum to its offset. Every
-    step keeps data spread over the cluster; ``value`` should be exact
-    (DECIMAL/BIGINT) so the sums do not depend on the partitioning.
+    Distributed prefix sum: rows are range-partitioned in ranking order and
+    tagged with their range id; each range gets its local running sum and
+    position (a window partitioned by the range id, so every range is sorted
+    by its own task), each range's total is computed (one row per range), and
+    the offsets of all earlier ranges come from a window over those few rows.
+    ``value`` should be exact (DECIMAL/BIGINT) so sums do not depend on the
+    partitioning. The range count is fixed (not coalesced by AQE), so the ids
+    are stable across the branches that reuse the exchange.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.asc(value) if ascending else F.desc(value), F.asc(key)]
-    ranked = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    vtype = df.schema[value].dataType
-    out_schema = T.StructType(
-        [*ranked.schema.fields, T.StructField("_local", vtype), T.StructField("_pos", T.LongType())]
+    ranked = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    within = Window.partitionBy("_p").orderBy(*order)
+    local = ranked.select(
+        *df.columns, "_p",
+        F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_local"),
+        F.row_number().over(within).alias("_pos"),
     )
-
-    def local_cumsum(batches):
-        carry, pos = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vals = pdf[value]
-            cs = vals.cumsum() if carry is None else vals.cumsum() + carry
-            carry = cs.iloc[-1]
-            pdf = pdf.assign(_local=cs, _pos=range(pos + 1, pos + 1 + len(pdf)))
-            pos += len(pdf)
-            yield pdf
-
-    local = ranked.mapInPandas(local_cumsum, out_schema)
     totals = ranked.groupBy("_p").agg(F.sum(value).alias("_tot"), F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
