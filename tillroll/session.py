@@ -7,7 +7,6 @@ here and set their own checkpoint folder only when none is configured.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,6 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder shared by the cluster (HDFS, S3, ...); "
+                "published tables and checkpoints must survive lost executors"
+            )
         configured = tempfile.mkdtemp(prefix="tillroll-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, configured)
     # Keep the RDD checkpoint directory in step so df.checkpoint() works too.
@@ -60,13 +64,3 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([ensure_checkpoint_dir(spark), *parts])
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def path_exists(path: str) -> bool:
-    return is_local_path(path) and os.path.exists(local_path(path))
