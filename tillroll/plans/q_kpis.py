@@ -430,3 +430,38 @@ def return_value_rate(spark, sf):
 @query("returns_total", "SELECT CAST(-SUM(revenue) AS DOUBLE) AS returns_value FROM sales WHERE quantity < 0")
 def returns_total(spark, sf):
     return kpis.returns_total(warehouse(spark, sf).sales)
+
+
+# ---- second wording set: the same patterns with other dates and sizes ----------
+
+PY = P.YEAR - 1   # prior reporting year
+
+
+@query("share_of_total_prior_year", f"""
+SELECT 100.0 * CAST(SUM(CASE WHEN country = '{P.COUNTRY_B}' THEN revenue ELSE 0 END) AS DOUBLE)
+       / NULLIF(CAST(SUM(revenue) AS DOUBLE), 0) AS share_pct
+FROM sales WHERE {NC} AND year(invoice_date) = {PY}""")
+def share_of_total_prior_year(spark, sf):
+    return kpis.share_of_total(warehouse(spark, sf).sales, PY, P.COUNTRY_B)
+
+
+@query("month_pct_change_prior_year", _pivot_sql(f"{PY}-06", f"{PY}-05"))
+def month_pct_change_prior_year(spark, sf):
+    return kpis.month_pct_change(warehouse(spark, sf).dim_month, f"{PY}-06", f"{PY}-05")
+
+
+@query("customer_order_count_year", f"""
+SELECT COUNT(DISTINCT invoice_no) AS orders FROM sales
+WHERE {NC} AND customer_id = {P.CUSTOMER} AND year(invoice_date) = {PY}""")
+def customer_order_count_year(spark, sf):
+    return kpis.customer_order_count(kpis.in_year(warehouse(spark, sf).sales, PY), P.CUSTOMER)
+
+
+@query("monthly_revenue_per_day_pair", f"""
+SELECT invoice_month, CAST(net_revenue AS DOUBLE) / NULLIF(CAST(trading_days AS DOUBLE), 0) AS revenue_per_day
+FROM dim_month WHERE invoice_month IN ('{P.MONTH_OLD}', '{P.MONTH_NEW}')""")
+def monthly_revenue_per_day_pair(spark, sf):
+    from ..functions.money import ratio
+
+    dm = kpis.month_values(warehouse(spark, sf).dim_month, [P.MONTH_OLD, P.MONTH_NEW])
+    return dm.select("invoice_month", ratio("net_revenue", "trading_days").alias("revenue_per_day"))

@@ -305,3 +305,26 @@ def bounded_result(spark, sf):
     from ..operators import quality
 
     return quality.bounded_result(kpis.kpi_revenue_by_country(warehouse(spark, sf).sales, Y), P.RESULT_CAP)
+
+
+PY = Y - 1  # prior reporting year (second wording set)
+
+
+@query("top_customers_revenue_top3", f"""
+SELECT customer_id, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM sales
+WHERE {NC} AND customer_id IS NOT NULL AND year(invoice_date) = {PY}
+GROUP BY customer_id ORDER BY SUM(revenue) DESC, customer_id LIMIT 3""")
+def top_customers_revenue_top3(spark, sf):
+    s = kpis.identified(kpis.completed(kpis.in_year(warehouse(spark, sf).sales, PY)))
+    per = s.groupBy("customer_id").agg(F.sum("revenue").alias("revenue"))
+    return rankings.top_k(per, "revenue", "customer_id", 3).select("customer_id", dbl("revenue").alias("revenue"))
+
+
+@query("top_countries_revenue_top3", f"""
+SELECT country, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM sales
+WHERE {NC} AND year(invoice_date) = {PY}
+GROUP BY country ORDER BY SUM(revenue) DESC, country LIMIT 3""")
+def top_countries_revenue_top3(spark, sf):
+    s = kpis.completed(kpis.in_year(warehouse(spark, sf).sales, PY))
+    per = s.groupBy("country").agg(F.sum("revenue").alias("revenue"))
+    return rankings.top_k(per, "revenue", "country", 3).select("country", dbl("revenue").alias("revenue"))
