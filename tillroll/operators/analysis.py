@@ -234,18 +234,15 @@ def outlier_cancel_pairs(sales: DataFrame, window_days: int) -> DataFrame:
     )
 
 
-def overlap_effect(sheets_df: DataFrame, sales: DataFrame) -> DataFrame:
+def overlap_effect(sales_lineage: DataFrame) -> DataFrame:
     """Per month: revenue of the stacked sheets (bad debt removed) vs after
-    dedupe, and how much the duplicates overstate it."""
-    rev = (F.col("quantity") * F.col("price")).cast("decimal(18,2)")
-    before = (
-        sheets_df.filter(~F.col("invoice").startswith("A"))
-        .groupBy(calendar.month_key("invoice_ts").alias("invoice_month"))
-        .agg(F.sum(rev).alias("before"))
-    )
-    after = sales.groupBy("invoice_month").agg(F.sum("revenue").alias("after"))
-    j = before.join(after, "invoice_month", "full_outer")
-    return j.select(
+    dedupe, and how much the duplicates overstate it. Read from the published
+    table: each row carries ``copies``, the identical raw lines it replaced,
+    so the stacked total is ``sum(revenue * copies)``."""
+    per = sales_lineage.groupBy("invoice_month").agg(
+        F.sum(F.col("revenue") * F.col("copies")).alias("before"), F.sum("revenue").alias("after")
+    )
+    return per.select(
         "invoice_month",
         dbl("before").alias("before_dedupe"),
         dbl("after").alias("after_dedupe"),

@@ -152,7 +152,7 @@ SELECT COALESCE(b.invoice_month, a.invoice_month) AS invoice_month,
        100.0 * (CAST(b.v AS DOUBLE) - CAST(a.v AS DOUBLE)) / NULLIF(CAST(a.v AS DOUBLE), 0) AS overstatement_pct
 FROM b FULL OUTER JOIN a ON b.invoice_month = a.invoice_month""")
 def overlap_effect(spark, sf):
-    return analysis.overlap_effect(sheets(spark, sf), warehouse(spark, sf).sales)
+    return analysis.overlap_effect(warehouse(spark, sf).table("sales_lineage"))
 
 
 # ---- data quality ------------------------------------------------------------------

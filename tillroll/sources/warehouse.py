@@ -40,6 +40,7 @@ SALES_SCHEMA = T.StructType(
         T.StructField("is_outlier", T.BooleanType()),
         T.StructField("invoice_date", T.DateType()),
         T.StructField("invoice_month", T.StringType()),
+        T.StructField("copies", T.LongType()),
     ]
 )
 
@@ -78,6 +79,8 @@ class Warehouse:
             if df is None:
                 if name == "sales":
                     df = read_sales(self.spark, self.path("sales"))
+                elif name == "sales_lineage":
+                    df = read_sales(self.spark, self.path("sales"), with_copies=True)
                 else:
                     df = self.spark.read.parquet(self.path(name))
                 self._tables[name] = df
@@ -100,9 +103,11 @@ class Warehouse:
         return self.table("dim_customer")
 
 
-def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    """Declared schema: no inference pass, and the partition column stays text."""
-    return spark.read.schema(SALES_SCHEMA).parquet(path).select(*SALES_COLUMNS)
+def read_sales(spark: SparkSession, path: str, with_copies: bool = False) -> DataFrame:
+    """Declared schema: no inference pass, and the partition column stays text.
+    ``copies`` (identical raw lines behind each row) is lineage, hidden unless asked."""
+    df = spark.read.schema(SALES_SCHEMA).parquet(path)
+    return df.select(*SALES_COLUMNS, *(["copies"] if with_copies else []))
 
 
 def publish_checks(tables) -> DataFrame:
@@ -111,7 +116,7 @@ def publish_checks(tables) -> DataFrame:
 
 def build(spark: SparkSession, sf_dir: str, target: str) -> Warehouse:
     """Clean, write a version, check it, publish it. Returns readers over it."""
-    sales = build_sales(sheets(spark, sf_dir))
+    sales = build_sales(sheets(spark, sf_dir), keep_copies=True)
     version = files.new_version()
     files.write_version({"sales": sales}, target, version, {"sales": ["invoice_month"]})
     written = read_sales(spark, f"{target}/version={version}/sales")
