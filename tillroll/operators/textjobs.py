@@ -45,8 +45,10 @@ def number_tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def spans(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per number span with offsets, value and date context."""
-    return texts.select(key, F.explode(tx.number_spans(F.col(text))).alias("s")).select(key, "s.*")
+    """One row per number span with offsets, value and date context. Only
+    texts holding a digit are sent to the per-text helper (a JVM filter)."""
+    with_digits = texts.filter(F.col(text).rlike(r"(?U)\d"))
+    return with_digits.select(key, F.explode(tx.number_spans(F.col(text))).alias("s")).select(key, "s.*")
 
 
 def supported_spans(sp: DataFrame, key: str, declared: DataFrame, declared_value: str) -> DataFrame:
