@@ -239,3 +239,10 @@ def test_run_summary_has_all_and_route_rows(spark):
     got = {r.route: r for r in runs.run_summary(df).collect()}
     assert set(got) == {"all", "a"}
     assert got["all"].accuracy == 1.0 and got["all"].queries_ok == 0.5 and got["all"].chart_correct is None
+
+
+def test_requested_periods_job_matches_helper(spark):
+    texts = ["Compare March to April 2011", "nothing here", None, "How did 2011-10 do vs November 2011?"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.periods for r in textjobs.requested_periods(df, "id", "text").collect()}
+    assert got == {i: tx.periods_of(t) for i, t in enumerate(texts)}

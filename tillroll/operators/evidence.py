@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.money import dbl, ratio
 from ..functions.tolerance import near_equal, near_join, near_matched
@@ -65,10 +64,6 @@ def _row_number(row: Column) -> Column:
     return F.regexp_extract(row, r"([0-9]+)", 1).cast("bigint")
 
 
-CLAIM_SCHEMA = "claim_id string, attempt int, call bigint, row string, column string, value double, " \
-               "unit string, calc string, inputs array<double>, text string"
-
-
 def claims_from_evidence(evidence: DataFrame) -> DataFrame:
     k = _row_number(F.col("row"))
     ci = F.coalesce(*[F.when(F.col("column") == c, F.lit(i)) for c, i in COLUMN_INDEX.items()])
@@ -324,13 +319,3 @@ def best_rows_covered(status: DataFrame, claims: DataFrame, evidence: DataFrame,
         F.count(F.lit(1)).alias("winners"),
         F.count_if(F.coalesce(F.col("covered"), F.lit(False))).alias("covered"),
     ).withColumn("all_covered", F.col("winners") == F.col("covered"))
-
-
-EVIDENCE_SCHEMA = T.StructType(
-    [
-        T.StructField("call", T.LongType()),
-        T.StructField("row", T.StringType()),
-        T.StructField("column", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-    ]
-)
