@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.tolerance import near_matched
 
+# ---- fixed values -------------------------------------------------------------------
 # Re-pointed vocabulary: the latest, partial month of the test data.
 PARTIAL_MONTH_MENTIONS = ("august 2001", "aug 2001", "2001-08")
 YEAR = r"(19|20)[0-9]{2}"
 COUNT = r"([0-9]+|one|two|three|four|five|six|seven|eight|nine|ten)"
 MONTH = "(" + "|".join(tx.MONTHS) + ")"
-# Known question templates (full match after normalisation).
+# Known question templates, the reference's recognised wordings (full match
+# after normalisation; the home-market name is re-pointed).
 KNOWN_PATTERNS = [
     rf"^(what was (our |the )?(total )?revenue|(total )?revenue) in {YEAR}$",
     rf"^how many customers (bought from us|purchased) in {YEAR}$",
