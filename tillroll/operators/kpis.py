@@ -212,6 +212,10 @@ def kpi_dashboard_metrics(filtered: DataFrame) -> DataFrame:
         F.min("invoice_date").alias("first_day"),
         F.max("invoice_date").alias("last_day"),
         F.countDistinct("invoice_date").alias("days"),
+    ).select(
+        "*",
+        ratio("revenue", "orders").alias("aov"),
+        pct("guest_lines", "lines").alias("guest_line_pct"),
     )
 
 

@@ -208,6 +208,8 @@ def kpi_repeat_customer_rate(spark, sf):
 
 
 @query("kpi_dashboard_metrics", f"""
+SELECT *, CAST(revenue AS DOUBLE) / NULLIF(CAST(orders AS DOUBLE), 0) AS aov,
+       100.0 * CAST(guest_lines AS DOUBLE) / NULLIF(CAST(lines AS DOUBLE), 0) AS guest_line_pct FROM (
 SELECT CAST(COALESCE(SUM(s.revenue) FILTER (WHERE NOT s.is_cancellation), 0) AS DOUBLE) AS revenue,
        COUNT(DISTINCT s.invoice_no) FILTER (WHERE NOT s.is_cancellation) AS orders,
        COUNT(DISTINCT s.customer_id) FILTER (WHERE NOT s.is_cancellation) AS customers,
@@ -215,13 +217,15 @@ SELECT CAST(COALESCE(SUM(s.revenue) FILTER (WHERE NOT s.is_cancellation), 0) AS
        COUNT(*) FILTER (WHERE s.customer_id IS NULL) AS guest_lines,
        MIN(s.invoice_date) AS first_day, MAX(s.invoice_date) AS last_day,
        COUNT(DISTINCT s.invoice_date) AS days
-{_DASH_FROM} WHERE year(s.invoice_date) = {Y} AND m.is_complete_month""")
+{_DASH_FROM} WHERE year(s.invoice_date) = {Y} AND m.is_complete_month) t""")
 def kpi_dashboard_metrics(spark, sf):
     wh = warehouse(spark, sf)
     return kpis.kpi_dashboard_metrics(kpis.dashboard_filter(wh.sales, wh.dim_month, year=Y, complete_only=True))
 
 
 @query("kpi_dashboard_metrics_empty", f"""
+SELECT *, CAST(revenue AS DOUBLE) / NULLIF(CAST(orders AS DOUBLE), 0) AS aov,
+       100.0 * CAST(guest_lines AS DOUBLE) / NULLIF(CAST(lines AS DOUBLE), 0) AS guest_line_pct FROM (
 SELECT CAST(COALESCE(SUM(s.revenue) FILTER (WHERE NOT s.is_cancellation), 0) AS DOUBLE) AS revenue,
        COUNT(DISTINCT s.invoice_no) FILTER (WHERE NOT s.is_cancellation) AS orders,
        COUNT(DISTINCT s.customer_id) FILTER (WHERE NOT s.is_cancellation) AS customers,
@@ -229,7 +233,7 @@ SELECT CAST(COALESCE(SUM(s.revenue) FILTER (WHERE NOT s.is_cancellation), 0) AS
        COUNT(*) FILTER (WHERE s.customer_id IS NULL) AS guest_lines,
        MIN(s.invoice_date) AS first_day, MAX(s.invoice_date) AS last_day,
        COUNT(DISTINCT s.invoice_date) AS days
-{_DASH_FROM} WHERE year(s.invoice_date) = 1990""")
+{_DASH_FROM} WHERE year(s.invoice_date) = 1990) t""")
 def kpi_dashboard_metrics_empty(spark, sf):
     """Filters that match nothing: one row of zeros/NULLs (the empty-set case)."""
     wh = warehouse(spark, sf)
