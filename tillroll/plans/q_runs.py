@@ -54,9 +54,9 @@ SELECT tier, CASE WHEN GROUPING(route) = 1 THEN 'all' ELSE route END AS route,
        {_mean('CASE WHEN answerable THEN correct END')} AS accuracy,
        COUNT(*) FILTER (WHERE NOT answerable) AS refusal_cases,
        SUM(CASE WHEN NOT answerable THEN refusal_correct END) AS refused_tricks,
-       SUM(queries) AS sql_attempts, SUM(sql_successes) AS sql_successes,
+       CAST(SUM(queries) AS BIGINT) AS sql_attempts, CAST(SUM(sql_successes) AS BIGINT) AS sql_successes,
        CAST(SUM(sql_successes) AS DOUBLE) / NULLIF(CAST(NULLIF(SUM(queries), 0) AS DOUBLE), 0) AS queries_ok,
-       SUM(displayed_claims) AS displayed_claims, SUM(displayed_supported) AS displayed_supported,
+       CAST(SUM(displayed_claims) AS BIGINT) AS displayed_claims, CAST(SUM(displayed_supported) AS BIGINT) AS displayed_supported,
        CAST(SUM(displayed_supported) AS DOUBLE) / NULLIF(CAST(NULLIF(SUM(displayed_claims), 0) AS DOUBLE), 0) AS evidence_coverage,
        CAST(SUM(displayed_unsupported) AS DOUBLE) / NULLIF(CAST(NULLIF(SUM(displayed_claims), 0) AS DOUBLE), 0) AS unsupported_rate,
        COUNT(chart_correct) AS required_charts, {_mean('chart_correct')} AS chart_correct,
