@@ -1,5 +1,5 @@
 """The published tables: ``sales`` (partitioned by ``invoice_month``) and the
-three summaries, built once per session from the input tables.
+three summaries, built once per process from the input tables.
 
 The build is the reference's batch job re-expressed for Spark:
 read -> clean -> write a new version -> check what was written -> publish.
@@ -140,21 +140,34 @@ def build(spark: SparkSession, sf_dir: str, target: str) -> Warehouse:
 
 
 _LOCK = threading.RLock()
-_BUILT: dict[tuple[str, str], Warehouse] = {}
+_BUILT: dict[str, Warehouse] = {}
+
+
+def _rebind(old: Warehouse, spark: SparkSession) -> Warehouse:
+    """Readers for an already published version in a new session."""
+    wh = Warehouse(spark, old.target, old.version)
+    wh._derived = dict(old._derived)
+    for name, path in wh._derived.items():
+        wh._tables[f"derived/{name}"] = spark.read.parquet(path)
+    return wh
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The session's published warehouse for ``sf_dir``, built on first use.
+    """The published warehouse for ``sf_dir``, built on first use in this
+    process and shared by every query after that.
 
-    Keyed by application id, so a new session (or a new process) rebuilds from
-    the current input files instead of trusting an older build.
+    A version is immutable once published, so a later session in the same
+    process (e.g. after ``spark.stop()``) re-binds readers to it instead of
+    rebuilding. A new process builds its own version from the input tables.
     """
-    app = spark.sparkContext.applicationId
-    key = (app, os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir)
+    key = os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir.rstrip("/")
     with _LOCK:
         wh = _BUILT.get(key)
+        if wh is not None and wh.spark is not spark:
+            wh = _BUILT[key] = _rebind(wh, spark)
         if wh is None:
-            tag = hashlib.sha1(f"{key[1]}|{app}".encode()).hexdigest()[:16]
+            app = spark.sparkContext.applicationId
+            tag = hashlib.sha1(f"{key}|{app}|{os.getpid()}".encode()).hexdigest()[:16]
             target = scratch_path(spark, "tillroll-warehouse", tag)
             wh = _BUILT[key] = build(spark, sf_dir, target)
         return wh
