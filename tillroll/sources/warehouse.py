@@ -152,13 +152,47 @@ def _rebind(old: Warehouse, spark: SparkSession) -> Warehouse:
     return wh
 
 
-def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The published warehouse for ``sf_dir``, built on first use in this
-    process and shared by every query after that.
+_BUILD_CODE = ("invoices.py", "tables.py", "files.py", "warehouse.py")
+_BUILD_OPS = ("clean.py", "marts.py", "quality.py")
+
+
+def _local_fingerprint(sf_dir: str) -> str | None:
+    """Content stamp of local inputs and of the build code: file sizes and
+    modification times of every input table plus a hash of the modules that
+    shape the published tables. ``None`` for remote inputs."""
+    if "://" in sf_dir and not sf_dir.startswith("file:"):
+        return None
+    root = sf_dir[len("file:"):] if sf_dir.startswith("file:") else sf_dir
+    h = hashlib.sha1(os.path.abspath(root).encode())
+    from .tables import TABLES, table_path
+
+    for name in TABLES:
+        path = table_path(root, name)
+        if not os.path.exists(path):
+            continue
+        walk = [(path, [], [""])] if os.path.isfile(path) else os.walk(path)
+        for base, _, names in walk:
+            for n in sorted(names):
+                st = os.stat(os.path.join(base, n) if n else base)
+                h.update(f"{name}|{n}|{st.st_size}|{st.st_mtime_ns}".encode())
+    here = os.path.dirname(os.path.abspath(__file__))
+    ops = os.path.join(os.path.dirname(here), "operators")
+    for folder, files_ in ((here, _BUILD_CODE), (ops, _BUILD_OPS)):
+        for f in files_:
+            with open(os.path.join(folder, f), "rb") as fh:
+                h.update(fh.read())
+    return h.hexdigest()[:20]
+
 
-    A version is immutable once published, so a later session in the same
-    process (e.g. after ``spark.stop()``) re-binds readers to it instead of
-    rebuilding. A new process builds its own version from the input tables.
+def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The published warehouse for ``sf_dir``, built on first use and then
+    shared by every query.
+
+    A version is immutable once published. Within a process, a later session
+    (e.g. after ``spark.stop()``) re-binds readers to it. Across processes,
+    local inputs are stamped (file sizes, modification times, build code) and
+    a version already published under that stamp in the shared folder is
+    reused; changed inputs or code get a new stamp and a fresh build.
     """
     key = os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir.rstrip("/")
     with _LOCK:
@@ -166,8 +200,12 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
         if wh is not None and wh.spark is not spark:
             wh = _BUILT[key] = _rebind(wh, spark)
         if wh is None:
-            app = spark.sparkContext.applicationId
-            tag = hashlib.sha1(f"{key}|{app}|{os.getpid()}".encode()).hexdigest()[:16]
-            target = scratch_path(spark, "tillroll-warehouse", tag)
-            wh = _BUILT[key] = build(spark, sf_dir, target)
+            stamp = _local_fingerprint(sf_dir)
+            if stamp is None:
+                app = spark.sparkContext.applicationId
+                stamp = hashlib.sha1(f"{key}|{app}|{os.getpid()}".encode()).hexdigest()[:20]
+            target = scratch_path(spark, "tillroll-warehouse", stamp)
+            version = files.latest_version(spark, target)
+            wh = Warehouse(spark, target, version) if version else build(spark, sf_dir, target)
+            _BUILT[key] = wh
         return wh
