@@ -91,6 +91,14 @@ def _month_report(spark, sf):
     )
 
 
+# What the sinks write; each sink query returns the copy read back from the
+# files, so the oracle is the report itself.
+MONTH_REPORT_SQL = "SELECT invoice_month, trading_days, CAST(net_revenue AS DOUBLE) AS net_revenue, is_complete_month FROM dim_month"
+REVENUE_SQL = ("SELECT year(invoice_date) AS year, CAST(SUM(revenue) AS DOUBLE) AS revenue "
+               "FROM sales WHERE NOT is_cancellation GROUP BY ROLLUP (year(invoice_date))")
+ORDERS_SQL = ("SELECT year(invoice_date) AS year, COUNT(DISTINCT invoice_no) AS orders "
+              "FROM sales WHERE NOT is_cancellation GROUP BY ROLLUP (year(invoice_date))")
+
 MONTH_REPORT_SCHEMA = T.StructType(
     [
         T.StructField("invoice_month", T.StringType()),
@@ -101,7 +109,7 @@ MONTH_REPORT_SCHEMA = T.StructType(
 )
 
 
-@query("export_csv")
+@query("export_csv", MONTH_REPORT_SQL)
 def export_csv(spark, sf):
     """Write the month report as CSV (committer makes it appear whole), read back."""
     path = scratch_path(spark, "tillroll-exports", files.new_version(), "month_report.csv")
@@ -109,28 +117,28 @@ def export_csv(spark, sf):
     return spark.read.option("header", True).schema(MONTH_REPORT_SCHEMA).csv(path)
 
 
-@query("import_csv_checked")
+@query("import_csv_checked", MONTH_REPORT_SQL)
 def import_csv_checked(spark, sf):
     path = scratch_path(spark, "tillroll-exports", files.new_version(), "month_report.csv")
     files.export_csv(_month_report(spark, sf), path)
     return files.import_csv_checked(spark, path, MONTH_REPORT_SCHEMA, ["invoice_month", "net_revenue"])
 
 
-@query("export_json")
+@query("export_json", REVENUE_SQL)
 def export_json(spark, sf):
     path = scratch_path(spark, "tillroll-exports", files.new_version(), "kpis.json")
     files.export_json(kpis.kpi_revenue(warehouse(spark, sf).sales), path)
     return spark.read.schema("year bigint, revenue double").json(path)
 
 
-@query("import_json")
+@query("import_json", MONTH_REPORT_SQL)
 def import_json(spark, sf):
     path = scratch_path(spark, "tillroll-exports", files.new_version(), "months.json")
     files.export_json(_month_report(spark, sf), path)
     return files.import_json(spark, path, MONTH_REPORT_SCHEMA)
 
 
-@query("validated_publish")
+@query("validated_publish", MONTH_REPORT_SQL)
 def validated_publish(spark, sf):
     """Publish the month report behind a check; returns the published copy."""
     target = scratch_path(spark, "tillroll-published", files.new_version())
@@ -146,7 +154,7 @@ def validated_publish(spark, sf):
     return spark.read.parquet(paths["months"])
 
 
-@query("publish_versioned")
+@query("publish_versioned", ORDERS_SQL)
 def publish_versioned(spark, sf):
     """Two publishes: the first stays readable; readers resolve the latest."""
     target = scratch_path(spark, "tillroll-published", files.new_version())
