@@ -109,7 +109,31 @@ def test_near_join_equals_brute_force(spark):
 
     want = {(i, j) for i, a in left for j, b in right if ok(a, b)}
     assert got == want
-    flags = {r.lid: r.matched for r in near_matched(L, "lid", "lv", R, "rv").collect()}
+    flags = {r.lid: r.matched for r in near_matched(L, "lv", R, "rv").collect()}
+    assert flags == {i: any(ok(a, b) for _, b in right) for i, a in left}
+
+
+def test_near_join_edges_equal_brute_force(spark):
+    """Pairs at the tolerance edge, across zero and across the switch from the
+    absolute to the relative regime (|v| = 11,000), and very large values."""
+    rnd = random.Random(11)
+    centres = [0.0, 0.006, -0.006, 10999.99, 11000.0, 11000.02, -11000.0, 2.5e4, 1e12, -7.5e9, 1e300]
+    left, right = [], []
+    for i in range(400):
+        c = rnd.choice(centres)
+        tol = max(0.011, 1e-6 * abs(c))
+        left.append((i, c + tol * rnd.uniform(-2.2, 2.2)))
+        right.append((i, c + tol * rnd.choice([-1.0, -0.999, 0.0, 0.5, 0.999, 1.0, 1.001, 2.01])))
+    L = spark.createDataFrame(left, "lid int, lv double")
+    R = spark.createDataFrame(right, "rid int, rv double")
+
+    def ok(a, b):
+        return abs(a - b) <= max(0.011, 1e-6 * max(abs(a), abs(b)))
+
+    got = {(r.lid, r.rid) for r in near_join(L, "lv", R, "rv").collect()}
+    want = {(i, j) for i, a in left for j, b in right if ok(a, b)}
+    assert want and got == want
+    flags = {r.lid: r.matched for r in near_matched(L, "lv", R, "rv").collect()}
     assert flags == {i: any(ok(a, b) for _, b in right) for i, a in left}
 
 

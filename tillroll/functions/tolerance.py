@@ -4,22 +4,30 @@
 — the scorer's rule (absolute 0.011 for money rounding, relative 1e-6).
 
 ``near_join`` finds all pairs within that tolerance without comparing every
-pair in a group. Values are bucketed on ``log1p(|v|) / 0.011``: any two
-near-equal values are at most 0.011 apart on that scale (the absolute part
-bounds it by 0.011, the relative part by about 1e-6), so a match always lies
-in the same or a neighbouring bucket. The left side is exploded into its
-three candidate buckets, the join is an equi-join, and the exact test runs on
-those candidates only.
+pair in a group. Values are mapped to buckets whose width follows the
+tolerance itself: linear steps of 0.011 up to |v| = 11,000 (where the absolute
+part dominates), then logarithmic steps of the relative part above it, both
+widened by 1 %. Any near-equal pair is at most one step apart on that scale
+(the slope of the map never exceeds 1/tolerance between the two values), so a
+match always lies in the same or a neighbouring bucket. The left side is
+exploded into its three candidate buckets, the join is an equi-join, and the
+exact test runs on those candidates only. A bucket spans about 1.5 tolerance
+windows, so the candidates stay close to the true matches even where values
+are dense.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ABS_TOL = 0.011
 REL_TOL = 1e-6
-BUCKET = 0.011
+SWITCH = ABS_TOL / REL_TOL          # |v| where the relative part takes over
+LOG_STEP = -math.log1p(-REL_TOL)    # largest ln(b / a) of a near-equal pair
+SLACK = 1.01                        # rounding room between the two regimes
 
 
 def _c(x) -> Column:
@@ -38,7 +46,13 @@ def near_equal(a, b) -> Column:
 
 
 def bucket(x) -> Column:
-    return F.floor(F.log1p(F.abs(_c(x))) / F.lit(BUCKET))
+    """Signed bucket id: |v| / 0.011 below the switch, logarithmic above it."""
+    v = _c(x)
+    a = F.abs(v)
+    scaled = F.when(a <= F.lit(SWITCH), a / F.lit(ABS_TOL)).otherwise(
+        F.lit(SWITCH / ABS_TOL) + F.log(a / F.lit(SWITCH)) / F.lit(LOG_STEP)
+    )
+    return F.floor(F.signum(v) * scaled / F.lit(SLACK))
 
 
 def _candidates(left: DataFrame, lval: str, right: DataFrame, rval: str, keys: list[str]):
@@ -61,13 +75,18 @@ def near_join(left: DataFrame, lval: str, right: DataFrame, rval: str, on: list[
     return pairs
 
 
-def near_matched(left: DataFrame, id_col: str, lval: str, right: DataFrame, rval: str,
+def near_matched(left: DataFrame, lval: str, right: DataFrame, rval: str,
                  on: list[str] | None = None, flag: str = "matched") -> DataFrame:
     """``left`` plus a boolean ``flag``: does any right row lie within
-    tolerance (with equal ``on`` keys)? ``id_col`` must identify left rows."""
+    tolerance (with equal ``on`` keys)?
+
+    The flag depends only on (keys, value), so both sides are reduced to
+    their distinct (keys, value) pairs first (map-side, so a value repeated
+    in a third of the rows is one row before the shuffle); the flags are then
+    joined back on the exact value."""
     keys = list(on or [])
-    # Only the distinct (keys, value) pairs of the right side can matter for a flag.
     right = right.select(*keys, rval).distinct()
-    lb, rb, cond = _candidates(left, lval, right, rval, keys)
-    hits = lb.join(rb, cond, "left_semi").select(id_col).distinct().withColumn(flag, F.lit(True))
-    return left.join(hits, id_col, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    values = left.select(*keys, lval).distinct()
+    lb, rb, cond = _candidates(values, lval, right, rval, keys)
+    hits = lb.join(rb, cond, "left_semi").select(*keys, lval).distinct().withColumn(flag, F.lit(True))
+    return left.join(hits, [*keys, lval], "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

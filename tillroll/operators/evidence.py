@@ -194,11 +194,9 @@ def claim_bind_unique(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 def claim_inputs_backed(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every calculation input appears (within tolerance) somewhere in the evidence."""
     c = claims.filter(F.col("calc") != "none").select("claim_id", "inputs")
-    items = c.select("claim_id", F.posexplode("inputs").alias("pos", "input")).withColumn(
-        "item", F.concat_ws("#", "claim_id", F.col("pos").cast("string"))
-    )
-    values = evidence.select(F.col("value").alias("ev")).distinct()
-    flagged = near_matched(items, "item", "input", values, "ev", flag="backed")
+    items = c.select("claim_id", F.posexplode("inputs").alias("pos", "input"))
+    values = evidence.select(F.col("value").alias("ev"))
+    flagged = near_matched(items, "input", values, "ev", flag="backed")
     per = flagged.groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("inputs"), F.count_if(~F.col("backed")).alias("unbacked")
     )

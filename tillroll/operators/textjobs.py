@@ -55,9 +55,8 @@ def spans(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def supported_spans(sp: DataFrame, key: str, declared: DataFrame, declared_value: str) -> DataFrame:
     """Mark spans that are dates or near-equal to some declared value."""
-    ids = sp.withColumn("_id", F.concat_ws("#", F.col(key).cast("string"), F.col("start").cast("string")))
-    marked = near_matched(ids, "_id", "value", declared.select(F.col(declared_value).alias("_dv")), "_dv", flag="declared")
-    return marked.withColumn("supported", F.col("date_context") | F.col("declared")).drop("_id")
+    marked = near_matched(sp, "value", declared.select(F.col(declared_value).alias("_dv")), "_dv", flag="declared")
+    return marked.withColumn("supported", F.col("date_context") | F.col("declared"))
 
 
 def undeclared_numbers(texts: DataFrame, key: str, text: str, declared: DataFrame, declared_value: str) -> DataFrame:
