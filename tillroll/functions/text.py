@@ -185,17 +185,14 @@ def requested_periods(texts: pd.Series) -> pd.Series:
     return texts.map(periods_of)
 
 
-def country_mentions_fn(names: list[str]):
-    """A pandas UDF naming the countries a text mentions, split into included
-    and excluded (preceded by 'outside', 'excluding', ... possibly through a
-    list of other countries). ``names`` is a bounded dimension list."""
+def country_matcher(names: list[str]):
+    """``text -> {"included": [...], "excluded": [...]}``: the countries a text
+    mentions, split by whether an exclusion phrase ('outside', 'excluding',
+    ... possibly through a list of other countries) comes right before."""
     vocab = {n.casefold(): n for n in names}
     alternation = "|".join(re.escape(n) for n in sorted(vocab, key=len, reverse=True))
     negative = re.compile(EXCLUSION_PREFIX + r"(?:(?:" + alternation + r")\s*(?:,|and|or)\s*)*$")
     finders = {k: re.compile(r"(?<!\w)" + re.escape(k) + r"(?!\w)") for k in vocab}
-    out_type = T.StructType(
-        [T.StructField("included", T.ArrayType(T.StringType())), T.StructField("excluded", T.ArrayType(T.StringType()))]
-    )
 
     def mentions(text):
         low = (text or "").casefold()
@@ -205,6 +202,16 @@ def country_mentions_fn(names: list[str]):
                 (exc if negative.search(low[max(0, m.start() - 180):m.start()]) else inc).add(vocab[key])
         return {"included": sorted(inc), "excluded": sorted(exc)}
 
+    return mentions
+
+
+def country_mentions_fn(names: list[str]):
+    """A pandas UDF over ``country_matcher``; ``names`` is a bounded dimension list."""
+    mentions = country_matcher(names)
+    out_type = T.StructType(
+        [T.StructField("included", T.ArrayType(T.StringType())), T.StructField("excluded", T.ArrayType(T.StringType()))]
+    )
+
     @F.pandas_udf(out_type)
     def udf(texts: pd.Series) -> pd.DataFrame:
         rows = [mentions(t) for t in texts]
