@@ -202,6 +202,15 @@ def test_redaction_replaces_whole_spans(spark):
     assert got == "We sold [unverified] units  in 2011 and 12 more."
 
 
+def test_findings_text_matches_python_rules(spark):
+    texts = ["  [CALL 2] customer_id 12345 bought 3 items [call 7]\u00a0\x1c", "customer_id: 5 stays", None,
+             "[call [unverified]] from_call: 1 stays in findings"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.t for r in df.select("id", tx.findings_text(F.col("text")).alias("t")).collect()}
+    assert got == {0: "Customer 12345 bought 3 items", 1: "customer_id: 5 stays", 2: None,
+                   3: "[call [unverified]] from_call: 1 stays in findings"}
+
+
 def test_routing_rules(spark):
     qs = spark.createDataFrame(
         [(1, "What was our profit margin in 2011?"), (2, "What will our revenue be next quarter?"),

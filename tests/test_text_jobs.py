@@ -15,8 +15,6 @@ from tillroll.sources.warehouse import warehouse
 
 QUERIES = entry.queries()
 
-ASCII_SPACE = "[ \t\n\x0b\f\r]"
-
 
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
@@ -40,10 +38,13 @@ def _declared_hit(value, declared):
     return any(_near(value, d) for d in declared)
 
 
-def _strip_trace(text):
-    t = re.sub(tx.TRACE_CALL, "", text)
-    t = re.sub(tx.TRACE_TAIL, "", t)
-    return re.sub(f"^{ASCII_SPACE}+|{ASCII_SPACE}+$", "", t)
+def _drop_calls(text):
+    return re.sub(r"\[call\s+\d+\]", "", text, flags=re.I)
+
+
+def _findings(text):
+    # call markers out, Python's strip(), then the customer id label
+    return re.sub(r"\bcustomer_id(?=\s+\d)", "Customer", _drop_calls(text).strip(), flags=re.I)
 
 
 def test_number_tokens_whole_job(spark, sf_dir, docs):
@@ -64,8 +65,8 @@ def test_undeclared_numbers_whole_job(spark, sf_dir, docs, declared):
     )
     want = sorted(
         (d, s["start"], s["token"], s["value"])
-        for d, t in docs
-        for s in tx.spans_of(t)
+        for d, t in docs if t
+        for s in tx.spans_of(_drop_calls(t))
         if not s["date_context"] and not _declared_hit(s["value"], declared)
     )
     assert want and got == want
@@ -78,7 +79,7 @@ def test_redact_numbers_whole_job(spark, sf_dir, docs, declared):
         if t is None:
             want[d] = None
             continue
-        clean = _strip_trace(t)
+        clean = _findings(t)
         out, pos = [], 0
         for s in tx.spans_of(clean):
             if s["date_context"] or _declared_hit(s["value"], declared):

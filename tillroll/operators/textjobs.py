@@ -60,14 +60,18 @@ def supported_spans(sp: DataFrame, key: str, declared: DataFrame, declared_value
 
 
 def undeclared_numbers(texts: DataFrame, key: str, text: str, declared: DataFrame, declared_value: str) -> DataFrame:
-    sp = supported_spans(spans(texts, key, text), key, declared, declared_value)
+    """Numbers in prose (``[call n]`` markers removed; offsets refer to that
+    text) that are neither calendar context nor near a declared value."""
+    prose = texts.select(key, tx.drop_call_markers(F.col(text)).alias(text))
+    sp = supported_spans(spans(prose, key, text), key, declared, declared_value)
     return sp.filter(~F.col("supported")).select(key, "start", "token", "value")
 
 
 def redact_numbers(texts: DataFrame, key: str, text: str, declared: DataFrame, declared_value: str) -> DataFrame:
     """Replace every unsupported number span by ``[unverified]`` (whole spans,
-    so hiding 12 never alters 1,200), after stripping trace markers."""
-    clean = texts.select(key, tx.strip_trace(F.col(text)).alias("clean"))
+    so hiding 12 never alters 1,200) in the findings text: call markers
+    removed, ends trimmed, customer ids labelled."""
+    clean = texts.select(key, tx.findings_text(F.col(text)).alias("clean"))
     sp = supported_spans(spans(clean, key, "clean"), key, declared, declared_value)
     bad = sp.filter(~F.col("supported")).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")
