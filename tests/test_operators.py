@@ -234,6 +234,10 @@ def test_country_mentions_included_and_excluded(spark):
     countries = spark.createDataFrame([("United Kingdom",), ("France",), ("Germany",)], "country string")
     r = textjobs.country_mentions(texts, "id", "text", countries, "country").collect()[0]
     assert r.included == ["France"] and r.excluded == ["United Kingdom"]
+    m = tx.country_matcher(["United Kingdom", "France", "Germany"])
+    assert m("Sales outside the UK, France or Germany vs the u.k.") == {
+        "included": ["United Kingdom"], "excluded": ["France", "Germany", "United Kingdom"]}
+    assert tx.country_matcher(["France"])("uk and france") == {"included": ["France"], "excluded": []}
 
 
 def test_failed_publish_keeps_previous_output(spark, tmp_path):
