@@ -115,3 +115,44 @@ def test_country_mentions_whole_job(spark, sf_dir):
         for r in QUERIES["text_country_mentions"](spark, sf_dir).collect()
     }
     assert want and got == want
+
+
+def _reference_route(question):
+    """The routing order with Python's own word boundaries: scope words on
+    the lower-cased question, templates on its normalised form."""
+    from tillroll.operators import textjobs
+
+    low = question.lower()
+
+    def words(ws):
+        return re.search(r"\b(" + "|".join(re.escape(w) for w in ws) + r")\b", low)
+
+    if words(tx.MISSING_DATA_WORDS):
+        return "data_gap"
+    if words(tx.FORECAST_WORDS):
+        return "forecast"
+    partial = any(m in low for m in textjobs.PARTIAL_MONTH_MENTIONS)
+    per_day = "per trading day" in low or "per day" in low
+    if partial and words(tx.COMPARISON_WORDS) and not per_day:
+        return "incomplete_month"
+    t = re.sub(r"\s+", " ", low).strip().rstrip("?.")
+    if any(re.search(p, t) for p in textjobs.KNOWN_PATTERNS):
+        return "known_pattern"
+    return "free"
+
+
+def test_route_questions_whole_job(spark, sf_dir):
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").collect()
+    want = {(r.conv_id, r.turn): _reference_route(r.text) for r in turns if r.role == "user" and r.text is not None}
+    got = {(r.conv_id, r.turn): r.route for r in QUERIES["text_route_questions"](spark, sf_dir).collect()}
+    assert want and {k: got[k] for k in want} == want
+
+
+def test_route_word_boundaries_follow_python(spark):
+    from tillroll.operators import textjobs
+
+    qs = ["¿Cuánto costó el envío?", "What is our profit?", "customer  age split", "next\tquarter sales",
+          "Revenue in 2000", "Revenue  in 2000?"]
+    df = spark.createDataFrame(list(enumerate(qs)), "id int, text string")
+    got = {r.id: r.route for r in textjobs.route_questions(df, ["id"], "text").collect()}
+    assert got == {i: _reference_route(q) for i, q in enumerate(qs)}

@@ -6,9 +6,10 @@ what needs character offsets or an ordered scan over one text's matches
 (number spans with their date context, requested periods). Spark partitions,
 joins and aggregates around them.
 
-Word boundaries in the routing rules are written as explicit ASCII classes
-(``[^a-z0-9_]``) rather than ``\\b``, so the JVM and other SQL engines agree
-on text with accented letters.
+Word boundaries in the routing rules are written as an explicit class of
+letters, digits and ``_`` (``[^\\pL\\pN_]``, what Python's Unicode ``\\b``
+separates) rather than ``\\b``, whose meaning differs between the JVM and
+other SQL engines on text with accented letters.
 """
 
 from __future__ import annotations
@@ -68,8 +69,9 @@ CUSTOMER_ID_LABEL = r"(?iU)\bcustomer_id(?=" + SPACE + r"+\d)"
 
 
 def words_regex(words: list[str]) -> str:
-    """Whole-word alternation with ASCII boundaries, for lower-cased text."""
-    return r"(^|[^a-z0-9_])(" + "|".join(re.escape(w) for w in words) + r")([^a-z0-9_]|$)"
+    """Whole-word alternation, for lower-cased text: a word is not preceded or
+    followed by a letter, digit or ``_`` of any script."""
+    return r"(^|[^\pL\pN_])(" + "|".join(re.escape(w) for w in words) + r")([^\pL\pN_]|$)"
 
 
 def strip_ends(c: Column) -> Column:

@@ -105,19 +105,22 @@ def normalise_question(text: Column) -> Column:
 
 
 def route(text: Column) -> Column:
-    """data_gap / forecast / incomplete_month / known_pattern / free, in order."""
+    """data_gap / forecast / incomplete_month / known_pattern / free, in order.
+    Scope words are looked up in the lower-cased question as written; only the
+    known templates compare against the whitespace-normalised form."""
+    low = F.lower(text)
     t = normalise_question(text)
     partial = None
     for m in PARTIAL_MONTH_MENTIONS:
-        partial = F.contains(t, F.lit(m)) if partial is None else partial | F.contains(t, F.lit(m))
-    per_day = F.contains(t, F.lit("per trading day")) | F.contains(t, F.lit("per day"))
+        partial = F.contains(low, F.lit(m)) if partial is None else partial | F.contains(low, F.lit(m))
+    per_day = F.contains(low, F.lit("per trading day")) | F.contains(low, F.lit("per day"))
     known = None
     for p in KNOWN_PATTERNS:
         known = t.rlike(p) if known is None else known | t.rlike(p)
     return (
-        F.when(t.rlike(tx.words_regex(tx.MISSING_DATA_WORDS)), "data_gap")
-        .when(t.rlike(tx.words_regex(tx.FORECAST_WORDS)), "forecast")
-        .when(partial & t.rlike(tx.words_regex(tx.COMPARISON_WORDS)) & ~per_day, "incomplete_month")
+        F.when(low.rlike(tx.words_regex(tx.MISSING_DATA_WORDS)), "data_gap")
+        .when(low.rlike(tx.words_regex(tx.FORECAST_WORDS)), "forecast")
+        .when(partial & low.rlike(tx.words_regex(tx.COMPARISON_WORDS)) & ~per_day, "incomplete_month")
         .when(known, "known_pattern")
         .otherwise("free")
     )

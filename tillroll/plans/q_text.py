@@ -59,15 +59,15 @@ def _words_sql(words) -> str:
 
 def _route_sql() -> str:
     t = "regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[?.]+$', '')"
-    partial = " OR ".join(f"contains(t, '{m}')" for m in textjobs.PARTIAL_MONTH_MENTIONS)
+    partial = " OR ".join(f"contains(l, '{m}')" for m in textjobs.PARTIAL_MONTH_MENTIONS)
     known = " OR ".join(f"regexp_matches(t, '{p}')" for p in textjobs.KNOWN_PATTERNS)
     return f"""
-WITH q AS (SELECT conv_id, turn, {t} AS t FROM conversations WHERE role = 'user')
+WITH q AS (SELECT conv_id, turn, lower(text) AS l, {t} AS t FROM conversations WHERE role = 'user')
 SELECT conv_id, turn,
-  CASE WHEN regexp_matches(t, '{_words_sql(tx.MISSING_DATA_WORDS)}') THEN 'data_gap'
-       WHEN regexp_matches(t, '{_words_sql(tx.FORECAST_WORDS)}') THEN 'forecast'
-       WHEN ({partial}) AND regexp_matches(t, '{_words_sql(tx.COMPARISON_WORDS)}')
-            AND NOT (contains(t, 'per trading day') OR contains(t, 'per day')) THEN 'incomplete_month'
+  CASE WHEN regexp_matches(l, '{_words_sql(tx.MISSING_DATA_WORDS)}') THEN 'data_gap'
+       WHEN regexp_matches(l, '{_words_sql(tx.FORECAST_WORDS)}') THEN 'forecast'
+       WHEN ({partial}) AND regexp_matches(l, '{_words_sql(tx.COMPARISON_WORDS)}')
+            AND NOT (contains(l, 'per trading day') OR contains(l, 'per day')) THEN 'incomplete_month'
        WHEN {known} THEN 'known_pattern'
        ELSE 'free' END AS route
 FROM q"""
