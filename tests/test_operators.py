@@ -211,6 +211,17 @@ def test_findings_text_matches_python_rules(spark):
                    3: "[call [unverified]] from_call: 1 stays in findings"}
 
 
+def test_unit_rules_strict_for_status_lenient_for_context(spark):
+    df = spark.createDataFrame(
+        [("revenue", "GBP"), ("revenue", "£"), ("net_revenue", None), ("trading_days", "Days"), ("trading_days", "days"),
+         ("orders", "USD")], "c string, u string")
+    got = df.select(evidence.unit_problem(F.col("c"), F.col("u")).alias("p"),
+                    evidence.unit_ok(F.col("c"), F.col("u")).alias("ok")).collect()
+    assert [r.p for r in got] == [None, "Revenue and order value use GBP.", "Revenue and order value use GBP.",
+                                  "Trading-day evidence must use days.", None, None]
+    assert [r.ok for r in got] == [True, True, False, True, True, True]
+
+
 def test_routing_rules(spark):
     qs = spark.createDataFrame(
         [(1, "What was our profit margin in 2011?"), (2, "What will our revenue be next quarter?"),

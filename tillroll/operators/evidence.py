@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from ..functions.money import dbl, ratio
 from ..functions.tolerance import near_equal, near_join, near_matched
 
-MONEY_COLUMNS = ("revenue", "aov")
+# The measured columns that carry a unit rule.
+MONEY_COLUMNS = ("revenue", "net_revenue", "aov")
+DAY_UNITS = ("days", "trading days")
 COLUMN_INDEX = {"revenue": 0, "orders": 1, "customers": 2, "aov": 3}
 CALCS = ("pct_change", "difference", "ratio", "share", "sum", "mean")
 
@@ -209,14 +211,25 @@ def claim_inputs_backed(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def unit_ok(column: Column, unit: Column) -> Column:
+    """The lenient unit rule of a copied cell (any case, '£' and 'pounds' too)."""
     u = F.lower(F.trim(F.coalesce(unit, F.lit(""))))
     return (
         F.when(column.isin(*MONEY_COLUMNS), u.isin("gbp", "£", "pounds"))
-        .when(column == "trading_days", u.isin("days", "trading days"))
+        .when(column == "trading_days", u.isin(*DAY_UNITS))
         .otherwise(F.lit(True))
     )
 
 
+def unit_problem(column: Column, unit: Column) -> Column:
+    """The strict rule a supported claim must meet: money exactly 'GBP', day
+    counts 'days' or 'trading days'. NULL when the unit is acceptable."""
+    u = F.coalesce(unit, F.lit(""))
+    return (
+        F.when(column.isin(*MONEY_COLUMNS) & (u != "GBP"), F.lit("Revenue and order value use GBP."))
+        .when((column == "trading_days") & ~u.isin(*DAY_UNITS), F.lit("Trading-day evidence must use days."))
+    )
+
+
 def claim_unit_check(claims: DataFrame) -> DataFrame:
     return claims.select("claim_id", "column", "unit", unit_ok(F.col("column"), F.col("unit")).alias("unit_ok"))
 
@@ -240,8 +253,9 @@ def claim_status(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     none = F.col("calc") == "none"
     problem = (
         F.when(none & ~F.coalesce(F.col("matches"), F.lit(False)), "The cited row and column do not contain this value.")
-        .when(none & ~unit_ok(F.col("column"), F.col("unit")), "Revenue and order value use GBP.")
-        .when(none & ~label_ok(F.col("text"), F.col("row")), "Include the exact result label with this value.")
+        .when(none & unit_problem(F.col("column"), F.col("unit")).isNotNull(), unit_problem(F.col("column"), F.col("unit")))
+        .when(none & ~label_ok(F.col("text"), F.col("row")),
+              F.concat(F.lit("Include the exact result label with this value: "), F.col("row")))
         .when(~none & F.col("expected").isNull(), "unknown calculation or invalid inputs")
         .when(~none & ~F.coalesce(F.col("backed"), F.lit(False)), "calculation inputs are not backed by query evidence")
         .when(~none & ~near_equal("value", "expected"), "the recalculated value differs")

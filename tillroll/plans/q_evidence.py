@@ -36,7 +36,7 @@ RECOMPUTE_SQL = """CASE
     THEN CAST(list_sum(list_transform(inputs, lambda x: TRY_CAST(x AS DECIMAL(38,2)))) AS DOUBLE) / CAST(len(inputs) AS DOUBLE)
 END"""
 
-UNIT_OK_SQL = """CASE WHEN "column" IN ('revenue', 'aov') THEN lower(trim(COALESCE(unit, ''))) IN ('gbp', '£', 'pounds')
+UNIT_OK_SQL = """CASE WHEN "column" IN ('revenue', 'net_revenue', 'aov') THEN lower(trim(COALESCE(unit, ''))) IN ('gbp', '£', 'pounds')
      WHEN "column" = 'trading_days' THEN lower(trim(COALESCE(unit, ''))) IN ('days', 'trading days')
      ELSE TRUE END"""
 
@@ -111,8 +111,11 @@ status AS (
   FROM claims c JOIN (
     SELECT c.claim_id,
       CASE WHEN c.calc = 'none' AND NOT COALESCE(ci.matches, FALSE) THEN 'The cited row and column do not contain this value.'
-           WHEN c.calc = 'none' AND NOT (""" + UNIT_OK_SQL.replace('"column"', 'c."column"').replace("unit,", "c.unit,") + """) THEN 'Revenue and order value use GBP.'
-           WHEN c.calc = 'none' AND NOT (c."row" IS NULL OR contains(lower(COALESCE(c.text, '')), lower(c."row"))) THEN 'Include the exact result label with this value.'
+           WHEN c.calc = 'none' AND c."column" IN ('revenue', 'net_revenue', 'aov') AND COALESCE(c.unit, '') <> 'GBP'
+                THEN 'Revenue and order value use GBP.'
+           WHEN c.calc = 'none' AND c."column" = 'trading_days' AND COALESCE(c.unit, '') NOT IN ('days', 'trading days')
+                THEN 'Trading-day evidence must use days.'
+           WHEN c.calc = 'none' AND NOT (c."row" IS NULL OR contains(lower(COALESCE(c.text, '')), lower(c."row"))) THEN 'Include the exact result label with this value: ' || c."row"
            WHEN c.calc <> 'none' AND r.expected IS NULL THEN 'unknown calculation or invalid inputs'
            WHEN c.calc <> 'none' AND NOT COALESCE(b.inputs > 0 AND b.unbacked = 0, FALSE) THEN 'calculation inputs are not backed by query evidence'
            WHEN c.calc <> 'none' AND NOT """ + near_sql("c.value", "r.expected") + """ THEN 'the recalculated value differs'
