@@ -161,7 +161,8 @@ def test_recompute_operations(spark):
     df = spark.createDataFrame(
         [("pct_change", [120.0, 100.0], 20.0), ("difference", [5.0, 2.0], 3.0), ("ratio", [1.0, 0.0], None),
          ("share", [40.0, 100.0], 40.0), ("sum", [1.25, 2.5], 3.75), ("mean", [1.0, 2.0], 1.5),
-         ("median", [1.0], None), ("pct_change", [1.0], None)],
+         ("median", [1.0], None), ("pct_change", [1.0], None), ("ratio", [1e308, 1e-308], None),
+         ("difference", [float("inf"), 1.0], None)],
         "calc string, inputs array<double>, want double",
     )
     for r in df.select("want", evidence.recompute(F.col("calc"), F.col("inputs")).alias("got")).collect():

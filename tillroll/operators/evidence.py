@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import dbl, ratio
-from ..functions.tolerance import near_equal, near_join, near_matched
+from ..functions.tolerance import is_finite, near_equal, near_join, near_matched
 
 # The measured columns that carry a unit rule.
 MONEY_COLUMNS = ("revenue", "net_revenue", "aov")
@@ -123,8 +123,8 @@ def claims_from_evidence(evidence: DataFrame) -> DataFrame:
 
 def recompute(calc: Column, inputs: Column) -> Column:
     """Redo the arithmetic of a calculation claim; NULL for an unknown
-    operation or invalid inputs. Sums are exact (DECIMAL) before the result
-    becomes DOUBLE."""
+    operation, invalid inputs or a non-finite result. Sums are exact (DECIMAL)
+    before the result becomes DOUBLE."""
     x0, x1 = F.element_at(inputs, 1), F.element_at(inputs, 2)
     two = F.size(inputs) == 2
     nz = two & (x1 != 0)
@@ -132,7 +132,7 @@ def recompute(calc: Column, inputs: Column) -> Column:
         inputs, F.lit(0).cast("decimal(38,2)"), lambda acc, x: (acc + x.try_cast("decimal(38,2)")).cast("decimal(38,2)")
     )
     some = F.size(inputs) >= 1
-    return (
+    raw = (
         F.when((calc == "pct_change") & nz, (x0 - x1) / x1 * F.lit(100.0))
         .when((calc.isin("difference", "diff")) & two, x0 - x1)
         .when((calc == "ratio") & nz, x0 / x1)
@@ -140,6 +140,7 @@ def recompute(calc: Column, inputs: Column) -> Column:
         .when((calc == "sum") & some, dbl(exact_sum))
         .when((calc == "mean") & some, dbl(exact_sum) / F.size(inputs).cast("double"))
     )
+    return F.when(is_finite(raw), raw)
 
 
 def claim_recompute(claims: DataFrame) -> DataFrame:

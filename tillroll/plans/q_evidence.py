@@ -25,7 +25,7 @@ def near_sql(a: str, b: str) -> str:
             f"greatest(0.011, 1e-6 * greatest(abs({a}), abs({b}))), FALSE)")
 
 
-RECOMPUTE_SQL = """CASE
+_RECOMPUTE_RAW = """CASE
   WHEN calc = 'pct_change' AND len(inputs) = 2 AND inputs[2] <> 0 THEN (inputs[1] - inputs[2]) / inputs[2] * 100.0
   WHEN calc IN ('difference', 'diff') AND len(inputs) = 2 THEN inputs[1] - inputs[2]
   WHEN calc = 'ratio' AND len(inputs) = 2 AND inputs[2] <> 0 THEN inputs[1] / inputs[2]
@@ -35,6 +35,8 @@ RECOMPUTE_SQL = """CASE
   WHEN calc = 'mean' AND len(inputs) >= 1
     THEN CAST(list_sum(list_transform(inputs, lambda x: TRY_CAST(x AS DECIMAL(38,2)))) AS DOUBLE) / CAST(len(inputs) AS DOUBLE)
 END"""
+# A non-finite result counts as no result.
+RECOMPUTE_SQL = f"CASE WHEN isfinite({_RECOMPUTE_RAW}) THEN {_RECOMPUTE_RAW} END"
 
 UNIT_OK_SQL = """CASE WHEN "column" IN ('revenue', 'net_revenue', 'aov') THEN lower(trim(COALESCE(unit, ''))) IN ('gbp', '£', 'pounds')
      WHEN "column" = 'trading_days' THEN lower(trim(COALESCE(unit, ''))) IN ('days', 'trading days')
