@@ -192,7 +192,8 @@ def claim_status(spark, sf):
 
 
 @query("claim_totals", f"""
-SELECT claim_id, value, expected, {near_sql('value', 'expected')} AS ok FROM recal WHERE calc = 'sum'""", ctes=EVIDENCE_CTES)
+SELECT claim_id, value, expected, expected IS NULL OR {near_sql('value', 'expected')} AS ok
+FROM recal WHERE calc = 'sum'""", ctes=EVIDENCE_CTES)
 def claim_totals(spark, sf):
     _, c = _tables(spark, sf)
     return ev.claim_totals(c)
