@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import textjobs
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 from ..sources.warehouse import warehouse
 from .catalog import query
 from .q_evidence import EVIDENCE_CTES, claims_table
 
 
 def _docs(spark, sf):
-    return read_table(spark, sf, "documents", "doc_id", "text")
+    return spread(read_table(spark, sf, "documents", "doc_id", "text"))
 
 
 def _declared(spark, sf):

@@ -61,11 +61,13 @@ class Warehouse:
     def derived(self, name: str, build) -> DataFrame:
         """A table Spark derives from the published ones (e.g. the evidence
         log), written once beside them on first use and read back after.
-        Many checks read it, so it is computed once instead of per query."""
+        Many checks read it, so it is computed once instead of per query.
+        Each process writes its own copy under a fresh folder, so a process
+        sharing the version never sees a folder being replaced."""
         with _LOCK:
             if name not in self._derived:
-                path = self.path(f"derived/{name}")
-                build(self).write.mode("overwrite").parquet(path)
+                path = self.path(f"derived/{name}/run={files.new_version()}")
+                build(self).write.mode("errorifexists").parquet(path)
                 self._derived[name] = path
                 self._tables[f"derived/{name}"] = self.spark.read.parquet(path)
             return self._tables[f"derived/{name}"]
@@ -184,7 +186,7 @@ def _local_fingerprint(sf_dir: str) -> str | None:
     return h.hexdigest()[:20]
 
 
-def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+def warehouse(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> Warehouse:
     """The published warehouse for ``sf_dir``, built on first use and then
     shared by every query.
 
@@ -193,19 +195,21 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     local inputs are stamped (file sizes, modification times, build code) and
     a version already published under that stamp in the shared folder is
     reused; changed inputs or code get a new stamp and a fresh build.
+    ``rebuild=True`` always builds and publishes a new version (benchmarks
+    time the build this way).
     """
     key = os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir.rstrip("/")
     with _LOCK:
         wh = _BUILT.get(key)
         if wh is not None and wh.spark is not spark:
             wh = _BUILT[key] = _rebind(wh, spark)
-        if wh is None:
+        if wh is None or rebuild:
             stamp = _local_fingerprint(sf_dir)
             if stamp is None:
                 app = spark.sparkContext.applicationId
                 stamp = hashlib.sha1(f"{key}|{app}|{os.getpid()}".encode()).hexdigest()[:20]
             target = scratch_path(spark, "tillroll-warehouse", stamp)
-            version = files.latest_version(spark, target)
+            version = None if rebuild else files.latest_version(spark, target)
             wh = Warehouse(spark, target, version) if version else build(spark, sf_dir, target)
             _BUILT[key] = wh
         return wh
