@@ -154,8 +154,13 @@ def _rebind(old: Warehouse, spark: SparkSession) -> Warehouse:
     return wh
 
 
-_BUILD_CODE = ("invoices.py", "tables.py", "files.py", "warehouse.py")
-_BUILD_OPS = ("clean.py", "marts.py", "quality.py")
+# Every module the build imports, relative to the package: a change to any of
+# them gives a new stamp, so a version built by older code is never reused.
+_BUILD_MODULES = (
+    "sources/invoices.py", "sources/tables.py", "sources/files.py", "sources/warehouse.py",
+    "operators/clean.py", "operators/marts.py", "operators/quality.py",
+    "functions/calendar.py", "functions/money.py", "session.py",
+)
 
 
 def _local_fingerprint(sf_dir: str) -> str | None:
@@ -177,12 +182,10 @@ def _local_fingerprint(sf_dir: str) -> str | None:
             for n in sorted(names):
                 st = os.stat(os.path.join(base, n) if n else base)
                 h.update(f"{name}|{n}|{st.st_size}|{st.st_mtime_ns}".encode())
-    here = os.path.dirname(os.path.abspath(__file__))
-    ops = os.path.join(os.path.dirname(here), "operators")
-    for folder, files_ in ((here, _BUILD_CODE), (ops, _BUILD_OPS)):
-        for f in files_:
-            with open(os.path.join(folder, f), "rb") as fh:
-                h.update(fh.read())
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for module in _BUILD_MODULES:
+        with open(os.path.join(package, module), "rb") as fh:
+            h.update(fh.read())
     return h.hexdigest()[:20]
 
 
