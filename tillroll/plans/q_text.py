@@ -76,7 +76,7 @@ FROM q"""
 @query("text_route_questions", _route_sql())
 def text_route_questions(spark, sf):
     """Label user turns: data gap, forecast, incomplete month, known pattern, free."""
-    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role") == "user")
+    conv = spread(read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role") == "user"))
     return textjobs.route_questions(conv, ["conv_id", "turn"], "text")
 
 
