@@ -14,6 +14,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,17 +68,25 @@ def write_version(
     version: str,
     partition_by: Mapping[str, list[str]] | None = None,
 ) -> dict[str, str]:
-    """Write each frame as parquet under ``target/version=<version>/<name>``."""
-    paths = {}
-    for name, df in frames.items():
+    """Write each frame as parquet under ``target/version=<version>/<name>``.
+
+    Independent frames are written as concurrent jobs (one driver thread
+    each), so small jobs such as the summary tables share the executors
+    instead of running one after another."""
+    def write(name: str, df: DataFrame) -> str:
         path = f"{target}/version={version}/{name}"
         writer = df.write.mode("errorifexists")
         cols = (partition_by or {}).get(name)
         if cols:
             writer = writer.partitionBy(*cols)
         writer.parquet(path)
-        paths[name] = path
-    return paths
+        return path
+
+    if len(frames) == 1:
+        return {name: write(name, df) for name, df in frames.items()}
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        futures = {name: pool.submit(write, name, df) for name, df in frames.items()}
+        return {name: f.result() for name, f in futures.items()}
 
 
 def mark_published(spark: SparkSession, target: str, version: str, tables: list[str]) -> None:
