@@ -295,3 +295,9 @@ def test_requested_periods_job_matches_helper(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {r.id: r.periods for r in textjobs.requested_periods(df, "id", "text").collect()}
     assert got == {i: tx.periods_of(t) for i, t in enumerate(texts)}
+
+
+def test_running_share_zero_total_gives_null_share(spark):
+    df = spark.createDataFrame([("a", Decimal("1.00")), ("b", Decimal("-1.00"))], "k string, v decimal(12,2)")
+    got = {r.k: (r.rank, r.cumulative, r.cumulative_share) for r in rankings.running_share(df, "v", "k").collect()}
+    assert got == {"a": (1, Decimal("1.00"), None), "b": (2, Decimal("0.00"), None)}

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import dbl
+from ..functions.money import ratio
 
 
 def top_k(df: DataFrame, value: str, key: str, k: int, ascending: bool = False) -> DataFrame:
@@ -105,5 +105,5 @@ def running_share(
         *df.columns,
         (F.col("_offn") + F.col("_pos")).cast("bigint").alias("rank"),
         (F.col("_off") + F.col("_local")).alias("cumulative"),
-        (dbl(F.col("_off") + F.col("_local")) / dbl("_grand")).alias("cumulative_share"),
+        ratio(F.col("_off") + F.col("_local"), "_grand").alias("cumulative_share"),
     )
