@@ -301,3 +301,11 @@ def test_running_share_zero_total_gives_null_share(spark):
     df = spark.createDataFrame([("a", Decimal("1.00")), ("b", Decimal("-1.00"))], "k string, v decimal(12,2)")
     got = {r.k: (r.rank, r.cumulative, r.cumulative_share) for r in rankings.running_share(df, "v", "k").collect()}
     assert got == {"a": (1, Decimal("1.00"), None), "b": (2, Decimal("0.00"), None)}
+
+
+def test_labels_and_row_numbers_tolerate_text_without_digits(spark):
+    ids = spark.createDataFrame([("18102",), ("18102.0",), ("P558",), ("1e300",)], "c string")
+    got = [r.label for r in textjobs.id_labels(ids, "c", "customer_id").collect()]
+    assert got == ["18102", "18102", "P558", "1e300"]
+    rows = spark.createDataFrame([("NATION_7",), ("United Kingdom",)], "row string")
+    assert [r.k for r in rows.select(evidence._row_number(F.col("row")).alias("k")).collect()] == [7, None]

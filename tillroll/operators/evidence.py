@@ -63,7 +63,8 @@ def evidence_from_sales(sales: DataFrame) -> DataFrame:
 
 
 def _row_number(row: Column) -> Column:
-    return F.regexp_extract(row, r"([0-9]+)", 1).cast("bigint")
+    """The number in a row label; NULL when it has none."""
+    return F.regexp_extract(row, r"([0-9]+)", 1).try_cast("bigint")
 
 
 def claims_from_evidence(evidence: DataFrame) -> DataFrame:

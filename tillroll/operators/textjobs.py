@@ -158,8 +158,9 @@ def month_labels(months: DataFrame, month: str) -> DataFrame:
 
 def id_labels(ids: DataFrame, col: str, kind: str) -> DataFrame:
     """Integer-looking ids as plain integers ('18102.0' -> '18102')."""
-    v = F.col(col).cast("double")
-    label = F.when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+    v = F.col(col).try_cast("double")
+    as_int = F.when(v == F.floor(v), v.try_cast("bigint").cast("string"))
+    label = F.coalesce(as_int, F.col(col).cast("string"))
     return ids.select(
         F.lit(kind).alias("kind"), label.alias("label"),
         F.lit(None).cast("string").alias("long_label"), F.lit(None).cast("string").alias("short_label"),

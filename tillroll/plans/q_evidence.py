@@ -61,7 +61,7 @@ evidence AS (
   WHERE value IS NOT NULL AND isfinite(value)),
 att AS (SELECT 1 AS attempt UNION ALL SELECT 2),
 cells AS (
-  SELECT e.*, CAST(regexp_extract("row", '([0-9]+)', 1) AS BIGINT) AS k,
+  SELECT e.*, TRY_CAST(regexp_extract("row", '([0-9]+)', 1) AS BIGINT) AS k,
          CASE "column" WHEN 'revenue' THEN 0 WHEN 'orders' THEN 1 WHEN 'customers' THEN 2 WHEN 'aov' THEN 3 END AS ci
   FROM evidence e),
 cell_claims AS (
@@ -78,7 +78,7 @@ rw AS (
   FROM evidence GROUP BY call, "row"),
 ratio_claims AS (
   SELECT a.attempt, r.call, r."row", 'aov_calc' AS "column",
-         CASE WHEN a.attempt = 2 AND (r.call + CAST(regexp_extract(r."row", '([0-9]+)', 1) AS BIGINT)) % 3 = 0
+         CASE WHEN a.attempt = 2 AND (r.call + TRY_CAST(regexp_extract(r."row", '([0-9]+)', 1) AS BIGINT)) % 3 = 0
               THEN (r.revenue / r.orders) * 1.001 ELSE r.revenue / r.orders END AS value,
          'GBP' AS unit, 'ratio' AS calc, [r.revenue, r.orders] AS inputs, lower(r."row") AS text
   FROM rw r, att a WHERE r.orders > 0),
