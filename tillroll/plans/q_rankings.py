@@ -240,8 +240,8 @@ def ranked_list(spark, sf):
 _ATTEMPT_SQL = """
 attempts AS (
     SELECT user_id, event_id, event_type <> 'error' AS scope_ok, event_type <> 'view' AS exec_ok,
-           value AS supported, -CAST(json_extract_string(props, '$.k') AS BIGINT) AS neg_undeclared,
-           -(CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS neg_unsupported
+           value AS supported, -TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS neg_undeclared,
+           -(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS neg_unsupported
     FROM events)"""
 
 
@@ -252,7 +252,7 @@ SELECT user_id, event_id, scope_ok, exec_ok, supported, neg_undeclared, neg_unsu
   FROM attempts) t WHERE rk = 1""", ctes=_ATTEMPT_SQL)
 def best_attempt(spark, sf):
     ev = read_table(spark, sf, "events", "user_id", "event_id", "event_type", "value", "props")
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
     keys = {
         "scope_ok": F.col("event_type") != "error",
         "exec_ok": F.col("event_type") != "view",
