@@ -65,3 +65,25 @@ def test_exact_quantiles_match_numpy_linear(spark, vals, qs):
     assert set(got) == set(want)
     for q in qs:
         assert abs(got[q] - want[q]) <= 1e-9 * max(1.0, abs(want[q]))
+
+
+# Texts over an alphabet that stresses the number pattern: digits of other
+# scripts, superscripts, combining marks, separators, signs, scale words and
+# whitespace outside ASCII.
+PIECES = ["1", "23", "4,567", "0.5", "1e3", "2E-2", "k", "m", "bn", "million", " thousand", "-", "+", "−",
+          ".", ",", " ", " ", "\x1c", "a", "é", "é", "_", "²", "٣", "Ⅷ", "x", "£", "%", "\n"]
+texts = st.lists(st.sampled_from(PIECES), min_size=0, max_size=25).map("".join)
+
+
+@SETTINGS
+@given(batch=st.lists(texts, min_size=1, max_size=30))
+def test_number_tokens_follow_python_regex(spark, batch):
+    import re
+
+    from tillroll.functions import text as tx
+    from tillroll.operators import textjobs
+
+    df = spark.createDataFrame(list(enumerate(batch)), "id int, text string")
+    got = sorted((r.id, r.pos, r.token) for r in textjobs.number_tokens(df, "id", "text").collect())
+    want = sorted((i, p, m.group()) for i, t in enumerate(batch) for p, m in enumerate(re.finditer(tx.NUMBER_PATTERN, t)))
+    assert got == want

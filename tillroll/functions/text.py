@@ -83,6 +83,43 @@ def strip_trace(text: Column) -> Column:
     return strip_ends(F.regexp_replace(F.regexp_replace(text, TRACE_CALL, ""), TRACE_TAIL, ""))
 
 
+# Python's ``re`` classes on text, as explicit JVM classes: a word character
+# is a letter, a number or '_' (str.isalnum), a digit is a decimal digit, and
+# whitespace is the str.isspace set. The JVM's own Unicode \w counts
+# combining marks as word characters and Python does not, so the shared
+# patterns are translated rather than run with (?U).
+_PY_WORD = r"\p{L}\p{N}_"
+_PY_CLASSES = {"w": (_PY_WORD, f"[{_PY_WORD}]"), "d": (r"\p{Nd}", r"\p{Nd}"),
+               "s": (r"\s\x1c-\x1f", r"[\s\x1c-\x1f]")}
+_PY_BOUNDARY = f"(?:(?<=[{_PY_WORD}])(?![{_PY_WORD}])|(?<![{_PY_WORD}])(?=[{_PY_WORD}]))"
+
+
+def jvm_pattern(pattern: str) -> str:
+    """A Python ``re`` pattern rewritten so the JVM matches the same text:
+    \\w, \\d, \\s and \\b become explicit Unicode classes (inside or outside
+    a character class); everything else is kept as written."""
+    out, i, in_class = ["(?U)"], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            e = pattern[i + 1]
+            if e in _PY_CLASSES:
+                out.append(_PY_CLASSES[e][0 if in_class else 1])
+            elif e == "b" and not in_class:
+                out.append(_PY_BOUNDARY)
+            else:
+                out.append(c + e)
+            i += 2
+            continue
+        if c == "[" and not in_class:
+            in_class = True
+        elif c == "]" and in_class:
+            in_class = False
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def drop_call_markers(text: Column) -> Column:
     return F.regexp_replace(text, CALL_MARKER, "")
 
@@ -96,14 +133,14 @@ def findings_text(text: Column) -> Column:
 
 def number_tokens(text: Column) -> Column:
     """All number tokens of a text, in order (JVM regex, Unicode classes)."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + NUMBER_PATTERN), 0)
+    return F.regexp_extract_all(text, F.lit(jvm_pattern(NUMBER_PATTERN)), 0)
 
 
 def token_value(token: Column) -> Column:
     """Parse one token: drop separators, map the minus sign, apply the scale."""
     t = F.regexp_replace(F.regexp_replace(token, ",", ""), "−", "-")
-    scale_word = F.lower(F.regexp_extract(t, "(?U)" + SCALE_PATTERN, 1))
-    number = F.regexp_replace(t, "(?U)" + SCALE_PATTERN, "")
+    scale_word = F.lower(F.regexp_extract(t, jvm_pattern(SCALE_PATTERN), 1))
+    number = F.regexp_replace(t, jvm_pattern(SCALE_PATTERN), "")
     scale = F.coalesce(*[F.when(scale_word == k, F.lit(v)) for k, v in SCALES.items()], F.lit(1.0))
     return number.try_cast("double") * scale
 
