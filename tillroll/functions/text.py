@@ -61,9 +61,12 @@ TRACE_CALL = r"(?i)\[call\s+(?:\d+|\[unverified\])\]"
 TRACE_TAIL = r"(?is)\b(?:from_call\s*:|from[_ ]run_sql\b).*"
 # Prose checked for numbers: '[call n]' markers are removed first, and the
 # redacted findings are trimmed and show 'customer_id 123' as 'Customer 123'.
-# ``SPACE`` is the whitespace set of Python's str.isspace: the JVM's Unicode
-# \s plus the four information separators.
-SPACE = r"[\s\x1c-\x1f]"
+# ``SPACE`` is the whitespace set of Python's str.isspace, written out so the
+# JVM and RE2 (the SQL oracle) read it the same way: ASCII controls \t-\r,
+# the four information separators, NEL, every space separator, and the line
+# and paragraph separators.
+_SPACE_SET = r"\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Zs}\x{2028}\x{2029}"
+SPACE = f"[{_SPACE_SET}]"
 CALL_MARKER = r"(?iU)\[call" + SPACE + r"+\d+\]"
 CUSTOMER_ID_LABEL = r"(?iU)\bcustomer_id(?=" + SPACE + r"+\d)"
 
@@ -75,7 +78,8 @@ def words_regex(words: list[str]) -> str:
 
 
 def strip_ends(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python's strip(): leading and trailing whitespace (``SPACE``) removed."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def strip_trace(text: Column) -> Column:
@@ -90,7 +94,7 @@ def strip_trace(text: Column) -> Column:
 # patterns are translated rather than run with (?U).
 _PY_WORD = r"\p{L}\p{N}_"
 _PY_CLASSES = {"w": (_PY_WORD, f"[{_PY_WORD}]"), "d": (r"\p{Nd}", r"\p{Nd}"),
-               "s": (r"\s\x1c-\x1f", r"[\s\x1c-\x1f]")}
+               "s": (_SPACE_SET, SPACE)}
 _PY_BOUNDARY = f"(?:(?<=[{_PY_WORD}])(?![{_PY_WORD}])|(?<![{_PY_WORD}])(?=[{_PY_WORD}]))"
 
 
@@ -127,7 +131,7 @@ def drop_call_markers(text: Column) -> Column:
 def findings_text(text: Column) -> Column:
     """The prose that redaction rewrites: call markers removed, ends trimmed,
     customer ids labelled ``Customer``."""
-    trimmed = F.regexp_replace(drop_call_markers(text), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    trimmed = strip_ends(drop_call_markers(text))
     return F.regexp_replace(trimmed, CUSTOMER_ID_LABEL, "Customer")
 
 

@@ -98,7 +98,7 @@ def requested_periods(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def normalise_question(text: Column) -> Column:
-    t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    t = F.trim(F.regexp_replace(F.lower(text), tx.SPACE + "+", " "))
     return F.regexp_replace(t, r"[?.]+$", "")
 
 

@@ -37,12 +37,12 @@ def text_redact_numbers(spark, sf):
     return textjobs.redact_numbers(_docs(spark, sf), "doc_id", "text", _declared(spark, sf), "value")
 
 
-@query("text_strip_trace", r"""
+@query("text_strip_trace", rf"""
 SELECT doc_id,
        regexp_replace(
          regexp_replace(regexp_replace(text, '(?i)\[call\s+(?:\d+|\[unverified\])\]', '', 'g'),
                         '(?is)\b(?:from_call\s*:|from[_ ]run_sql\b).*', '', 'g'),
-         '^\s+|\s+$', '', 'g') AS text
+         '^{tx.SPACE}+|{tx.SPACE}+$', '', 'g') AS text
 FROM documents""")
 def text_strip_trace(spark, sf):
     return textjobs.strip_trace(_docs(spark, sf), "doc_id", "text")
@@ -58,7 +58,7 @@ def _words_sql(words) -> str:
 
 
 def _route_sql() -> str:
-    t = "regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[?.]+$', '')"
+    t = f"regexp_replace(trim(regexp_replace(lower(text), '{tx.SPACE}+', ' ', 'g')), '[?.]+$', '')"
     partial = " OR ".join(f"contains(l, '{m}')" for m in textjobs.PARTIAL_MONTH_MENTIONS)
     known = " OR ".join(f"regexp_matches(t, '{p}')" for p in textjobs.KNOWN_PATTERNS)
     return f"""
