@@ -87,3 +87,26 @@ def test_number_tokens_follow_python_regex(spark, batch):
     got = sorted((r.id, r.pos, r.token) for r in textjobs.number_tokens(df, "id", "text").collect())
     want = sorted((i, p, m.group()) for i, t in enumerate(batch) for p, m in enumerate(re.finditer(tx.NUMBER_PATTERN, t)))
     assert got == want
+
+
+FINDING_PIECES = ["[call 3]", "[CALL 12]", "[call x]", "customer_id", "Customer_ID", " ", " ", "\x1c", "\n",
+                  "5", "٣", "é", "é", "_", "x", ":"]
+findings = st.lists(st.sampled_from(FINDING_PIECES), min_size=0, max_size=14).map("".join)
+
+
+@SETTINGS
+@given(batch=st.lists(findings, min_size=1, max_size=30))
+def test_findings_text_follows_python_steps(spark, batch):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tillroll.functions import text as tx
+
+    def reference_steps(t):
+        t = re.sub(r"\[call\s+\d+\]", "", t, flags=re.I).strip()
+        return re.sub(r"\bcustomer_id(?=\s+\d)", "Customer", t, flags=re.I)
+
+    df = spark.createDataFrame(list(enumerate(batch)), "id int, text string")
+    got = sorted((r.id, r.t) for r in df.select("id", tx.findings_text(F.col("text")).alias("t")).collect())
+    assert got == [(i, reference_steps(t)) for i, t in enumerate(batch)]

@@ -67,8 +67,9 @@ TRACE_TAIL = r"(?is)\b(?:from_call\s*:|from[_ ]run_sql\b).*"
 # and paragraph separators.
 _SPACE_SET = r"\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Zs}\x{2028}\x{2029}"
 SPACE = f"[{_SPACE_SET}]"
-CALL_MARKER = r"(?iU)\[call" + SPACE + r"+\d+\]"
-CUSTOMER_ID_LABEL = r"(?iU)\bcustomer_id(?=" + SPACE + r"+\d)"
+# The two patterns as Python writes them; ``jvm_pattern`` translates them.
+CALL_MARKER = r"(?i)\[call\s+\d+\]"
+CUSTOMER_ID_LABEL = r"(?i)\bcustomer_id(?=\s+\d)"
 
 
 def words_regex(words: list[str]) -> str:
@@ -125,14 +126,14 @@ def jvm_pattern(pattern: str) -> str:
 
 
 def drop_call_markers(text: Column) -> Column:
-    return F.regexp_replace(text, CALL_MARKER, "")
+    return F.regexp_replace(text, jvm_pattern(CALL_MARKER), "")
 
 
 def findings_text(text: Column) -> Column:
     """The prose that redaction rewrites: call markers removed, ends trimmed,
     customer ids labelled ``Customer``."""
     trimmed = strip_ends(drop_call_markers(text))
-    return F.regexp_replace(trimmed, CUSTOMER_ID_LABEL, "Customer")
+    return F.regexp_replace(trimmed, jvm_pattern(CUSTOMER_ID_LABEL), "Customer")
 
 
 def number_tokens(text: Column) -> Column:
