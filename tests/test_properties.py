@@ -110,3 +110,56 @@ def test_findings_text_follows_python_steps(spark, batch):
     df = spark.createDataFrame(list(enumerate(batch)), "id int, text string")
     got = sorted((r.id, r.t) for r in df.select("id", tx.findings_text(F.col("text")).alias("t")).collect())
     assert got == [(i, reference_steps(t)) for i, t in enumerate(batch)]
+
+
+LABEL_PIECES = ["revenue", "rate", "share", "_", " ", " ", "per", "trading", "day", "days", "daily", "/",
+                "orders", "invoice", "units", "quantity", "customers", "buyers", "aov", "£", "%", "pct",
+                "é", "é", "x", "2", "\x1c"]
+labels = st.lists(st.sampled_from(LABEL_PIECES), min_size=0, max_size=8).map("".join)
+
+
+@SETTINGS
+@given(batch=st.lists(labels, min_size=1, max_size=30))
+def test_metric_kind_follows_python_rules(spark, batch):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tillroll.functions import text as tx
+
+    def reference_kind(value):
+        text = str(value or "").lower().replace("_", " ").strip()
+        for kind, rx in tx.METRIC_RULES:
+            if re.search(rx, text):
+                if kind == "money" and re.search(tx.PER_DAY, text):
+                    return "money_per_day"
+                return kind
+        return None
+
+    df = spark.createDataFrame(list(enumerate(batch)), "id int, label string")
+    got = sorted((r.id, r.kind) for r in df.select("id", tx.metric_kind(F.col("label")).alias("kind")).collect())
+    assert got == [(i, reference_kind(t)) for i, t in enumerate(batch)]
+
+
+TRACE_PIECES = ["[call 3]", "[call [unverified]]", "[CALL ٣]", "from_call:", "from_call :", "from run_sql",
+                "from_run_sqlx", "from", " ", "\n", " ", "é", "é", "x", "_", "text", ":"]
+traces = st.lists(st.sampled_from(TRACE_PIECES), min_size=0, max_size=12).map("".join)
+
+
+@SETTINGS
+@given(batch=st.lists(traces, min_size=1, max_size=30))
+def test_strip_trace_follows_python_rules(spark, batch):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tillroll.functions import text as tx
+
+    def reference_display(value):
+        text = re.sub(tx.TRACE_CALL, "", str(value or ""))
+        text = re.sub(tx.TRACE_TAIL, "", text)
+        return text.strip()
+
+    df = spark.createDataFrame(list(enumerate(batch)), "id int, text string")
+    got = sorted((r.id, r.t) for r in df.select("id", tx.strip_trace(F.col("text")).alias("t")).collect())
+    assert got == [(i, reference_display(t)) for i, t in enumerate(batch)]

@@ -85,7 +85,8 @@ def strip_ends(c: Column) -> Column:
 
 def strip_trace(text: Column) -> Column:
     """Remove ``[call n]`` markers and everything from a ``from_call:`` tail."""
-    return strip_ends(F.regexp_replace(F.regexp_replace(text, TRACE_CALL, ""), TRACE_TAIL, ""))
+    no_calls = F.regexp_replace(text, jvm_pattern(TRACE_CALL), "")
+    return strip_ends(F.regexp_replace(no_calls, jvm_pattern(TRACE_TAIL), ""))
 
 
 # Python's ``re`` classes on text, as explicit JVM classes: a word character
@@ -289,9 +290,11 @@ def country_mentions_fn(names: list[str]):
 def metric_kind(label: Column) -> Column:
     """Classify a measure label: percentage, money, money_per_day, days, orders,
     units, customers (NULL when unknown). Labels are lower-cased, '_' -> ' '."""
-    t = F.trim(F.regexp_replace(F.lower(label), "_", " "))
+    t = strip_ends(F.regexp_replace(F.lower(label), "_", " "))
+    per_day = jvm_pattern(PER_DAY)
     out = None
     for kind, rx in METRIC_RULES:
-        value = F.when(t.rlike(PER_DAY), F.lit("money_per_day")).otherwise(F.lit("money")) if kind == "money" else F.lit(kind)
+        value = F.when(t.rlike(per_day), F.lit("money_per_day")).otherwise(F.lit("money")) if kind == "money" else F.lit(kind)
+        rx = jvm_pattern(rx)
         out = F.when(t.rlike(rx), value) if out is None else out.when(t.rlike(rx), value)
     return out
