@@ -152,7 +152,8 @@ def test_route_word_boundaries_follow_python(spark):
     from tillroll.operators import textjobs
 
     qs = ["¿Cuánto costó el envío?", "What is our profit?", "customer  age split", "next\tquarter sales",
-          "Revenue in 2000", "Revenue  in 2000?", "Revenue\u2003in 2000?\u00a0", "\x1cwhat was our revenue in 2000"]
+          "Revenue in 2000", "Revenue  in 2000?", "Revenue\u2003in 2000?\u00a0", "\x1cwhat was our revenue in 2000",
+          "What was our revenue in 20\u0660\u0660?", "Top \u0663 products in 2000"]
     df = spark.createDataFrame(list(enumerate(qs)), "id int, text string")
     got = {r.id: r.route for r in textjobs.route_questions(df, ["id"], "text").collect()}
     assert got == {i: _reference_route(q) for i, q in enumerate(qs)}

@@ -19,8 +19,8 @@ from ..functions.tolerance import near_matched
 # ---- fixed values -------------------------------------------------------------------
 # Re-pointed vocabulary: the latest, partial month of the test data.
 PARTIAL_MONTH_MENTIONS = ("august 2001", "aug 2001", "2001-08")
-YEAR = r"(19|20)[0-9]{2}"
-COUNT = r"([0-9]+|one|two|three|four|five|six|seven|eight|nine|ten)"
+YEAR = r"(19|20)\d{2}"
+COUNT = r"(\d+|one|two|three|four|five|six|seven|eight|nine|ten)"
 MONTH = "(" + "|".join(tx.MONTHS) + ")"
 # Known question templates, the reference's recognised wordings (full match
 # after normalisation; the home-market name is re-pointed).
@@ -113,7 +113,7 @@ def route(text: Column) -> Column:
         partial = F.contains(low, F.lit(m)) if partial is None else partial | F.contains(low, F.lit(m))
     per_day = F.contains(low, F.lit("per trading day")) | F.contains(low, F.lit("per day"))
     known = None
-    for p in KNOWN_PATTERNS:
+    for p in map(tx.jvm_pattern, KNOWN_PATTERNS):
         known = t.rlike(p) if known is None else known | t.rlike(p)
     return (
         F.when(low.rlike(tx.words_regex(tx.MISSING_DATA_WORDS)), "data_gap")

@@ -60,7 +60,8 @@ def _words_sql(words) -> str:
 def _route_sql() -> str:
     t = f"regexp_replace(trim(regexp_replace(lower(text), '{tx.SPACE}+', ' ', 'g')), '[?.]+$', '')"
     partial = " OR ".join(f"contains(l, '{m}')" for m in textjobs.PARTIAL_MONTH_MENTIONS)
-    known = " OR ".join(f"regexp_matches(t, '{p}')" for p in textjobs.KNOWN_PATTERNS)
+    # Python's \d is any decimal digit: \p{Nd} in RE2.
+    known = " OR ".join(f"regexp_matches(t, '{p}')" for p in (k.replace(r"\d", r"\p{Nd}") for k in textjobs.KNOWN_PATTERNS))
     return f"""
 WITH q AS (SELECT conv_id, turn, lower(text) AS l, {t} AS t FROM conversations WHERE role = 'user')
 SELECT conv_id, turn,
