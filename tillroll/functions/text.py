@@ -6,10 +6,13 @@ what needs character offsets or an ordered scan over one text's matches
 (number spans with their date context, requested periods). Spark partitions,
 joins and aggregates around them.
 
-Word boundaries in the routing rules are written as an explicit class of
-letters, digits and ``_`` (``[^\\pL\\pN_]``, what Python's Unicode ``\\b``
-separates) rather than ``\\b``, whose meaning differs between the JVM and
-other SQL engines on text with accented letters.
+The reference's patterns are kept in Python's ``re`` form, which the per-text
+helpers use directly. For the JVM, ``jvm_pattern`` rewrites Python's ``\\w``,
+``\\d``, ``\\s`` and ``\\b`` as explicit Unicode classes, because the JVM's own
+Unicode classes differ from Python's (combining marks, superscripts,
+information separators). Word lists in the routing rules use the same
+letters-digits-underscore edge (``[^\\pL\\pN_]``), which SQL engines read
+alike.
 """
 
 from __future__ import annotations
