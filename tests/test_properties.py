@@ -163,3 +163,16 @@ def test_strip_trace_follows_python_rules(spark, batch):
     df = spark.createDataFrame(list(enumerate(batch)), "id int, text string")
     got = sorted((r.id, r.t) for r in df.select("id", tx.strip_trace(F.col("text")).alias("t")).collect())
     assert got == [(i, reference_display(t)) for i, t in enumerate(batch)]
+
+
+def test_space_set_and_characters_agree_with_python(spark):
+    from pyspark.sql import functions as F
+
+    from tillroll.functions import text as tx
+
+    chars = [chr(c) for c in range(0x3001) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    by_class = {r.c for r in df.filter(F.col("c").rlike("^" + tx.SPACE + "$")).collect()}
+    assert by_class == set(tx.SPACE_CHARS) == {c for c in chars if c.isspace()}
+    got = df.select("c", tx.strip_ends(F.concat(F.col("c"), F.lit("x"), F.col("c"))).alias("s")).collect()
+    assert all(r.s == (r.c + "x" + r.c).strip() for r in got)

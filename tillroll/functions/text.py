@@ -70,6 +70,8 @@ TRACE_TAIL = r"(?is)\b(?:from_call\s*:|from[_ ]run_sql\b).*"
 # and paragraph separators.
 _SPACE_SET = r"\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Zs}\x{2028}\x{2029}"
 SPACE = f"[{_SPACE_SET}]"
+# The same set as characters, for trimming without a regex (none lies above U+3000).
+SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # The two patterns as Python writes them; ``jvm_pattern`` translates them.
 CALL_MARKER = r"(?i)\[call\s+\d+\]"
 CUSTOMER_ID_LABEL = r"(?i)\bcustomer_id(?=\s+\d)"
@@ -82,8 +84,9 @@ def words_regex(words: list[str]) -> str:
 
 
 def strip_ends(c: Column) -> Column:
-    """Python's strip(): leading and trailing whitespace (``SPACE``) removed."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Python's strip(): leading and trailing whitespace (``SPACE_CHARS``)
+    removed by a character-set trim, which scans only the two ends."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def strip_trace(text: Column) -> Column:
@@ -103,6 +106,35 @@ _PY_CLASSES = {"w": (_PY_WORD, f"[{_PY_WORD}]"), "d": (r"\p{Nd}", r"\p{Nd}"),
 _PY_BOUNDARY = f"(?:(?<=[{_PY_WORD}])(?![{_PY_WORD}])|(?<![{_PY_WORD}])(?=[{_PY_WORD}]))"
 
 
+def _word(c: str) -> bool:
+    return bool(c) and (c.isalnum() or c == "_")
+
+
+def _starts_with_word(pattern: str, j: int) -> bool:
+    """Does the pattern at ``j`` always begin with a literal word character:
+    either one, or a ``(?:...)`` group whose top-level alternatives all do?"""
+    if _word(pattern[j:j + 1]):
+        return True
+    if not pattern.startswith("(?:", j):
+        return False
+    depth, k, starts = 0, j + 3, [j + 3]
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 2
+            continue
+        if c == "(":
+            depth += 1
+        elif c == ")":
+            if depth == 0:
+                return all(_word(pattern[s:s + 1]) for s in starts)
+            depth -= 1
+        elif c == "|" and depth == 0:
+            starts.append(k + 1)
+        k += 1
+    return False
+
+
 def jvm_pattern(pattern: str) -> str:
     """A Python ``re`` pattern rewritten so the JVM matches the same text:
     \\w, \\d, \\s and \\b become explicit Unicode classes (inside or outside
@@ -115,7 +147,15 @@ def jvm_pattern(pattern: str) -> str:
             if e in _PY_CLASSES:
                 out.append(_PY_CLASSES[e][0 if in_class else 1])
             elif e == "b" and not in_class:
-                out.append(_PY_BOUNDARY)
+                # Next to a literal word character a boundary only needs the
+                # other side to be a non-word character: one cheap check.
+                prev = pattern[i - 1:i] if i else ""
+                if _starts_with_word(pattern, i + 2):
+                    out.append(f"(?<![{_PY_WORD}])")
+                elif _word(prev) and pattern[i - 2:i - 1] != "\\":
+                    out.append(f"(?![{_PY_WORD}])")
+                else:
+                    out.append(_PY_BOUNDARY)
             else:
                 out.append(c + e)
             i += 2
