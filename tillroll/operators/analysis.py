@@ -1,9 +1,10 @@
 """Exploration analyses: Pareto, order-value distribution, customer cohorts,
 returns, time-of-day profiles, outlier order/cancellation pairs, overlap.
 
-Exact quantiles use ranks from the distributed prefix count in
-``rankings.running_share`` (no single-task percentile buffer), then
-interpolate ``lo + (hi - lo) * frac`` between the two neighbouring ranks.
+Exact quantiles use ranks and the total count from the distributed prefix
+count in ``rankings.running_share`` (no single-task percentile buffer), keep
+the two neighbouring ranks of each position with a filter, then interpolate
+``lo + (hi - lo) * frac``.
 """
 
 from __future__ import annotations
@@ -36,38 +37,38 @@ def pareto_n80(sales: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def exact_quantiles(values: DataFrame, value: str, key: str, qs: list[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles of ``value`` (one row per q).
-
-    Ranks come from a distributed prefix count; only the two rows around
-    each quantile position are kept, then interpolated.
+    """Exact linear-interpolation quantiles of ``value`` (one row per q; no
+    rows for empty input).
+
+    Ranks and the total count come from one distributed prefix count. The
+    0-based position of q is ``q * (n - 1)``; only the rows at ranks
+    floor + 1 and ceil + 1 of each position pass a filter (the q list is known
+    when the plan is built, so no join is needed), and one small aggregate
+    interpolates between them.
     """
-    ranked = rankings.running_share(values, value, key, ascending=True).select(value, "rank")
-    n = values.agg(F.count(F.lit(1)).alias("n"))
-    qdf = values.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
-    # 0-based position q * (n - 1); its neighbours are ranks floor + 1, ceil + 1
-    positions = values.sparkSession.sql(
-        "SELECT q, q * CAST((SELECT n FROM {n}) - 1 AS DOUBLE) AS pos FROM {qdf}", qdf=qdf, n=n
-    )
-    bounds = positions.select(
-        "q",
-        "pos",
-        (F.floor("pos") + 1).cast("bigint").alias("lo_rank"),
-        (F.ceil("pos") + 1).cast("bigint").alias("hi_rank"),
-    )
-    # One pass over the ranking: keep only the (at most 2 per q) needed ranks.
-    wanted = bounds.select(
-        "q", "pos", F.explode(F.array(
-            F.struct(F.lit("lo").alias("side"), F.col("lo_rank").alias("rank")),
-            F.struct(F.lit("hi").alias("side"), F.col("hi_rank").alias("rank")),
-        )).alias("w")
-    ).select("q", "pos", "w.side", "w.rank")
-    picked = ranked.join(F.broadcast(wanted), "rank").select("q", "pos", "side", dbl(value).alias("v"))
-    got = picked.groupBy("q", "pos").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"),
-    )
-    frac = F.col("pos") - F.floor("pos").cast("double")
-    return got.select("q", (F.col("lo") + (F.col("hi") - F.col("lo")) * frac).alias("value"))
+    ranked = rankings.running_share(values, value, key, ascending=True, with_total=True)
+    n1 = (F.col("total_count") - 1).cast("double")
+    pos = [F.lit(float(q)) * n1 for q in qs]
+    lo = [(F.floor(p) + 1).cast("bigint") for p in pos]
+    hi = [(F.ceil(p) + 1).cast("bigint") for p in pos]
+    wanted = None
+    for a, b in zip(lo, hi):
+        cond = (F.col("rank") == a) | (F.col("rank") == b)
+        wanted = cond if wanted is None else wanted | cond
+    picked = ranked.filter(wanted).select("rank", "total_count", dbl(value).alias("v"))
+    parts = picked.agg(
+        F.max("total_count").alias("total_count"),
+        *[F.max(F.when(F.col("rank") == a, F.col("v"))).alias(f"lo{i}") for i, a in enumerate(lo)],
+        *[F.max(F.when(F.col("rank") == b, F.col("v"))).alias(f"hi{i}") for i, b in enumerate(hi)],
+    )
+    rows = [
+        F.struct(
+            F.lit(float(q)).alias("q"),
+            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p - F.floor(p).cast("double"))).alias("value"),
+        )
+        for i, (q, p) in enumerate(zip(qs, pos))
+    ]
+    return parts.filter(F.col("total_count").isNotNull()).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def order_totals(sales: DataFrame) -> DataFrame:

@@ -69,7 +69,8 @@ def first_per_key(df: DataFrame, key: str, value: str, order: list[str]) -> Data
 
 
 def running_share(
-    df: DataFrame, value: str, key: str, partitions: int | None = None, ascending: bool = False
+    df: DataFrame, value: str, key: str, partitions: int | None = None, ascending: bool = False,
+    with_total: bool = False,
 ) -> DataFrame:
     """Running share of ``value`` ordered by value desc (or asc), key asc.
 
@@ -79,7 +80,8 @@ def running_share(
     by its own task), each range's total is computed (one row per range), and
     the offsets of all earlier ranges come from a window over those few rows.
     ``value`` should be exact (DECIMAL/BIGINT) so sums do not depend on the
-    partitioning. The range count is fixed (not coalesced by AQE), so the ids
+    partitioning. ``with_total`` adds ``total_count`` (rows in the whole
+    ranking), taken from the same per-range counts. The range count is fixed (not coalesced by AQE), so the ids
     are stable across the branches that reuse the exchange.
     """
     spark = df.sparkSession
@@ -99,6 +101,7 @@ def running_share(
         F.coalesce(F.sum("_tot").over(before), F.lit(0).cast(totals.schema["_tot"].dataType)).alias("_off"),
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_offn"),
         F.sum("_tot").over(Window.partitionBy()).alias("_grand"),
+        F.sum("_cnt").over(Window.partitionBy()).alias("_n"),
     )
     joined = local.join(F.broadcast(offsets), "_p")
     return joined.select(
@@ -106,4 +109,5 @@ def running_share(
         (F.col("_offn") + F.col("_pos")).cast("bigint").alias("rank"),
         (F.col("_off") + F.col("_local")).alias("cumulative"),
         ratio(F.col("_off") + F.col("_local"), "_grand").alias("cumulative_share"),
+        *([F.col("_n").cast("bigint").alias("total_count")] if with_total else []),
     )
