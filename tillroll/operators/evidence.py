@@ -247,11 +247,19 @@ def claim_label_check(claims: DataFrame) -> DataFrame:
 
 
 def claim_status(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """supported / flagged / unsupported with the first failing reason."""
-    cited = claim_cited_cell(claims, evidence).select("claim_id", "found", "matches")
-    recal = claim_recompute(claims).select("claim_id", "expected")
+    """supported / flagged / unsupported with the first failing reason.
+
+    The cited cell is looked up directly on (call, row, column) (cells are
+    unique per key) and the recomputed value is a per-row expression, so only
+    the inputs-backed flag, an aggregate per claim, is joined back."""
+    cells = evidence.select("call", "row", "column", F.col("value").alias("cell_value"))
     backed = claim_inputs_backed(claims, evidence).select("claim_id", "backed")
-    j = claims.join(cited, "claim_id", "left").join(recal, "claim_id", "left").join(backed, "claim_id", "left")
+    j = (
+        claims.join(cells, ["call", "row", "column"], "left")
+        .join(backed, "claim_id", "left")
+        .withColumns({"matches": near_equal("value", "cell_value"),
+                      "expected": recompute(F.col("calc"), F.col("inputs"))})
+    )
     none = F.col("calc") == "none"
     problem = (
         F.when(none & ~F.coalesce(F.col("matches"), F.lit(False)), "The cited row and column do not contain this value.")
