@@ -9,7 +9,7 @@ import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tillroll.functions.tolerance import near_join, near_matched
+from tillroll.functions.tolerance import near_flagged, near_join, near_matched
 from tillroll.operators import analysis, rankings
 
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
@@ -33,8 +33,9 @@ def test_near_join_is_the_brute_force_pair_set(spark, left, right):
     R = spark.createDataFrame(list(enumerate(right)), "rid int, rv double")
     got = {(r.lid, r.rid) for r in near_join(L, "lv", R, "rv").collect()}
     assert got == {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if _near(a, b)}
-    flags = sorted((r.lid, r.matched) for r in near_matched(L, "lv", R, "rv").collect())
-    assert flags == [(i, any(_near(a, b) for b in right)) for i, a in enumerate(left)]
+    want_flags = [(i, any(_near(a, b) for b in right)) for i, a in enumerate(left)]
+    assert sorted((r.lid, r.matched) for r in near_matched(L, "lv", R, "rv").collect()) == want_flags
+    assert sorted((r.lid, r.matched) for r in near_flagged(L, "lv", R, "rv").collect()) == want_flags
 
 
 money = st.integers(min_value=-500, max_value=5000).map(lambda c: Decimal(c) / 4)

@@ -90,3 +90,19 @@ def near_matched(left: DataFrame, lval: str, right: DataFrame, rval: str,
     lb, rb, cond = _candidates(values, lval, right, rval, keys)
     hits = lb.join(rb, cond, "left_semi").select(*keys, lval).distinct().withColumn(flag, F.lit(True))
     return left.join(hits, [*keys, lval], "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
+def near_flagged(left: DataFrame, lval: str, right: DataFrame, rval: str, flag: str = "matched") -> DataFrame:
+    """``left`` plus ``flag`` (any right value within tolerance) in one pass
+    over ``left``, for a left side that is costly to compute twice (e.g. the
+    output of a per-text helper). Each row is exploded into its three
+    candidate buckets, left-joined to the distinct right values of those
+    buckets under the exact test, and folded back by grouping on all of its
+    columns, so rows of ``left`` must be distinct (give them a key)."""
+    cols = left.columns
+    r = right.select(F.col(rval).alias("_rv")).filter(is_finite("_rv")).distinct().withColumn("_rb", bucket("_rv"))
+    b = bucket(lval)
+    candidates = F.when(is_finite(lval), F.array(b - 1, b, b + 1)).otherwise(F.array(F.lit(None).cast("bigint")))
+    lb = left.withColumn("_lb", F.explode(candidates))
+    j = lb.join(r, (F.col("_lb") == F.col("_rb")) & near_equal(F.col(lval), F.col("_rv")), "left")
+    return j.groupBy(*cols).agg(F.max(F.col("_rv").isNotNull()).alias(flag))
