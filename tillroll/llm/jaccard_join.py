@@ -48,8 +48,8 @@ class Params:
     num: int = 80
     den: int = 100
     orders: int = 3  # random token orders of step 4
-    frequent: int = 8192  # length of the "last" list of the global order
-    local: int = 16  # a token is reported as frequent from this count in a batch
+    frequent: int = 65536  # length of the "last" list of the global order
+    local: int = 8  # a token is reported as frequent from this count in a batch
     block: int = 256  # documents of a block
 
     @property
@@ -62,26 +62,43 @@ def _sets(texts: Iterable[str | None], p: Params) -> Iterator[np.ndarray]:
         yield shingles(words, p.words)
 
 
-def _frequent_tokens(docs: DataFrame, p: Params) -> np.ndarray:
-    """Tokens to put last in the global order (a hint: any order gives the same result)."""
+def _profiles(docs: DataFrame, p: Params) -> DataFrame:
+    """Size and fingerprint of each set; a batch's locally frequent tokens ride on its first row."""
 
-    def count(frames):
+    def run(frames):
         for frame in frames:
-            every = [s for s in _sets(frame["text"], p) if len(s)]
-            if not every:
-                continue
-            tokens = np.concatenate(every)
+            sets = list(_sets(frame["text"], p))
+            made = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets]})
+            with np.errstate(over="ignore"):
+                made["sum_a"] = as_long(np.array([s.sum(dtype=U64) for s in sets], U64))
+                made["sum_b"] = as_long(np.array([mix(s).sum(dtype=U64) for s in sets], U64))
+            tokens = np.concatenate(sets) if sets else np.empty(0, U64)
             slot = (tokens >> U64(44)).astype(np.int64)
             tokens = tokens[np.bincount(slot, minlength=1 << 20)[slot] >= p.local]
             tokens, n = np.unique(tokens, return_counts=True)
             keep = n >= p.local
-            yield pd.DataFrame({"token": as_long(tokens[keep]), "n": n[keep]})
+            made["tokens"] = None
+            made["counts"] = None
+            if len(made) and keep.any():
+                made.at[made.index[0], "tokens"] = as_long(tokens[keep])
+                made.at[made.index[0], "counts"] = n[keep]
+            yield made
+
+    shape = "doc_id long, n_shingles long, sum_a long, sum_b long, tokens array<long>, counts array<long>"
+    return docs.mapInPandas(run, shape)
+
 
+def _frequent_tokens(profiles: DataFrame, p: Params) -> np.ndarray:
+    """Tokens to put last in the global order, the most frequent at the very end.
+
+    Only an order: any order gives the same result, so the fixed length of the
+    list (which bounds what the driver and the tasks hold) drops nothing.
+    """
     rows = (
-        docs.select("text")
-        .mapInPandas(count, "token long, n long")
-        .groupBy("token")
-        .agg(F.sum("n").alias("n"))
+        profiles.where("tokens IS NOT NULL")
+        .select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
+        .groupBy(F.col("x.tokens").alias("token"))
+        .agg(F.sum("x.counts").alias("n"))
         .orderBy(F.desc("n"), "token")
         .limit(p.frequent)
         .collect()
@@ -89,45 +106,33 @@ def _frequent_tokens(docs: DataFrame, p: Params) -> np.ndarray:
     return np.array([r["token"] for r in rows], np.int64).view(U64)
 
 
-def _features(docs: DataFrame, p: Params) -> DataFrame:
-    last = _frequent_tokens(docs, p)
-    rank = np.arange(len(last), 0, -1)  # the most frequent is the very last
+def _features(docs: DataFrame, last: np.ndarray, p: Params) -> DataFrame:
+    """Prefix, first tokens under the random orders, and bitmap of each set."""
+    rank = np.arange(len(last), 0, -1)
     by = np.argsort(last)
     last, rank = last[by], rank[by]
     t = p.threshold
     seeds = [U64(mix(np.array([i + 1], U64))[0]) for i in range(p.orders)]
 
-    def one(s: np.ndarray):
-        n = len(s)
-        if len(last):
-            at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-            hot = last[at] == s
-            tail = s[hot][np.argsort(rank[at[hot]], kind="stable")]
-            ordered = np.concatenate([s[~hot], tail])
-        else:
-            ordered = s
-        prefix = ordered[: n - t.own(n) + 1]
-        keys = [mix(s ^ seed).min() for seed in seeds]
-        with np.errstate(over="ignore"):
-            whole = (s.sum(dtype=U64), mix(s).sum(dtype=U64))
-        return prefix, keys, whole, sigtree.bitmap(s, sigtree.width_of(n))
+    def prefix(s: np.ndarray) -> np.ndarray:
+        size = len(s) - t.own(len(s)) + 1
+        if not len(last):
+            return s[:size]
+        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+        hot = last[at] == s
+        tail = s[hot][np.argsort(rank[at[hot]], kind="stable")]
+        return np.concatenate([s[~hot], tail])[:size]
 
     def run(frames):
         for frame in frames:
             out = []
             for doc, s in zip(frame["doc_id"], _sets(frame["text"], p)):
-                if not len(s) or pd.isna(doc):
-                    out.append((doc, len(s), None, None, None, None, None))
-                    continue
-                prefix, keys, whole, bits = one(s)
-                out.append((doc, len(s), int(whole[0].view(np.int64)), int(whole[1].view(np.int64)), as_long(prefix), as_long(np.array(keys, U64)), bits.tobytes()))
-            made = pd.DataFrame(out, columns=["doc_id", "n_shingles", "sum_a", "sum_b", "prefix", "keys", "bits"])
-            for c in ("doc_id", "sum_a", "sum_b"):
-                made[c] = made[c].astype("Int64")
-            yield made
+                keys = np.array([mix(s ^ seed).min() for seed in seeds], U64)
+                bits = sigtree.bitmap(s, sigtree.width_of(len(s)))
+                out.append((doc, len(s), as_long(prefix(s)), as_long(keys), bits.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "prefix", "keys", "bits"])
 
-    shape = "doc_id long, n_shingles long, sum_a long, sum_b long, prefix array<long>, keys array<long>, bits binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, shape)
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, prefix array<long>, keys array<long>, bits binary")
 
 
 def _bits(frame: pd.DataFrame) -> list[np.ndarray]:
@@ -174,7 +179,7 @@ def _verified_units(rows: DataFrame, p: Params) -> DataFrame:
 
 def _candidates(rows: DataFrame, p: Params) -> DataFrame:
     """Step 5: pairs of different components that the trees leave."""
-    keys = ["token", "lo", "hi"]
+    keys = ["token", "bucket", "lo", "hi"]
     t = p.threshold
 
     def run(frames):
@@ -215,22 +220,30 @@ def _checked(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, p: Params = Params(), label: str = "jaccard") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
-    features = materialise(_features(docs, p), f"{label}-features")
-    sets = features.where("prefix IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    profiles = materialise(_profiles(docs, p), f"{label}-profiles")
+    sets = profiles.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "sum_a", "sum_b")
 
     same = ["n_shingles", "sum_a", "sum_b"]
-    first = sets.groupBy(*same).agg(F.min("doc_id").alias("b"), F.count("*").alias("copies"))
-    copies = sets.select(F.col("doc_id").alias("a"), *same).join(first.where("copies > 1"), same).where("a <> b").select("a", "b").distinct()
+    first = sets.groupBy(*same).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("other")).where("b <> other")
+    copies = sets.join(first, same).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     copies = materialise(copies, f"{label}-copies")
-    chosen = sets.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    chosen = materialise(chosen, f"{label}-chosen")
 
-    tokens = chosen.select("doc_id", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    tokens = materialise(tokens.join(shared.select("token"), "token"), f"{label}-tokens")
-    needed = tokens.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id")
-    texts = materialise(texts.join(chosen.select("doc_id", "n_shingles", "keys", "bits"), "doc_id"), f"{label}-texts")
+    chosen = docs.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    chosen = chosen.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    features = materialise(_features(chosen, _frequent_tokens(profiles, p), p).where("n_shingles > 0"), f"{label}-features")
+
+    # Prefix tokens that two documents of near sizes share.
+    step = float(np.log(p.den / p.num)) * 1.0001  # linked sizes are at most one bucket apart
+    tokens = features.select("doc_id", "n_shingles", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
+    bucket = F.floor(F.log("n_shingles") / F.lit(step)).cast("int")
+    tokens = tokens.join(shared.select("token"), "token").withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).drop("n_shingles")
+    tokens = materialise(tokens, f"{label}-shared")
+    near = tokens.groupBy("token", "bucket").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
+    tokens = materialise(tokens.join(near.select("token", "bucket"), ["token", "bucket"]), f"{label}-tokens")
+    needed = features.join(tokens.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "keys", "bits")
+    texts = materialise(docs.join(needed.dropDuplicates(["doc_id"]), "doc_id"), f"{label}-texts")
 
     firsts = texts.select("doc_id", F.posexplode("keys").alias("slot", "key"))
     groups = firsts.groupBy("slot", "key").agg(F.count("*").alias("members")).where("members > 1")
@@ -240,12 +253,13 @@ def jaccard_classes(docs: DataFrame, p: Params = Params(), label: str = "jaccard
 
     parts = components(links, f"{label}-first").withColumnRenamed("node", "doc_id")
     rest = tokens.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_tokens = rest.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y")
-    rows = blocked(rest.join(open_tokens.select("token", "members"), "token"), "members", p.block, "doc_id")
+    keys = ["token", "bucket"]
+    still = rest.groupBy(*keys).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y")
+    rows = blocked(rest.join(still.select(*keys, "members"), keys), "members", p.block, "doc_id")
     rows = rows.join(texts.select("doc_id", "n_shingles", "keys", "bits"), "doc_id")
     pairs = materialise(_candidates(rows, p), f"{label}-pairs")
     more = _checked(pairs, texts.select("doc_id", "text"), p)
 
     every = components(links.unionByName(more).unionByName(copies), label).withColumnRenamed("node", "doc_id")
     every = every.withColumnRenamed("component", "component_id")
-    return features.select("doc_id", "n_shingles").join(every, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return profiles.select("doc_id", "n_shingles").join(every, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

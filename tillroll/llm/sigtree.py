@@ -47,8 +47,8 @@ class Threshold:
 
 
 def width_of(n: int) -> int:
-    """Bitmap words for a set of n tokens: two bits a token, a power of two."""
-    return max(4, 1 << max(0, (2 * n - 1).bit_length() - 6))
+    """Bitmap words for a set of n tokens: one to two bits a token, a power of two."""
+    return max(4, 1 << max(0, (n - 1).bit_length() - 6))
 
 
 def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -144,6 +144,21 @@ def _below(i, j, k, left_levels, left_n, right_levels, right_n):
     return a[real], b[real]
 
 
+def _one_node(bits, sizes, side, t: Threshold):
+    """The pairs of a tree that is one node: sizes first, then the bitmap bound."""
+    n = sizes.tolist()
+    for i in range(len(n)):
+        for j in range(i + 1, len(n)):
+            if (side is not None and side[i] == side[j]) or not t.sizes(min(n[i], n[j]), max(n[i], n[j])):
+                continue
+            a, b = bits[i], bits[j]
+            while len(a) != len(b):
+                a, b = (fold(a[None])[0], b) if len(a) > len(b) else (a, fold(b[None])[0])
+            spare = min(n[i] - int(count(a)), n[j] - int(count(b)))
+            if int(count(a & b)) + spare >= t.overlap(n[i] + n[j]):
+                yield np.array([i]), np.array([j])
+
+
 def candidate_pairs(bits: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, t: Threshold):
     """Pairs of members that may link, through one tree for each bitmap width.
 
@@ -151,6 +166,9 @@ def candidate_pairs(bits: list[np.ndarray], sizes: np.ndarray, side: np.ndarray
     index arrays; widths differ by the power of two that the sizes allow, and
     the wider bitmaps are folded.
     """
+    if len(bits) <= FANOUT:
+        yield from _one_node(bits, sizes, side, t)
+        return
     widths = np.array([len(b) for b in bits])
     groups = {}
     for w in np.unique(widths):
