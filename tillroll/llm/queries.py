@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
-from .common import table
+from . import jaccard_join, line_dedup, packing
+from .common import table, vocabulary
 
 QUERIES = {}
 ORACLE = {}
@@ -51,3 +51,16 @@ def query(name, sql=None):
 def op9(spark, sf_dir):
     """Documents linked at a Jaccard similarity of 0.85 on 4-word shingles."""
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), jaccard_join.Params(words=4, num=85), "op9")
+
+
+@query("op5_line_dedup", line_dedup.ORACLE)
+def op5(spark, sf_dir):
+    """Texts without the line chunks that occur earlier in the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated_chunks(docs).select("doc_id", "text", "n_lines", "lines_removed", "chunks_removed")
+
+
+@query("op6_packing")
+def op6(spark, sf_dir):
+    """All documents as pieces in sequences of at most 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Params(vocabulary("word_bpe_49k.json")))
