@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, packing
+from . import jaccard_join, language_id, line_dedup, packing, quality
 from .common import table, vocabulary
 
 QUERIES = {}
@@ -64,3 +64,16 @@ def op5(spark, sf_dir):
 def op6(spark, sf_dir):
     """All documents as pieces in sequences of at most 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), packing.Params(vocabulary("word_bpe_49k.json")))
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    """Language of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
+
+
+@query("op3_quality_ranking")
+def op3(spark, sf_dir):
+    """Bradley-Terry quality score of every document."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="op3")
