@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, line_dedup, packing, quality
+from . import jaccard_join, language_id, line_dedup, packing, pii, quality
 from .common import table, vocabulary
 
 QUERIES = {}
@@ -77,3 +77,9 @@ def op10(spark, sf_dir):
 def op3(spark, sf_dir):
     """Bradley-Terry quality score of every document."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="op3")
+
+
+@query("op2_pii")
+def op2(spark, sf_dir):
+    """Spans of personal data in every document."""
+    return pii.report(table(spark, sf_dir, "documents"), label="op2")
