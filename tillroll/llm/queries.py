@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, line_dedup, packing, pii, quality
+from . import fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, sampled_pieces, sharding, vector_dedup
 from .common import table, vocabulary
 
 QUERIES = {}
@@ -83,3 +83,49 @@ def op3(spark, sf_dir):
 def op2(spark, sf_dir):
     """Spans of personal data in every document."""
     return pii.report(table(spark, sf_dir, "documents"), label="op2")
+
+
+@query("op8_lz_fingerprints")
+def op8(spark, sf_dir):
+    """Lempel-Ziv fingerprints of every text, its edit and its successor."""
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
+@query("op7_lpt_sharding")
+def op7(spark, sf_dir):
+    """All documents in 8 shards of near equal bytes, equal texts together."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op1_embedding_dedup",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    ), good AS (
+        SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+    ), links AS (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+    ), reach AS (
+        SELECT vec_id AS x, vec_id AS y FROM v
+        UNION
+        SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+    ), parts AS (
+        SELECT x, min(y) AS component_id FROM reach GROUP BY x
+    ), n AS (
+        SELECT x, count(*) AS n_links FROM links GROUP BY x
+    )
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM v JOIN parts ON parts.x = vec_id LEFT JOIN n ON n.x = vec_id
+    """,
+)
+def op1(spark, sf_dir):
+    """Vectors linked at cosine 0.9, by p-stable hashing."""
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), label="op1")
+
+
+@query("op4_sampled_pieces")
+def op4(spark, sf_dir):
+    """Reproducibly sampled pieces of every text, checked to decode to it."""
+    return sampled_pieces.encode(table(spark, sf_dir, "documents"), sampled_pieces.Params(vocabulary("piece_bpe_32k.model")))
