@@ -35,7 +35,8 @@ class Params:
     sample: int = 8000  # bound of the labelled rows that weights are learned on
     calibration: int = 4000  # bound of the labelled rows that set the temperature
     shards: int = 8
-    epochs: int = 2
+    shard_rows: int = 500  # a shard has at least so many rows (or all)
+    updates: int = 2000  # a shard learns from at least so many rows, over and over
     alpha: float = 0.5
     beta: float = 1.0
     l1: float = 0.02
@@ -94,7 +95,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, p: Params) -> np.ndarray:
-    """Weights after ``epochs`` passes of follow-the-regularised-leader."""
+    """Weights after the passes of follow-the-regularised-leader."""
     z = np.zeros((p.features + 1, classes))
     n = np.zeros_like(z)
 
@@ -102,7 +103,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, p: Params
         shrunk = np.sign(zi) * np.maximum(np.abs(zi) - p.l1, 0)
         return -shrunk / ((p.beta + np.sqrt(ni)) / p.alpha + p.l2)
 
-    for epoch in range(p.epochs):
+    for epoch in range(max(2, -(-p.updates // max(1, len(rows))))):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
             at, x, y = rows[k]
             zi, ni = z[at], n[at]
@@ -156,7 +157,8 @@ def learn(docs: DataFrame, p: Params = Params()) -> Model:
         at, c = np.nonzero(w)
         return pd.DataFrame({"slot": at, "class": c, "w": w[at, c]})
 
-    drawn = rows.where(place < share).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(p.shards)))
+    parts = max(1, min(p.shards, int(share * sum(by_lang.values())) // p.shard_rows))
+    drawn = rows.where(place < share).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     shards = max(1, drawn.select("shard").distinct().count())
     parts = drawn.groupBy("shard").applyInPandas(fit, "slot long, class long, w double").groupBy("slot", "class").agg(F.sum("w").alias("w")).collect()
     weights = np.zeros((size + 1, len(classes)))
