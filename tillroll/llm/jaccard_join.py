@@ -127,6 +127,8 @@ def _features(docs: DataFrame, last: np.ndarray, p: Params) -> DataFrame:
         for frame in frames:
             out = []
             for doc, s in zip(frame["doc_id"], _sets(frame["text"], p)):
+                if not len(s):
+                    continue
                 keys = np.array([mix(s ^ seed).min() for seed in seeds], U64)
                 bits = sigtree.bitmap(s, sigtree.width_of(len(s)))
                 out.append((doc, len(s), as_long(prefix(s)), as_long(keys), bits.tobytes()))
@@ -231,7 +233,7 @@ def jaccard_classes(docs: DataFrame, p: Params = Params(), label: str = "jaccard
 
     chosen = docs.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
     chosen = chosen.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    features = materialise(_features(chosen, _frequent_tokens(profiles, p), p).where("n_shingles > 0"), f"{label}-features")
+    features = materialise(_features(chosen, _frequent_tokens(profiles, p), p), f"{label}-features")
 
     # Prefix tokens that two documents of near sizes share.
     step = float(np.log(p.den / p.num)) * 1.0001  # linked sizes are at most one bucket apart
