@@ -34,7 +34,7 @@ class Params:
     end_id: int = 1
     group_rows: int = 4096
     with_ids: bool = False  # also return the ids of each piece
-    words: int = 400_000  # words that a worker remembers (memory, not results)
+    words: int = 150_000  # words that a worker remembers (memory, not results)
 
 
 _WORKERS: dict[str, "WordIds"] = {}

@@ -40,7 +40,7 @@ class Params:
     model: str  # path of the SentencePiece model
     alpha: float = 1.0  # larger: closer to the pieces of lowest rank
     seed: int = 1
-    remembered: int = 3_000_000  # lattice arcs that a worker keeps (memory, not results)
+    remembered: int = 2_000_000  # lattice arcs that a worker keeps (memory, not results)
 
 
 LONGEST = 64
