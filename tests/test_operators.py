@@ -309,3 +309,52 @@ def test_labels_and_row_numbers_tolerate_text_without_digits(spark):
     assert got == ["18102", "18102", "P558", "1e300"]
     rows = spark.createDataFrame([("NATION_7",), ("United Kingdom",)], "row string")
     assert [r.k for r in rows.select(evidence._row_number(F.col("row")).alias("k")).collect()] == [7, None]
+
+
+def test_sums_keep_small_inputs(spark):
+    df = spark.createDataFrame([("sum", [0.004] * 10, 0.04), ("sum", [0.004] * 100, 0.4), ("mean", [0.004] * 10, 0.004)], "calc string, inputs array<double>, want double")
+    for r in df.select("want", evidence.recompute(F.col("calc"), F.col("inputs")).alias("got")).collect():
+        assert abs(r.got - r.want) < 1e-12
+
+
+def test_result_match_counts_facts_without_a_claim(spark):
+    cells = spark.createDataFrame([(1, "A", "revenue", 10.0), (1, "B", "revenue", 20.0), (2, "C", "revenue", 5.0)], "call int, row string, column string, value double")
+    claims = spark.createDataFrame([(1, 1, "A", "revenue", 10.0, "none"), (2, 1, "A", "revenue", 11.0, "none"), (2, 1, "B", "revenue", 20.0, "none"), (3, 2, "C", "revenue", 5.0, "none")],
+                                   "attempt int, call int, row string, column string, value double, calc string")
+    got = {r.attempt: (r.facts, r.missing, r.all_matched) for r in evidence.result_match_all(claims, cells).collect()}
+    assert got == {1: (2, 1, False), 2: (2, 1, False), 3: (1, 0, True)}
+
+
+def test_running_share_does_not_depend_on_the_plan(spark):
+    df = spark.range(40000).select((F.col("id") * 7919 % 40009).cast("decimal(12,0)").alias("v"), F.col("id").cast("string").alias("k"), F.lit("x").alias("extra"))
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            out = rankings.running_share(df, "v", "k", partitions=7).agg(
+                F.countDistinct("rank").alias("n"), F.max("rank").alias("last"), F.max("cumulative").alias("top"), F.sum("v").alias("total")).first()
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+        assert (out.n, out.last) == (40000, 40000) and out.top == out.total
+
+
+def test_csv_is_read_by_name_and_keeps_line_breaks(spark, tmp_path):
+    path = str(tmp_path / "x.csv")
+    rows = [("a\nb", 1.5), ('say "hi", you', 2.0), (None, None)]
+    files.export_csv(spark.createDataFrame(rows, "name string, v double").select("v", "name"), path)
+    schema = spark.createDataFrame([], "name string, v double").schema
+    got = {(r.name, r.v) for r in files.import_csv_checked(spark, path, schema, ["name", "v"]).collect()}
+    assert got == set(rows)
+    with pytest.raises(Exception):
+        files.export_csv(spark.range(3).select(F.raise_error(F.lit("no")).alias("v")), path)
+    assert files.import_csv_checked(spark, path, schema, ["name"]).count() == 3
+
+
+def test_long_ids_are_not_rounded(spark):
+    df = spark.createDataFrame([(9007199254740993,)], "id long")
+    assert textjobs.id_labels(df, "id", "k").first().label == "9007199254740993"
+
+
+def test_input_that_only_spark_lists_has_no_stamp():
+    from tillroll.sources import warehouse
+
+    assert warehouse._local_fingerprint("/no/such/folder") is None

@@ -39,15 +39,3 @@ def test_dashboard_month_join_is_broadcast(spark, sf_dir):
     df.collect()
     text = plan_text(df)
     assert "BroadcastHashJoin" in text
-
-
-def test_spread_adds_no_shuffle_to_well_split_inputs(spark):
-    from tillroll.sources.tables import spread
-
-    n = spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, numPartitions=n * 2)
-    assert spread(many) is many
-    one = spark.range(0, 1000, 1, numPartitions=1)
-    spread_one = spread(one)
-    assert spread_one.rdd.getNumPartitions() >= n
-    assert "RoundRobinPartitioning" in plan_text(spread_one)

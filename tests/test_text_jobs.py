@@ -29,6 +29,18 @@ def declared(spark, sf_dir):
     return sorted({r.value for r in claims_table(spark, sf_dir).select("value").collect() if r.value is not None})
 
 
+@pytest.fixture(scope="module")
+def supported(spark, sf_dir, duck):
+    """Values of the claims that pass their checks, by the oracle's status."""
+    from tillroll.plans.q_evidence import claims_table
+
+    rows = duck.execute(entry.oracle_sql()["claim_status"]).df()
+    ids = set(rows[rows.status == "supported"].claim_id)
+    every = claims_table(spark, sf_dir).select("claim_id", "value").collect()
+    assert 0 < len(ids) < len(every)
+    return sorted({r.value for r in every if r.claim_id in ids and r.value is not None})
+
+
 def _near(a, b):
     return abs(a - b) <= max(0.011, 1e-6 * max(abs(a), abs(b)))
 
@@ -72,7 +84,7 @@ def test_undeclared_numbers_whole_job(spark, sf_dir, docs, declared):
     assert want and got == want
 
 
-def test_redact_numbers_whole_job(spark, sf_dir, docs, declared):
+def test_redact_numbers_whole_job(spark, sf_dir, docs, supported):
     got = {r.doc_id: r.text for r in QUERIES["text_redact_numbers"](spark, sf_dir).collect()}
     want = {}
     for d, t in docs:
@@ -82,7 +94,7 @@ def test_redact_numbers_whole_job(spark, sf_dir, docs, declared):
         clean = _findings(t)
         out, pos = [], 0
         for s in tx.spans_of(clean):
-            if s["date_context"] or _declared_hit(s["value"], declared):
+            if s["date_context"] or _declared_hit(s["value"], supported):
                 continue
             out.append(clean[pos:s["start"]] + "[unverified]")
             pos = s["end"]

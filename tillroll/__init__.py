@@ -7,7 +7,6 @@ Layout
 ``operators``  cleaning, marts, KPIs, rankings, analyses, checks, run and
                evidence jobs — each a function ``DataFrame -> DataFrame``
 ``plans``      the query catalogue (Spark side) and its DuckDB oracle SQL
-``streaming``  intentionally empty: the reference has no streaming part
 """
 
 __version__ = "0.1.0"

@@ -124,22 +124,20 @@ def claims_from_evidence(evidence: DataFrame) -> DataFrame:
 
 def recompute(calc: Column, inputs: Column) -> Column:
     """Redo the arithmetic of a calculation claim; NULL for an unknown
-    operation, invalid inputs or a non-finite result. Sums are exact (DECIMAL)
-    before the result becomes DOUBLE."""
+    operation, invalid inputs or a non-finite result. Inputs are added as DOUBLE
+    in the order of the array, unrounded."""
     x0, x1 = F.element_at(inputs, 1), F.element_at(inputs, 2)
     two = F.size(inputs) == 2
     nz = two & (x1 != 0)
-    exact_sum = F.aggregate(
-        inputs, F.lit(0).cast("decimal(38,2)"), lambda acc, x: (acc + x.try_cast("decimal(38,2)")).cast("decimal(38,2)")
-    )
+    total = F.aggregate(inputs, F.lit(0.0), lambda acc, x: acc + x)
     some = F.size(inputs) >= 1
     raw = (
         F.when((calc == "pct_change") & nz, (x0 - x1) / x1 * F.lit(100.0))
         .when((calc.isin("difference", "diff")) & two, x0 - x1)
         .when((calc == "ratio") & nz, x0 / x1)
         .when((calc == "share") & nz, x0 / x1 * F.lit(100.0))
-        .when((calc == "sum") & some, dbl(exact_sum))
-        .when((calc == "mean") & some, dbl(exact_sum) / F.size(inputs).cast("double"))
+        .when((calc == "sum") & some, total)
+        .when((calc == "mean") & some, total / F.size(inputs).cast("double"))
     )
     return F.when(is_finite(raw), raw)
 
@@ -311,14 +309,16 @@ def claim_conflicting_total(claims: DataFrame) -> DataFrame:
 
 
 def result_match_all(claims: DataFrame, evidence: DataFrame, column: str = "revenue") -> DataFrame:
-    """Per attempt: every expected fact (evidence cell of ``column``) has a
-    claim on the same cell with a near-equal value."""
+    """Per attempt: every expected fact (evidence cell of ``column``) of the
+    calls that the attempt made has a claim on the same cell with a near-equal
+    value. A fact without any claim counts as missing."""
     facts = evidence.filter(F.col("column") == column).select("call", "row", F.col("value").alias("fact"))
+    asked = claims.select("attempt", "call").distinct().join(facts, "call")
     c = claims.filter((F.col("column") == column) & (F.col("calc") == "none")).select("attempt", "call", "row", "value")
-    j = c.join(facts, ["call", "row"])
-    matched = j.groupBy("attempt").agg(
-        F.count(F.lit(1)).alias("facts"), F.count_if(near_equal("value", "fact")).alias("matched")
+    cells = asked.join(c, ["attempt", "call", "row"], "left").groupBy("attempt", "call", "row").agg(
+        F.coalesce(F.bool_or(near_equal("value", "fact")), F.lit(False)).alias("hit")
     )
+    matched = cells.groupBy("attempt").agg(F.count(F.lit(1)).alias("facts"), F.count_if("hit").alias("matched"))
     return matched.select(
         "attempt", "facts", (F.col("facts") - F.col("matched")).alias("missing"),
         (F.col("facts") == F.col("matched")).alias("all_matched"),
@@ -326,20 +326,21 @@ def result_match_all(claims: DataFrame, evidence: DataFrame, column: str = "reve
 
 
 def best_rows_covered(status: DataFrame, claims: DataFrame, evidence: DataFrame, column: str = "revenue") -> DataFrame:
-    """Per call, the tied winners of ``column`` and whether attempt 2 states
-    each of them with a supported claim."""
+    """Per attempt and call, the tied winners of ``column`` and whether the
+    attempt states each of them with a supported claim."""
     cells = evidence.filter(F.col("column") == column)
     best = cells.groupBy("call").agg(F.max("value").alias("best"))
     winners = cells.join(best, "call").filter(F.col("value") == F.col("best")).select("call", "row")
+    winners = claims.select("attempt", "call").distinct().join(winners, "call")
     ok = (
-        claims.filter((F.col("attempt") == 2) & (F.col("column") == column) & (F.col("calc") == "none"))
+        claims.filter((F.col("column") == column) & (F.col("calc") == "none"))
         .join(status.filter(F.col("status") == "supported").select("claim_id"), "claim_id")
-        .select("call", "row")
+        .select("attempt", "call", "row")
         .distinct()
         .withColumn("covered", F.lit(True))
     )
-    w = winners.join(ok, ["call", "row"], "left")
-    return w.groupBy("call").agg(
+    w = winners.join(ok, ["attempt", "call", "row"], "left")
+    return w.groupBy("attempt", "call").agg(
         F.count(F.lit(1)).alias("winners"),
         F.count_if(F.coalesce(F.col("covered"), F.lit(False))).alias("covered"),
     ).withColumn("all_covered", F.col("winners") == F.col("covered"))

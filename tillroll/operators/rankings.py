@@ -16,10 +16,13 @@ running shares.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import ratio
+from ..session import scratch_path
 
 
 def top_k(df: DataFrame, value: str, key: str, k: int, ascending: bool = False) -> DataFrame:
@@ -81,13 +84,17 @@ def running_share(
     the offsets of all earlier ranges come from a window over those few rows.
     ``value`` should be exact (DECIMAL/BIGINT) so sums do not depend on the
     partitioning. ``with_total`` adds ``total_count`` (rows in the whole
-    ranking), taken from the same per-range counts. The range count is fixed (not coalesced by AQE), so the ids
-    are stable across the branches that reuse the exchange.
+    ranking), taken from the same per-range counts. The tagged rows are written
+    once to the shared folder and both branches read them: range bounds are
+    sampled, so a plan that ranged the rows twice could tag them differently.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.asc(value) if ascending else F.desc(value), F.asc(key)]
-    ranked = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    tagged = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    path = scratch_path(spark, "ranges", uuid.uuid4().hex)
+    tagged.write.parquet(path)
+    ranked = spark.read.schema(tagged.schema).parquet(path)
     within = Window.partitionBy("_p").orderBy(*order)
     local = ranked.select(
         *df.columns, "_p",

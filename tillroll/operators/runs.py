@@ -92,10 +92,10 @@ def run_summary(runs: DataFrame) -> DataFrame:
     return g.withColumn("route", F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col("route"))).drop("_all")
 
 
-def pivot_mean(runs: DataFrame, rows: str, cols: str, values: list[str], metric: str) -> DataFrame:
-    """rows x cols table of the mean of ``metric`` (explicit pivot values, so
-    no extra job to discover them)."""
-    return runs.groupBy(rows).pivot(cols, values).agg(_mean(F.col(metric)))
+def pivot_mean(runs: DataFrame, rows: str, cols: str, metric: str) -> DataFrame:
+    """rows x cols table of the mean of ``metric`` in long form, so that every
+    value of ``cols`` in the data is there and the schema does not depend on it."""
+    return runs.groupBy(rows, cols).agg(_mean(F.col(metric)).alias(metric))
 
 
 def accuracy_by_tier(runs: DataFrame) -> DataFrame:

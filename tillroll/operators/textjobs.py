@@ -159,8 +159,11 @@ def month_labels(months: DataFrame, month: str) -> DataFrame:
 
 def id_labels(ids: DataFrame, col: str, kind: str) -> DataFrame:
     """Integer-looking ids as plain integers ('18102.0' -> '18102')."""
-    v = F.col(col).try_cast("double")
-    as_int = F.when(v == F.floor(v), v.try_cast("bigint").cast("string"))
+    if ids.schema[col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        as_int = F.col(col).cast("string")  # never through DOUBLE, which rounds above 2^53
+    else:
+        v = F.col(col).try_cast("double")
+        as_int = F.when(v == F.floor(v), v.try_cast("bigint").cast("string"))
     label = F.coalesce(as_int, F.col(col).cast("string"))
     return ids.select(
         F.lit(kind).alias("kind"), label.alias("label"),

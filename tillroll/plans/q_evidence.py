@@ -31,9 +31,9 @@ _RECOMPUTE_RAW = """CASE
   WHEN calc = 'ratio' AND len(inputs) = 2 AND inputs[2] <> 0 THEN inputs[1] / inputs[2]
   WHEN calc = 'share' AND len(inputs) = 2 AND inputs[2] <> 0 THEN inputs[1] / inputs[2] * 100.0
   WHEN calc = 'sum' AND len(inputs) >= 1
-    THEN CAST(list_sum(list_transform(inputs, lambda x: TRY_CAST(x AS DECIMAL(38,2)))) AS DOUBLE)
+    THEN list_reduce(inputs, lambda a, b: a + b)
   WHEN calc = 'mean' AND len(inputs) >= 1
-    THEN CAST(list_sum(list_transform(inputs, lambda x: TRY_CAST(x AS DECIMAL(38,2)))) AS DOUBLE) / CAST(len(inputs) AS DOUBLE)
+    THEN list_reduce(inputs, lambda a, b: a + b) / CAST(len(inputs) AS DOUBLE)
 END"""
 # A non-finite result counts as no result.
 RECOMPUTE_SQL = f"CASE WHEN isfinite({_RECOMPUTE_RAW}) THEN {_RECOMPUTE_RAW} END"
@@ -221,12 +221,14 @@ def claim_conflicting_total(spark, sf):
 
 
 @query("result_match_all", f"""
-SELECT c.attempt, COUNT(*) AS facts,
-       COUNT(*) - COUNT(*) FILTER (WHERE {near_sql('c.value', 'e.value')}) AS missing,
-       COUNT(*) = COUNT(*) FILTER (WHERE {near_sql('c.value', 'e.value')}) AS all_matched
-FROM claims c JOIN evidence e ON c.call = e.call AND c."row" = e."row"
-WHERE c."column" = 'revenue' AND c.calc = 'none' AND e."column" = 'revenue'
-GROUP BY c.attempt""", ctes=EVIDENCE_CTES)
+SELECT attempt, COUNT(*) AS facts, COUNT(*) FILTER (WHERE NOT hit) AS missing, bool_and(hit) AS all_matched
+FROM (
+  SELECT asked.attempt, e.call, e."row",
+         EXISTS (SELECT 1 FROM claims c WHERE c.attempt = asked.attempt AND c.call = e.call AND c."row" = e."row"
+                 AND c."column" = 'revenue' AND c.calc = 'none' AND {near_sql('c.value', 'e.value')}) AS hit
+  FROM (SELECT DISTINCT attempt, call FROM claims) asked JOIN evidence e ON e.call = asked.call
+  WHERE e."column" = 'revenue') f
+GROUP BY attempt""", ctes=EVIDENCE_CTES)
 def result_match_all(spark, sf):
     e, c = _tables(spark, sf)
     return ev.result_match_all(c, e)
@@ -234,11 +236,13 @@ def result_match_all(spark, sf):
 
 @query("best_rows_covered", """
 WITH rev_cells AS (SELECT * FROM evidence WHERE "column" = 'revenue'),
-winners AS (SELECT c.call, c."row" FROM rev_cells c WHERE c.value = (SELECT MAX(value) FROM rev_cells x WHERE x.call = c.call)),
-ok AS (SELECT DISTINCT cl.call, cl."row" FROM claims cl JOIN status s ON cl.claim_id = s.claim_id
-       WHERE cl.attempt = 2 AND cl."column" = 'revenue' AND cl.calc = 'none' AND s.status = 'supported')
-SELECT w.call, COUNT(*) AS winners, COUNT(ok.call) AS covered, COUNT(*) = COUNT(ok.call) AS all_covered
-FROM winners w LEFT JOIN ok ON w.call = ok.call AND w."row" = ok."row" GROUP BY w.call""", ctes=EVIDENCE_CTES)
+winners AS (SELECT DISTINCT cl.attempt, c.call, c."row" FROM rev_cells c JOIN claims cl ON cl.call = c.call
+            WHERE c.value = (SELECT MAX(value) FROM rev_cells x WHERE x.call = c.call)),
+ok AS (SELECT DISTINCT cl.attempt, cl.call, cl."row" FROM claims cl JOIN status s ON cl.claim_id = s.claim_id
+       WHERE cl."column" = 'revenue' AND cl.calc = 'none' AND s.status = 'supported')
+SELECT w.attempt, w.call, COUNT(*) AS winners, COUNT(ok.call) AS covered, COUNT(*) = COUNT(ok.call) AS all_covered
+FROM winners w LEFT JOIN ok ON w.attempt = ok.attempt AND w.call = ok.call AND w."row" = ok."row"
+GROUP BY w.attempt, w.call""", ctes=EVIDENCE_CTES)
 def best_rows_covered(spark, sf):
     e, c = _tables(spark, sf)
     return ev.best_rows_covered(ev.claim_status(c, e), c, e)

@@ -9,8 +9,6 @@ from ..operators import analysis, runs
 from ..sources.tables import read_table
 from .catalog import query
 
-TIERS = ["de", "en", "es", "fr"]
-
 RUNS_CTE = """
 runs AS (
   SELECT d.doc_id AS case_id, d.lang AS tier, d.source AS route,
@@ -71,17 +69,17 @@ def run_summary(spark, sf):
 
 
 @query("run_pivot_accuracy", f"""
-SELECT difficulty, {', '.join(_mean(f"CASE WHEN tier = '{t}' THEN correct END") + f' AS {t}' for t in TIERS)}
-FROM runs GROUP BY difficulty""", ctes=RUNS_CTE)
+SELECT difficulty, tier, {_mean('correct')} AS correct
+FROM runs GROUP BY difficulty, tier""", ctes=RUNS_CTE)
 def run_pivot_accuracy(spark, sf):
-    return runs.pivot_mean(_runs(spark, sf), "difficulty", "tier", TIERS, "correct")
+    return runs.pivot_mean(_runs(spark, sf), "difficulty", "tier", "correct")
 
 
 @query("run_pivot_refusals", f"""
-SELECT route, {', '.join(_mean(f"CASE WHEN tier = '{t}' THEN refusal_correct END") + f' AS {t}' for t in TIERS)}
-FROM runs WHERE NOT answerable GROUP BY route""", ctes=RUNS_CTE)
+SELECT route, tier, {_mean('refusal_correct')} AS refusal_correct
+FROM runs WHERE NOT answerable GROUP BY route, tier""", ctes=RUNS_CTE)
 def run_pivot_refusals(spark, sf):
-    return runs.pivot_mean(_runs(spark, sf).filter(~F.col("answerable")), "route", "tier", TIERS, "refusal_correct")
+    return runs.pivot_mean(_runs(spark, sf).filter(~F.col("answerable")), "route", "tier", "refusal_correct")
 
 
 @query("run_accuracy_by_tier", f"""

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import evidence as ev
 from ..operators import textjobs
-from ..sources.tables import read_table, spread
+from ..sources.tables import read_table
 from ..sources.warehouse import warehouse
 from .catalog import query
-from .q_evidence import EVIDENCE_CTES, claims_table
+from .q_evidence import EVIDENCE_CTES, claims_table, evidence_table
 
 
 def _docs(spark, sf):
-    return spread(read_table(spark, sf, "documents", "doc_id", "text"))
+    return read_table(spark, sf, "documents", "doc_id", "text")
 
 
 def _declared(spark, sf):
@@ -21,6 +22,13 @@ def _declared(spark, sf):
     return claims_table(spark, sf).select("value")
 
 
+def _supported(spark, sf):
+    """Values that count as support: those of claims that passed their checks."""
+    claims = claims_table(spark, sf)
+    status = ev.claim_status(claims, evidence_table(spark, sf)).filter(F.col("status") == "supported")
+    return claims.join(status.select("claim_id"), "claim_id", "left_semi").select("value")
+
+
 @query("text_number_tokens")
 def text_number_tokens(spark, sf):
     """Every number in every document, with sign, separators, exponent and scale."""
@@ -34,7 +42,7 @@ def text_undeclared_numbers(spark, sf):
 
 @query("text_redact_numbers")
 def text_redact_numbers(spark, sf):
-    return textjobs.redact_numbers(_docs(spark, sf), "doc_id", "text", _declared(spark, sf), "value")
+    return textjobs.redact_numbers(_docs(spark, sf), "doc_id", "text", _supported(spark, sf), "value")
 
 
 @query("text_strip_trace", rf"""
@@ -63,7 +71,7 @@ def _route_sql() -> str:
     # Python's \d is any decimal digit: \p{Nd} in RE2.
     known = " OR ".join(f"regexp_matches(t, '{p}')" for p in (k.replace(r"\d", r"\p{Nd}") for k in textjobs.KNOWN_PATTERNS))
     return f"""
-WITH q AS (SELECT conv_id, turn, lower(text) AS l, {t} AS t FROM conversations WHERE role = 'user')
+WITH q AS (SELECT conv_id, turn, lower(text) AS l, {t} AS t FROM conversations)
 SELECT conv_id, turn,
   CASE WHEN regexp_matches(l, '{_words_sql(tx.MISSING_DATA_WORDS)}') THEN 'data_gap'
        WHEN regexp_matches(l, '{_words_sql(tx.FORECAST_WORDS)}') THEN 'forecast'
@@ -76,8 +84,8 @@ FROM q"""
 
 @query("text_route_questions", _route_sql())
 def text_route_questions(spark, sf):
-    """Label user turns: data gap, forecast, incomplete month, known pattern, free."""
-    conv = spread(read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role") == "user"))
+    """Label every turn: data gap, forecast, incomplete month, known pattern, free."""
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
     return textjobs.route_questions(conv, ["conv_id", "turn"], "text")
 
 
@@ -104,10 +112,10 @@ def text_metric_kind(spark, sf):
 
 @query("text_country_mentions")
 def text_country_mentions(spark, sf):
-    """Countries named by each claim text and user turn, included or excluded."""
+    """Countries named by each claim text and turn, included or excluded."""
     wh = warehouse(spark, sf)
     claims = claims_table(spark, sf).select(F.col("claim_id").alias("key"), "text")
-    turns = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role") == "user").select(
+    turns = read_table(spark, sf, "conversations", "conv_id", "turn", "text").select(
         F.concat_ws(":", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "text"
     )
     return textjobs.country_mentions(claims.unionByName(turns), "key", "text", wh.dim_customer, "country")

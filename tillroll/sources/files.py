@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,19 +39,36 @@ def new_version() -> str:
     return time.strftime("%Y%m%dT%H%M%S", time.gmtime()) + "-" + uuid.uuid4().hex[:8]
 
 
+#: One dialect both ways: quotes are doubled, and quoted values may hold line breaks.
+_CSV = {"multiLine": "true", "quote": '"', "escape": '"', "quoteAll": "true", "lineSep": "\n"}
+
+
 def export_csv(df: DataFrame, path: str) -> str:
-    """Write with a header. The output committer makes the folder appear whole."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Write with a header beside ``path``, then put it in place: an export that
+    fails leaves the earlier one as it was."""
+    spark = df.sparkSession
+    beside = f"{path}.{uuid.uuid4().hex}"
+    df.write.option("header", True).options(**_CSV).csv(beside)
+    jvm = spark._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    fs = old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"could not put the export in place: {path}")
     return path
 
 
 def import_csv_checked(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> DataFrame:
-    """Read CSV with a declared schema (no inference pass) and require columns."""
-    header = spark.read.option("header", True).csv(path).columns
-    missing = sorted(set(required) - set(header))
+    """Read CSV by column name, whatever the order, and cast to the declared
+    schema; a malformed row or value fails. Columns of the schema that are
+    neither required nor in the file are NULL."""
+    raw = spark.read.option("header", True).options(**_CSV, mode="FAILFAST").csv(path)
+    missing = sorted(set(required) - set(raw.columns))
     if missing:
         raise ValueError(f"{path}: missing required columns {missing}")
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return raw.select(*[
+        (F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
+    ])
 
 
 def export_json(df: DataFrame, path: str) -> str:
@@ -102,8 +120,10 @@ def published_versions(spark: SparkSession, target: str) -> DataFrame:
 def latest_version(spark: SparkSession, target: str) -> str | None:
     try:
         row = published_versions(spark, target).select("version").first()
-    except Exception:  # no log yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # no log yet
+            return None
+        raise
     return row["version"] if row else None
 
 

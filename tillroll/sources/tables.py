@@ -20,16 +20,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Rows round-robined over at least the cluster's parallelism, but only
-    when the scan yields fewer partitions than that (one large file or row
-    group reads as a single task). Heavy per-row work after it, such as the
-    per-text helpers, then runs on every core. On large inputs the scan
-    already has more splits than cores and the frame is returned unchanged,
-    so no shuffle is added."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n)

@@ -173,10 +173,11 @@ def _local_fingerprint(sf_dir: str) -> str | None:
     h = hashlib.sha1(os.path.abspath(root).encode())
     from .tables import TABLES, table_path
 
-    for name in TABLES:
+    seen = [n for n in TABLES if os.path.exists(table_path(root, n))]
+    if not seen:  # a path of the default file system, which only Spark can list
+        return None
+    for name in seen:
         path = table_path(root, name)
-        if not os.path.exists(path):
-            continue
         walk = [(path, [], [""])] if os.path.isfile(path) else os.walk(path)
         for base, _, names in walk:
             for n in sorted(names):
