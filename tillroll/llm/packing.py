@@ -188,7 +188,7 @@ def pack(docs: DataFrame, p: Params) -> DataFrame:
     rows = pieces(docs, p)
     rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
         where, offset = first_fit_decreasing(frame["length"].to_numpy(), p.length)
         frame["sequence_id"] = (int(key[0]) << 32) + where
