@@ -9,8 +9,9 @@ removed from every place but the first (smallest doc_id, then text hash, then
 position). Hashes only nominate chunks: the copies are grouped and joined on
 the chunk's own bytes.
 
-Only candidates carry text through a shuffle; copies of a chunk are combined
-before it, and the joins on (hash, chunk) are plain joins that Spark can split.
+Chunks cross one shuffle, to meet the repeated hashes; the few that do are
+written once. Copies of a chunk are combined before they are grouped, and the
+joins on (hash, chunk) are plain joins that Spark can split.
 
 Defined results: a null text stays null with 0 lines; an empty text has one
 empty line; rows with equal doc_id and text are one document (equal results);
@@ -25,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 
 @dataclass(frozen=True)
 class Params:
@@ -64,13 +67,13 @@ def _chunks(rows: DataFrame, p: Params) -> DataFrame:
     return cut.select("d", "t", F.col("s.first").alias("first"), F.col("s.last").alias("last"), chunk.alias("chunk"))
 
 
-def remove_repeated_chunks(docs: DataFrame, p: Params = Params()) -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, p: Params = Params(), label: str = "lines") -> DataFrame:
     """``docs`` with text cleaned, plus n_lines, lines_removed and chunks_removed."""
     chunks = _chunks(_lines(docs, p), p).withColumn("h", F.xxhash64("chunk"))
     place = F.struct("d", "t", "first")
     # Equal rows are one document, so a chunk counts once for each place.
     repeated = chunks.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h")
-    copies = chunks.join(repeated, "h")
+    copies = materialise(chunks.join(repeated, "h"), label)
     keeper = copies.groupBy("h", "chunk").agg(F.min(place).alias("keep"))
     gone = copies.join(keeper, ["h", "chunk"]).where(place != F.col("keep"))
     cuts = gone.groupBy("d", "t").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
