@@ -348,3 +348,14 @@ def test_pipeline_edges(spark, docs, empty, nulls, tmp_path):
                 assert now.columns == part.columns
             now = now.cache()
             now.count()
+
+
+def test_word_ids_equal_direct_encoding():
+    """With so few words held that most are forgotten and learned again."""
+    texts = ["The cat, the CAT... it's I'm don't", "", " a\x1cb  c", "<|startoftext|> x<|endoftext|>y", "Straße ÀÉ ÿ× 12a3 a_b ~z~ !!"]
+    texts += [" ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{'!' * (k % 3)}" for k in range(40)) for i in range(60)]
+    encode = packing.WordIds(vocabulary("word_bpe_49k.json"), 64)
+    want = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for _ in range(2):
+        assert [x for t in texts for x in encode([t])[0].tolist()] == [x for e in want for x in e.ids]
+    assert [x.tolist() for x in encode(texts)] == [e.ids for e in want]

@@ -17,6 +17,7 @@ ignored; repeated rows are packed like any other (a piece for each row).
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ class Params:
     end_id: int = 1
     group_rows: int = 4096
     with_ids: bool = False  # also return the ids of each piece
-    words: int = 150_000  # words that a worker remembers (memory, not results)
+    words: int = 250_000  # words that a worker remembers (memory, not results)
 
 
 _WORKERS: dict[str, "WordIds"] = {}
@@ -44,65 +45,97 @@ class WordIds:
     """Ids of a text by its white-space words, remembered for the life of the worker.
 
     The tokenizer lower-cases, drops white space and never joins characters
-    across it, so the ids of a text are the ids of its words in order. Words
-    that hold anything but letters of the Latin-1 range are given to it as they
-    are; for the others the same holds of a word and one final stop or comma.
+    across it, so the ids of a text are the ids of its words in order. A word of
+    Latin-1 letters, then ASCII signs other than the apostrophe, is two parts
+    whose ids follow each other; such parts need none of the tokenizer's
+    normalising and splitting. Any other word is one part, given to it as it is.
+    When too many words are held, the half that was used least goes.
     """
 
-    SIMPLE = re.compile(r"([A-Za-zà-öø-ÿÀ-ÖØ-Þ]+)([.,]?)")
+    SIMPLE = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]*)([!-&(-/:-@\[-`{-~]*)")
+    #: Python's split() cuts at these four; for the tokenizer they are no white space.
+    SEPARATORS = re.compile(r"[\x1c-\x1f]")
+    WORD = re.compile(r"[\S\x1c-\x1f]+")
+    #: Parts encoded in one call, with a space between them.
+    JOINED = 200
 
     def __init__(self, path: str, limit: int) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        # A task has one core: the tokenizer's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.stems: dict[str, np.ndarray] = {}
-        self.starts = np.zeros(1, np.int64)
+        self.known: dict[str, int] = {}  # word -> row of parts and uses
+        self.parts = np.zeros((0, 2), np.int32)
+        self.uses = np.zeros(0, np.int64)
+        self.codes = {"": 0}  # part -> place in starts; the ids of all parts are in flat
+        self.starts = np.zeros(2, np.int64)
         self.flat = np.empty(0, np.uint32)
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _add(self, parts: list[str], ids: list[np.ndarray], lens: np.ndarray) -> None:
+        at = len(self.codes)
+        self.codes.update(zip(parts, range(at, at + len(parts))))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
+        self.flat = np.concatenate([self.flat, *ids])
 
     def learn(self, words: list[str]) -> None:
-        parts = [self.SIMPLE.fullmatch(w) for w in words]
-        need = {m[1].lower() for m in parts if m} | {m[2] for m in parts if m and m[2]}
-        fresh = [s for s in need if s not in self.stems]
-        self.stems.update(zip(fresh, self._encode(fresh)))
-        odd = iter(self._encode([w for w, m in zip(words, parts) if not m]))
-        new = []
-        for m in parts:
-            if not m:
-                new.append(next(odd))
-            elif m[2]:
-                new.append(np.concatenate([self.stems[m[1].lower()], self.stems[m[2]]]))
-            else:
-                new.append(self.stems[m[1].lower()])
+        matches = [self.SIMPLE.fullmatch(w) for w in words]
+        pairs = [(m[1].lower(), m[2]) if m else (w, "") for w, m in zip(words, matches)]
+        odd = [w for w, m in zip(words, matches) if not m and w not in self.codes]
+        simple = list({x for m, pair in zip(matches, pairs) if m for x in pair}.difference(self.codes))
+        if simple:
+            runs = [simple[k : k + self.JOINED] for k in range(0, len(simple), self.JOINED)]
+            found = [self.plain.encode(" ".join(run), add_special_tokens=False) for run in runs]
+            lens = [np.bincount(e.word_ids, minlength=len(run)) for e, run in zip(found, runs)]
+            self._add(simple, [np.array(e.ids, np.uint32) for e in found], np.concatenate(lens))
+        if odd:
+            ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            self._add(odd, ids, np.array([len(x) for x in ids], np.int64))
         at = len(self.known)
         self.known.update(zip(words, range(at, at + len(words))))
-        lens = np.array([len(x) for x in new], np.int64)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
-        self.flat = np.concatenate([self.flat, *new]) if new else self.flat
+        places = np.fromiter((self.codes[x] for pair in pairs for x in pair), np.int32, 2 * len(pairs))
+        self.parts = np.concatenate([self.parts, places.reshape(-1, 2)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts one after the other, and where each part ends."""
+        lens = self.starts[places + 1] - self.starts[places]
+        ends = np.cumsum(lens)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.starts[places] - (ends - lens), lens)], ends
+
+    def forget(self) -> None:
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        words, names = list(self.known), list(self.codes)
+        self.known = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.uses = self.uses[keep] // 2
+        used, places = np.unique(np.append(self.parts[keep].ravel(), np.int32(0)), return_inverse=True)
+        self.parts = places[:-1].reshape(-1, 2).astype(np.int32)
+        self.codes = {names[c]: k for k, c in enumerate(used.tolist())}
+        flat, ends = self._gather(used)
+        self.flat, self.starts = flat, np.append(0, ends)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
+        split = [self.WORD.findall(t) if self.SEPARATORS.search(t) else t.split() for t in texts]
         words = [w for s in split for w in s]
-        fresh = list({w for w in words if w not in self.known})
-        if len(self.known) + len(fresh) > self.limit:
-            self.clear()
-            fresh = list(set(words))
+        here = set(words)
+        fresh = here.difference(self.known)
+        if self.known and len(self.known) + len(fresh) > self.limit:
+            self.forget()
+            fresh = here.difference(self.known)
         if fresh:
-            self.learn(fresh)
-        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        lens = self.starts[codes + 1] - self.starts[codes]
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        place = np.arange(ends[-1]) + np.repeat(self.starts[codes] - ends[:-1], lens)
-        ids = self.flat[place]
-        cuts = ends[np.cumsum([len(s) for s in split])] if split else []
-        return np.split(ids, cuts[:-1]) if len(texts) else []
+            self.learn(list(fresh))
+        rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses += np.bincount(rows, minlength=len(self.uses))
+        ids, ends = self._gather(self.parts[rows].ravel())
+        cuts = np.append(0, ends)[2 * np.cumsum([len(s) for s in split])]
+        return np.split(ids, cuts[:-1])
 
 
 def word_ids(p: Params) -> WordIds:
