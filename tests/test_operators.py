@@ -358,3 +358,27 @@ def test_input_that_only_spark_lists_has_no_stamp():
     from tillroll.sources import warehouse
 
     assert warehouse._local_fingerprint("/no/such/folder") is None
+
+
+def test_modal_label_ties_and_nulls(spark):
+    rows = [("a", "x", 1), ("a", "y", 2), ("a", None, 4), ("a", None, 8), ("b", None, 3), ("c", "z", None), ("c", "w", 1), ("c", "z", 2)]
+    df = spark.createDataFrame(rows, "k string, label string, v bigint")
+    got = rankings.totals_with_modal_label(df, "k", "label", {"v": F.col("v")})
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "x", 15), ("b", None, 3), ("c", "z", 3)]
+
+
+def test_each_order_has_its_nearest_cancellation(spark):
+    rows = [
+        ("o1", "p", 5, "2000-01-01 10:00:00", False),
+        ("o2", "p", 5, "2000-01-28 10:00:00", False),
+        ("o3", "p", 5, "2000-03-30 10:00:00", False),  # its cancellation is too late
+        ("c1", "p", -5, "2000-01-01 10:00:00", True),  # at the same time
+        ("c2", "p", -5, "2000-02-02 10:00:00", True),  # in the next bucket
+        ("c0", "p", -5, "2000-02-02 10:00:00", True),
+        ("c4", "p", -5, "2000-04-29 10:00:01", True),
+        ("c5", "q", -5, "2000-01-02 10:00:00", True),
+    ]
+    df = spark.createDataFrame(rows, "invoice_no string, stock_code string, quantity bigint, ts string, is_cancellation boolean")
+    df = df.withColumn("invoice_ts", F.to_timestamp_ntz("ts")).withColumn("invoice_date", F.to_date("ts"))
+    got = analysis.outlier_cancel_pairs(df, 30).select("order_invoice", "cancel_invoice").collect()
+    assert sorted(map(tuple, got)) == [("o1", "c1"), ("o2", "c0")]

@@ -9,7 +9,7 @@ the two neighbouring ranks of each position with a filter, then interpolate
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
@@ -41,34 +41,33 @@ def exact_quantiles(values: DataFrame, value: str, key: str, qs: list[float]) ->
     rows for empty input).
 
     Ranks and the total count come from one distributed prefix count. The
-    0-based position of q is ``q * (n - 1)``; only the rows at ranks
-    floor + 1 and ceil + 1 of each position pass a filter (the q list is known
-    when the plan is built, so no join is needed), and one small aggregate
-    interpolates between them.
+    0-based position of q is ``q * (n - 1)``; one aggregate takes the values at
+    ranks floor + 1 and ceil + 1 of each position (the q list is known when the
+    plan is built, so no join is needed) and interpolates between them.
     """
+    parts, found = _with_quantiles(values, value, key, qs, [])
+    rows = [F.struct(F.lit(float(q)).alias("q"), v.alias("value")) for q, v in zip(qs, found)]
+    return parts.filter(F.col("total_count").isNotNull()).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _with_quantiles(
+    values: DataFrame, value: str, key: str, qs: list[float], others: list[Column]
+) -> tuple[DataFrame, list[Column]]:
+    """One row of ``others`` (aggregates over the same rows) and the parts of the
+    quantiles, and a column for each quantile (NULL without rows)."""
     ranked = rankings.running_share(values, value, key, ascending=True, with_total=True)
-    n1 = (F.col("total_count") - 1).cast("double")
-    pos = [F.lit(float(q)) * n1 for q in qs]
-    lo = [(F.floor(p) + 1).cast("bigint") for p in pos]
-    hi = [(F.ceil(p) + 1).cast("bigint") for p in pos]
-    wanted = None
-    for a, b in zip(lo, hi):
-        cond = (F.col("rank") == a) | (F.col("rank") == b)
-        wanted = cond if wanted is None else wanted | cond
-    picked = ranked.filter(wanted).select("rank", "total_count", dbl(value).alias("v"))
-    parts = picked.agg(
+    pos = [F.lit(float(q)) * (F.col("total_count") - 1).cast("double") for q in qs]
+    at = [F.col("rank") == (f(p) + 1).cast("bigint") for p in pos for f in (F.floor, F.ceil)]
+    row = ranked.agg(
         F.max("total_count").alias("total_count"),
-        *[F.max(F.when(F.col("rank") == a, F.col("v"))).alias(f"lo{i}") for i, a in enumerate(lo)],
-        *[F.max(F.when(F.col("rank") == b, F.col("v"))).alias(f"hi{i}") for i, b in enumerate(hi)],
+        *[F.max(F.when(here, dbl(value))).alias(f"_q{i}") for i, here in enumerate(at)],
+        *others,
     )
-    rows = [
-        F.struct(
-            F.lit(float(q)).alias("q"),
-            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p - F.floor(p).cast("double"))).alias("value"),
-        )
-        for i, (q, p) in enumerate(zip(qs, pos))
+    found = [
+        F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * (p - F.floor(p).cast("double"))
+        for i, p in enumerate(pos)
     ]
-    return parts.filter(F.col("total_count").isNotNull()).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return row, found
 
 
 def order_totals(sales: DataFrame) -> DataFrame:
@@ -84,32 +83,25 @@ def describe(values: DataFrame, value: str, key: str) -> DataFrame:
     the order tasks finish in.
     """
     x = F.col(value)
-    stats = values.agg(
+    stats = [
         F.count(x).alias("count"),
         F.sum(x).alias("sx"),
         F.sum(x * x).alias("sxx"),
         dbl(F.min(x)).alias("min"),
         dbl(F.max(x)).alias("max"),
-    )
+    ]
+    row, (p25, p50, p75) = _with_quantiles(values, value, key, [0.25, 0.5, 0.75], stats)
     num = F.col("count") * F.col("sxx") - F.col("sx") * F.col("sx")
     den = (F.col("count") * (F.col("count") - 1)).cast("double")
-    base = stats.select(
+    return row.select(
         "count",
         ratio("sx", "count").alias("mean"),
         F.sqrt(dbl(num) / F.nullif(den, F.lit(0.0))).alias("std"),
         "min",
         "max",
-    )
-    q = exact_quantiles(values, value, key, [0.25, 0.5, 0.75])
-    wide = q.agg(
-        F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("p25"),
-        F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("p50"),
-        F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("p75"),
-    )
-    return values.sparkSession.sql(
-        "SELECT a.*, (SELECT p25 FROM {b}) AS p25, (SELECT p50 FROM {b}) AS p50, (SELECT p75 FROM {b}) AS p75 FROM {a} a",
-        a=base,
-        b=wide,
+        p25.alias("p25"),
+        p50.alias("p50"),
+        p75.alias("p75"),
     )
 
 
@@ -124,12 +116,14 @@ def known_positive(sales: DataFrame) -> DataFrame:
 
 def orders_per_customer_stats(sales: DataFrame) -> DataFrame:
     per = known_positive(sales).groupBy("customer_id").agg(F.countDistinct("invoice_no").alias("orders"))
-    counts = per.agg(
+    counts = [
         F.count(F.lit(1)).alias("customers"),
         F.count_if(F.col("orders") == 1).alias("one_order_customers"),
-    ).withColumn("one_order_pct", pct("one_order_customers", "customers"))
-    med = exact_quantiles(per, "orders", "customer_id", [0.5]).select(F.col("value").alias("median_orders"))
-    return sales.sparkSession.sql("SELECT a.*, (SELECT median_orders FROM {b}) AS median_orders FROM {a} a", a=counts, b=med)
+    ]
+    row, (median,) = _with_quantiles(per, "orders", "customer_id", [0.5], counts)
+    return row.select(
+        "customers", "one_order_customers", pct("one_order_customers", "customers").alias("one_order_pct"), median.alias("median_orders")
+    )
 
 
 def new_customers_by_month(sales: DataFrame) -> DataFrame:
@@ -158,7 +152,9 @@ def returns_by_product(sales: DataFrame, year: int, n: int = 5) -> DataFrame:
     ret = sales.filter((F.col("quantity") < 0) & calendar.year_months(year) & (F.year("invoice_date") == year))
     per = ret.groupBy("stock_code").agg((-F.sum("revenue")).alias("returned"))
     top = rankings.top_k(per, "returned", "stock_code", n)
-    names = rankings.first_per_key(sales, "stock_code", "description", ["invoice_ts", "invoice_no"])
+    # ``n`` rows by construction, so their codes are broadcast and only their lines are named.
+    lines = sales.join(F.broadcast(top.select("stock_code")), "stock_code", "left_semi")
+    names = rankings.first_per_key(lines, "stock_code", "description", ["invoice_ts", "invoice_no"])
     total = ret.agg((-F.sum("revenue")).alias("total"))
     return sales.sparkSession.sql(
         """
@@ -197,41 +193,43 @@ def rows_for_lookup_label(sales: DataFrame, stock_code: str) -> DataFrame:
 
 
 def outlier_cancel_pairs(sales: DataFrame, window_days: int) -> DataFrame:
-    """Orders matched to a cancellation of the same code and the opposite
-    quantity placed at most ``window_days`` later.
-
-    The time condition is made an equi-join: cancellations are keyed by their
-    ``window_days`` bucket and matched to orders in the same or the previous
-    bucket, then the exact window test runs on those candidates only. A hot
-    (code, quantity) key therefore only pairs lines that are close in time.
+    """Each order line with its cancellation: the nearest one of the same code
+    and the opposite quantity at or after it, at most ``window_days`` later (the
+    smallest cancellation number on ties).
+
+    Orders and cancellations are stacked, a cancellation in its ``window_days``
+    bucket and in the one before, so an order meets every cancellation of its
+    window in its own bucket. A running minimum from late to early gives the
+    nearest one: at most one row an order line, however popular the code is.
     """
     day = F.datediff(F.col("invoice_date"), F.lit("1970-01-01").cast("date"))
-    orders = sales.filter(~F.col("is_cancellation") & (F.col("quantity") > 0)).select(
-        F.col("invoice_no").alias("order_invoice"),
-        "stock_code",
-        F.col("quantity").alias("qty"),
-        F.col("invoice_ts").alias("order_ts"),
-        F.floor(day / window_days).alias("bucket"),
-    )
-    cancels = sales.filter(F.col("is_cancellation") & (F.col("quantity") < 0)).select(
-        F.col("invoice_no").alias("cancel_invoice"),
+    bucket = F.floor(day / window_days)
+    cancel = F.col("is_cancellation") & (F.col("quantity") < 0)
+    order = ~F.col("is_cancellation") & (F.col("quantity") > 0)
+    lines = sales.filter(cancel | order).select(
+        "invoice_no",
         "stock_code",
-        (-F.col("quantity")).alias("qty"),
-        F.col("invoice_ts").alias("cancel_ts"),
-        F.explode(F.array(F.floor(day / window_days), F.floor(day / window_days) - 1)).alias("bucket"),
+        F.abs("quantity").alias("qty"),
+        "invoice_ts",
+        cancel.alias("_cancel"),
+        F.explode(F.when(cancel, F.array(bucket, bucket - 1)).otherwise(F.array(bucket))).alias("bucket"),
     )
-    pairs = orders.join(cancels, ["stock_code", "qty", "bucket"])
-    within = (F.col("cancel_ts") >= F.col("order_ts")) & (
-        F.col("cancel_ts") <= F.col("order_ts") + F.expr(f"INTERVAL {int(window_days)} DAYS")
+    later = (
+        Window.partitionBy("stock_code", "qty", "bucket")
+        .orderBy(F.desc("invoice_ts"))
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return pairs.filter(within).select(
-        "order_invoice",
-        "cancel_invoice",
+    found = F.when(F.col("_cancel"), F.struct(F.col("invoice_ts").alias("ts"), F.col("invoice_no").alias("no")))
+    nearest = lines.withColumn("_next", F.min(found).over(later)).filter(~F.col("_cancel"))
+    within = F.col("_next.ts") <= F.col("invoice_ts") + F.expr(f"INTERVAL {int(window_days)} DAYS")
+    return nearest.filter(within).select(
+        F.col("invoice_no").alias("order_invoice"),
+        F.col("_next.no").alias("cancel_invoice"),
         "stock_code",
         F.col("qty").alias("quantity"),
-        "order_ts",
-        "cancel_ts",
-        F.datediff(F.to_date("cancel_ts"), F.to_date("order_ts")).cast("bigint").alias("days_apart"),
+        F.col("invoice_ts").alias("order_ts"),
+        F.col("_next.ts").alias("cancel_ts"),
+        F.datediff(F.to_date("_next.ts"), F.to_date("invoice_ts")).cast("bigint").alias("days_apart"),
     )
 
 

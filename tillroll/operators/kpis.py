@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..functions.money import dbl, pct, pct_change, ratio, sum_if
+from .rankings import totals_with_modal_label
 
 def not_cancelled() -> Column:
     return ~F.col("is_cancellation")
@@ -164,12 +165,8 @@ def kpi_revenue_by_country(sales: DataFrame, year: int) -> DataFrame:
 
 def product_revenue(sales: DataFrame) -> DataFrame:
     """KPI 8 population grouped by code only, named by the modal description."""
-    return (
-        completed(sales)
-        .filter(real_product())
-        .groupBy("stock_code")
-        .agg(F.mode("description", True).alias("description"), F.sum("revenue").alias("revenue"))
-    )
+    pop = completed(sales).filter(real_product())
+    return totals_with_modal_label(pop, "stock_code", "description", {"revenue": F.col("revenue")})
 
 
 def kpi_revenue_by_product(sales: DataFrame, year: int) -> DataFrame:

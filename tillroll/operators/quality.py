@@ -166,11 +166,11 @@ def bounded_result(df: DataFrame, cap: int) -> DataFrame:
     """Fetch at most ``cap + 1`` rows; more than ``cap`` is an error.
 
     Only ``cap + 1`` rows ever reach the driver (a limit, not a collect of
-    the whole result)."""
-    probe = df.limit(cap + 1)
-    if probe.count() > cap:
+    the whole result), and the result is computed once."""
+    rows = df.limit(cap + 1).collect()
+    if len(rows) > cap:
         raise ResultTooLarge(f"result has more than {cap} rows")
-    return probe
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def top_n_short_result(top: DataFrame, population: DataFrame, key: str, asked: int) -> DataFrame:

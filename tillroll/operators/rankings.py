@@ -62,6 +62,15 @@ def latest_per_group(df: DataFrame, group: str, order: list[str], value_cols: li
                       *[F.col(f"_m._v_{c}").alias(c) for c in value_cols])
 
 
+def totals_with_modal_label(df: DataFrame, key: str, label: str, sums: dict[str, Column]) -> DataFrame:
+    """Per ``key``: its most frequent non-NULL ``label`` (the smallest on ties)
+    and the sums. Rows are first counted per (key, label), combined before the
+    shuffle, so no task holds a map of labels."""
+    per = df.groupBy(key, label).agg(F.count(label).alias("_n"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    named = F.when(F.col(label).isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col(label).alias("v")))
+    return per.groupBy(key).agg(F.min(named)["v"].alias(label), *[F.sum(n).alias(n) for n in sums])
+
+
 def first_per_key(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """First non-NULL ``value`` per ``key`` in an explicit ``order``."""
     return (

@@ -133,12 +133,14 @@ def rows_for_lookup_label(spark, sf):
 
 
 @query("outlier_cancel_pairs", f"""
+WITH o AS (SELECT *, row_number() OVER () AS line FROM sales WHERE NOT is_cancellation AND quantity > 0)
 SELECT o.invoice_no AS order_invoice, c.invoice_no AS cancel_invoice, o.stock_code, o.quantity,
        o.invoice_ts AS order_ts, c.invoice_ts AS cancel_ts,
        CAST(date_diff('day', CAST(o.invoice_ts AS DATE), CAST(c.invoice_ts AS DATE)) AS BIGINT) AS days_apart
-FROM sales o JOIN sales c ON o.stock_code = c.stock_code AND c.quantity = -o.quantity
-WHERE NOT o.is_cancellation AND o.quantity > 0 AND c.is_cancellation AND c.quantity < 0
-  AND c.invoice_ts >= o.invoice_ts AND c.invoice_ts <= o.invoice_ts + INTERVAL {P.PAIR_WINDOW_DAYS} DAY""")
+FROM o JOIN sales c ON o.stock_code = c.stock_code AND c.quantity = -o.quantity
+WHERE c.is_cancellation AND c.quantity < 0
+  AND c.invoice_ts >= o.invoice_ts AND c.invoice_ts <= o.invoice_ts + INTERVAL {P.PAIR_WINDOW_DAYS} DAY
+QUALIFY row_number() OVER (PARTITION BY o.line ORDER BY c.invoice_ts, c.invoice_no) = 1""")
 def outlier_cancel_pairs(spark, sf):
     return analysis.outlier_cancel_pairs(warehouse(spark, sf).sales, P.PAIR_WINDOW_DAYS)
 

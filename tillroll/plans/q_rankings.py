@@ -48,9 +48,7 @@ WHERE NOT s.is_cancellation AND s.is_product AND NOT s.is_outlier AND s.quantity
 GROUP BY s.stock_code ORDER BY units DESC, s.stock_code LIMIT {N}""", ctes=_name_cte(UNITS_POP))
 def top_products_units(spark, sf):
     s = kpis.completed(kpis.in_year(warehouse(spark, sf).sales, Y)).filter(kpis.real_product() & (F.col("quantity") > 0))
-    per = s.groupBy("stock_code").agg(
-        F.mode("description", True).alias("description"), F.sum("quantity").cast("bigint").alias("units")
-    )
+    per = rankings.totals_with_modal_label(s, "stock_code", "description", {"units": F.col("quantity").cast("bigint")})
     return rankings.top_k(per, "units", "stock_code", N)
 
 
@@ -121,11 +119,8 @@ GROUP BY s.stock_code ORDER BY SUM(s.revenue) DESC, s.stock_code LIMIT {N}""", c
 def top_products_filtered(spark, sf):
     wh = warehouse(spark, sf)
     f = kpis.completed(kpis.dashboard_filter(wh.sales, wh.dim_month, year=Y, market=P.COUNTRY_A)).filter(kpis.real_product())
-    per = f.groupBy("stock_code").agg(
-        F.mode("description", True).alias("description"),
-        F.sum("revenue").alias("revenue"),
-        F.sum(F.when(F.col("quantity") > 0, F.col("quantity"))).cast("bigint").alias("units"),
-    )
+    units = F.when(F.col("quantity") > 0, F.col("quantity").cast("bigint"))
+    per = rankings.totals_with_modal_label(f, "stock_code", "description", {"revenue": F.col("revenue"), "units": units})
     return rankings.top_k(per, "revenue", "stock_code", N).select(
         "stock_code", "description", dbl("revenue").alias("revenue"), "units"
     )

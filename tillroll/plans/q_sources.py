@@ -9,7 +9,7 @@ from ..functions.money import dbl
 from ..operators import clean, kpis, marts, quality, rankings
 from ..session import scratch_path
 from ..sources import files
-from ..sources.invoices import raw_lines, sheet, sheets
+from ..sources.invoices import sheets
 from ..sources.tables import read_table
 from ..sources.warehouse import TABLE_NAMES, warehouse
 from . import params as P
@@ -43,8 +43,8 @@ def scan_union_sheets(spark, sf):
 @query("set_union_all", "SELECT invoice, stock_code, quantity, invoice_ts FROM sheet1 UNION ALL "
        "SELECT invoice, stock_code, quantity, invoice_ts FROM sheet2")
 def set_union_all(spark, sf):
-    raw = raw_lines(spark, sf).select("invoice", "stock_code", "quantity", "invoice_ts")
-    return sheet(raw, 1).unionByName(sheet(raw, 2))
+    """Both sheets stacked from one scan of each table."""
+    return sheets(spark, sf).select("invoice", "stock_code", "quantity", "invoice_ts")
 
 
 @query("scan_table", "SELECT invoice_month, stock_code, quantity FROM sales")
