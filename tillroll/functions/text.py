@@ -1,13 +1,11 @@
-"""Text expressions and the few per-text helpers that need match offsets.
+"""Text expressions.
 
-Column expressions (regexp on the JVM) are used wherever a query only needs
-matches; the Arrow-batched pandas UDFs below are small per-text helpers for
-what needs character offsets or an ordered scan over one text's matches
-(number spans with their date context, requested periods). Spark partitions,
-joins and aggregates around them.
+Number spans, periods and labels are column expressions (regexp on the JVM):
+offsets are running sums over the tokens and the text between them, and what
+surrounds a match is captured by zero-width groups of the same pattern. Only
+country mentions use a small Arrow-batched helper.
 
-The reference's patterns are kept in Python's ``re`` form, which the per-text
-helpers use directly. For the JVM, ``jvm_pattern`` rewrites Python's ``\\w``,
+The reference's patterns are kept in Python's ``re`` form. For the JVM, ``jvm_pattern`` rewrites Python's ``\\w``,
 ``\\d``, ``\\s`` and ``\\b`` as explicit Unicode classes, because the JVM's own
 Unicode classes differ from Python's (combining marks, superscripts,
 information separators). Word lists in the routing rules use the same
@@ -18,9 +16,10 @@ alike.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,113 +184,113 @@ def number_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(jvm_pattern(NUMBER_PATTERN)), 0)
 
 
+_DIGITS = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd")
+
+
 def token_value(token: Column) -> Column:
-    """Parse one token: drop separators, map the minus sign, apply the scale."""
-    t = F.regexp_replace(F.regexp_replace(token, ",", ""), "−", "-")
+    """Parse one token: drop separators, map the minus sign and every script's
+    decimal digits, apply the scale."""
+    t = F.translate(token, "−" + _DIGITS + ",", "-" + "".join(str(unicodedata.decimal(c)) for c in _DIGITS))
     scale_word = F.lower(F.regexp_extract(t, jvm_pattern(SCALE_PATTERN), 1))
     number = F.regexp_replace(t, jvm_pattern(SCALE_PATTERN), "")
     scale = F.coalesce(*[F.when(scale_word == k, F.lit(v)) for k, v in SCALES.items()], F.lit(1.0))
     return number.try_cast("double") * scale
 
 
-# ---- per-text helpers -------------------------------------------------------------------
-
-_NUM = re.compile(NUMBER_PATTERN)
-_SCALE = re.compile(SCALE_PATTERN)
-_DATE = re.compile(DATE_PATTERN)
-_YEAR = re.compile(YEAR_PATTERN)
-_NAMED = re.compile(NAMED_YEAR_PREFIX, re.I)
-_REPORT_P = re.compile(REPORTING_PREFIX, re.I)
-_REPORT_S = re.compile(REPORTING_SUFFIX, re.I)
-
-SPAN_TYPE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("start", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-            T.StructField("token", T.StringType()),
-            T.StructField("value", T.DoubleType()),
-            T.StructField("date_context", T.BooleanType()),
-        ]
+# ---- number spans ------------------------------------------------------------------------
+
+# A number token with what its neighbourhood says about dates, all zero-width:
+# group 1 is the month that follows a year, group 2 the date that ends here.
+DATED_NUMBER = (
+    NUMBER_PATTERN
+    + rf"(?:(?=(-\d{{2}}\b))|)(?:(?<=(\b{YEAR_PATTERN}-\d{{2}}(?:-\d{{2}})?))\b|)"
+)
+# Token lengths are summed in runs of this many, so that appending an offset
+# copies a short array however many numbers a text holds.
+_RUN = 512
+
+
+def _starts(gaps: Column, tokens: Column) -> Column:
+    """Code point offset of each token; ``gaps[i]`` is the text before token i."""
+    sizes = F.transform(tokens, lambda t, i: F.struct(F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(t).alias("len")))
+
+    def run(at: Column, c: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(
+            F.slice(sizes, c * _RUN + 1, F.lit(_RUN)), zero,
+            lambda r, x: F.struct((r["at"] + x["gap"] + x["len"]).alias("at"), F.array_append(r["starts"], r["at"] + x["gap"]).alias("starts")),
+        )
+
+    def join(s: Column, c: Column) -> Column:
+        done = F.transform(F.array(run(s["at"], c)), lambda r: F.struct(r["at"].alias("at"), F.array_append(s["runs"], r["starts"]).alias("runs")))
+        return F.get(done, F.lit(0))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("runs"))
+    runs = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / _RUN).cast("int"))
+    return F.when(F.size(tokens) > 0, F.flatten(F.aggregate(runs, zero, join)["runs"]))
+
+
+def number_spans(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, start, end, token, value, date_context): the number spans of each
+    text, 0-based [start, end) in code points.
+
+    A number is calendar context as part of a ``YYYY-MM[-DD]`` date, or as a
+    bare year after a month name or a word such as 'in', or between 'our' and
+    'revenue' and their like. The words are looked for in the whole text
+    between a number and its neighbours, not in a window of characters."""
+    pattern = F.lit(jvm_pattern(DATED_NUMBER))
+    found = texts.filter(F.col(text).rlike(r"\p{Nd}")).select(
+        key,
+        F.split(F.col(text), jvm_pattern(NUMBER_PATTERN), -1).alias("gaps"),
+        *[F.regexp_extract_all(F.col(text), pattern, F.lit(g)).alias(n) for g, n in enumerate(["tokens", "months", "dates"])],
     )
+    rows = found.withColumn("starts", _starts(F.col("gaps"), F.col("tokens"))).select(
+        key,
+        F.explode(F.transform("tokens", lambda t, i: F.struct(
+            F.get("starts", i).alias("start"), t.alias("token"), F.get("gaps", i).alias("before"), F.get("gaps", i + 1).alias("after"),
+            (F.get("months", i) != "").alias("month_follows"), (F.get("dates", i) != "").alias("ends_date"),
+        ))).alias("s"),
+    ).select(key, "s.*")
+    year = F.col("token").rlike(jvm_pattern(f"^{YEAR_PATTERN}$"))
+    named = F.col("before").rlike(jvm_pattern("(?i)" + NAMED_YEAR_PREFIX))
+    reported = F.col("before").rlike(jvm_pattern("(?i)" + REPORTING_PREFIX)) & F.col("after").rlike(jvm_pattern("(?i)^" + REPORTING_SUFFIX))
+    day_or_month = F.col("token").rlike(r"^\p{Nd}{2}$")
+    return rows.select(
+        key, "start", (F.col("start") + F.char_length("token")).alias("end"), "token", token_value(F.col("token")).alias("value"),
+        ((year & (F.col("month_follows") | named | reported)) | (day_or_month & F.col("ends_date"))).alias("date_context"),
+    ).filter("value IS NOT NULL")
+
+
+# ---- periods -----------------------------------------------------------------------------
+
+_MONTH = "(" + "|".join(MONTHS) + ")"
+# A month, its own year, and the year of the month that it is listed with.
+MONTH_PHRASE = (
+    rf"\b{_MONTH}(?:\s+({YEAR_PATTERN}))?\b"
+    rf"(?:(?=[\s,]*(?:(?:to|and|with|versus|vs)[\s,]*)?\b(?:{'|'.join(MONTHS)})\s+({YEAR_PATTERN})\b)|)"
 )
 
 
-def _parse(token: str) -> float | None:
-    t = token.replace(",", "").replace("−", "-")
-    m = _SCALE.search(t)
-    scale = 1.0
-    if m:
-        scale = SCALES[m.group(1).lower()]
-        t = t[: m.start()]
-    try:
-        return float(t) * scale
-    except ValueError:
-        return None
-
+def requested_periods(text: Column) -> Column:
+    """Distinct periods a text names: ``YYYY-MM`` first, then months with their
+    own year, else the year of the month they are listed with, else the only
+    year of the text. A null text names none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
 
-def _in_date(text: str, dates: list[tuple[int, int]], start: int, end: int) -> bool:
-    if any(ds <= start and end <= de for ds, de in dates):
-        return True
-    if not _YEAR.fullmatch(text[start:end]):
-        return False
-    before, after = text[max(0, start - 25):start], text[end:end + 40]
-    return bool(_NAMED.search(before)) or (bool(_REPORT_P.search(before)) and bool(_REPORT_S.match(after)))
-
-
-def spans_of(text: str | None) -> list[dict]:
-    if not text:
-        return []
-    dates = [(m.start(), m.end()) for m in _DATE.finditer(text)]
-    out = []
-    for m in _NUM.finditer(text):
-        value = _parse(m.group())
-        if value is None:
-            continue
-        out.append({"start": m.start(), "end": m.end(), "token": m.group(), "value": value,
-                    "date_context": _in_date(text, dates, m.start(), m.end())})
-    return out
+    def every(pattern: str, group: int = 0) -> Column:
+        return F.regexp_extract_all(low, F.lit(jvm_pattern(pattern)), F.lit(group))
 
+    years = F.array_distinct(every(rf"\b{YEAR_PATTERN}\b"))
+    only = F.when(F.size(years) == 1, F.get(years, F.lit(0)))
+    number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, f"-{i + 1:02d}")])
+    named = F.transform(
+        F.arrays_zip(*[every(MONTH_PHRASE, g).alias(n) for g, n in ((1, "month"), (2, "own"), (3, "listed"))]),
+        lambda x: F.concat(F.coalesce(F.nullif(x["own"], F.lit("")), F.nullif(x["listed"], F.lit("")), only), F.element_at(number, x["month"])),
+    )
+    return F.array_distinct(F.concat(every(rf"\b{YEAR_PATTERN}-\d{{2}}\b"), F.array_compact(named)))
 
-@F.pandas_udf(SPAN_TYPE)
-def number_spans(texts: pd.Series) -> pd.Series:
-    """Number spans (0-based [start, end)) with value and date context."""
-    return texts.map(spans_of)
-
-
-_MONTH_RE = re.compile(r"\b(" + "|".join(MONTHS) + r")(?:\s+((?:19|20)\d{2}))?\b")
-_YEARS_RE = re.compile(r"\b(?:19|20)\d{2}\b")
-_PERIOD_RE = re.compile(r"\b(?:19|20)\d{2}-\d{2}\b")
-_JOINER_RE = re.compile(r"[\s,]*(?:(?:to|and|with|versus|vs)[\s,]*)?")
-
-
-def periods_of(text: str | None) -> list[str]:
-    """Explicit periods: ``YYYY-MM`` mentions, then month names with their own
-    year, the year of the next month phrase they are joined to, or the only
-    year the text names."""
-    if not text:
-        return []
-    low = text.lower()
-    found = list(_MONTH_RE.finditer(low))
-    years = set(_YEARS_RE.findall(low))
-    periods = _PERIOD_RE.findall(low)
-    for i, m in enumerate(found):
-        year = m.group(2)
-        if not year:
-            nxt = next((f for f in found[i + 1:] if f.group(2)), None)
-            if nxt is not None and _JOINER_RE.fullmatch(low[m.end():nxt.start()]):
-                year = nxt.group(2)
-            elif len(years) == 1:
-                year = next(iter(years))
-        if year:
-            periods.append(f"{year}-{MONTHS.index(m.group(1)) + 1:02d}")
-    return list(dict.fromkeys(periods))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def requested_periods(texts: pd.Series) -> pd.Series:
-    return texts.map(periods_of)
 
+# ---- per-text helper ---------------------------------------------------------------------
 
 def country_matcher(names: list[str]):
     """``text -> {"included": [...], "excluded": [...]}``: the countries a text

@@ -2,7 +2,7 @@
 redaction, trace stripping, period extraction, question routing, metric
 kinds, country mentions and label normalisation.
 
-Each works on whole texts. Per-text offsets come from the small helpers in
+Each works on whole texts. Offsets come from expressions in
 ``functions.text``; support checks are joins (bucketed tolerance join
 against declared values), and redaction rebuilds each text from its sorted
 spans with a higher-order ``aggregate``.
@@ -46,16 +46,9 @@ def number_tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
     return toks.select(key, F.col("pos").cast("bigint").alias("pos"), "token", tx.token_value(F.col("token")).alias("value"))
 
 
-def spans(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per number span with offsets, value and date context. Only
-    texts holding a digit are sent to the per-text helper (a JVM filter)."""
-    with_digits = texts.filter(F.col(text).rlike(r"(?U)\d"))
-    return with_digits.select(key, F.explode(tx.number_spans(F.col(text))).alias("s")).select(key, "s.*")
-
-
 def supported_spans(sp: DataFrame, key: str, declared: DataFrame, declared_value: str) -> DataFrame:
     """Mark spans that are dates or near-equal to some declared value."""
-    # One pass over the spans: the helper behind them is not run twice.
+    # One pass over the spans: the patterns behind them are not run twice.
     marked = near_flagged(sp, "value", declared, declared_value, flag="declared")
     return marked.withColumn("supported", F.col("date_context") | F.col("declared"))
 
@@ -64,7 +57,7 @@ def undeclared_numbers(texts: DataFrame, key: str, text: str, declared: DataFram
     """Numbers in prose (``[call n]`` markers removed; offsets refer to that
     text) that are neither calendar context nor near a declared value."""
     prose = texts.select(key, tx.drop_call_markers(F.col(text)).alias(text))
-    sp = supported_spans(spans(prose, key, text), key, declared, declared_value)
+    sp = supported_spans(tx.number_spans(prose, key, text), key, declared, declared_value)
     return sp.filter(~F.col("supported")).select(key, "start", "token", "value")
 
 
@@ -73,7 +66,7 @@ def redact_numbers(texts: DataFrame, key: str, text: str, declared: DataFrame, d
     so hiding 12 never alters 1,200) in the findings text: call markers
     removed, ends trimmed, customer ids labelled."""
     clean = texts.select(key, tx.findings_text(F.col(text)).alias("clean"))
-    sp = supported_spans(spans(clean, key, "clean"), key, declared, declared_value)
+    sp = supported_spans(tx.number_spans(clean, key, "clean"), key, declared, declared_value)
     bad = sp.filter(~F.col("supported")).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")
     )
@@ -91,10 +84,7 @@ def strip_trace(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def requested_periods(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Ordered distinct ``YYYY-MM`` periods each text asks about, in one pass
-    over the texts. (A JVM pre-filter on month names measured slower than the
-    helper itself: lower-casing multilingual text on the JVM costs more than
-    the helper's scan.)"""
+    """Ordered distinct ``YYYY-MM`` periods each text asks about."""
     return texts.select(key, tx.requested_periods(F.col(text)).alias("periods"))
 
 
