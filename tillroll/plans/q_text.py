@@ -29,7 +29,20 @@ def _supported(spark, sf):
     return claims.join(status.select("claim_id"), "claim_id", "left_semi").select("value")
 
 
-@query("text_number_tokens")
+def _number_sql() -> str:
+    """RE2 has no look-behind: the character before a token is a group of its own
+    (a token ends in a word character, so no two tokens need the same one)."""
+    number = tx.NUMBER_PATTERN.replace(r"(?<![\w.])", "").replace(r"\d", r"\p{Nd}").replace(r"\s", tx.SPACE)
+    scale = "CASE lower(regexp_extract(token, '[A-Za-z]+$')) " + " ".join(f"WHEN '{w}' THEN {v:.1f}" for w, v in tx.SCALES.items()) + " ELSE 1.0 END"
+    return rf"""
+WITH found AS (SELECT doc_id, regexp_extract_all(text, '(^|[^\pL\pN_.])({number})', 2) AS tokens FROM documents),
+numbered AS (SELECT doc_id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM found)
+SELECT doc_id, pos, token,
+       TRY_CAST(replace(replace(regexp_replace(token, '{tx.SPACE}*[A-Za-z]+$', ''), ',', ''), '−', '-') AS DOUBLE) * CAST({scale} AS DOUBLE) AS value
+FROM numbered"""
+
+
+@query("text_number_tokens", _number_sql())
 def text_number_tokens(spark, sf):
     """Every number in every document, with sign, separators, exponent and scale."""
     return textjobs.number_tokens(_docs(spark, sf), "doc_id", "text")
