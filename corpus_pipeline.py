@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated line chunks from the texts; every document stays."""
-    cleaned = line_dedup.remove_repeated_chunks(docs)
+    """Removes repeated passages of lines from the texts; every document stays."""
+    cleaned = line_dedup.remove_repeated_passages(docs)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*docs.columns)

@@ -127,6 +127,19 @@ def test_line_dedup_removes_long_passage_once(spark):
     assert all(got[i] == f"own start {i}\nown end {i}" for i in range(1, 5))
 
 
+def test_repeated_passages_of_short_lines_go_whole(spark):
+    for size in (2, 3, 4, 5, 6, 8, 10, 20):
+        gap = [""] if size % 2 else []
+        passage = [x for j in range(size) for x in [f"short line {j} of passage {size}", *gap]]
+        passage = passage[: len(passage) - len(gap)]
+        rows = [(i, "\n".join([f"own start {i}", *passage, f"own end {i}"])) for i in range(4)]
+        rows += [(4, f"own start 4\n{passage[0]}\nown end 4"), (5, None), (6, "")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = dict(rows_of(corpus_pipeline.lines(spark, df, ""), "doc_id", "text"))
+        assert got[0] == rows[0][1] and got[4] == rows[4][1] and got[5] is None and got[6] == ""
+        assert all(got[i] == f"own start {i}\nown end {i}" for i in (1, 2, 3)), size
+
+
 def test_packing_round_trip(docs, empty, nulls):
     from tokenizers import Tokenizer
 

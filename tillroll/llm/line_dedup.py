@@ -13,6 +13,14 @@ Chunks cross one shuffle, to meet the repeated hashes; the few that do are
 written once. Copies of a chunk are combined before they are grouped, and the
 joins on (hash, chunk) are plain joins that Spark can split.
 
+``remove_repeated_passages`` (the pipeline's stage) also takes every two
+neighbouring lines with words, and the blank lines between them, as a run. A
+repeated passage of two or more lines holds its own runs wherever it stands, so
+it goes whole, whatever surrounds it. Runs are equal by SHA-256 of their bytes.
+A line leaves a place only if the same line stands at an earlier place of its
+run, so the first copy of every line stays. ``remove_repeated_chunks`` keeps
+the rule of ``ORACLE``.
+
 Defined results: a null text stays null with 0 lines; an empty text has one
 empty line; rows with equal doc_id and text are one document (equal results);
 a text of which all lines go becomes empty (the row stays); other columns are
@@ -55,14 +63,18 @@ def _lines(docs: DataFrame, p: Params) -> DataFrame:
     return rows.withColumn("ends", F.filter(F.sequence(F.lit(1), F.size("marks")), ends))
 
 
-def _chunks(rows: DataFrame, p: Params) -> DataFrame:
-    """(d, t, first, last, chunk): chunks that may be removed."""
+def _spans(p: Params) -> Column:
+    """(first, last) of the chunks that may be removed."""
     spans = F.transform(
         "ends",
         lambda e, k: F.struct(F.when(k == 0, F.lit(1)).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))) + 1).alias("first"), e.alias("last")),
     )
-    spans = F.filter(spans, lambda s: (s["last"] > s["first"]) | F.element_at("marks", s["first"])["long"])
-    cut = rows.select("d", "t", "lines", F.explode(spans).alias("s"))
+    return F.filter(spans, lambda s: (s["last"] > s["first"]) | F.element_at("marks", s["first"])["long"])
+
+
+def _chunks(rows: DataFrame, p: Params) -> DataFrame:
+    """(d, t, first, last, chunk): chunks that may be removed."""
+    cut = rows.select("d", "t", "lines", F.explode(_spans(p)).alias("s"))
     chunk = F.array_join(F.slice("lines", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1), "\n")
     return cut.select("d", "t", F.col("s.first").alias("first"), F.col("s.last").alias("last"), chunk.alias("chunk"))
 
@@ -92,6 +104,43 @@ def remove_repeated_chunks(docs: DataFrame, p: Params = Params(), label: str = "
     return out.drop("__t", "__d", "__k", "__cuts", "cuts")
 
 
+_BLANK = " \t\r\x0b\f"
+
+
+def _runs(rows: DataFrame, p: Params) -> DataFrame:
+    """(d, t, n, first, last, run): chunks, and lines with words up to the next such line."""
+    chunks = _spans(p)
+    worded = F.filter(F.transform("lines", lambda x, i: F.when(F.btrim(x, F.lit(_BLANK)) != "", i + 1)), lambda i: i.isNotNull())
+    rows = rows.select("d", "t", "lines", chunks.alias("chunks"), worded.alias("worded"))
+    pairs = F.zip_with("worded", F.slice("worded", 2, F.greatest(F.size("worded"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+    spans = F.array_distinct(F.concat("chunks", F.filter(pairs, lambda s: s["last"].isNotNull())))
+    cut = rows.select("d", "t", "lines", F.explode(spans).alias("s"))
+    run = F.array_join(F.slice("lines", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1), "\n")
+    return cut.select("d", F.xxhash64("t").alias("t"), F.size("lines").alias("n"), F.col("s.first").alias("first"), F.col("s.last").alias("last"), F.unhex(F.sha2(run, 256)).alias("run"))
+
+
+def remove_repeated_passages(docs: DataFrame, p: Params = Params(), label: str = "passages") -> DataFrame:
+    """``docs`` with text cleaned of all lines in repeated runs."""
+    runs = _runs(_lines(docs, p), p).withColumn("h", F.xxhash64("run"))
+    place = F.struct("d", "t", "first")
+    repeated = runs.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h")
+    copies = materialise(runs.join(repeated, "h"), label)
+    keeper = copies.groupBy("run").agg(F.min(place).alias("keep"))
+    gone = copies.join(keeper, "run").where(place != F.col("keep"))
+    gone = gone.select("d", "t", "n", F.explode(F.sequence("first", "last")).alias("i")).groupBy("d", "t").agg(F.max("n").alias("n"), F.collect_set("i").alias("gone"))
+    # A mark for each line, in order, so that a text is cut in linear time.
+    stays = F.array_except(F.sequence(F.lit(1), F.col("n")), "gone")
+    mark = lambda lines, kept: F.transform(lines, lambda i: F.struct(i.alias("i"), F.lit(kept).alias("kept")))
+    marks = F.transform(F.sort_array(F.concat(mark(stays, True), mark(F.col("gone"), False))), lambda x: x["kept"])
+    marks = gone.select(F.col("d").alias("__d"), F.col("t").alias("__k"), marks.alias("__marks"))
+
+    base = docs.withColumn("__t", F.xxhash64(F.md5("text")))
+    out = base.join(marks, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__k")), "left")
+    kept = F.filter(F.zip_with(F.split("text", "\n", -1), "__marks", lambda x, k: F.when(k, x)), lambda x: x.isNotNull())
+    out = out.withColumn("text", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return out.drop("__t", "__d", "__k", "__marks")
+
+
 #: The same rule for DuckDB (params as above).
 ORACLE = r"""
 WITH base AS (
