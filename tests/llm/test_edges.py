@@ -243,6 +243,23 @@ def test_pii_bootstrap_finds_unseen_and_redacts(spark, docs, empty, nulls):
     assert pii.report(empty).count() == 0 and pii.redact(nulls).count() == 2 and pii.report(nulls).count() == 2
 
 
+def test_pii_finds_unseen_values_with_blanks(spark):
+    luhn = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004", "3000 0000 0000 04"]
+    rows = [(i, f"please call me at +1 (555) 010-{1000 + i} before noon today") for i in range(12)]
+    rows += [(20 + i, f"you may charge card {c} for the order") for i, c in enumerate(luhn)]
+    calls = ["555 010 1111", "(555) 010-1112", "555.010 1113", "( 555 ) 010 - 1114", "555 010 1115 555 010 1116"]
+    rows += [(50 + i, f"please call me at {c} before noon today") for i, c in enumerate(calls)]
+    rows += [(60, "you may charge card 4111 1111 1111 1112 for the order"), (61, "we counted 555 010 1117 atoms in 2019 2020 and so on")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = dict(rows_of(pii.redact(df), "doc_id", "text"))
+    assert [clean[50 + i] for i in range(3)] == ["please call me at <phone> before noon today"] * 3
+    assert clean[53] in ("please call me at <phone> before noon today", "please call me at ( <phone> before noon today")
+    assert not re.search("[0-9]", clean[54]) and clean[60] == "you may charge card <card> for the order"
+    assert clean[61] == rows[-1][1]
+    out = {r.doc_id: r for r in pii.report(df).collect()}
+    assert out[51].spans == "phone:18:32" and out[51].n_added == 1 and out[60].n_added == 1 and out[60].n_card == 0
+
+
 def test_sampled_pieces_lossless_and_reproducible(spark, docs, empty, nulls):
     p = sampled_pieces.Params(vocabulary("piece_bpe_32k.model"))
     out = sampled_pieces.encode(docs, p)

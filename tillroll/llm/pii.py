@@ -2,8 +2,12 @@
 
 *Base spans* are e-mail addresses, IPv4 addresses, card numbers (Luhn) and
 phone numbers by fixed patterns. They are the seeds of a bootstrap: words that
-hold a digit or an @ are *instances*; the words around an instance are its
-*lexical patterns* (two words before; one before and one after; two after).
+hold a digit or an @ are *instances*, and so is the longest run of neighbouring
+number words of one line (digits, with brackets, blanks, dots and hyphens
+between) that is shaped like a card or a phone, and those first and last words
+of a run that are shaped so. The words around an instance are its *lexical
+patterns* (two words before; one before and one after; two after). An instance
+inside another counts neither for nor against a pattern.
 Spark scores the graph of patterns and instances in rounds:
 
     pattern  = sum of its occurrences' confidence / (occurrences + ``doubt``),
@@ -12,9 +16,9 @@ Spark scores the graph of patterns and instances in rounds:
                distinct patterns, for instances shaped like the kind.
 
 Unseen instances that end at ``accept`` or more add spans of their kind; base
-spans stay, and an added span never overlaps one. Occurrences are combined to
-(pattern, instance) counts before any shuffle by pattern, so a pattern around a
-third of the corpus is a few rows a task.
+spans stay, and an added span never overlaps one, nor lies in another added
+span. Occurrences are combined to (pattern, instance) counts before any shuffle
+by pattern, so a pattern around a third of the corpus is a few rows a task.
 
 Defined results: a null or empty text has no spans; rows are independent (equal
 rows have equal results); other columns are ignored by ``find`` and kept by
@@ -110,7 +114,7 @@ def shape_fits(value: str, kind: str) -> bool:
     if kind == "ip":
         return value.count(".") == 3 and digits >= 4 and digits + 3 == len(value)
     if kind == "card":
-        return 11 <= digits <= 20 and digits + value.count("-") == len(value)
+        return 11 <= digits <= 20 and digits + value.count("-") + sum(c.isspace() for c in value) == len(value)
     return 7 <= digits <= 15 and not any(c.isalpha() for c in value)
 
 
@@ -118,11 +122,59 @@ def _plain(word: str) -> str:
     return re.sub("[0-9]", "0", word.strip(_EDGE).lower())
 
 
-def occurrences(text: str, spans) -> list[tuple[int, int, str, str | None, list[str]]]:
-    """(start, end, value, seed kind, patterns) of base spans and of other
-    words that hold a digit or an @."""
-    places = [(s, e, k) for s, e, k in spans]
+# Number words of one line, with blanks or lone signs between; each is a whole word.
+_NUMBER = r"[+(.-]*+[0-9][0-9().+/-]*+(?=[,;:!?\]}>\"'|]*+(?:\s|$))"
+_RUN = re.compile(rf"(?<![^\s\"'\[{{<|]){_NUMBER}(?:[^\S\r\n]++(?:[().-]++[^\S\r\n]++)*+{_NUMBER})+")
+
+
+def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    """The place without signs at its ends; a bracket whose other half is inside stays."""
+    while s < e and text[s] in _EDGE + "-":
+        s += 1
+    while e > s and text[e - 1] in _EDGE + "-":
+        e -= 1
+    opened, closed = text.count("(", s, e), text.count(")", s, e)
+    if closed > opened and s > 0 and text[s - 1] == "(":
+        s -= 1
+    elif opened > closed and text[e : e + 1] == ")":
+        e += 1
+    return s, e
+
+
+def _numeric(value: str) -> bool:
+    return shape_fits(value, "card") or shape_fits(value, "phone")
+
+
+def _runs(text: str, spans) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Runs shaped like a card or a phone, and first and last words of runs shaped so."""
+    whole, ends = [], []
+    parts, at = [], 0
+    for s, e, _ in spans:
+        if e > at:
+            parts += [text[at:s], "x" * (e - max(s, at))]
+            at = e
+    masked = "".join(parts) + text[at:]
+    for m in _RUN.finditer(masked):
+        s, e = _trimmed(text, m.start(), m.end())
+        if _numeric(text[s:e]):
+            whole.append((s, e))
+        # At most 20 digits, so at most 20 number words, from either end.
+        words = [w.span() for w in re.finditer(r"\S*[0-9]\S*", text[s:e])]
+        if len(words) > 1:
+            some = {_trimmed(text, s, s + b) for _, b in words[1:20]} | {_trimmed(text, s + a, e) for a, _ in words[-20:-1]}
+            ends += sorted(x for x in some if _numeric(text[x[0] : x[1]]))
+    return whole, ends
+
+
+def occurrences(text: str, spans) -> list[tuple[int, int, str, str | None, list[str], int]]:
+    """(start, end, value, seed kind, patterns, count) of base spans, of other
+    words that hold a digit or an @, and of runs of number words; an instance
+    inside another has the count 0."""
+    places = [(s, e, k, 1) for s, e, k in spans]
     taken = sorted((s, e) for s, e, _ in spans)
+    whole, ends = _runs(text, spans)
+    places += [(s, e, None, 1) for s, e in whole] + [(s, e, None, 0) for s, e in ends]
+    inside = 0
     last = -1
     for m in _TOUCH.finditer(text):
         if m.start() <= last:
@@ -138,9 +190,12 @@ def occurrences(text: str, spans) -> list[tuple[int, int, str, str | None, list[
         while e > s and text[e - 1] in _EDGE:
             e -= 1
         if e - s >= 4 and not any(a < e and s < b for a, b in taken):
-            places.append((s, e, None))
+            while inside < len(whole) and whole[inside][1] <= s:
+                inside += 1
+            nested = inside < len(whole) and whole[inside][0] < e
+            places.append((s, e, None, 0 if nested else 1))
     out = []
-    for s, e, k in places:
+    for s, e, k, n in places:
         # Contexts reach at most two words, read from a window that holds them.
         before = [_plain(w) for w in _WORD.findall(text[max(0, s - 200) : s])[-2:]]
         after = [_plain(w) for w in _WORD.findall(text[e : e + 200])[:2]]
@@ -151,7 +206,7 @@ def occurrences(text: str, spans) -> list[tuple[int, int, str, str | None, list[
             patterns.append(f"m {before[-1]} {after[0]}")
         if len(after) == 2:
             patterns.append("r " + " ".join(after))
-        out.append((s, e, text[s:e].lower(), k, patterns))
+        out.append((s, e, text[s:e].lower(), k, patterns, n))
     return out
 
 
@@ -166,21 +221,21 @@ def _scan(docs: DataFrame) -> DataFrame:
                     doc,
                     hashlib.md5((text or "").encode()).hexdigest(),
                     [{"start": s, "end": e, "kind": k} for s, e, k in spans],
-                    [{"start": s, "end": e, "value": v, "kind": k, "patterns": p} for s, e, v, k, p in found],
+                    [{"start": s, "end": e, "value": v, "kind": k, "patterns": p, "n": n} for s, e, v, k, p, n in found],
                 ))
             made = pd.DataFrame(out, columns=["doc_id", "text_key", "base", "found"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
 
     span = "start: long, `end`: long, kind: string"
-    shape = f"doc_id long, text_key string, base array<struct<{span}>>, found array<struct<start: long, `end`: long, value: string, kind: string, patterns: array<string>>>"
+    shape = f"doc_id long, text_key string, base array<struct<{span}>>, found array<struct<start: long, `end`: long, value: string, kind: string, patterns: array<string>, n: int>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, shape)
 
 
 def _discover(scan: DataFrame, p: Params, label: str) -> DataFrame:
     """(value, kind): unseen instances that the bootstrap accepts."""
-    each = scan.select(F.explode("found").alias("x")).select("x.value", "x.kind", F.explode("x.patterns").alias("pattern"))
-    graph = materialise(each.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), f"{label}-graph")
+    each = scan.select(F.explode("found").alias("x")).select("x.value", "x.kind", "x.n", F.explode("x.patterns").alias("pattern"))
+    graph = materialise(each.groupBy("pattern", "value", "kind").agg(F.sum("n").alias("n")), f"{label}-graph")
     fits = F.udf(lambda v: [k for k in KINDS if shape_fits(v, k)], "array<string>")
     unseen = graph.where("kind IS NULL").select("value").distinct().withColumn("as_kind", F.explode(fits("value")))
     seeds = graph.where("kind IS NOT NULL").select("value", F.col("kind").alias("as_kind"), F.lit(1.0).alias("c")).distinct()
@@ -190,7 +245,7 @@ def _discover(scan: DataFrame, p: Params, label: str) -> DataFrame:
     size = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
     known = seeds
     for k in range(p.rounds):
-        votes = edges.join(known, "value").groupBy("pattern", "as_kind").agg(F.sum(F.col("n") * F.col("c")).alias("good"), F.sum((F.col("c") >= p.accept).cast("int")).alias("seen"))
+        votes = edges.where("n > 0").join(known, "value").groupBy("pattern", "as_kind").agg(F.sum(F.col("n") * F.col("c")).alias("good"), F.sum((F.col("c") >= p.accept).cast("int")).alias("seen"))
         trust = votes.where(F.col("seen") >= p.support).join(size, "pattern").select("pattern", "as_kind", (F.col("good") / (F.col("all") + p.doubt)).alias("trust"))
         reached = edges.join(unseen, "value").join(trust, ["pattern", "as_kind"]).groupBy("value", "as_kind")
         c = reached.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6)))))).alias("c"))
@@ -198,15 +253,26 @@ def _discover(scan: DataFrame, p: Params, label: str) -> DataFrame:
     return known.join(unseen, ["value", "as_kind"], "left_semi").where(F.col("c") >= p.accept).select("value", F.col("as_kind").alias("kind"))
 
 
+def _outer(spans):
+    """Spans that lie in no other one of them."""
+    out, reach = [], -1
+    for x in sorted(spans, key=lambda x: (x["start"], -x["end"])):
+        if x["end"] > reach:
+            out.append((x["start"], x["end"], x["kind"]))
+            reach = x["end"]
+    return out
+
+
 def find(docs: DataFrame, p: Params = Params(), label: str = "pii") -> DataFrame:
     """(doc_id, text_key, base, spans): sorted arrays of (start, end, kind), a row for each row."""
     scan = materialise(_scan(docs), f"{label}-scan")
+    outer = F.udf(_outer, "array<struct<start: long, `end`: long, kind: string>>")
     # One kind a value: the first in the listed order.
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     added = _discover(scan, p, label).groupBy("value").agg(F.min_by("kind", order).alias("as_kind"))
     new = scan.select("doc_id", "text_key", F.explode("found").alias("x")).where("x.kind IS NULL")
     new = new.select("doc_id", "text_key", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("value")).join(added, "value")
-    new = new.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end", F.col("as_kind").alias("kind"))).alias("new"))
+    new = new.groupBy("doc_id", "text_key").agg(outer(F.collect_set(F.struct("start", "end", F.col("as_kind").alias("kind")))).alias("new"))
     new = new.withColumnsRenamed({"doc_id": "__d", "text_key": "__k"})
     rows = scan.select("doc_id", "text_key", "base").join(new, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_key") == F.col("__k")), "left")
     both = F.concat("base", F.coalesce("new", F.expr("array()").cast("array<struct<start:bigint,end:bigint,kind:string>>")))
