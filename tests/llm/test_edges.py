@@ -297,6 +297,50 @@ def test_sampled_pieces_follow_the_path_weights():
         assert abs(drawn[path] / n - share) < 5 * np.sqrt(share / n) + 1e-3
 
 
+@pytest.mark.parametrize("text", ["-" * 79 + "日本", "a" * 70 + "=" * 30, " " * 66 + "the"])
+def test_sampled_pieces_of_long_segments_follow_the_path_weights(text):
+    p = sampled_pieces.Params(vocabulary("piece_bpe_32k.model"), alpha=0.2)
+    worker = sampled_pieces.Lattices(p)
+    v = worker.words
+    ranks = {v.bytes[int(i)]: r for i, r in zip(v.piece, v.rank) if i >= 0}
+    whole = " " + text
+
+    def sums(s):
+        total = [1.0] + [0.0] * len(s)
+        for g in range(1, len(s) + 1):
+            for k in range(max(0, g - 20), g):
+                r = ranks.get(s[k:g].encode(), v.ranks if g - k == 1 else None)
+                total[g] += 0.0 if r is None else total[k] * (r + 2) ** -0.2
+        return total
+
+    before = sums(whole)
+    back = [0.0] * len(whole) + [1.0]
+    for k in range(len(whole) - 1, -1, -1):
+        for g in range(k + 1, min(len(whole), k + 20) + 1):
+            r = ranks.get(whole[k:g].encode(), v.ranks if g - k == 1 else None)
+            back[k] += 0.0 if r is None else back[g] * (r + 2) ** -0.2
+    n = 3000
+    drawn = worker.sample([text] * n, np.arange(n))
+    at = Counter()
+    for ids in drawn:
+        assert sampled_pieces.decode_ids(ids, v.bytes) == text
+        place = np.cumsum([len(v.bytes[int(i)]) for i in ids])
+        at.update(place.tolist())
+    for g in range(1, len(whole)):
+        share = min(1.0, before[g] * back[g] / before[-1])
+        assert abs(at[len(whole[:g].encode())] / n - share) < 5 * np.sqrt(share * (1 - share) / n) + 2e-3, g
+
+
+def test_sampled_pieces_keep_long_and_short_segments_in_order(monkeypatch):
+    worker = sampled_pieces.Lattices(sampled_pieces.Params(vocabulary("piece_bpe_32k.model")))
+    texts = ["a bc " + "x" * 100 + " de " + "é" * 90 + "日" * 90, "", "short", "=" * 3000 + "\nend", "z" * 65]
+    keys = np.arange(len(texts))
+    whole = [x.tolist() for x in worker.sample(texts, keys)]
+    assert [sampled_pieces.decode_ids(np.array(x), worker.words.bytes) for x in whole] == texts
+    monkeypatch.setattr(sampled_pieces, "BLOCK", 37)
+    assert [x.tolist() for x in worker.sample(texts, keys)] == whole
+
+
 def test_sharding_edges(docs, empty, nulls):
     out = sharding.shard(docs).collect()
     assert len(out) == docs.count()

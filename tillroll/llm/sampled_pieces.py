@@ -1,8 +1,8 @@
 """SentencePiece sampling: forward filtering, backward sampling over the lattice.
 
 A text gets one blank in front and is cut into segments: blanks with the word
-that follows, or a line break; a segment of more than 64 characters is cut
-there. No piece of the vocabulary spans two segments. The lattice of a segment
+that follows, or a line break. No piece of the vocabulary spans two segments,
+and no segment is cut, however long. The lattice of a segment
 has an arc for every vocabulary piece at every place, and an arc of the bytes
 of a character that no piece holds. An arc weighs (rank + 2) ^ -alpha by its
 rank in the vocabulary.
@@ -12,7 +12,11 @@ sampling walks from the end and draws the last arc by its share of that sum, so
 a segmentation is drawn with exactly its share of all paths' weight. Draws are
 hashes of (seed, row key, segment, step): the same row always gives the same
 pieces, on any executor. Lattices are built once for each distinct segment that
-a worker meets and all segments of a batch are walked together.
+a worker meets and all segments of a batch are walked together. A segment of
+more than 64 characters is filtered and walked on its own, with the same
+shares: each sum is kept as its ratio to the sum one place before, in a window
+of the longest piece that is rescaled, and arcs are made a block at a time, so
+memory grows by 8 bytes a character.
 
 Decoding joins the pieces' bytes and drops the first blank, and gives the exact
 text back.
@@ -25,6 +29,7 @@ keys may differ; a null key counts as 0; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,20 +48,17 @@ class Params:
     remembered: int = 2_000_000  # lattice arcs that a worker keeps (memory, not results)
 
 
+#: Characters of a segment that is remembered; longer ones are walked on their own.
 LONGEST = 64
+#: Characters of a long segment whose arcs are held at once.
+BLOCK = 1 << 14
 _SEGMENT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _BLANK = "▁"
 _WORKERS: dict[Params, "Lattices"] = {}
 
 
 def segments(text: str) -> list[str]:
-    out = []
-    for s in _SEGMENT.findall(" " + text):
-        if len(s) <= LONGEST:
-            out.append(s)
-        else:
-            out += [s[k : k + LONGEST] for k in range(0, len(s), LONGEST)]
-    return out
+    return _SEGMENT.findall(" " + text)
 
 
 class Vocabulary:
@@ -72,6 +74,7 @@ class Vocabulary:
         nodes: dict[tuple[int, int], int] = {}
         ends: dict[int, tuple[int, int]] = {}
         rank = 0
+        self.longest = 1
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -84,6 +87,7 @@ class Vocabulary:
                 for c in surface:
                     at = nodes.setdefault((at, ord(c)), len(nodes) + 1)
                 ends[at] = (i, rank)
+                self.longest = max(self.longest, len(surface))
                 rank += 1
         keys = np.array([(a << 21) | c for a, c in nodes], np.int64)
         order = np.argsort(keys)
@@ -101,6 +105,92 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.next[at], -1)
 
 
+class Long:
+    """Forward sums and one backward walk of a segment of any length."""
+
+    def __init__(self, words: Vocabulary, alpha: float, segment: str) -> None:
+        self.words, self.alpha = words, alpha
+        self.char = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.ratio = array("d")  # sum of a place by the sum one place before
+        window, k = [1.0], words.longest
+        for a in range(0, len(self.char), BLOCK):
+            first, size, _, weight = self.arcs(a, min(a + BLOCK, len(self.char)))
+            for x, y in zip(first, first[1:]):
+                total = sum([window[-n] * w for n, w in zip(size[x:y], weight[x:y])])
+                self.ratio.append(total / window[-1])
+                window.append(total)
+                if len(window) > 4 * k or total < 1e-100:
+                    window = [v / total for v in window[-k:]]
+
+    def arcs(self, a: int, b: int) -> tuple[list, list, list, list]:
+        """Of the places in (a, b]: where their arcs begin, and the arcs' sizes, kinds and weights."""
+        v = self.words
+        start = np.arange(max(0, a - v.longest + 1), b)
+        node = np.zeros(len(start), np.int64)
+        target, size, kind, weight = [], [], [], []
+
+        def add(at, n, what, w):
+            keep = at + n > a
+            target.append(at[keep] + n)
+            size.append(np.full(int(keep.sum()), n))
+            kind.append(what[keep])
+            weight.append(w[keep])
+
+        bare = np.ones(b, bool)
+        for n in range(1, v.longest + 1):
+            node = v.step(node, self.char[start + n - 1])
+            real = node >= 0
+            start, node = start[real], node[real]
+            full = v.piece[node] >= 0
+            add(start[full], n, v.piece[node[full]], (v.rank[node[full]] + 2.0) ** -self.alpha)
+            if n == 1:
+                bare[start[full]] = False
+            more = start + n < b
+            start, node = start[more], node[more]
+            if not len(start):
+                break
+        at = a + np.flatnonzero(bare[a:])
+        add(at, 1, -1 - self.char[at], np.full(len(at), (v.ranks + 2.0) ** -self.alpha))
+        target, size, kind, weight = (np.concatenate(x) for x in (target, size, kind, weight))
+        order = np.lexsort((-size, target))
+        first = np.searchsorted(target[order], np.arange(a + 1, b + 2))
+        return first.tolist(), size[order].tolist(), kind[order].tolist(), weight[order].tolist()
+
+    def walk(self, noise: np.uint64) -> np.ndarray:
+        """The ids of a drawn path."""
+        v, g, step = self.words, len(self.char), 0
+        base, draws = g, []
+        parts = []
+        while g > 0:
+            if g <= base:
+                base = (g - 1) // BLOCK * BLOCK
+                first, size, kind, weight = self.arcs(base, g)
+            if step % BLOCK == 0:
+                with np.errstate(over="ignore"):
+                    drawn = mix(noise + np.arange(step, step + min(BLOCK, g), dtype=np.int64).view(U64))
+                draws = ((drawn >> U64(11)).astype(np.float64) * 2.0**-53).tolist()
+            x, y = first[g - base - 1], first[g - base]
+            # Arcs are sorted by source; the last one takes what rounding leaves.
+            back, n = 1.0, 0
+            shares = []
+            for k in range(y - 1, x - 1, -1):
+                while n < size[k]:
+                    n += 1
+                    back /= self.ratio[g - n]
+                shares.append(weight[k] * back)
+            u, k = draws[step % BLOCK], x
+            for share in reversed(shares):
+                if u < share or k == y - 1:
+                    break
+                u -= share
+                k += 1
+            what = kind[k]
+            parts.append([what] if what >= 0 else v.byte_id[list(chr(-1 - what).encode("utf-8", "surrogatepass"))].tolist())
+            g -= size[k]
+            step += 1
+        return np.array([i for p in reversed(parts) for i in p], np.int32)
+
+
 class Lattices:
     """Sampling tables of all segments met so far, as flat arrays.
 
@@ -198,6 +288,10 @@ class Lattices:
         """The sampled ids of each text."""
         cut = [segments(t) for t in texts]
         every = [s for c in cut for s in c]
+        long = {i: s for i, s in enumerate(every) if len(s) > LONGEST}
+        # A long segment's place is taken by a blank here, and its own walk replaces it.
+        for i in long:
+            every[i] = " "
         new = list({s for s in every if s not in self.end})
         if len(self.share) > self.p.remembered:
             self.clear()
@@ -235,7 +329,24 @@ class Lattices:
         ends = np.cumsum(width)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[ordered] - (ends - width), width)]
         pieces_end = np.cumsum(length)[np.cumsum(counts) - 1]
-        return np.split(ids, ends[pieces_end - 1][:-1])
+        made = np.split(ids, ends[pieces_end - 1][:-1])
+        if not long:
+            return made
+        segment_end = ends[np.cumsum(length) - 1]
+        text_of = np.repeat(np.arange(len(texts)), counts)
+        walked: dict[int, list[np.ndarray]] = {}
+        text_begin = np.append(0, ends[pieces_end - 1][:-1])
+        done: dict[int, int] = {}
+        filtered = {s: Long(self.words, self.p.alpha, s) for s in set(long.values())}
+        for i, s in long.items():
+            t = int(text_of[i])
+            parts = walked.setdefault(t, [])
+            begin = int(segment_end[i - 1]) if i else 0
+            parts += [ids[done.get(t, text_begin[t]) : begin], filtered[s].walk(noise[i])]
+            done[t] = int(segment_end[i])
+        for t, parts in walked.items():
+            made[t] = np.concatenate([*parts, ids[done[t] : ends[pieces_end[t] - 1]]])
+        return made
 
 
 def lattices(p: Params) -> Lattices:
