@@ -260,6 +260,26 @@ def test_pii_finds_unseen_values_with_blanks(spark):
     assert out[51].spans == "phone:18:32" and out[51].n_added == 1 and out[60].n_added == 1 and out[60].n_card == 0
 
 
+def test_pii_follows_long_chains_of_patterns(spark):
+    # Each step's numbers share their left words with the step before and have right words of their own.
+    words = [f"{a} {b}" for a, b in zip("apple birch cedar daisy elder fern grass hazel".split(), "iris jade kelp lily moss nut oak pine".split())]
+    rows = [(i, f"zero{i} {words[0]} +1 (555) 010-{1000 + i} own{i} tail{i}") for i in range(40)]
+    for step in range(7):
+        rows += [(len(rows) + i, f"{words[step]} 555{step}00{1000 + i} {words[step + 1]}") for i in range(6)]
+        rows += [(len(rows) + i, f"{words[step + 1]} 555{step}00{1000 + i} own{step}{i} tail{step}{i}") for i in range(6)]
+    last = rows[-1][0]
+    out = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[last].n_added == 1
+
+
+def test_pii_contexts_are_whole_words():
+    long = "w" * 5000
+    (place,) = pii.occurrences(f"{long} at 5550109999{' ' * 900}before {long}", [])
+    assert len(place[4]) == 3 and place[4][1] == "m at before"
+    other = pii.occurrences(f"v{long} at 5550109999 before {long}", [])[0]
+    assert other[4][0] != place[4][0] and other[4][1:] == place[4][1:]
+
+
 def test_sampled_pieces_lossless_and_reproducible(spark, docs, empty, nulls):
     p = sampled_pieces.Params(vocabulary("piece_bpe_32k.model"))
     out = sampled_pieces.encode(docs, p)

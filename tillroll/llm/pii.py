@@ -8,7 +8,8 @@ between) that is shaped like a card or a phone, and those first and last words
 of a run that are shaped so. The words around an instance are its *lexical
 patterns* (two words before; one before and one after; two after). An instance
 inside another counts neither for nor against a pattern.
-Spark scores the graph of patterns and instances in rounds:
+Spark scores the graph of patterns and instances in rounds until a round accepts
+nothing new and no confidence rises by more than ``settled``:
 
     pattern  = sum of its occurrences' confidence / (occurrences + ``doubt``),
                0 under ``support`` distinct confident instances;
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from itertools import count, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,7 +50,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 @dataclass(frozen=True)
 class Params:
-    rounds: int = 3
+    settled: float = 0.01  # rounds end when no confidence rises by more and nothing new is accepted
     support: int = 3  # distinct confident instances that a pattern needs
     doubt: float = 1.0
     accept: float = 0.8
@@ -119,7 +121,19 @@ def shape_fits(value: str, kind: str) -> bool:
 
 
 def _plain(word: str) -> str:
-    return re.sub("[0-9]", "0", word.strip(_EDGE).lower())
+    plain = re.sub("[0-9]", "0", word.strip(_EDGE).lower())
+    return plain if len(plain) <= 200 else hashlib.md5(plain.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _words_before(text: str, s: int) -> list[str]:
+    """The last two whole words before ``s``, however long they or the blanks are."""
+    reach = 200
+    while True:
+        words = _WORD.findall(text[max(0, s - reach) : s])
+        # The first word of a window may be a part, so a third shows that two are whole.
+        if len(words) > 2 or reach >= s:
+            return words[-2:]
+        reach *= 4
 
 
 # Number words of one line, with blanks or lone signs between; each is a whole word.
@@ -196,9 +210,8 @@ def occurrences(text: str, spans) -> list[tuple[int, int, str, str | None, list[
             places.append((s, e, None, 0 if nested else 1))
     out = []
     for s, e, k, n in places:
-        # Contexts reach at most two words, read from a window that holds them.
-        before = [_plain(w) for w in _WORD.findall(text[max(0, s - 200) : s])[-2:]]
-        after = [_plain(w) for w in _WORD.findall(text[e : e + 200])[:2]]
+        before = [_plain(w) for w in _words_before(text, s)]
+        after = [_plain(w[0]) for w in islice(_WORD.finditer(text, e), 2)]
         patterns = []
         if len(before) == 2:
             patterns.append("l " + " ".join(before))
@@ -243,13 +256,21 @@ def _discover(scan: DataFrame, p: Params, label: str) -> DataFrame:
     unseen = materialise(unseen.join(seeds, ["value", "as_kind"], "left_anti"), f"{label}-unseen")
     edges = graph.groupBy("pattern", "value").agg(F.sum("n").alias("n"))
     size = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
-    known = seeds
-    for k in range(p.rounds):
+    known, accepted = seeds, 0
+    # Confidences only rise from round to round, so the rounds settle.
+    for k in count():
         votes = edges.where("n > 0").join(known, "value").groupBy("pattern", "as_kind").agg(F.sum(F.col("n") * F.col("c")).alias("good"), F.sum((F.col("c") >= p.accept).cast("int")).alias("seen"))
         trust = votes.where(F.col("seen") >= p.support).join(size, "pattern").select("pattern", "as_kind", (F.col("good") / (F.col("all") + p.doubt)).alias("trust"))
         reached = edges.join(unseen, "value").join(trust, ["pattern", "as_kind"]).groupBy("value", "as_kind")
         c = reached.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6)))))).alias("c"))
-        known = materialise(seeds.unionByName(c), f"{label}-round{k}")
+        last = known.select("value", "as_kind", F.col("c").alias("last"))
+        c = seeds.unionByName(c).join(last, ["value", "as_kind"], "left")
+        known = materialise(c.select("value", "as_kind", "c", (F.col("c") - F.coalesce("last", F.lit(0.0))).alias("rise")), f"{label}-round{k}")
+        now = known.agg(F.max("rise").alias("rise"), F.sum((F.col("c") >= p.accept).cast("long")).alias("n")).first()
+        known = known.drop("rise")
+        if not now["n"] or (now["n"] == accepted and now["rise"] <= p.settled):
+            break
+        accepted = now["n"]
     return known.join(unseen, ["value", "as_kind"], "left_semi").where(F.col("c") >= p.accept).select("value", F.col("as_kind").alias("kind"))
 
 
