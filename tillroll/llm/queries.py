@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, sampled_pieces, sharding, vector_dedup
+from . import conversation_repair, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, sampled_pieces, sharding, vector_dedup
 from .common import table, vocabulary
 
 QUERIES = {}
@@ -129,3 +129,10 @@ def op1(spark, sf_dir):
 def op4(spark, sf_dir):
     """Reproducibly sampled pieces of every text, checked to decode to it."""
     return sampled_pieces.encode(table(spark, sf_dir, "documents"), sampled_pieces.Params(vocabulary("piece_bpe_32k.model")))
+
+
+@query("op11_conversation_repair", conversation_repair.ORACLE)
+def op11(spark, sf_dir):
+    """Faults and cheapest repair of every damaged conversation."""
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversations, conversation_repair.damage(conversations), label="op11")
