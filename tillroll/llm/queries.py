@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, sampled_pieces, sharding, vector_dedup
+from pyspark.sql import functions as F
+
+from . import conversation_repair, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, sampled_pieces, sharding, substring_dedup, vector_dedup
 from .common import table, vocabulary
 
 QUERIES = {}
@@ -136,3 +138,11 @@ def op11(spark, sf_dir):
     """Faults and cheapest repair of every damaged conversation."""
     conversations = table(spark, sf_dir, "conversations")
     return conversation_repair.report(conversations, conversation_repair.damage(conversations), label="op11")
+
+
+@query("op12_substring_dedup", substring_dedup.ORACLE)
+def op12(spark, sf_dir):
+    """Words left of every document after repeated passages of 50 words and more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.remove_repeats(docs, label="op12")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
