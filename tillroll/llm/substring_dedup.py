@@ -134,8 +134,8 @@ def factors(docs: DataFrame, p: Params = Params(), label: str = "repeats") -> Da
     occ = materialise(found, f"{label}-blocks")
     least = occ.groupBy("anchor").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("row", "c1", "c2") for f in (F.min, F.max)))
     least = least.where("min_row <> max_row").select("anchor", F.expr("min_c1 <> max_c1 OR min_c2 <> max_c2").alias("mixed"))
-    kept = occ.join(least, "anchor").groupBy("row", "anchor", "c1", "c2", "start", "last", "mixed").agg(F.lit(1).alias("one")).drop("one")
-    kept = materialise(kept.join(ids, "row"), f"{label}-repeated")
+    # No grouping by anchor follows this join, so Spark can split a frequent anchor.
+    kept = materialise(occ.join(least, "anchor").join(ids, "row"), f"{label}-repeated")
 
     first = kept.groupBy("anchor", "c1", "c2").agg(F.min("doc_id").alias("ref_doc"), F.min_by("start", "doc_id").alias("ref_start"))
     parsed = materialise(kept.join(first, ["anchor", "c1", "c2"]).select("row", "doc_id", "start", "last", "mixed", "ref_doc", "ref_start"), f"{label}-parsed")
@@ -179,7 +179,8 @@ def _cleaner(p: Params):
 def remove_repeats(docs: DataFrame, p: Params = Params(), label: str = "repeats") -> DataFrame:
     """``docs`` plus kept (words left, joined by one space), n_words, n_removed and
     factors (start and number of words, reference document and its first word)."""
-    parts = F.sort_array(F.collect_list(F.struct("start", "last", "ref_doc", "ref_start")))
+    # A set: equal rows found the same.
+    parts = F.sort_array(F.collect_set(F.struct("start", "last", "ref_doc", "ref_start")))
     spans = factors(docs, p, label).groupBy("doc_id", "row").agg(parts.alias("__parts"))
     spans = spans.withColumnsRenamed({"doc_id": "__d", "row": "__r"})
     base = _keyed(docs.drop("kept", "n_words", "n_removed", "factors"))
