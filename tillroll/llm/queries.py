@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import conversation_repair, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, sampled_pieces, sharding, substring_dedup, vector_dedup
+from . import conversation_repair, fingerprints, jaccard_join, language_id, line_dedup, packing, phrases, pii, quality, sampled_pieces, sharding, substring_dedup, vector_dedup
 from .common import table, vocabulary
 
 QUERIES = {}
@@ -146,3 +146,9 @@ def op12(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substring_dedup.remove_repeats(docs, label="op12")
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_phrase_collocations", phrases.ORACLE)
+def op13(spark, sf_dir):
+    """Each language's first 2000 phrases of 2 to 5 words by their score."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), label="op13")
