@@ -134,10 +134,13 @@ def factors(docs: DataFrame, p: Params = Params(), label: str = "repeats") -> Da
     occ = materialise(found, f"{label}-blocks")
     least = occ.groupBy("anchor").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("row", "c1", "c2") for f in (F.min, F.max)))
     least = least.where("min_row <> max_row").select("anchor", F.expr("min_c1 <> max_c1 OR min_c2 <> max_c2").alias("mixed"))
-    # No grouping by anchor follows this join, so Spark can split a frequent anchor.
+    # The minima are written first, and no grouping by anchor follows the join: so
+    # it reads two plain shuffles, and Spark can split a frequent anchor.
+    least = materialise(least, f"{label}-anchors")
     kept = materialise(occ.join(least, "anchor").join(ids, "row"), f"{label}-repeated")
 
     first = kept.groupBy("anchor", "c1", "c2").agg(F.min("doc_id").alias("ref_doc"), F.min_by("start", "doc_id").alias("ref_start"))
+    first = materialise(first, f"{label}-first")
     parsed = materialise(kept.join(first, ["anchor", "c1", "c2"]).select("row", "doc_id", "start", "last", "mixed", "ref_doc", "ref_start"), f"{label}-parsed")
     whole = parsed.where("doc_id > ref_doc").drop("mixed")
 
@@ -147,6 +150,7 @@ def factors(docs: DataFrame, p: Params = Params(), label: str = "repeats") -> Da
     texts = texts.select("row", "text").join(open_, "row").mapInPandas(_windows(p), "row long, c1 long, c2 long, start int")
     windows = materialise(texts.distinct().join(ids, "row"), f"{label}-windows")
     index = windows.groupBy("c1", "c2").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("most"), F.min_by("start", "doc_id").alias("ref_start")).where("ref_doc < most")
+    index = materialise(index, f"{label}-index")
     part = windows.join(index, ["c1", "c2"]).where("doc_id > ref_doc").select("row", "doc_id", "start", F.col("start").alias("last"), "ref_doc", "ref_start")
     return whole.unionByName(part)
 
