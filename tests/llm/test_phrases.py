@@ -82,11 +82,19 @@ def test_matches_plain_counting(docs, p):
     assert got == brute(rows, p.least, p.top)
     if p.fingerprint_bits < 64:
         f, _ = brute_counts(rows)
-        counts, _ = phrases.phrase_counts(docs, p, "test")
+        counts = phrases.phrase_counts(docs, p, "test")
         got = {(r.lang, tuple(r.phrase.split(" "))): r["count"] for r in counts.collect()}
         assert got == {k: a for k, a in f.items() if a >= p.least}
 
 
+def test_phrases_whose_part_was_split_otherwise_are_read_anywhere(docs, monkeypatch):
+    p = phrases.Params(least=8)
+    rows = corpus()
+    owned = phrases._owned
+    monkeypatch.setattr(phrases, "_owned", lambda prints, part: owned(prints, part + 1000))
+    assert sorted(tuple(r) for r in phrases.collocations(docs, p, "test").collect()) == brute(rows, p.least, p.top)
+
+
 def test_empty_and_small(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA), label="test").count() == 0
     few = spark.createDataFrame([(1, "one two", None, 1, "f", "d", 2, 3)], SCHEMA)

@@ -6,6 +6,7 @@ Intermediates are Parquet tables in the shared folder that the session names in
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -35,6 +36,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside drop their shuffle files when they end.
+
+    For steps whose result is written or collected at once: their files would
+    otherwise stay until the driver's garbage is collected.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # ---------------------------------------------------------------- hashing
 
 U64 = np.uint64

@@ -3,20 +3,22 @@
 Texts are read as bytes: A-Z in lower case, pieces between ``[.,;:!?]`` and line
 ends, words between spaces and tabs. Prefix polynomials over the bytes hash
 every word, and prefix polynomials over the word hashes every n-gram of up to
-five words inside a piece, language included. Tasks count equal fingerprints
-before the shuffle.
-
-Three passes read the texts. The first two count words, and bigrams of two
-frequent words; a frequent phrase holds only such. What they find frequent
-prunes the next pass through a bitmap of fixed size (``2 ** filter_bits`` bits,
-whatever the input): a bit set by chance lets a rare n-gram through, and none is
-lost. The third pass counts all n-grams left, each with an occurrence pointer
-(text hash, byte place) and a second fingerprint.
-
-Only phrases with ``least`` occurrences are read from the texts, at the first
-and the last pointer. The text must have the fingerprint, and both texts and
-all second fingerprints must agree; else two phrases share a fingerprint, and
-these (few) phrases are counted again by their text. So counts are exact.
+five words inside a piece, language included.
+
+The n-grams are counted length by length. Tasks count equal fingerprints, and
+the shuffle adds them up, with a second fingerprint and two occurrence pointers
+(the first and the last part of the input that holds one). What is frequent
+prunes the next length, because a frequent phrase holds only frequent ones, by
+a bitmap of fixed size (``2 ** filter_bits`` bits, whatever the input): a bit set
+by chance lets a rare n-gram through, and none is lost. Shuffle files of a
+length are removed when it is counted, so the disk holds one length.
+
+A last pass follows the pointers: each part reads the text of the frequent
+phrases that point to it, and no other text is written. Both texts and all
+second fingerprints of a phrase must agree; else two phrases share a
+fingerprint, and these (few) phrases are counted again by their text. So
+counts are exact. A phrase whose part holds it no more (the input was split
+otherwise) is read from any part.
 
 A phrase's score is the least ratio of its count to what its two parts predict,
 ``floor(1000 a n / (l r))`` in decimals of 38 digits, over all cuts. Phrases
@@ -36,10 +38,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, as_long, materialise, mix
+from .common import U64, as_long, freed_shuffles, materialise, mix
 from .rolling import ngram_hashes, span_hashes
 
 _SECOND = 0xC2B2AE3D27D4EB4F  # odd; the base of the second fingerprint
@@ -48,7 +51,6 @@ _FOLD[65:91] += 32
 _KIND = np.zeros(256, np.int8)  # 0 word, 1 blank, 2 end of a piece
 _KIND[[9, 32]] = 1
 _KIND[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = 2
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -70,14 +72,15 @@ class Slice:
 
     def __init__(self, lang: str, texts: list[bytes], p: Params) -> None:
         self.p = p
-        self.seed = U64(int(span_hashes(np.frombuffer(lang.encode() + b"\0", np.uint8), np.array([0]), np.array([len(lang.encode())]))[0]))
+        name = np.frombuffer(lang.encode() + b"\0", np.uint8)
+        self.seed = span_hashes(name, np.array([0]), np.array([len(name)]))[0]
         self.data = _FOLD[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
         kind = _KIND[self.data]
         edge = np.diff((kind == 0).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
         self.lo, self.hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.lo]
         self.words = span_hashes(self.data, self.lo, self.hi)
-        self.first_byte = np.cumsum([0] + [len(x) + 1 for x in texts[:-1]])
+        self.often: dict[int, np.ndarray] = {}
 
     def whole(self, n: int) -> np.ndarray:
         """Whether the n words from each word on are in one piece."""
@@ -86,14 +89,31 @@ class Slice:
         return self.piece[n - 1 :] == self.piece[: len(self.piece) - n + 1]
 
     def prints(self, n: int) -> np.ndarray:
+        """Fingerprints of the n words from each word on; n and language belong to them."""
         with np.errstate(over="ignore"):
             out = mix(ngram_hashes(self.words, n) + self.seed * U64(2 * n + 1))
         return out & U64((1 << self.p.fingerprint_bits) - 1)
 
-    def second(self, n: int) -> np.ndarray:
-        """A fingerprint of 31 bits from other hashes of bytes and words."""
+    def seconds(self, lengths: range) -> dict[int, np.ndarray]:
+        """Fingerprints of 31 bits from other hashes of the bytes and words."""
         words = span_hashes(self.data, self.lo, self.hi, _SECOND)
-        return (mix(ngram_hashes(words, n, _SECOND)) >> U64(33)).astype(np.int32)
+        with np.errstate(over="ignore"):
+            return {n: (mix(ngram_hashes(words, n, _SECOND) + self.seed * U64(2 * n + 1)) >> U64(33)).astype(np.int32) for n in lengths}
+
+    def able(self, n: int, known: dict[int, Bitmap]) -> np.ndarray:
+        """Whether the n words from each word on may be a frequent phrase: they are
+        in one piece, and all shorter phrases in them that are known are frequent."""
+        on = self.whole(n).copy()
+        for k in sorted(known):
+            if k < n and len(on):
+                if k not in self.often:
+                    self.often[k] = known[k].has(self.prints(k))
+                for i in range(n - k + 1):
+                    on &= self.often[k][i : i + len(on)]
+        return on
+
+    def text(self, i: int, n: int) -> bytes:
+        return b" ".join(self.data[self.lo[i] : self.hi[i + n - 1]].tobytes().split())
 
 
 class Bitmap:
@@ -107,147 +127,100 @@ class Bitmap:
         return (self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
 
 
-def _slices(frames: Iterable[pd.DataFrame], p: Params) -> Iterator[tuple[str, Slice, np.ndarray]]:
-    """Texts of one language, as many as fit a slice, with their hashes."""
+def _slices(frames: Iterable[pd.DataFrame], p: Params) -> Iterator[tuple[str, Slice]]:
+    """Texts of one language, as many as fit a slice."""
     for frame in frames:
         for lang, part in frame.groupby("lang", sort=False):
-            texts, docs, size = [], [], 0
-            for doc, text in zip(part["doc"].tolist(), part["text"]):
+            texts, size = [], 0
+            for text in part["text"]:
                 data = text.encode()
                 if texts and size + len(data) > p.slice_bytes:
-                    yield lang, Slice(lang, texts, p), np.array(docs)
-                    texts, docs, size = [], [], 0
+                    yield lang, Slice(lang, texts, p)
+                    texts, size = [], 0
                 texts.append(data)
-                docs.append(doc)
                 size += len(data) + 1
             if texts:
-                yield lang, Slice(lang, texts, p), np.array(docs)
+                yield lang, Slice(lang, texts, p)
+
 
+_COUNTS = "fp long, count long, check int, part int"
 
-def _sums(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _summed(prints: np.ndarray, counts: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal fingerprints; those with two checks keep a row for each."""
     order = np.argsort(prints)
-    prints = prints[order]
-    new = np.flatnonzero(np.diff(prints, prepend=prints[:1] + U64(1)) != 0)
-    return prints[new], np.add.reduceat(counts[order], new)
+    prints, counts, checks = prints[order], counts[order], checks[order]
+    new = np.ones(len(prints), bool)
+    new[1:] = (prints[1:] != prints[:-1]) | (checks[1:] != checks[:-1])
+    at = np.flatnonzero(new)
+    return prints[at], np.add.reduceat(counts, at), checks[at]
 
 
-def _counter(p: Params, n: int, filters: Callable[[], dict[int, Bitmap]]):
-    """(fp, count) of n-grams (n is 1 or 2) whose words are frequent."""
+def _counter(p: Params, lengths: range, filters: Callable[[], dict[int, Bitmap]]):
+    """Fingerprints of the n-grams that may be frequent, counted in the task."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, known = [], 0, filters()
-
-        def combined():
-            prints, counts = _sums(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
-            return [(prints, counts)], len(prints)
-
-        for _, s, _ in _slices(frames, p):
-            on = s.whole(n)
-            if n == 2 and len(on):
-                often = known[1].has(s.prints(1))
-                on = on & often[:-1] & often[1:]
-            prints = s.prints(n)[on]
-            if not len(prints):
-                continue
-            held.append(_sums(prints, np.ones(len(prints), np.int64)))
-            size += len(held[-1][0])
+        held, size, known, part = [], 0, filters(), TaskContext.get().partitionId()
+
+        def frame(x) -> pd.DataFrame:
+            return pd.DataFrame({"fp": as_long(x[0]), "count": x[1], "check": x[2], "part": np.int32(part)})
+
+        for _, s in _slices(frames, p):
+            checks = s.seconds(lengths)
+            for n in lengths:
+                at = np.flatnonzero(s.able(n, known))
+                if len(at):
+                    held.append(_summed(s.prints(n)[at], np.ones(len(at), np.int64), checks[n][at]))
+                    size += len(held[-1][0])
             if size > p.held:
-                held, size = combined()
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
                 if size > p.held // 2:
-                    yield pd.DataFrame({"fp": as_long(held[0][0]), "count": held[0][1]})
+                    yield frame(held[0])
                     held, size = [], 0
         if held:
-            held, _ = combined()
-            yield pd.DataFrame({"fp": as_long(held[0][0]), "count": held[0][1]})
+            yield frame(_summed(*map(np.concatenate, zip(*held))))
 
     return run
 
 
-_SEEN = "lang string, n int, fp long, count long, check int, mixed boolean, doc long, place long"
-
-
-def _pointers(p: Params, filters: Callable[[], dict[int, Bitmap]]):
-    """Counts, pointers and second fingerprints of n-grams that may be frequent.
-
-    Rows with n = 0 count all words of a language. ``place`` is the first byte
-    times 2 ** 32 plus the number of bytes.
-    """
-    columns = ["count", "check", "mixed", "doc", "place"]
-
-    def combined(held: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-        order = np.lexsort((rows["fp"].to_numpy(), rows["n"].to_numpy(), rows["lang"].cat.codes.to_numpy() if rows["lang"].dtype == "category" else pd.factorize(rows["lang"])[0]))
-        rows = rows.take(order)
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows["fp"].to_numpy()[1:] != rows["fp"].to_numpy()[:-1]) | (rows["n"].to_numpy()[1:] != rows["n"].to_numpy()[:-1]) | (rows["lang"].to_numpy()[1:] != rows["lang"].to_numpy()[:-1])
-        at = np.flatnonzero(new)
-        out = rows.iloc[at].copy()
-        check = rows["check"].to_numpy()
-        out["count"] = np.add.reduceat(rows["count"].to_numpy(), at)
-        out["mixed"] = np.logical_or.reduceat(rows["mixed"].to_numpy(), at) | (np.maximum.reduceat(check, at) != np.minimum.reduceat(check, at))
-        return out
+def _totals(p: Params):
+    """(lang, total): the words of each language."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, known = [], 0, filters()
-        for lang, s, docs in _slices(frames, p):
-            held.append(pd.DataFrame({"lang": [lang], "n": np.int32(0), "fp": np.int64(0), "count": len(s.lo), "check": np.int32(0), "mixed": False, "doc": np.int64(0), "place": np.int64(0)}))
-            one, two = known[1].has(s.prints(1)), None
-            for n in range(1, p.longest + 1):
-                on = s.whole(n).copy()
-                if not len(on):
-                    break
-                prints = s.prints(n)
-                if n == 1:
-                    on &= one
-                elif n == 2:
-                    two = on & one[:-1] & one[1:]
-                    two[two] = known[2].has(prints[two])
-                    on = two
-                else:
-                    for k in range(n - 1):
-                        on &= two[k : k + len(on)]
-                at = np.flatnonzero(on)
-                if not len(at):
-                    continue
-                order = at[np.argsort(prints[at], kind="stable")]
-                sorted_ = prints[order]
-                new = np.flatnonzero(np.diff(sorted_, prepend=sorted_[:1] + U64(1)) != 0)
-                check = s.second(n)[order]
-                first = order[new]
-                lo = s.lo[first]
-                text = np.searchsorted(s.first_byte, lo, side="right") - 1
-                held.append(pd.DataFrame({
-                    "lang": lang, "n": np.int32(n), "fp": as_long(sorted_[new]), "count": np.diff(np.append(new, len(order))), "check": check[new],
-                    "mixed": np.minimum.reduceat(check, new) != np.maximum.reduceat(check, new), "doc": docs[text],
-                    "place": ((lo - s.first_byte[text]) << 32) + s.hi[first + n - 1] - lo,
-                }))
-                size += len(new)
-            if size > p.held:
-                held = [combined(held)]
-                size = len(held[0])
-                if size > p.held // 2:
-                    yield held[0][["lang", "n", "fp", *columns]]
-                    held, size = [], 0
-        if held:
-            yield combined(held)[["lang", "n", "fp", *columns]]
+        found: Counter = Counter()
+        for lang, s in _slices(frames, p):
+            found[lang] += len(s.lo)
+        yield pd.DataFrame({"lang": list(found), "total": list(found.values())}).astype({"lang": object, "total": np.int64})
 
     return run
 
 
-def _matching(p: Params):
-    """Phrases whose text has their fingerprint."""
+def _owned(prints: np.ndarray, part: int) -> np.ndarray:
+    """Fingerprints of (phrase, part), for the bitmap of pointers."""
+    with np.errstate(over="ignore"):
+        return mix(prints + mix(np.array([part], U64))[0])
+
+
+def _reader(p: Params, filters: Callable[[], dict[int, Bitmap]], anywhere: bool):
+    """(lang, n, fp, phrase) of the phrases that point to this part, once each."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            good = np.zeros(len(frame), bool)
-            for (lang, n), part in frame.groupby(["lang", "n"], sort=False):
-                s = Slice(lang, [x.encode() for x in part["phrase"]], p)
-                first = np.searchsorted(s.lo, s.first_byte)
-                right = np.append(first[1:], len(s.lo)) - first == n
-                prints = as_long(s.prints(n))
-                right[right] = prints[first[right]] == part["fp"].to_numpy()[right] if len(prints) else False
-                good[frame.index.get_indexer(part.index)] = right
-            yield frame[good]
+        known, part, done = filters(), TaskContext.get().partitionId(), set()
+        wanted = known.pop(0)
+        for lang, s in _slices(frames, p):
+            rows = []
+            for n in range(1, p.longest + 1):
+                prints = s.prints(n)
+                at = np.flatnonzero(s.able(n, known))
+                at = at[wanted.has(prints[at] if anywhere else _owned(prints[at], part))]
+                fps, first = np.unique(prints[at], return_index=True)
+                for fp, i in zip(as_long(fps).tolist(), at[first].tolist()):
+                    if (fp, min(n, 4)) not in done:
+                        done.add((fp, min(n, 4)))
+                        rows.append((lang, n, fp, s.text(i, n).decode()))
+            if rows:
+                yield pd.DataFrame(rows, columns=["lang", "n", "fp", "phrase"])
 
     return run
 
@@ -257,13 +230,12 @@ def _by_text(p: Params, filters: Callable[[], dict[int, Bitmap]]):
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = filters()
-        for lang, s, _ in _slices(frames, p):
+        for lang, s in _slices(frames, p):
             found: Counter = Counter()
-            data = s.data.tobytes()
             for n in range(1, p.longest + 1):
                 prints = s.prints(n)
                 for i in np.flatnonzero(s.whole(n) & known[0].has(prints)) if len(prints) else ():
-                    found[n, int(prints[i]), b" ".join(data[s.lo[i] : s.hi[i + n - 1]].split())] += 1
+                    found[n, int(prints[i]), s.text(i, n)] += 1
             if found:
                 keys = list(found)
                 fp = np.array([k[1] for k in keys], U64)
@@ -275,62 +247,81 @@ def _by_text(p: Params, filters: Callable[[], dict[int, Bitmap]]):
 # ---------------------------------------------------------------- on Spark
 
 
-def _bitmap(prints: DataFrame, p: Params):
-    """A broadcast bitmap of the fingerprints in column ``fp``: 2 ** filter_bits bits."""
+def _bitmap(prints: DataFrame, p: Params, owned: bool = False):
+    """A broadcast bitmap of the fingerprints in column ``fp`` (with their ``part``,
+    if ``owned``): 2 ** filter_bits bits."""
     spark, width = prints.sparkSession, p.filter_bits
 
     def places(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            at = mix(frame["fp"].to_numpy(np.int64).view(U64)) >> U64(64 - width)
+            fp = frame["fp"].to_numpy(np.int64).view(U64)
+            if owned:
+                fp = mix(fp + mix(frame["part"].to_numpy(np.int64).view(U64)))
+            at = mix(fp) >> U64(64 - width)
             yield pd.DataFrame({"word": (at >> U64(6)).astype(np.int64), "bit": as_long(U64(1) << (at & U64(63)))})
 
-    rows = prints.select("fp").mapInPandas(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    prints = prints.select("fp", F.col("part").cast("long").alias("part")) if owned else prints.select("fp")
+    with freed_shuffles(spark):
+        rows = prints.mapInPandas(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(1 << (width - 6), U64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(U64)
     return spark.sparkContext.broadcast(words)
 
 
-def _filters(p: Params, **shared) -> Callable[[], dict[int, Bitmap]]:
-    return lambda: {int(k[1:]): Bitmap(b.value, p.filter_bits) for k, b in shared.items()}
-
-
-def phrase_counts(docs: DataFrame, p: Params = Params(), label: str = "phrases") -> tuple[DataFrame, DataFrame]:
-    """(lang, n, phrase, count) of all phrases with ``least`` occurrences, and
-    (lang, total): the words of each language."""
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.xxhash64("text").alias("doc"), "text").where("text IS NOT NULL")
-    often = lambda df: df.groupBy("fp").agg(F.sum("count").alias("count")).where(F.col("count") >= p.least)
-    one = _bitmap(often(texts.mapInPandas(_counter(p, 1, lambda: {}), "fp long, count long")), p)
-    two = _bitmap(often(texts.mapInPandas(_counter(p, 2, _filters(p, f1=one)), "fp long, count long")), p)
-
-    seen = texts.mapInPandas(_pointers(p, _filters(p, f1=one, f2=two)), _SEEN)
-    sums = seen.groupBy("lang", "n", "fp").agg(
-        F.sum("count").alias("count"),
-        F.min("check").alias("low"), F.max("check").alias("high"), F.max("mixed").alias("mixed"),
-        F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"), F.max("doc").alias("doc2"), F.max_by("place", "doc").alias("place2"),
+def _filters(p: Params, shared: dict) -> Callable[[], dict[int, Bitmap]]:
+    return lambda: {n: Bitmap(b.value, p.filter_bits) for n, b in shared.items()}
+
+
+def phrase_counts(docs: DataFrame, p: Params = Params(), label: str = "phrases") -> DataFrame:
+    """(lang, n, phrase, count) of all phrases with ``least`` occurrences."""
+    texts = _texts(docs)
+    known, levels = {}, []
+    for lengths in [range(n, n + 1) for n in range(1, min(p.longest, 3) + 1)] + [range(4, p.longest + 1)]:
+        if not len(lengths):
+            continue
+        counted = texts.mapInPandas(_counter(p, lengths, _filters(p, dict(known))), _COUNTS)
+        sums = counted.groupBy("fp").agg(
+            F.sum("count").alias("count"), F.min("check").alias("low"), F.max("check").alias("high"), F.min("part").alias("part"), F.max("part").alias("last")
+        )
+        with freed_shuffles(docs.sparkSession):
+            levels.append(materialise(sums.where(F.col("count") >= p.least).withColumn("level", F.lit(lengths[0])), f"{label}-{lengths[0]}"))
+        known[lengths[0]] = _bitmap(levels[-1], p)
+    frequent = levels[0]
+    for level in levels[1:]:
+        frequent = frequent.unionByName(level)
+
+    # Follow the pointers; a phrase that its part holds no more is read anywhere.
+    key = ["fp", "level"]
+    pointers = frequent.select("fp", F.explode(F.array_distinct(F.array("part", "last"))).alias("part"))
+
+    def of_level(mapper, schema: str) -> DataFrame:
+        return texts.mapInPandas(mapper, schema).withColumn("level", F.least("n", F.lit(4)))
+
+    read_schema = "lang string, n int, fp long, phrase string"
+    read = of_level(_reader(p, _filters(p, known | {0: _bitmap(pointers, p, owned=True)}), False), read_schema)
+    read = materialise(read.join(frequent.select(key), key, "left_semi"), f"{label}-read")
+    lost = frequent.join(read, key, "left_anti").select(key)
+    if not lost.isEmpty():
+        more = of_level(_reader(p, _filters(p, known | {0: _bitmap(lost, p)}), True), read_schema)
+        read = read.unionByName(more.join(lost, key, "left_semi"))
+
+    same = (F.col("low") == F.col("high")) & (F.col("phrase") == F.col("other")) & (F.col("forms") == 1)
+    read = read.groupBy(key).agg(
+        F.min("lang").alias("lang"), F.min("n").alias("n"), F.min("phrase").alias("phrase"), F.max("phrase").alias("other"),
+        F.count_distinct(F.struct("lang", "n")).alias("forms"),
     )
-    frequent = materialise(sums.where(f"count >= {p.least} OR n = 0"), f"{label}-frequent")
-    totals = frequent.where("n = 0").select("lang", F.col("count").alias("total"))
-
-    # Texts at the pointers: equal texts are one, and go where their pointers are.
-    pointer = lambda d, x: F.struct("lang", "n", "fp", F.col(d).alias("doc"), F.col(x).alias("place"))
-    wanted = frequent.where("n > 0").select(F.inline(F.array_distinct(F.array(pointer("doc", "place"), pointer("doc2", "place2")))))
-    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("lang", "n", "fp", "place")).alias("at"))
-    held = texts.select("doc", F.translate("text", _UPPER, _LOWER).cast("binary").alias("bytes")).dropDuplicates(["doc"]).join(wanted, "doc")
-    held = held.select("bytes", F.explode("at").alias("a")).select("a.*", F.expr("substring(bytes, int(shiftright(a.place, 32)) + 1, int(a.place & 4294967295L))").cast("string").alias("raw"))
-    read = held.select("lang", "n", "fp", F.regexp_replace("raw", "[ \t]+", " ").alias("phrase"))
-    read = read.mapInPandas(_matching(p), "lang string, n int, fp long, phrase string")
-    read = read.groupBy("lang", "n", "fp").agg(F.min("phrase").alias("phrase"), F.max("phrase").alias("other"))
-
-    checked = frequent.where("n > 0").join(read, ["lang", "n", "fp"], "left")
-    right = ~F.col("mixed") & (F.col("low") == F.col("high")) & F.coalesce(F.col("phrase") == F.col("other"), F.lit(False))
-    checked = materialise(checked.select("lang", "n", "fp", "phrase", "count", right.alias("right")), f"{label}-checked")
+    checked = materialise(frequent.join(read, key).select(*key, "lang", "n", "phrase", "count", same.alias("right")), f"{label}-checked")
     counts = checked.where("right").select("lang", "n", "phrase", "count")
-    shared = checked.where("NOT right").select("lang", "n", "fp")
+    shared = checked.where("NOT right").select(key)
     if not shared.isEmpty():
-        again = texts.mapInPandas(_by_text(p, _filters(p, f0=_bitmap(shared, p))), "lang string, n int, fp long, phrase string, count long")
-        again = again.join(shared, ["lang", "n", "fp"], "left_semi").groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count"))
+        again = of_level(_by_text(p, _filters(p, {0: _bitmap(shared, p)})), "lang string, n int, fp long, phrase string, count long")
+        again = again.join(shared, key, "left_semi").groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count"))
         counts = counts.unionByName(again.where(F.col("count") >= p.least))
-    return materialise(counts, f"{label}-counts"), totals
+    return materialise(counts, f"{label}-counts")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
 
 
 def _part(first: Column, words: Column) -> Column:
@@ -339,7 +330,8 @@ def _part(first: Column, words: Column) -> Column:
 
 def collocations(docs: DataFrame, p: Params = Params(), label: str = "phrases") -> DataFrame:
     """Each language's ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    counts, totals = phrase_counts(docs, p, label)
+    counts = phrase_counts(docs, p, label)
+    totals = _texts(docs).mapInPandas(_totals(p), "lang string, total long").groupBy("lang").agg(F.sum("total").alias("total"))
     phrases = counts.where("n > 1").select("lang", F.col("n").alias("size"), "phrase", F.col("count").alias("a"), F.split("phrase", " ").alias("words"))
 
     # Longer phrases that a phrase never occurs without.
@@ -360,17 +352,11 @@ def collocations(docs: DataFrame, p: Params = Params(), label: str = "phrases")
 
     # A part of each language is cut to its first rows before the whole is ranked.
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(_over(by, order)).cast("long")).where(F.col("rank") <= p.top)
+    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= p.top)
     best = ranked(best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64))), "lang", "part").drop("rank", "part")
     return ranked(best, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def _over(by, order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by).orderBy(*order)
-
-
 #: The same counts and scores for DuckDB.
 ORACLE = r"""
 WITH pieces AS (
