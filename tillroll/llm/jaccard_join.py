@@ -24,7 +24,8 @@ Steps, all as Spark jobs over the whole table:
 6. Components by large-star / small-star steps.
 
 Defined results: null, empty or blank texts have no set (n_shingles 0) and are
-a component of their own; rows with one doc_id are one node; a null doc_id
+a component of their own; rows with one doc_id are one document, with the links
+of all their texts; a null doc_id
 links with nothing and has a null component; other columns are ignored.
 """
 
@@ -68,7 +69,7 @@ def _profiles(docs: DataFrame, p: Params) -> DataFrame:
     def run(frames):
         for frame in frames:
             sets = list(_sets(frame["text"], p))
-            made = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets]})
+            made = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "hash": frame["hash"], "n_shingles": [len(s) for s in sets]})
             with np.errstate(over="ignore"):
                 made["sum_a"] = as_long(np.array([s.sum(dtype=U64) for s in sets], U64))
                 made["sum_b"] = as_long(np.array([mix(s).sum(dtype=U64) for s in sets], U64))
@@ -84,7 +85,7 @@ def _profiles(docs: DataFrame, p: Params) -> DataFrame:
                 made.at[made.index[0], "counts"] = n[keep]
             yield made
 
-    shape = "doc_id long, n_shingles long, sum_a long, sum_b long, tokens array<long>, counts array<long>"
+    shape = "doc_id long, hash long, n_shingles long, sum_a long, sum_b long, tokens array<long>, counts array<long>"
     return docs.mapInPandas(run, shape)
 
 
@@ -222,18 +223,23 @@ def _checked(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, p: Params = Params(), label: str = "jaccard") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     profiles = materialise(_profiles(docs, p), f"{label}-profiles")
-    sets = profiles.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "sum_a", "sum_b")
 
+    # A node is a text of a doc_id: rows that repeat a doc_id with other texts are
+    # compared on their own and meet again when links are written.
     same = ["n_shingles", "sum_a", "sum_b"]
-    first = sets.groupBy(*same).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("other")).where("b <> other")
-    copies = sets.join(first, same).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    nodes = profiles.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "hash", *same).distinct()
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), f"{label}-nodes")
+    first = nodes.groupBy(*same).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("other"), F.min_by("node", "doc_id").alias("node"))
+    first = materialise(first, f"{label}-first-of-set")
+    copies = nodes.drop("node").join(first.where("b <> other").drop("node"), same).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     copies = materialise(copies, f"{label}-copies")
 
-    chosen = docs.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    chosen = chosen.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    features = materialise(_features(chosen, _frequent_tokens(profiles, p), p), f"{label}-features")
+    # From here on, ``doc_id`` is the node of the first text of each set.
+    chosen = nodes.join(first.select("node"), "node", "left_semi").select("doc_id", "hash", "node")
+    texts_of = lambda some: docs.join(some, ["doc_id", "hash"]).drop("doc_id", "hash").withColumnRenamed("node", "doc_id")
+    features = materialise(_features(texts_of(chosen), _frequent_tokens(profiles, p), p), f"{label}-features")
 
     # Prefix tokens that two documents of near sizes share.
     step = float(np.log(p.den / p.num)) * 1.0001  # linked sizes are at most one bucket apart
@@ -245,7 +251,8 @@ def jaccard_classes(docs: DataFrame, p: Params = Params(), label: str = "jaccard
     near = tokens.groupBy("token", "bucket").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
     tokens = materialise(tokens.join(near.select("token", "bucket"), ["token", "bucket"]), f"{label}-tokens")
     needed = features.join(tokens.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "keys", "bits")
-    texts = materialise(docs.join(needed.dropDuplicates(["doc_id"]), "doc_id"), f"{label}-texts")
+    needed = needed.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+    texts = materialise(texts_of(chosen.join(needed, "node")), f"{label}-texts")
 
     firsts = texts.select("doc_id", F.posexplode("keys").alias("slot", "key"))
     groups = firsts.groupBy("slot", "key").agg(F.count("*").alias("members")).where("members > 1")
@@ -262,6 +269,8 @@ def jaccard_classes(docs: DataFrame, p: Params = Params(), label: str = "jaccard
     pairs = materialise(_candidates(rows, p), f"{label}-pairs")
     more = _checked(pairs, texts.select("doc_id", "text"), p)
 
-    every = components(links.unionByName(more).unionByName(copies), label).withColumnRenamed("node", "doc_id")
+    name = lambda end: nodes.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_doc"))
+    linked = links.unionByName(more).join(name("a"), "a").join(name("b"), "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+    every = components(linked.unionByName(copies), label).withColumnRenamed("node", "doc_id")
     every = every.withColumnRenamed("component", "component_id")
     return profiles.select("doc_id", "n_shingles").join(every, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -18,8 +18,10 @@ neighbouring lines with words, and the blank lines between them, as a run. A
 repeated passage of two or more lines holds its own runs wherever it stands, so
 it goes whole, whatever surrounds it. Runs are equal by SHA-256 of their bytes.
 A line leaves a place only if the same line stands at an earlier place of its
-run, so the first copy of every line stays. ``remove_repeated_chunks`` keeps
-the rule of ``ORACLE``.
+run, so the first copy of every line stays. Neighbouring lines that would go
+are one passage, and it goes only from ``passage_words`` words on: closing
+braces, short answers and refrains that many texts share stay.
+``remove_repeated_chunks`` keeps the rule of ``ORACLE``.
 
 Defined results: a null text stays null with 0 lines; an empty text has one
 empty line; rows with equal doc_id and text are one document (equal results);
@@ -31,7 +33,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -41,6 +43,7 @@ from .common import materialise
 class Params:
     divisor: int = 2  # expected lines between hash boundaries
     long_words: int = 40  # a line from this many words is a chunk alone
+    passage_words: int = 30  # a repeated passage with fewer words stays (remove_repeated_passages)
 
 
 def _line_hash(line: Column) -> Column:
@@ -88,46 +91,60 @@ def remove_repeated_chunks(docs: DataFrame, p: Params = Params(), label: str = "
     copies = materialise(chunks.join(repeated, "h"), label)
     keeper = copies.groupBy("h", "chunk").agg(F.min(place).alias("keep"))
     gone = copies.join(keeper, ["h", "chunk"]).where(place != F.col("keep"))
-    cuts = gone.groupBy("d", "t").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
+    cuts = gone.groupBy("d", "t").agg(F.collect_set(F.struct("first", "last")).alias("__found"))
 
     base = docs.drop("n_lines", "lines_removed", "chunks_removed").withColumn("__t", F.md5("text"))
     out = base.join(cuts.withColumnsRenamed({"d": "__d", "t": "__k"}), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__k")), "left")
-    cuts_of = F.coalesce("cuts", F.expr("array()").cast("array<struct<first:int,last:int>>"))
+    cuts_of = F.coalesce("__found", F.expr("array()").cast("array<struct<first:int,last:int>>"))
     lines = F.split("text", "\n", -1)
-    out = out.withColumn("__cuts", cuts_of)
-    kept = F.filter(lines, lambda x, i: ~F.exists("__cuts", lambda c: (i + 1 >= c["first"]) & (i + 1 <= c["last"])))
+    out = out.withColumn("__cuts", F.sort_array(cuts_of))
+    # Chunks of a text do not overlap, so what is kept are the slices between them.
+    bounds = F.transform("__cuts", lambda c, k: F.struct(F.when(k > 0, F.element_at("__cuts", F.greatest(k, F.lit(1)))["last"]).otherwise(0).alias("after"), c["first"].alias("before")))
+    bounds = F.concat(bounds, F.array(F.struct(F.element_at("__cuts", -1)["last"].alias("after"), (F.size(lines) + 1).alias("before"))))
+    kept = F.flatten(F.transform(bounds, lambda b: F.slice(lines, b["after"] + 1, b["before"] - b["after"] - 1)))
     out = out.withColumn("chunks_removed", F.size("__cuts").cast("bigint"))
     out = out.withColumn("lines_removed", F.aggregate("__cuts", F.lit(0).cast("bigint"), lambda s, c: s + c["last"] - c["first"] + 1))
     out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint"))
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("bigint"))
     out = out.withColumn("text", F.when(F.size("__cuts") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return out.drop("__t", "__d", "__k", "__cuts", "cuts")
+    return out.drop("__t", "__d", "__k", "__cuts", "__found")
 
 
 _BLANK = " \t\r\x0b\f"
 
 
+def _word_counts(lines: Column) -> Column:
+    """Words of each line; 0 for blank lines."""
+    return F.transform(lines, lambda x: F.size(F.filter(F.split(x, f"[{_BLANK}]+"), lambda w: w != "")))
+
+
 def _runs(rows: DataFrame, p: Params) -> DataFrame:
-    """(d, t, n, first, last, run): chunks, and lines with words up to the next such line."""
+    """(d, t, n, first, words, run): chunks, and lines with words up to the next such line."""
     chunks = _spans(p)
     worded = F.filter(F.transform("lines", lambda x, i: F.when(F.btrim(x, F.lit(_BLANK)) != "", i + 1)), lambda i: i.isNotNull())
     rows = rows.select("d", "t", "lines", chunks.alias("chunks"), worded.alias("worded"))
     pairs = F.zip_with("worded", F.slice("worded", 2, F.greatest(F.size("worded"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("last")))
     spans = F.array_distinct(F.concat("chunks", F.filter(pairs, lambda s: s["last"].isNotNull())))
     cut = rows.select("d", "t", "lines", F.explode(spans).alias("s"))
-    run = F.array_join(F.slice("lines", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1), "\n")
-    return cut.select("d", F.xxhash64("t").alias("t"), F.size("lines").alias("n"), F.col("s.first").alias("first"), F.col("s.last").alias("last"), F.unhex(F.sha2(run, 256)).alias("run"))
+    lines = F.slice("lines", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1)
+    run = F.array_join(lines, "\n")
+    return cut.select("d", F.xxhash64("t").alias("t"), F.size("lines").alias("n"), F.col("s.first").alias("first"), _word_counts(lines).alias("words"), F.unhex(F.sha2(run, 256)).alias("run"))
 
 
 def remove_repeated_passages(docs: DataFrame, p: Params = Params(), label: str = "passages") -> DataFrame:
-    """``docs`` with text cleaned of all lines in repeated runs."""
+    """``docs`` with text cleaned of all passages of repeated runs."""
     runs = _runs(_lines(docs, p), p).withColumn("h", F.xxhash64("run"))
     place = F.struct("d", "t", "first")
     repeated = runs.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h")
     copies = materialise(runs.join(repeated, "h"), label)
     keeper = copies.groupBy("run").agg(F.min(place).alias("keep"))
     gone = copies.join(keeper, "run").where(place != F.col("keep"))
-    gone = gone.select("d", "t", "n", F.explode(F.sequence("first", "last")).alias("i")).groupBy("d", "t").agg(F.max("n").alias("n"), F.collect_set("i").alias("gone"))
+    gone = gone.select("d", "t", "n", "first", F.posexplode("words").alias("k", "words")).groupBy("d", "t", (F.col("first") + F.col("k")).alias("i")).agg(F.max("n").alias("n"), F.max("words").alias("words"))
+    # Neighbouring lines are a passage (one text's lines at most in a window).
+    in_text = Window.partitionBy("d", "t").orderBy("i")
+    gone = gone.withColumn("passage", F.col("i") - F.row_number().over(in_text))
+    gone = gone.withColumn("words", F.sum("words").over(Window.partitionBy("d", "t", "passage"))).where(F.col("words") >= p.passage_words)
+    gone = gone.groupBy("d", "t").agg(F.max("n").alias("n"), F.collect_set("i").alias("gone"))
     # A mark for each line, in order, so that a text is cut in linear time.
     stays = F.array_except(F.sequence(F.lit(1), F.col("n")), "gone")
     mark = lambda lines, kept: F.transform(lines, lambda i: F.struct(i.alias("i"), F.lit(kept).alias("kept")))
