@@ -1,5 +1,5 @@
-"""The text jobs that have no SQL oracle (look-behind patterns, character
-offsets), checked whole against a brute force over the same small fixture:
+"""The text jobs with look-behind patterns and character offsets, checked whole
+against a brute force over the same small fixture:
 every text is collected and processed in plain Python, with Python's own
 regex engine standing in for the JVM expressions, and the near-equality
 support check done pair by pair."""
@@ -12,7 +12,6 @@ import __spark_entry__ as entry
 from tillroll.functions import text as tx
 from tillroll.operators import textjobs
 from tillroll.sources.tables import read_table
-from tillroll.sources.warehouse import warehouse
 
 QUERIES = entry.queries()
 
@@ -141,64 +140,85 @@ def test_number_tokens_whole_job(spark, sf_dir, docs):
     assert want and got == want
 
 
-def test_undeclared_numbers_whole_job(spark, sf_dir, docs, declared):
+@pytest.fixture(scope="module")
+def prose(spark, sf_dir, docs):
+    from tillroll.plans.q_evidence import claims_table
+
+    claims = claims_table(spark, sf_dir).select("claim_id", "text").collect()
+    return [(f"doc:{d}", t) for d, t in docs] + [(f"claim:{r.claim_id}", r.text) for r in claims]
+
+
+@pytest.fixture(scope="module")
+def label_pattern(spark, sf_dir):
+    from tillroll.plans.q_evidence import evidence_table
+
+    parts = []
+    for r in evidence_table(spark, sf_dir).select("label_key", "row").distinct().collect():
+        name = re.escape(r.row)
+        parts.append(rf"customer(?:[ _]id)?\s+{name}(?:\.0+)?" if r.label_key == "customer_id" else name)
+    return re.compile(r"(?<!\w)(?:" + "|".join(sorted(parts, key=len, reverse=True)) + r")(?!\w)", re.I)
+
+
+def _unsupported(text, values, label_pattern):
+    inside = [m.span() for m in label_pattern.finditer(text)]
+    return [
+        s for s in _spans(text)
+        if not s["date_context"] and not any(a <= s["start"] and s["end"] <= b for a, b in inside) and not _declared_hit(s["value"], values)
+    ]
+
+
+def test_undeclared_numbers_whole_job(spark, sf_dir, prose, declared, label_pattern):
     got = sorted(
-        (r.doc_id, r.start, r.token, r.value) for r in QUERIES["text_undeclared_numbers"](spark, sf_dir).collect()
+        (r.text_id, r.start, r.token, r.value) for r in QUERIES["text_undeclared_numbers"](spark, sf_dir).collect()
     )
     want = sorted(
         (d, s["start"], s["token"], s["value"])
-        for d, t in docs if t
-        for s in _spans(_drop_calls(t))
-        if not s["date_context"] and not _declared_hit(s["value"], declared)
+        for d, t in prose if t
+        for s in _unsupported(_drop_calls(t), declared, label_pattern)
     )
     assert want and got == want
 
 
-def test_redact_numbers_whole_job(spark, sf_dir, docs, supported):
-    got = {r.doc_id: r.text for r in QUERIES["text_redact_numbers"](spark, sf_dir).collect()}
+def test_redact_numbers_whole_job(spark, sf_dir, prose, supported, label_pattern):
+    got = {r.text_id: r.text for r in QUERIES["text_redact_numbers"](spark, sf_dir).collect()}
     want = {}
-    for d, t in docs:
+    for d, t in prose:
         if t is None:
             want[d] = None
             continue
         clean = _findings(t)
         out, pos = [], 0
-        for s in _spans(clean):
-            if s["date_context"] or _declared_hit(s["value"], supported):
-                continue
+        for s in _unsupported(clean, supported, label_pattern):
             out.append(clean[pos:s["start"]] + "[unverified]")
             pos = s["end"]
         want[d] = "".join(out) + clean[pos:]
     assert got == want
 
 
+def test_numbers_inside_labels(spark):
+    labels = spark.createDataFrame(
+        [("country", "Route 66"), ("country", "66"), ("invoice_month", "2001-07"), ("customer_id", "18102"), ("stock_code", "85123A"), ("stock_code", "22423"), ("country", None)],
+        "label_key string, row string",
+    )
+    texts = [
+        "Route 66 made 66", "ROUTE 66 and route 666", "customer 18102 and 18102", "Customer_ID  18102.0 but 18102.5", "customer id 18102.00, customers 18102",
+        "code 85123A", "stock code 22423, product code 22423, 22423", "\u0130 customer 18102 x 7", "2001-07 and 7", "", None, "Route 66 " * 3000 + "12",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    none = spark.createDataFrame([], "value double")
+    got = {}
+    for r in textjobs.undeclared_numbers(df, "id", "text", none, "value", labels).collect():
+        got.setdefault(r.id, []).append((r.start, r.token))
+    assert {k: [t for _, t in sorted(v)] for k, v in got.items()} == {
+        0: ["66"], 1: ["666"], 2: ["18102"], 3: ["18102.5"], 4: ["18102"], 6: ["22423"], 7: ["7"], 8: ["7"], 11: ["12"],
+    }
+
+
 def test_requested_periods_whole_job(spark, sf_dir, docs):
     got = {r.doc_id: list(r.periods) for r in QUERIES["text_requested_periods"](spark, sf_dir).collect()}
     assert got == {d: _periods(t) for d, t in docs}
 
 
-def test_country_mentions_whole_job(spark, sf_dir):
-    from tillroll.plans.q_evidence import claims_table
-
-    countries = sorted(
-        {r.country for r in warehouse(spark, sf_dir).dim_customer.select("country").collect() if r.country}
-    )
-    mentions = tx.country_matcher(countries)
-    texts = [(r.claim_id, r.text) for r in claims_table(spark, sf_dir).select("claim_id", "text").collect()]
-    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").collect()
-    texts += [(f"conv:{r.conv_id}:{r.turn}", r.text) for r in turns if r.role == "user"]
-    want = {}
-    for key, t in texts:
-        m = mentions(t)
-        if m["included"] or m["excluded"]:
-            want[str(key)] = (m["included"], m["excluded"])
-    got = {
-        str(r.key): (list(r.included), list(r.excluded))
-        for r in QUERIES["text_country_mentions"](spark, sf_dir).collect()
-    }
-    assert want and got == want
-
-
 def _reference_route(question):
     """The routing order with Python's own word boundaries: scope words on
     the lower-cased question, templates on its normalised form."""
@@ -206,16 +226,16 @@ def _reference_route(question):
 
     low = question.lower()
 
-    def words(ws):
-        return re.search(r"\b(" + "|".join(re.escape(w) for w in ws) + r")\b", low)
+    def words(pattern):
+        return re.search(rf"\b({pattern})\b", low)
 
-    if words(tx.MISSING_DATA_WORDS):
+    if words(tx.MISSING_DATA_PATTERN):
         return "data_gap"
-    if words(tx.FORECAST_WORDS):
+    if words(tx.FORECAST_PATTERN):
         return "forecast"
     partial = any(m in low for m in textjobs.PARTIAL_MONTH_MENTIONS)
     per_day = "per trading day" in low or "per day" in low
-    if partial and words(tx.COMPARISON_WORDS) and not per_day:
+    if partial and words(tx.COMPARISON_PATTERN) and not per_day:
         return "incomplete_month"
     t = re.sub(r"\s+", " ", low).strip().rstrip("?.")
     if any(re.search(p, t) for p in textjobs.KNOWN_PATTERNS):
