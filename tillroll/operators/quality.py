@@ -39,6 +39,32 @@ def smoke_checks(sales: DataFrame, dim_month: DataFrame) -> DataFrame:
     )
 
 
+def summary_checks(sales: DataFrame, dim_product: DataFrame, dim_customer: DataFrame) -> DataFrame:
+    """Products' units and revenue and customers' revenue equal the same sums
+    taken from the facts, in one pass over them."""
+    sold = F.col("quantity") > 0
+    facts = sales.agg(
+        F.sum(F.when(sold, F.col("quantity"))).alias("units"), F.sum(F.when(sold, F.col("revenue"))).alias("gross"),
+        F.sum(F.when(F.col("customer_id").isNotNull(), F.col("revenue"))).alias("net"),
+    )
+    products = dim_product.agg(F.sum("units_sold").alias("units"), F.sum("gross_revenue").alias("gross"))
+    customers = dim_customer.agg(F.sum("net_revenue").alias("net"))
+    sides = [
+        facts.select(F.lit("facts").alias("side"), *[F.col(c).cast("decimal(38,2)").alias(c) for c in ("units", "gross", "net")]),
+        products.select(F.lit("products").alias("side"), *[F.col(c).cast("decimal(38,2)").alias(c) for c in ("units", "gross")]),
+        customers.select(F.lit("customers").alias("side"), F.col("net").cast("decimal(38,2)").alias("net")),
+    ]
+    sums = sides[0].unionByName(sides[1], allowMissingColumns=True).unionByName(sides[2], allowMissingColumns=True)
+    by = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    ok = [by("facts", c).eqNullSafe(by(side, c)) for side, c in (("products", "units"), ("products", "gross"), ("customers", "net"))]
+    return sums.agg((ok[0] & ok[1] & ok[2]).alias("ok"))
+
+
+def baseline_figures(sales: DataFrame) -> DataFrame:
+    """What a baseline fixes: the number of rows and the gross revenue."""
+    return sales.agg(F.count(F.lit(1)).cast("double").alias("rows"), dbl(F.round(F.sum("revenue"), 2)).alias("revenue"))
+
+
 def baseline_check(sales: DataFrame, expected_rows: int, expected_revenue: float) -> DataFrame:
     """Row count and ``round(sum(revenue), 2)`` against the agreed baseline,
     one row per metric with expected, actual and ok."""

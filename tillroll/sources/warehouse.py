@@ -11,6 +11,7 @@ lost executors and cut the lineage back to the raw joins.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import threading
@@ -50,8 +51,8 @@ TABLE_NAMES = ("sales", "dim_month", "dim_product", "dim_customer")
 class Warehouse:
     """Readers over one published version."""
 
-    def __init__(self, spark: SparkSession, target: str, version: str):
-        self.spark, self.target, self.version = spark, target, version
+    def __init__(self, spark: SparkSession, target: str, version: str, stamp: str | None = None):
+        self.spark, self.target, self.version, self.stamp = spark, target, version, stamp
         self._derived: dict[str, str] = {}
         self._tables: dict[str, DataFrame] = {}
 
@@ -112,32 +113,42 @@ def read_sales(spark: SparkSession, path: str, with_copies: bool = False) -> Dat
     return df.select(*SALES_COLUMNS, *(["copies"] if with_copies else []))
 
 
-def publish_checks(tables) -> DataFrame:
-    return quality.smoke_checks(tables["sales"], tables["dim_month"])
+def publish_checks(wh: Warehouse, baseline: dict[str, float] | None) -> DataFrame:
+    """All four tables against each other, and the facts against the agreed
+    figures of their input, if there are any."""
+    ok = quality.smoke_checks(wh.sales, wh.dim_month).select("ok")
+    ok = ok.unionByName(quality.summary_checks(wh.sales, wh.dim_product, wh.dim_customer))
+    if baseline:
+        ok = ok.unionByName(quality.baseline_check(wh.sales, int(baseline["rows"]), baseline["revenue"]).select("ok"))
+    return ok
 
 
-def build(spark: SparkSession, sf_dir: str, target: str) -> Warehouse:
-    """Clean, write a version, check it, publish it. Returns readers over it."""
+def build(spark: SparkSession, sf_dir: str, target: str, baseline_path: str | None = None, accept: bool = False) -> Warehouse:
+    """Clean, write a version, check it, publish it. Returns readers over it.
+
+    ``baseline_path`` holds the agreed row count and revenue of this input. A
+    build that differs from them is not published, unless ``accept`` says that
+    the change is meant. The first published build, or an accepted one, sets them.
+    """
+    publication = files.Publication(spark, target)
     # Within each month folder, rows are clustered by country and product, so
     # parquet row-group statistics let market and product filters skip data.
     # The month prefix is the order the partitioned writer needs anyway.
     sales = build_sales(sheets(spark, sf_dir), keep_copies=True).sortWithinPartitions(
         "invoice_month", "country", "stock_code"
     )
-    version = files.new_version()
-    files.write_version({"sales": sales}, target, version, {"sales": ["invoice_month"]})
-    written = read_sales(spark, f"{target}/version={version}/sales")
-    dims = {
+    paths = publication.write({"sales": sales}, {"sales": ["invoice_month"]})
+    written = read_sales(spark, paths["sales"])
+    publication.write({
         "dim_month": marts.dim_month(written),
         "dim_product": marts.dim_product(written),
         "dim_customer": marts.dim_customer(written),
-    }
-    files.write_version(dims, target, version)
-    wh = Warehouse(spark, target, version)
-    ok = publish_checks({"sales": wh.sales, "dim_month": wh.dim_month}).select("ok").collect()
-    if not ok or not all(r["ok"] for r in ok):
-        raise files.PublishError(f"warehouse checks failed for {sf_dir}; nothing published")
-    files.mark_published(spark, target, version, list(TABLE_NAMES))
+    })
+    wh = Warehouse(spark, target, publication.version)
+    baseline = files.read_baseline(spark, baseline_path) if baseline_path and not accept else None
+    publication.commit(publish_checks(wh, baseline), list(TABLE_NAMES))
+    if baseline_path and baseline is None:
+        files.record_baseline(spark, baseline_path, quality.baseline_figures(wh.sales).first().asDict(), replace=accept)
     return wh
 
 
@@ -147,7 +158,7 @@ _BUILT: dict[str, Warehouse] = {}
 
 def _rebind(old: Warehouse, spark: SparkSession) -> Warehouse:
     """Readers for an already published version in a new session."""
-    wh = Warehouse(spark, old.target, old.version)
+    wh = Warehouse(spark, old.target, old.version, old.stamp)
     wh._derived = dict(old._derived)
     for name, path in wh._derived.items():
         wh._tables[f"derived/{name}"] = spark.read.parquet(path)
@@ -155,7 +166,7 @@ def _rebind(old: Warehouse, spark: SparkSession) -> Warehouse:
 
 
 # Every module the build imports, relative to the package: a change to any of
-# them gives a new stamp, so a version built by older code is never reused.
+# them gives a new target, so a version built by older code is never reused.
 _BUILD_MODULES = (
     "sources/invoices.py", "sources/tables.py", "sources/files.py", "sources/warehouse.py",
     "operators/clean.py", "operators/marts.py", "operators/quality.py",
@@ -163,10 +174,20 @@ _BUILD_MODULES = (
 )
 
 
+@functools.lru_cache(maxsize=1)
+def _code_fingerprint() -> str:
+    """A hash of the modules that shape the published tables."""
+    h = hashlib.sha1()
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for module in _BUILD_MODULES:
+        with open(os.path.join(package, module), "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()
+
+
 def _local_fingerprint(sf_dir: str) -> str | None:
-    """Content stamp of local inputs and of the build code: file sizes and
-    modification times of every input table plus a hash of the modules that
-    shape the published tables. ``None`` for remote inputs."""
+    """Content stamp of local inputs: file sizes and modification times of every
+    input table. ``None`` for remote inputs."""
     if "://" in sf_dir and not sf_dir.startswith("file:"):
         return None
     root = sf_dir[len("file:"):] if sf_dir.startswith("file:") else sf_dir
@@ -183,37 +204,42 @@ def _local_fingerprint(sf_dir: str) -> str | None:
             for n in sorted(names):
                 st = os.stat(os.path.join(base, n) if n else base)
                 h.update(f"{name}|{n}|{st.st_size}|{st.st_mtime_ns}".encode())
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for module in _BUILD_MODULES:
-        with open(os.path.join(package, module), "rb") as fh:
-            h.update(fh.read())
     return h.hexdigest()[:20]
 
 
-def warehouse(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> Warehouse:
+def warehouse(spark: SparkSession, sf_dir: str, rebuild: bool = False, accept: bool = False) -> Warehouse:
     """The published warehouse for ``sf_dir``, built on first use and then
     shared by every query.
 
-    A version is immutable once published. Within a process, a later session
-    (e.g. after ``spark.stop()``) re-binds readers to it. Across processes,
-    local inputs are stamped (file sizes, modification times, build code) and
-    a version already published under that stamp in the shared folder is
-    reused; changed inputs or code get a new stamp and a fresh build.
-    ``rebuild=True`` always builds and publishes a new version (benchmarks
-    time the build this way).
+    A version is immutable once published. Local inputs are stamped (file sizes
+    and modification times) on every call, so changed inputs under the same path
+    are built anew, also within one process. Across processes, a version already
+    published under the stamp of inputs and build code is reused. Within a
+    process, a later session (e.g. after ``spark.stop()``) re-binds readers.
+    ``rebuild=True`` always builds and publishes a new version (benchmarks time
+    the build this way). ``accept=True`` publishes figures that differ from the
+    input's baseline.
     """
     key = os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir.rstrip("/")
     with _LOCK:
+        inputs = _local_fingerprint(sf_dir)
+        if inputs is None:
+            stamp = hashlib.sha1(f"{key}|{spark.sparkContext.applicationId}|{os.getpid()}".encode()).hexdigest()[:20]
+        else:
+            stamp = hashlib.sha1(f"{inputs}|{_code_fingerprint()}".encode()).hexdigest()[:20]
         wh = _BUILT.get(key)
+        if wh is not None and inputs is not None and wh.stamp != stamp:
+            wh = None
         if wh is not None and wh.spark is not spark:
             wh = _BUILT[key] = _rebind(wh, spark)
         if wh is None or rebuild:
-            stamp = _local_fingerprint(sf_dir)
-            if stamp is None:
-                app = spark.sparkContext.applicationId
-                stamp = hashlib.sha1(f"{key}|{app}|{os.getpid()}".encode()).hexdigest()[:20]
             target = scratch_path(spark, "tillroll-warehouse", stamp)
+            baseline = scratch_path(spark, "tillroll-baselines", f"{inputs}.json") if inputs else None
             version = None if rebuild else files.latest_version(spark, target)
-            wh = Warehouse(spark, target, version) if version else build(spark, sf_dir, target)
-            _BUILT[key] = wh
+            if version is None:
+                try:
+                    version = build(spark, sf_dir, target, baseline, accept).version
+                except files.PublishConflict:  # the same input, published by another process
+                    version = files.latest_version(spark, target)
+            wh = _BUILT[key] = Warehouse(spark, target, version, stamp)
         return wh
