@@ -152,11 +152,34 @@ def test_running_share_matches_pandas_across_partitions(spark):
 def test_exact_quantiles_match_numpy(spark):
     vals = [float(x) for x in np.random.default_rng(1).integers(0, 1000, 101)] + [5.5, 5.5]
     df = spark.createDataFrame([(i, Decimal(str(v))) for i, v in enumerate(vals)], "id int, v decimal(12,2)")
-    got = {r.q: r.value for r in analysis.exact_quantiles(df, "v", "id", [0.25, 0.5, 0.75]).collect()}
+    got = {r.q: r.value for r in analysis.exact_quantiles(df, "v", [0.25, 0.5, 0.75]).collect()}
     for q in (0.25, 0.5, 0.75):
         assert math.isclose(got[q], float(np.percentile(vals, q * 100)), rel_tol=1e-12)
 
 
+@pytest.mark.parametrize(("buckets", "fetched"), [(2, 1), (3, 5), (4096, 20000)])
+def test_order_statistics_by_rounds(spark, buckets, fetched):
+    draw = np.random.default_rng(4)
+    sets = [
+        [Decimal(int(x)).scaleb(-2) for x in draw.integers(-50, 50, 400)], [Decimal(str(10.0**k)).quantize(Decimal("0.01")) for k in range(-2, 14)] * 3,
+        [Decimal("5.00")] * 50, [Decimal("99999999999999999999999.01"), Decimal("99999999999999999999999.02")] * 4, [None, Decimal("1.00"), None], [None],
+    ]
+    for vals in sets:
+        df = spark.createDataFrame([(v,) for v in vals], "v decimal(38,2)")
+        known = sorted(v for v in vals if v is not None)
+        ranks = sorted({0, len(known) // 3, len(known) // 2, max(len(known) - 1, 0)})
+        want = [known[r] if r < len(known) else None for r in ranks]
+        assert rankings.order_statistics(df, "v", ranks, buckets, fetched) == want
+
+
+def test_quantiles_do_not_sort_or_move_the_rows(spark, sf_dir):
+    from tillroll.sources.warehouse import warehouse
+
+    out = analysis.order_value_describe(warehouse(spark, sf_dir).sales)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "rangepartitioning" not in plan
+
+
 def test_recompute_operations(spark):
     df = spark.createDataFrame(
         [("pct_change", [120.0, 100.0], 20.0), ("difference", [5.0, 2.0], 3.0), ("ratio", [1.0, 0.0], None),

@@ -61,7 +61,7 @@ def test_running_share_is_the_sorted_prefix_sum(spark, vals, parts, ascending):
     st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]), min_size=1, max_size=4, unique=True))
 def test_exact_quantiles_match_numpy_linear(spark, vals, qs):
     df = spark.createDataFrame([(f"k{i:03d}", v) for i, v in enumerate(vals)], "k string, v decimal(12,2)")
-    got = {r.q: r.value for r in analysis.exact_quantiles(df, "v", "k", qs).collect()}
+    got = {r.q: r.value for r in analysis.exact_quantiles(df, "v", qs).collect()}
     want = {q: float(np.quantile(np.array([float(v) for v in vals]), q, method="linear")) for q in qs}
     assert set(got) == set(want)
     for q in qs:

@@ -1,14 +1,16 @@
 """Exploration analyses: Pareto, order-value distribution, customer cohorts,
 returns, time-of-day profiles, outlier order/cancellation pairs, overlap.
 
-Exact quantiles use ranks and the total count from the distributed prefix
-count in ``rankings.running_share`` (no single-task percentile buffer), keep
-the two neighbouring ranks of each position with a filter, then interpolate
-``lo + (hi - lo) * frac``.
+Exact quantiles take the two neighbouring ranks of each position from
+``rankings.order_statistics`` (a few aggregates, no sort and no single-task
+percentile buffer) and interpolate ``lo + (hi - lo) * frac``.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,38 +38,33 @@ def pareto_n80(sales: DataFrame, threshold: float = 0.8) -> DataFrame:
     ).withColumn("pct_of_catalogue", pct("products_for_80pct", "products"))
 
 
-def exact_quantiles(values: DataFrame, value: str, key: str, qs: list[float]) -> DataFrame:
+def exact_quantiles(values: DataFrame, value: str, qs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` (one row per q; no
-    rows for empty input).
+    rows for empty input)."""
+    _, found = _with_quantiles(values, value, qs, [])
+    rows = [(float(q), v) for q, v in zip(qs, found) if v is not None]
+    return values.sparkSession.createDataFrame(rows, "q double, value double")
+
+
+def _with_quantiles(values: DataFrame, value: str, qs: list[float], others: list[Column]) -> tuple[DataFrame, list[float | None]]:
+    """One row of ``others`` (aggregates over the same rows), and the quantiles.
 
-    Ranks and the total count come from one distributed prefix count. The
-    0-based position of q is ``q * (n - 1)``; one aggregate takes the values at
-    ranks floor + 1 and ceil + 1 of each position (the q list is known when the
-    plan is built, so no join is needed) and interpolates between them.
+    The 0-based position of q is ``q * (n - 1)``; the values at the ranks on both
+    sides of each position come from ``order_statistics`` and are interpolated.
+    The rows are kept (in memory, else on disk) while the few aggregates run.
     """
-    parts, found = _with_quantiles(values, value, key, qs, [])
-    rows = [F.struct(F.lit(float(q)).alias("q"), v.alias("value")) for q, v in zip(qs, found)]
-    return parts.filter(F.col("total_count").isNotNull()).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-
-
-def _with_quantiles(
-    values: DataFrame, value: str, key: str, qs: list[float], others: list[Column]
-) -> tuple[DataFrame, list[Column]]:
-    """One row of ``others`` (aggregates over the same rows) and the parts of the
-    quantiles, and a column for each quantile (NULL without rows)."""
-    ranked = rankings.running_share(values, value, key, ascending=True, with_total=True)
-    pos = [F.lit(float(q)) * (F.col("total_count") - 1).cast("double") for q in qs]
-    at = [F.col("rank") == (f(p) + 1).cast("bigint") for p in pos for f in (F.floor, F.ceil)]
-    row = ranked.agg(
-        F.max("total_count").alias("total_count"),
-        *[F.max(F.when(here, dbl(value))).alias(f"_q{i}") for i, here in enumerate(at)],
-        *others,
-    )
-    found = [
-        F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * (p - F.floor(p).cast("double"))
-        for i, p in enumerate(pos)
-    ]
-    return row, found
+    held = values.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stats = held.agg(F.count(value).alias("_n"), *others)
+        row = stats.first()
+        at = [q * float(row["_n"] - 1) for q in map(float, qs)] if row["_n"] else []
+        ranks = [f(p) for p in at for f in (math.floor, math.ceil)]
+        got = [float(v) for v in rankings.order_statistics(held, value, ranks)]
+        found = [got[2 * i] + (got[2 * i + 1] - got[2 * i]) * (p - float(math.floor(p))) for i, p in enumerate(at)]
+        one = values.sparkSession.createDataFrame([row], stats.schema).drop("_n")
+        return one, found or [None] * len(qs)
+    finally:
+        held.unpersist()
 
 
 def order_totals(sales: DataFrame) -> DataFrame:
@@ -75,7 +72,7 @@ def order_totals(sales: DataFrame) -> DataFrame:
     return sales.filter(~F.col("is_cancellation")).groupBy("invoice_no").agg(F.sum("revenue").alias("total"))
 
 
-def describe(values: DataFrame, value: str, key: str) -> DataFrame:
+def describe(values: DataFrame, value: str) -> DataFrame:
     """count, mean, std (sample), min, 25%, 50%, 75%, max as one row.
 
     Mean and variance come from exact DECIMAL sums: the variance numerator
@@ -90,7 +87,7 @@ def describe(values: DataFrame, value: str, key: str) -> DataFrame:
         dbl(F.min(x)).alias("min"),
         dbl(F.max(x)).alias("max"),
     ]
-    row, (p25, p50, p75) = _with_quantiles(values, value, key, [0.25, 0.5, 0.75], stats)
+    row, (p25, p50, p75) = _with_quantiles(values, value, [0.25, 0.5, 0.75], stats)
     num = F.col("count") * F.col("sxx") - F.col("sx") * F.col("sx")
     den = (F.col("count") * (F.col("count") - 1)).cast("double")
     return row.select(
@@ -99,14 +96,12 @@ def describe(values: DataFrame, value: str, key: str) -> DataFrame:
         F.sqrt(dbl(num) / F.nullif(den, F.lit(0.0))).alias("std"),
         "min",
         "max",
-        p25.alias("p25"),
-        p50.alias("p50"),
-        p75.alias("p75"),
+        *[F.lit(v).cast("double").alias(name) for name, v in (("p25", p25), ("p50", p50), ("p75", p75))],
     )
 
 
 def order_value_describe(sales: DataFrame) -> DataFrame:
-    return describe(order_totals(sales), "total", "invoice_no")
+    return describe(order_totals(sales), "total")
 
 
 def known_positive(sales: DataFrame) -> DataFrame:
@@ -120,9 +115,9 @@ def orders_per_customer_stats(sales: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("customers"),
         F.count_if(F.col("orders") == 1).alias("one_order_customers"),
     ]
-    row, (median,) = _with_quantiles(per, "orders", "customer_id", [0.5], counts)
+    row, (median,) = _with_quantiles(per, "orders", [0.5], counts)
     return row.select(
-        "customers", "one_order_customers", pct("one_order_customers", "customers").alias("one_order_pct"), median.alias("median_orders")
+        "customers", "one_order_customers", pct("one_order_customers", "customers").alias("one_order_pct"), F.lit(median).cast("double").alias("median_orders")
     )
 
 

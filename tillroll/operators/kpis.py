@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..functions.money import dbl, pct, pct_change, ratio, sum_if
-from .rankings import totals_with_modal_label
+from .rankings import top_with_modal_label, totals_with_modal_label
 
 def not_cancelled() -> Column:
     return ~F.col("is_cancellation")
@@ -163,10 +163,20 @@ def kpi_revenue_by_country(sales: DataFrame, year: int) -> DataFrame:
     )
 
 
+def product_lines(sales: DataFrame) -> DataFrame:
+    """KPI 8 population: completed lines of real products."""
+    return completed(sales).filter(real_product())
+
+
 def product_revenue(sales: DataFrame) -> DataFrame:
     """KPI 8 population grouped by code only, named by the modal description."""
-    pop = completed(sales).filter(real_product())
-    return totals_with_modal_label(pop, "stock_code", "description", {"revenue": F.col("revenue")})
+    return totals_with_modal_label(product_lines(sales), "stock_code", "description", {"revenue": F.col("revenue")})
+
+
+def top_products(sales: DataFrame, n: int) -> DataFrame:
+    """The ``n`` codes with the greatest revenue, named by the modal description."""
+    top = top_with_modal_label(product_lines(sales), "stock_code", "description", {"revenue": F.col("revenue")}, "revenue", n)
+    return top.withColumn("revenue", dbl("revenue"))
 
 
 def kpi_revenue_by_product(sales: DataFrame, year: int) -> DataFrame:

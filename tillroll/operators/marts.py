@@ -2,8 +2,8 @@
 
 Each is one ``groupBy`` with map-side partial aggregation, so a hot key (one
 month, one product, one customer holding a third of the lines) is reduced to
-one row per task before the shuffle. ``mode`` keeps a small value->count map
-per group; ties go to the smallest text (``deterministic=True``).
+one row per task before the shuffle. Modal labels are counted per (key, label)
+first, so no task holds a map of labels; ties go to the smallest text.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import sum_if
+from .rankings import totals_with_modal_label
 
 
 def dim_month(sales: DataFrame) -> DataFrame:
@@ -34,24 +35,20 @@ def dim_month(sales: DataFrame) -> DataFrame:
 def dim_product(sales: DataFrame) -> DataFrame:
     """Per stock code: modal description, units and revenue of positive lines."""
     positive = F.col("quantity") > 0
-    return sales.groupBy("stock_code").agg(
-        F.mode("description", True).alias("description"),
-        sum_if(positive, "quantity").alias("units_sold"),
-        sum_if(positive, "revenue").alias("gross_revenue"),
-    )
+    return totals_with_modal_label(sales, "stock_code", "description", {
+        "units_sold": F.when(positive, F.col("quantity")), "gross_revenue": F.when(positive, F.col("revenue")),
+    })
 
 
 def dim_customer(sales: DataFrame) -> DataFrame:
     """Per identified customer. ``net_revenue`` includes cancellations (as the
-    reference's table does, despite the name); ``orders`` counts completed ones."""
-    return (
-        sales.filter(F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(
-            F.mode("country", True).alias("country"),
-            F.min("invoice_date").alias("first_order"),
-            F.max("invoice_date").alias("last_order"),
-            F.countDistinct(F.when(~F.col("is_cancellation"), F.col("invoice_no"))).alias("orders"),
-            F.sum("revenue").alias("net_revenue"),
-        )
+    reference's table does, despite the name); ``orders`` counts completed ones.
+    Countries are counted per customer first, so no task holds a map of them."""
+    lines = sales.filter(F.col("customer_id").isNotNull())
+    named = totals_with_modal_label(lines, "customer_id", "country", {"net_revenue": F.col("revenue")})
+    orders = lines.groupBy("customer_id").agg(
+        F.min("invoice_date").alias("first_order"),
+        F.max("invoice_date").alias("last_order"),
+        F.countDistinct(F.when(~F.col("is_cancellation"), F.col("invoice_no"))).alias("orders"),
     )
+    return named.join(orders, "customer_id").select("customer_id", "country", "first_order", "last_order", "orders", "net_revenue")

@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import ratio
+from ..functions.money import dbl, ratio
 from ..session import scratch_path
 
 
@@ -71,6 +71,71 @@ def totals_with_modal_label(df: DataFrame, key: str, label: str, sums: dict[str,
     return per.groupBy(key).agg(F.min(named)["v"].alias(label), *[F.sum(n).alias(n) for n in sums])
 
 
+def top_with_modal_label(df: DataFrame, key: str, label: str, sums: dict[str, Column], by: str, n: int) -> DataFrame:
+    """The ``n`` keys with the greatest sum ``by``, with their most frequent
+    label. The ranking comes first: its ``n`` keys (a size by construction) are
+    broadcast, and only their lines are counted by label."""
+    top = top_k(df.groupBy(key).agg(*[F.sum(c).alias(name) for name, c in sums.items()]), by, key, n)
+    lines = df.join(F.broadcast(top.select(key)), key, "left_semi")
+    names = totals_with_modal_label(lines, key, label, {"_lines": F.lit(1)}).select(key, label)
+    return top_k(top.join(F.broadcast(names), key, "left"), by, key, n).select(key, label, *sums)
+
+
+def order_statistics(values: DataFrame, value: str, ranks: list[int], buckets: int = 4096, fetched: int = 20_000) -> list:
+    """The values at 0-based ``ranks`` in ascending order (NULLs do not count),
+    without sorting or moving the rows.
+
+    Each round is one aggregate: the interval that holds a rank is cut into
+    ``buckets`` equal parts, whose counts and ends (at most ``buckets`` rows an
+    interval) tell the part that holds it. A part with one value gives it; one
+    with at most ``fetched`` rows is read as distinct values with counts. Cutting
+    goes by DOUBLE, which keeps the order; where it can no longer tell values
+    apart, the distinct values of the part are counted and ranked on Spark.
+    ``values`` is read once a round, so callers keep it.
+    """
+    found: dict[int, object] = {}
+    rows = values.where(F.col(value).isNotNull())
+    x = F.col(value)
+    first = rows.agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("n")).first()
+    # (low, high) -> rows before it, and the ranks it holds
+    open_ = {(first["low"], first["high"]): (0, sorted({r for r in ranks if r < first["n"]}))} if first["n"] else {}
+    while open_:
+        wanted, open_ = open_, {}
+        part = None
+        for i, (low, high) in enumerate(wanted):
+            a, b = F.lit(low), F.lit(high)
+            width = (dbl(b) - dbl(a))
+            at = F.when(width > 0, F.least(F.floor((dbl(x) - dbl(a)) / width * buckets), F.lit(buckets - 1))).otherwise(0).cast("long")
+            inside, at = (x >= a) & (x <= b), F.lit(i * buckets).cast("long") + at
+            part = F.when(inside, at) if part is None else part.when(inside, at)
+        cut = rows.withColumn("_part", part).where("_part IS NOT NULL").groupBy("_part")
+        parts = sorted(cut.agg(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).collect(), key=lambda r: r["_part"])
+        for i, ((low, high), (before, held)) in enumerate(wanted.items()):
+            for r in (r for r in parts if r["_part"] // buckets == i):
+                mine = [k for k in held if before <= k < before + r["n"]]
+                if mine and r["low"] == r["high"]:
+                    found.update(dict.fromkeys(mine, r["low"]))
+                elif mine and (r["n"] <= fetched or (r["low"], r["high"]) == (low, high)):
+                    found.update(_at_ranks(rows, value, r["low"], r["high"], before, mine, r["n"] <= fetched))
+                elif mine:
+                    open_[r["low"], r["high"]] = (before, mine)
+                before += r["n"]
+    return [found.get(r) for r in ranks]
+
+
+def _at_ranks(rows: DataFrame, value: str, low, high, before: int, ranks: list[int], few: bool) -> dict[int, object]:
+    """Values at the ranks that lie in [low, high], which ``before`` rows precede."""
+    part = rows.where(F.col(value).between(F.lit(low), F.lit(high))).groupBy(value).agg(F.count(F.lit(1)).alias("_n")).orderBy(value)
+    out = {}
+    # Few values come at once; many are sorted on Spark and read partition by partition.
+    for r in part.collect() if few else part.toLocalIterator():
+        out.update({k: r[value] for k in ranks if before <= k < before + r["_n"]})
+        before += r["_n"]
+        if len(out) == len(ranks):
+            break
+    return out
+
+
 def first_per_key(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """First non-NULL ``value`` per ``key`` in an explicit ``order``."""
     return (
@@ -98,9 +163,10 @@ def running_share(
     sampled, so a plan that ranged the rows twice could tag them differently.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.asc(value) if ascending else F.desc(value), F.asc(key)]
-    tagged = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    # Without a number of ranges, small neighbouring ones are joined at run time.
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    tagged = ranged.withColumn("_p", F.spark_partition_id())
     path = scratch_path(spark, "ranges", uuid.uuid4().hex)
     tagged.write.parquet(path)
     ranked = spark.read.schema(tagged.schema).parquet(path)

@@ -22,10 +22,7 @@ def _name_cte(where: str) -> str:
 
 
 def _top_products_revenue(spark, sf, n=N):
-    per = kpis.product_revenue(kpis.in_year(warehouse(spark, sf).sales, Y))
-    return rankings.top_k(per, "revenue", "stock_code", n).select(
-        "stock_code", "description", dbl("revenue").alias("revenue")
-    )
+    return kpis.top_products(kpis.in_year(warehouse(spark, sf).sales, Y), n)
 
 
 @query("top_products_revenue", f"""
@@ -48,8 +45,7 @@ WHERE NOT s.is_cancellation AND s.is_product AND NOT s.is_outlier AND s.quantity
 GROUP BY s.stock_code ORDER BY units DESC, s.stock_code LIMIT {N}""", ctes=_name_cte(UNITS_POP))
 def top_products_units(spark, sf):
     s = kpis.completed(kpis.in_year(warehouse(spark, sf).sales, Y)).filter(kpis.real_product() & (F.col("quantity") > 0))
-    per = rankings.totals_with_modal_label(s, "stock_code", "description", {"units": F.col("quantity").cast("bigint")})
-    return rankings.top_k(per, "units", "stock_code", N)
+    return rankings.top_with_modal_label(s, "stock_code", "description", {"units": F.col("quantity").cast("bigint")}, "units", N)
 
 
 @query("top_customers_revenue", f"""
@@ -120,8 +116,8 @@ def top_products_filtered(spark, sf):
     wh = warehouse(spark, sf)
     f = kpis.completed(kpis.dashboard_filter(wh.sales, wh.dim_month, year=Y, market=P.COUNTRY_A)).filter(kpis.real_product())
     units = F.when(F.col("quantity") > 0, F.col("quantity").cast("bigint"))
-    per = rankings.totals_with_modal_label(f, "stock_code", "description", {"revenue": F.col("revenue"), "units": units})
-    return rankings.top_k(per, "revenue", "stock_code", N).select(
+    per = rankings.top_with_modal_label(f, "stock_code", "description", {"revenue": F.col("revenue"), "units": units}, "revenue", N)
+    return per.select(
         "stock_code", "description", dbl("revenue").alias("revenue"), "units"
     )
 
@@ -136,10 +132,7 @@ WHERE NOT s.is_cancellation AND s.is_product AND NOT s.is_outlier AND s.country
 GROUP BY s.stock_code ORDER BY SUM(s.revenue) DESC, s.stock_code LIMIT {N}""", ctes=_name_cte(FOREIGN_PRODUCT_POP))
 def top_products_outside_home(spark, sf):
     s = kpis.excluding(warehouse(spark, sf).sales, "country", P.HOME)
-    per = kpis.product_revenue(s)
-    return rankings.top_k(per, "revenue", "stock_code", N).select(
-        "stock_code", "description", dbl("revenue").alias("revenue")
-    )
+    return kpis.top_products(s, N)
 
 
 @query("top_customers_outside_home", f"""

@@ -130,7 +130,7 @@ FROM flagged""", ctes=FLAGS_CTE)
 def run_pass_rates(spark, sf):
     flags = runs.pass_flags(_runs(spark, sf))
     rates = runs.pass_rates(flags)
-    med = analysis.exact_quantiles(flags.select("case_id", "seconds"), "seconds", "case_id", [0.5])
+    med = analysis.exact_quantiles(flags.select("seconds"), "seconds", [0.5])
     return spark.sql("SELECT r.*, (SELECT value FROM {m}) AS median_seconds FROM {r} r", r=rates, m=med)
 
 

@@ -169,7 +169,7 @@ def _rebind(old: Warehouse, spark: SparkSession) -> Warehouse:
 # them gives a new target, so a version built by older code is never reused.
 _BUILD_MODULES = (
     "sources/invoices.py", "sources/tables.py", "sources/files.py", "sources/warehouse.py",
-    "operators/clean.py", "operators/marts.py", "operators/quality.py",
+    "operators/clean.py", "operators/marts.py", "operators/quality.py", "operators/rankings.py",
     "functions/calendar.py", "functions/money.py", "session.py",
 )
 
