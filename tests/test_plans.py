@@ -39,3 +39,28 @@ def test_dashboard_month_join_is_broadcast(spark, sf_dir):
     df.collect()
     text = plan_text(df)
     assert "BroadcastHashJoin" in text
+
+
+def test_cleaning_has_one_exchange_after_the_joins(spark, sf_dir):
+    """The layout of the month folders neither samples nor shuffles twice."""
+    from tillroll.operators import clean
+    from tillroll.sources import invoices
+
+    raw = invoices.sheets(spark, sf_dir)
+    laid = clean.dedupe_clustered(raw, invoices.month_parts(spark, sf_dir))
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    plan = laid._jdf.queryExecution().executedPlan().toString()
+    assert count(laid) == count(raw) + 1 and "rangepartitioning" not in plan
+
+
+def test_layout_bounds_the_files_of_a_month(spark, sf_dir, tmp_path):
+    from tillroll.operators import clean
+    from tillroll.sources import invoices
+
+    parts = invoices.month_parts(spark, sf_dir, 400)
+    assert 400 <= sum(parts.values()) <= 400 + len(parts)
+    raw = invoices.sheets(spark, sf_dir)
+    clean.dedupe_clustered(raw, parts).write.partitionBy("invoice_month").parquet(str(tmp_path / "t"))
+    months = {d.name.split("=")[1]: len(list(d.glob("*.parquet"))) for d in (tmp_path / "t").glob("invoice_month=*")}
+    assert months and all(n <= parts[m] for m, n in months.items())
+    assert spark.read.parquet(str(tmp_path / "t")).count() == clean.dedupe_exact(raw).count()

@@ -8,6 +8,8 @@ Cancellations, non-products and outliers are flagged, never deleted.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,26 +36,27 @@ def dedupe_exact(raw: DataFrame) -> DataFrame:
     return raw.dropDuplicates()
 
 
-def dedupe_clustered(raw: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Exact dedupe laid out for a month-partitioned write, in one shuffle.
+def dedupe_clustered(raw: DataFrame, parts: Mapping[str, int] | None = None) -> DataFrame:
+    """Exact dedupe laid out for a month-partitioned write, in one hash exchange.
 
-    A range exchange on (month, every raw column) satisfies the clustering the
-    duplicate-removal aggregate needs, so Spark adds no second shuffle. Range
-    bounds split a hot month or a hot invoice across tasks (only rows identical
-    in every column stay together, and those collapse), and each task covers a
-    contiguous month range so the partitioned write makes few files. Size
-    ``spark.sql.shuffle.partitions`` for the build to about input / 256 MB.
+    Rows go to (month, hash of the row modulo ``parts[month]``), which satisfies
+    the clustering that the duplicate-removal aggregate needs, so Spark adds no
+    second shuffle, and nothing is sampled before it. A part writes one file, so
+    a month has ``parts[month]`` files (1 if it is not in ``parts``), and a hot
+    month or invoice is split by giving its month more parts; only rows
+    identical in every column stay together, and those collapse.
     """
-    keyed = raw.withColumn("invoice_month", calendar.month_key("invoice_ts"))
-    order = ["invoice_month", *RAW_COLUMNS]
-    # No fixed number by default: the session's shuffle partition count (sized
-    # by the cluster for its data) sets the range count and AQE may coalesce
-    # small neighbouring ranges, which keeps the month order.
-    ranged = keyed.repartitionByRange(partitions, *order) if partitions else keyed.repartitionByRange(*order)
+    month = calendar.month_key("invoice_ts")
+    count = F.lit(1)
+    if parts:
+        known = F.create_map(*[F.lit(x) for m, n in sorted(parts.items()) for x in (m, max(1, int(n)))])
+        count = F.coalesce(known[F.col("invoice_month")], F.lit(1))
+    keyed = raw.withColumn("invoice_month", month)
+    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64(*RAW_COLUMNS), count)).repartition("invoice_month", "_part")
     # Grouping on every column is the exact dedupe; the count of identical raw
     # lines is kept as lineage (``copies``) so duplicate effects can be
     # measured later from the published table without re-reading the sources.
-    return ranged.groupBy(*order).agg(F.count(F.lit(1)).alias("copies"))
+    return keyed.groupBy("invoice_month", "_part", *RAW_COLUMNS).agg(F.count(F.lit(1)).alias("copies")).drop("_part")
 
 
 def dedupe_report(raw: DataFrame) -> DataFrame:
@@ -106,14 +109,14 @@ def derive_calendar(df: DataFrame) -> DataFrame:
     )
 
 
-def build_sales(sheets_df: DataFrame, partitions: int | None = None, clustered: bool = True,
+def build_sales(sheets_df: DataFrame, parts: Mapping[str, int] | None = None, clustered: bool = True,
                 keep_copies: bool = False) -> DataFrame:
     """The whole chain. Bad-debt rows are filtered before the dedupe shuffle:
     the predicate depends on row values only, so dedupe(filter(x)) equals
     filter(dedupe(x)) and less data crosses the network. ``keep_copies`` adds
     the number of identical raw lines behind each row (clustered path)."""
     kept = drop_bad_debt(sheets_df)
-    unique = dedupe_clustered(kept, partitions) if clustered else dedupe_exact(kept)
+    unique = dedupe_clustered(kept, parts) if clustered else dedupe_exact(kept)
     out = derive_calendar(derive_flags(derive_revenue(cast_rename(unique))))
     extra = ["copies"] if keep_copies and clustered else []
     return out.select(*SALES_COLUMNS, *extra)

@@ -15,9 +15,12 @@ to Spark's size statistics and AQE; nothing here is broadcast blindly.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import calendar
 from .tables import read_table
 
 # Fixed values of the test mapping (they must match the oracle SQL).
@@ -82,6 +85,18 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def month_parts(spark: SparkSession, sf_dir: str, parts: int | None = None) -> dict[str, int]:
+    """How many parts each month's lines are laid out in, by its share of the
+    orders (one column is read). ``parts`` in all, or a little more: by default
+    the session's shuffle partitions, which a cluster sizes by its input. The
+    result has a row a month."""
+    total = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = read_table(spark, sf_dir, "orders", "o_orderdate")
+    rows = orders.groupBy(calendar.month_key("o_orderdate").alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()
+    every = sum(r["n"] for r in rows)
+    return {r["m"]: max(1, math.ceil(total * r["n"] / every)) for r in rows if r["m"] is not None}
+
+
 def sheet(raw: DataFrame, which: int) -> DataFrame:
     """One of the two overlapping year sheets."""
     ts = F.col("invoice_ts")
