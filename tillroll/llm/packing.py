@@ -38,7 +38,7 @@ class Params:
     end_id: int = 1
     group_rows: int = 4096
     with_ids: bool = False  # also return the ids of each piece
-    words: int = 1_000_000  # words that a worker remembers, about 80 bytes each (memory, not results)
+    words: int = 400_000  # words that a worker remembers, about 60 bytes each (memory, not results)
 
 
 _WORKERS: dict[str, "WordIds"] = {}
@@ -225,7 +225,7 @@ def word_ids(p: Params) -> WordIds:
 
 
 #: Characters encoded at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _batches(texts) -> list[list[str]]:

@@ -8,15 +8,22 @@ from .common import U64, mix
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps; longer ones are computed for the call.
+_KEPT = 1 << 20
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """``base ** i`` and ``base ** -i`` modulo 2 ** 64 for i < n (kept for later calls)."""
+    """``base ** i`` and ``base ** -i`` modulo 2 ** 64 for i < n."""
+    out = []
     for b in (base, pow(base, -1, 1 << 64)):
-        if len(_POWERS.get(b, ())) < n:
+        held = _POWERS.get(b, np.empty(0, U64))
+        if len(held) < n:
             with np.errstate(over="ignore"):
-                _POWERS[b] = np.concatenate([np.ones(1, U64), np.cumprod(np.full(2 * n, b, U64))])
-    return _POWERS[base][:n], _POWERS[pow(base, -1, 1 << 64)][:n]
+                held = np.concatenate([np.ones(1, U64), np.cumprod(np.full(n + n // 8, b, U64))])
+            if n <= _KEPT:
+                _POWERS[b] = held
+        out.append(held[:n])
+    return out[0], out[1]
 
 
 def _prefix(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
