@@ -387,3 +387,26 @@ def test_each_order_has_its_nearest_cancellation(spark):
     df = df.withColumn("invoice_ts", F.to_timestamp_ntz("ts")).withColumn("invoice_date", F.to_date("ts"))
     got = analysis.outlier_cancel_pairs(df, 30).select("order_invoice", "cancel_invoice").collect()
     assert sorted(map(tuple, got)) == [("o1", "c1"), ("o2", "c0")]
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_cancellations_are_carried_over_ranges(spark, partitions):
+    """One code holds most lines, so its orders and cancellations lie in many ranges."""
+    import datetime as dt
+
+    draw = np.random.default_rng(8)
+    day = lambda n: dt.datetime(2000, 1, 1) + dt.timedelta(days=int(n))
+    rows = []
+    for i in range(1500):
+        code, qty, cancel = ("HOT", 3) if i % 3 else (f"P{draw.integers(0, 40)}", int(draw.integers(1, 4))), None, bool(draw.random() < 0.04)
+        (code, qty) = code
+        rows.append((("C" if cancel else "") + str(i), code, -qty if cancel else qty, day(draw.integers(0, 700)), cancel))
+    df = spark.createDataFrame(rows, "invoice_no string, stock_code string, quantity long, invoice_ts timestamp_ntz, is_cancellation boolean")
+    got = sorted((r.order_invoice, r.cancel_invoice, r.days_apart) for r in analysis.outlier_cancel_pairs(df, 30, partitions).collect())
+    want = []
+    for no, code, qty, ts, cancel in rows:
+        if not cancel:
+            near = min(((t, c) for c, k, q, t, x in rows if x and k == code and q == -qty and dt.timedelta(0) <= t - ts <= dt.timedelta(days=30)), default=None)
+            if near:
+                want.append((no, near[1], (near[0] - ts).days))
+    assert got == sorted(want)

@@ -187,35 +187,41 @@ def rows_for_lookup_label(sales: DataFrame, stock_code: str) -> DataFrame:
     )
 
 
-def outlier_cancel_pairs(sales: DataFrame, window_days: int) -> DataFrame:
+def outlier_cancel_pairs(sales: DataFrame, window_days: int, partitions: int | None = None) -> DataFrame:
     """Each order line with its cancellation: the nearest one of the same code
     and the opposite quantity at or after it, at most ``window_days`` later (the
     smallest cancellation number on ties).
 
-    Orders and cancellations are stacked, a cancellation in its ``window_days``
-    bucket and in the one before, so an order meets every cancellation of its
-    window in its own bucket. A running minimum from late to early gives the
-    nearest one: at most one row an order line, however popular the code is.
+    An as-of join over ranges: cancellations are reduced to one a moment, and
+    orders and cancellations are laid out by (code, quantity, time from late to
+    early), so a popular code is split over as many ranges as it fills. Within a
+    range, the last cancellation passed is the nearest one. Only the first code of
+    a range can go on from earlier ranges: it takes over their last cancellation,
+    from one row a range.
     """
-    day = F.datediff(F.col("invoice_date"), F.lit("1970-01-01").cast("date"))
-    bucket = F.floor(day / window_days)
-    cancel = F.col("is_cancellation") & (F.col("quantity") < 0)
-    order = ~F.col("is_cancellation") & (F.col("quantity") > 0)
-    lines = sales.filter(cancel | order).select(
-        "invoice_no",
-        "stock_code",
-        F.abs("quantity").alias("qty"),
-        "invoice_ts",
-        cancel.alias("_cancel"),
-        F.explode(F.when(cancel, F.array(bucket, bucket - 1)).otherwise(F.array(bucket))).alias("bucket"),
-    )
-    later = (
-        Window.partitionBy("stock_code", "qty", "bucket")
-        .orderBy(F.desc("invoice_ts"))
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = F.when(F.col("_cancel"), F.struct(F.col("invoice_ts").alias("ts"), F.col("invoice_no").alias("no")))
-    nearest = lines.withColumn("_next", F.min(found).over(later)).filter(~F.col("_cancel"))
+    key = ["stock_code", "qty"]
+    at = F.struct(F.col("invoice_ts").alias("ts"), F.col("invoice_no").alias("no"))
+    lines = sales.select("invoice_no", "stock_code", F.abs("quantity").alias("qty"), "invoice_ts", "is_cancellation", "quantity")
+    orders = lines.filter(~F.col("is_cancellation") & (F.col("quantity") > 0)).select(*key, "invoice_ts", "invoice_no", F.lit(False).alias("_cancel"))
+    cancels = lines.filter(F.col("is_cancellation") & (F.col("quantity") < 0)).groupBy(*key, "invoice_ts").agg(F.min("invoice_no").alias("invoice_no"))
+    both = orders.unionByName(cancels.withColumn("_cancel", F.lit(True)))
+    order = [F.asc("stock_code"), F.asc("qty"), F.desc("invoice_ts"), F.desc("_cancel"), F.asc("invoice_no")]
+    rows = rankings.ranged(both, order, partitions).withColumn("_at", F.when(F.col("_cancel"), at))
+
+    passed = Window.partitionBy("_p", *key).orderBy(*order[2:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("_local", F.last("_at", ignorenulls=True).over(passed)).filter(~F.col("_cancel"))
+
+    # One row a range: its first code, and its last code with the last cancellation.
+    per = rows.groupBy("_p", *key).agg(F.min("_at").alias("_at"))
+    code = F.struct(*key)
+    ends = per.groupBy("_p").agg(F.min(code).alias("first"), F.max(code).alias("last"), F.max_by("_at", code).alias("_at"))
+    asks = ends.select("_p", "first.*", F.lit(0).alias("_tail"), F.lit(None).cast(ends.schema["_at"].dataType).alias("_at"))
+    tails = ends.select("_p", "last.*", F.lit(1).alias("_tail"), "_at")
+    before = Window.partitionBy(*key).orderBy("_p", "_tail").rowsBetween(Window.unboundedPreceding, -1)
+    carried = asks.unionByName(tails).withColumn("_carried", F.last("_at", ignorenulls=True).over(before)).filter("_tail = 0")
+    met = local.join(F.broadcast(carried.select("_p", *key, "_carried")), ["_p", *key], "left")
+
+    nearest = met.withColumn("_next", F.coalesce("_local", "_carried"))
     within = F.col("_next.ts") <= F.col("invoice_ts") + F.expr(f"INTERVAL {int(window_days)} DAYS")
     return nearest.filter(within).select(
         F.col("invoice_no").alias("order_invoice"),

@@ -145,6 +145,18 @@ def first_per_key(df: DataFrame, key: str, value: str, order: list[str]) -> Data
     )
 
 
+def ranged(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+    """``df`` in ranges of ``order``, with the range's number in ``_p``, written once
+    to the shared folder: range bounds are sampled, so a plan that ranged the
+    rows twice could number them differently. Without a number of ranges, small
+    neighbouring ones are joined at run time."""
+    by = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    tagged = by.withColumn("_p", F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "ranges", uuid.uuid4().hex)
+    tagged.write.parquet(path)
+    return df.sparkSession.read.schema(tagged.schema).parquet(path)
+
+
 def running_share(
     df: DataFrame, value: str, key: str, partitions: int | None = None, ascending: bool = False,
     with_total: bool = False,
@@ -162,14 +174,8 @@ def running_share(
     once to the shared folder and both branches read them: range bounds are
     sampled, so a plan that ranged the rows twice could tag them differently.
     """
-    spark = df.sparkSession
     order = [F.asc(value) if ascending else F.desc(value), F.asc(key)]
-    # Without a number of ranges, small neighbouring ones are joined at run time.
-    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    tagged = ranged.withColumn("_p", F.spark_partition_id())
-    path = scratch_path(spark, "ranges", uuid.uuid4().hex)
-    tagged.write.parquet(path)
-    ranked = spark.read.schema(tagged.schema).parquet(path)
+    ranked = ranged(df, order, partitions)
     within = Window.partitionBy("_p").orderBy(*order)
     local = ranked.select(
         *df.columns, "_p",
