@@ -60,7 +60,7 @@ class Params:
     top: int = 2000  # phrases returned for a language
     filter_bits: int = 26  # the pruning bitmaps have 2 ** filter_bits bits (8 MB)
     fingerprint_bits: int = 64  # fewer only in tests, to force collisions
-    slice_bytes: int = 1 << 21  # texts hashed at once
+    slice_bytes: int = 1 << 19  # texts hashed at once
     held: int = 1 << 20  # counts a task holds before it combines them
 
 
