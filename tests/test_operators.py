@@ -410,3 +410,20 @@ def test_cancellations_are_carried_over_ranges(spark, partitions):
             if near:
                 want.append((no, near[1], (near[0] - ts).days))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize(("buckets", "fetched"), [(2, 1), (3, 5), (4096, 20000)])
+def test_rows_within_a_share(spark, buckets, fetched):
+    draw = np.random.default_rng(6)
+    sets = [
+        [int(x) for x in draw.integers(0, 60, 300)], [5] * 40, [0] * 7, [], [10**k for k in range(12)] * 2 + [0] * 5, [None, 3, 1],
+    ]
+    for vals in sets:
+        df = spark.createDataFrame([(None if v is None else Decimal(v),) for v in vals], "v decimal(20,2)")
+        known = sorted((v for v in vals if v is not None), reverse=True)
+        for share in (0.0, 0.5, 0.8, 1.0):
+            run, count = 0, 0
+            for v in known:
+                run += v
+                count += bool(sum(known)) and run / sum(known) <= share
+            assert rankings.rows_within_share(df, "v", share, buckets, fetched) == (len(known), count), (vals[:5], share)

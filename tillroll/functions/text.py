@@ -15,7 +15,6 @@ alike.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame

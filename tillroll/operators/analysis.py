@@ -31,11 +31,13 @@ def pareto_cumulative(sales: DataFrame) -> DataFrame:
 
 def pareto_n80(sales: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Products needed for ``threshold`` of revenue: ``count(share <= t) + 1``."""
-    ranked = rankings.running_share(product_revenue_positive(sales), "revenue", "stock_code")
-    return ranked.agg(
-        F.count(F.lit(1)).alias("products"),
-        (F.count_if(F.col("cumulative_share") <= threshold) + 1).alias("products_for_80pct"),
-    ).withColumn("pct_of_catalogue", pct("products_for_80pct", "products"))
+    held = product_revenue_positive(sales).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, within = rankings.rows_within_share(held, "revenue", threshold)
+    finally:
+        held.unpersist()
+    row = sales.sparkSession.createDataFrame([(n, within + 1)], "products bigint, products_for_80pct bigint")
+    return row.withColumn("pct_of_catalogue", pct("products_for_80pct", "products"))
 
 
 def exact_quantiles(values: DataFrame, value: str, qs: list[float]) -> DataFrame:

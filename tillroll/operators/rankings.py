@@ -16,6 +16,7 @@ running shares.
 
 from __future__ import annotations
 
+import decimal
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,6 +124,53 @@ def order_statistics(values: DataFrame, value: str, ranks: list[int], buckets: i
     return [found.get(r) for r in ranks]
 
 
+def rows_within_share(values: DataFrame, value: str, share: float, buckets: int = 4096, fetched: int = 20_000) -> tuple[int, int]:
+    """The number of rows, and how many of the greatest ``value``s add up to at
+    most ``share`` of the total: the rows whose running share is within it.
+
+    Rounds as in ``order_statistics``, with sums: the part in which the share is
+    passed is cut again. ``value`` must not be negative (DECIMAL or BIGINT, so
+    that sums are exact). With a zero total no row counts."""
+    x = F.col(value)
+    rows = values.where(x.isNotNull())
+    sums = [F.count(x).alias("n"), F.sum(x).alias("s"), F.min(x).alias("low"), F.max(x).alias("high")]
+    total = rows.agg(*sums).first()
+    if not total["n"] or not total["s"]:
+        return total["n"], 0
+    with decimal.localcontext(prec=80):
+
+        def within(s) -> bool:
+            return float(s) / float(total["s"]) <= share
+
+        n, s, low, high = 0, 0, total["low"], total["high"]
+        while True:
+            a, width = F.lit(low), dbl(F.lit(high)) - dbl(F.lit(low))
+            at = F.when(width > 0, F.least(F.floor((dbl(x) - dbl(a)) / width * buckets), F.lit(buckets - 1))).otherwise(0).cast("long")
+            parts = rows.where(x.between(a, F.lit(high))).groupBy(at.alias("_part")).agg(*sums).collect()
+            passed = None
+            for r in sorted(parts, key=lambda r: -r["_part"]):
+                if not within(s + r["s"]):
+                    passed = r
+                    break
+                n, s = n + r["n"], s + r["s"]
+            if passed is None:
+                return total["n"], n
+            before, (low, high) = (low, high), (passed["low"], passed["high"])
+            if passed["n"] <= fetched or low == high or (low, high) == before:
+                break
+        inside = rows.where(x.between(F.lit(low), F.lit(high))).groupBy(value).agg(F.count(x).alias("_n")).orderBy(F.desc(value))
+        for r in inside.collect() if passed["n"] <= fetched else inside.toLocalIterator():
+            if within(s + r["_n"] * r[value]):
+                n, s = n + r["_n"], s + r["_n"] * r[value]
+                continue
+            few, many = 0, r["_n"]  # of equal values, as many as still fit
+            while many - few > 1:
+                middle = (few + many) // 2
+                few, many = (middle, many) if within(s + middle * r[value]) else (few, middle)
+            return total["n"], n + few
+        return total["n"], n
+
+
 def _at_ranks(rows: DataFrame, value: str, low, high, before: int, ranks: list[int], few: bool) -> dict[int, object]:
     """Values at the ranks that lie in [low, high], which ``before`` rows precede."""
     part = rows.where(F.col(value).between(F.lit(low), F.lit(high))).groupBy(value).agg(F.count(F.lit(1)).alias("_n")).orderBy(value)
