@@ -31,9 +31,18 @@ SALES_COLUMNS = (
 )
 
 
-def dedupe_exact(raw: DataFrame) -> DataFrame:
-    """Drop rows equal in every column; NULLs compare equal (``distinct``)."""
-    return raw.dropDuplicates()
+def _spread(raw: DataFrame, parts: int | None) -> DataFrame:
+    """Rows by the hash of all columns in ``parts`` partitions, which is the
+    clustering that grouping by all columns needs: no second exchange follows,
+    and no task groups more than its part. Nearly all lines differ, so grouping
+    them before the exchange would hold them in memory for nothing."""
+    return raw.repartition(parts, *raw.columns) if parts else raw
+
+
+def dedupe_exact(raw: DataFrame, parts: int | None = None) -> DataFrame:
+    """Drop rows equal in every column; NULLs compare equal (``distinct``).
+    ``parts`` bounds what one task groups over large inputs."""
+    return _spread(raw, parts).dropDuplicates()
 
 
 def dedupe_clustered(raw: DataFrame, parts: Mapping[str, int] | None = None) -> DataFrame:
@@ -44,24 +53,28 @@ def dedupe_clustered(raw: DataFrame, parts: Mapping[str, int] | None = None) ->
     second shuffle, and nothing is sampled before it. A part writes one file, so
     a month has ``parts[month]`` files (1 if it is not in ``parts``), and a hot
     month or invoice is split by giving its month more parts; only rows
-    identical in every column stay together, and those collapse.
+    identical in every column stay together, and those collapse. Months that
+    are split get two partitions a part, so few parts meet in a task; else the
+    number of partitions is settled at run time.
     """
     month = calendar.month_key("invoice_ts")
-    count = F.lit(1)
+    count, partitions = F.lit(1), []
     if parts:
+        if sum(parts.values()) > 2 * len(parts):
+            partitions = [2 * sum(parts.values())]
         known = F.create_map(*[F.lit(x) for m, n in sorted(parts.items()) for x in (m, max(1, int(n)))])
         count = F.coalesce(known[F.col("invoice_month")], F.lit(1))
     keyed = raw.withColumn("invoice_month", month)
-    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64(*RAW_COLUMNS), count)).repartition("invoice_month", "_part")
+    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64(*RAW_COLUMNS), count)).repartition(*partitions, "invoice_month", "_part")
     # Grouping on every column is the exact dedupe; the count of identical raw
     # lines is kept as lineage (``copies``) so duplicate effects can be
     # measured later from the published table without re-reading the sources.
     return keyed.groupBy("invoice_month", "_part", *RAW_COLUMNS).agg(F.count(F.lit(1)).alias("copies")).drop("_part")
 
 
-def dedupe_report(raw: DataFrame) -> DataFrame:
+def dedupe_report(raw: DataFrame, parts: int | None = None) -> DataFrame:
     """rows_before, rows_after, rows_removed in one pass (group, then sum)."""
-    groups = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("n"))
+    groups = _spread(raw, parts).groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.sum("n").cast("bigint").alias("rows_before"),
         F.count(F.lit(1)).alias("rows_after"),
@@ -109,14 +122,15 @@ def derive_calendar(df: DataFrame) -> DataFrame:
     )
 
 
-def build_sales(sheets_df: DataFrame, parts: Mapping[str, int] | None = None, clustered: bool = True,
+def build_sales(sheets_df: DataFrame, parts: Mapping[str, int] | int | None = None, clustered: bool = True,
                 keep_copies: bool = False) -> DataFrame:
     """The whole chain. Bad-debt rows are filtered before the dedupe shuffle:
     the predicate depends on row values only, so dedupe(filter(x)) equals
-    filter(dedupe(x)) and less data crosses the network. ``keep_copies`` adds
+    filter(dedupe(x)) and less data crosses the network. ``parts`` are those of
+    the months, or without ``clustered`` a number for all. ``keep_copies`` adds
     the number of identical raw lines behind each row (clustered path)."""
     kept = drop_bad_debt(sheets_df)
-    unique = dedupe_clustered(kept, parts) if clustered else dedupe_exact(kept)
+    unique = dedupe_clustered(kept, parts) if clustered else dedupe_exact(kept, parts)
     out = derive_calendar(derive_flags(derive_revenue(cast_rename(unique))))
     extra = ["copies"] if keep_copies and clustered else []
     return out.select(*SALES_COLUMNS, *extra)

@@ -9,7 +9,7 @@ from ..functions.money import dbl
 from ..operators import clean, kpis, marts, quality, rankings
 from ..session import scratch_path
 from ..sources import files
-from ..sources.invoices import sheets
+from ..sources.invoices import line_parts, sheets
 from ..sources.tables import read_table
 from ..sources.warehouse import TABLE_NAMES, warehouse
 from . import params as P
@@ -171,14 +171,14 @@ def publish_versioned(spark, sf):
 
 @query("clean_dedupe_exact", f"SELECT DISTINCT {RAW_OUT} FROM sheets")
 def clean_dedupe_exact(spark, sf):
-    return _raw_out(clean.dedupe_exact(sheets(spark, sf)))
+    return _raw_out(clean.dedupe_exact(sheets(spark, sf), line_parts(spark, sf)))
 
 
 @query("clean_dedupe_report", """
 SELECT (SELECT COUNT(*) FROM sheets) AS rows_before, (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM sheets) d) AS rows_after,
        (SELECT COUNT(*) FROM sheets) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM sheets) d) AS rows_removed""")
 def clean_dedupe_report(spark, sf):
-    return clean.dedupe_report(sheets(spark, sf))
+    return clean.dedupe_report(sheets(spark, sf), line_parts(spark, sf))
 
 
 @query("clean_drop_bad_debt", f"SELECT {RAW_OUT} FROM sheets WHERE NOT starts_with(invoice, 'A')")
@@ -229,9 +229,9 @@ def derive_calendar(spark, sf):
 def build_sales(spark, sf):
     """The whole cleaning chain from the raw tables (not the published copy).
     Nothing is written here, so the dedupe is the plain hash aggregate (one
-    shuffle, map-side partial); the range layout is only worth its sampling
-    pass when the rows go to month folders (the warehouse build)."""
-    return _sales_out(clean.build_sales(sheets(spark, sf), clustered=False))
+    shuffle); the layout by months is only worth it when the rows go to month
+    folders (the warehouse build)."""
+    return _sales_out(clean.build_sales(sheets(spark, sf), line_parts(spark, sf), clustered=False))
 
 
 # Agreed baseline at the correctness scale (sf0.01): rows and gross revenue.

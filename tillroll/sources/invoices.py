@@ -10,7 +10,9 @@ Join order is written out on purpose (Catalyst does not reorder joins unless
 CBO is on): the small nation table meets customer first, orders meet the
 customer side on ``custkey``, and lineitem — the big side — is shuffled once
 on ``orderkey`` and once on ``partkey``. Whether a side is broadcast is left
-to Spark's size statistics and AQE; nothing here is broadcast blindly.
+to Spark's size statistics and AQE; nothing here is broadcast blindly. Over
+large inputs the lines are dealt out by order in parts of a fixed size, and the
+smaller side of these two joins is hashed, so that the lines are not sorted.
 """
 
 from __future__ import annotations
@@ -29,6 +31,11 @@ SHEET2_START = "1998-06-01"  # second sheet: invoice_ts >= this day (nine days t
 BAD_DEBT_ORDER_EVERY = 50    # 'P' orders whose key is a multiple of this are bad debt
 GUEST_CUSTOMER_EVERY = 5     # customers whose key is a multiple of this are guests
 
+# Sizes of the layout; they decide memory and files, not results.
+LINES_A_TASK = 250_000    # lines that a task joins to their orders or groups
+LINES_A_FILE = 125_000    # lines in a file of a month
+BROADCAST_PARTS = 2_000_000  # more parts than that are hashed by partition
+
 RAW_COLUMNS = (
     "invoice", "stock_code", "description", "quantity",
     "invoice_ts", "price", "customer_id", "country",
@@ -50,8 +57,13 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag",
     )
 
+    parts = line_parts(spark, sf_dir)
+    if parts and part.count() > BROADCAST_PARTS:
+        part = part.hint("shuffle_hash")
     buyers = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", "n_name")
     placed = orders.join(buyers, orders.o_custkey == buyers.c_custkey)
+    if parts:
+        lineitem, placed = lineitem.repartition(parts, "l_orderkey"), placed.hint("shuffle_hash")
     lines = lineitem.join(placed, lineitem.l_orderkey == placed.o_orderkey).join(
         part, F.col("l_partkey") == part.p_partkey
     )
@@ -85,12 +97,19 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_parts(spark: SparkSession, sf_dir: str) -> int | None:
+    """Partitions that keep a task's lines few whatever the input, from the row
+    count that the files state; None for inputs that need no more than two a
+    core, where Spark settles the number at run time."""
+    parts = math.ceil(read_table(spark, sf_dir, "lineitem").count() / LINES_A_TASK)
+    return parts if parts > 2 * spark.sparkContext.defaultParallelism else None
+
+
 def month_parts(spark: SparkSession, sf_dir: str, parts: int | None = None) -> dict[str, int]:
     """How many parts each month's lines are laid out in, by its share of the
     orders (one column is read). ``parts`` in all, or a little more: by default
-    the session's shuffle partitions, which a cluster sizes by its input. The
-    result has a row a month."""
-    total = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    as many as keep a part to ``LINES_A_FILE`` lines. The result has a row a month."""
+    total = parts or math.ceil(read_table(spark, sf_dir, "lineitem").count() / LINES_A_FILE)
     orders = read_table(spark, sf_dir, "orders", "o_orderdate")
     rows = orders.groupBy(calendar.month_key("o_orderdate").alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()
     every = sum(r["n"] for r in rows)
@@ -117,12 +136,11 @@ def tagged_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     raw = raw_lines(spark, sf_dir)
     ts = F.col("invoice_ts")
-    ids = F.array(
-        F.when(ts < F.lit(SHEET1_END).cast("timestamp_ntz"), F.lit(1)),
-        F.when(ts >= F.lit(SHEET2_START).cast("timestamp_ntz"), F.lit(2)),
-    )
-    member = F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("sheet")
-    return raw.select(*RAW_COLUMNS, member)
+    first, second = ts < F.lit(SHEET1_END).cast("timestamp_ntz"), ts >= F.lit(SHEET2_START).cast("timestamp_ntz")
+    one, two = F.lit(1), F.lit(2)
+    # A line of no sheet has no list, so it gives no row.
+    ids = F.when(first & second, F.array(one, two)).when(first, F.array(one)).when(second, F.array(two))
+    return raw.select(*RAW_COLUMNS, F.explode(ids).alias("sheet"))
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
