@@ -407,6 +407,35 @@ def test_sampled_pieces_keep_long_and_short_segments_in_order(monkeypatch):
     assert [x.tolist() for x in worker.sample(texts, keys)] == whole
 
 
+def test_sampled_pieces_remember_the_segments_of_the_next_batch(monkeypatch):
+    """A full table forgets only what the next batch does not need; draws stay the same."""
+    p = sampled_pieces.Params(vocabulary("piece_bpe_32k.model"), remembered=1)
+    worker, fresh = sampled_pieces.Lattices(p), sampled_pieces.Lattices(p)
+    first, second = ["one two 日\U0001f600 three"], ["three 日\U0001f600 four one"] * 5
+    worker.sample(first, np.arange(1))
+    learned = []
+    learn = worker.learn
+    monkeypatch.setattr(worker, "learn", lambda new: (learned.extend(new), learn(new)))
+    got = worker.sample(second, np.arange(5))
+    assert learned == [" four"]
+    assert set(worker.end) == {" one", " four", " 日\U0001f600", " three"}
+    assert [x.tolist() for x in got] == [x.tolist() for x in fresh.sample(second, np.arange(5))]
+    assert {sampled_pieces.decode_ids(x, worker.words.bytes) for x in got} == set(second)
+
+
+def test_sampled_pieces_trie_is_the_vocabulary():
+    v = sampled_pieces.Vocabulary(vocabulary("piece_bpe_32k.model"))
+    ids = [i for i, b in enumerate(v.bytes) if b and i not in set(v.byte_id.tolist())]
+    node = {i: 0 for i in ids}
+    surface = {i: v.bytes[i].decode() for i in ids}
+    for k in range(v.longest):
+        live = [i for i in ids if len(surface[i]) > k]
+        step = v.step(np.array([node[i] for i in live]), np.array([ord(surface[i][k]) for i in live]))
+        node.update(zip(live, step.tolist()))
+    assert [int(v.piece[node[i]]) for i in ids] == ids
+    assert v.step(np.array([0, 0]), np.array([0x10FFFF, 0])).tolist() == [-1, -1]
+
+
 def test_sharding_edges(docs, empty, nulls):
     out = sharding.shard(docs).collect()
     assert len(out) == docs.count()

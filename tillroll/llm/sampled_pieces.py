@@ -28,6 +28,7 @@ keys may differ; a null key counts as 0; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 from dataclasses import dataclass
@@ -45,7 +46,7 @@ class Params:
     model: str  # path of the SentencePiece model
     alpha: float = 1.0  # larger: closer to the pieces of lowest rank
     seed: int = 1
-    remembered: int = 2_000_000  # lattice arcs that a worker keeps (memory, not results)
+    remembered: int = 2_000_000  # lattice arcs that a worker keeps; beyond, those of the next batch (memory, not results)
 
 
 #: Characters of a segment that is remembered; longer ones are walked on their own.
@@ -54,6 +55,7 @@ LONGEST = 64
 BLOCK = 1 << 14
 _SEGMENT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _BLANK = "▁"
+_EMPTY = -(1 << 31)  # no arc begins at a character
 _WORKERS: dict[Params, "Lattices"] = {}
 
 
@@ -89,20 +91,46 @@ class Vocabulary:
                 ends[at] = (i, rank)
                 self.longest = max(self.longest, len(surface))
                 rank += 1
-        keys = np.array([(a << 21) | c for a, c in nodes], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self._hash(np.array([(a << 21) | c for a, c in nodes], np.int64), np.array(list(nodes.values()), np.int64))
         self.piece = np.full(len(nodes) + 1, -1, np.int64)
         self.rank = np.zeros(len(nodes) + 1)
         for node, (i, r) in ends.items():
             self.piece[node], self.rank[node] = i, r
         self.ranks = rank
 
+    def _hash(self, keys: np.ndarray, following: np.ndarray) -> None:
+        """Open addressing in a table with a quarter of its slots used."""
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.next = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]  # of keys with one slot, the last one stays
+            mine = free[self.keys[slot[free]] == keys[free]]
+            self.next[slot[mine]] = following[mine]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The trie node after ``char``, or -1."""
         key = (node << 21) | char
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.next[at], -1)
+        slot = self._slot(key)
+        held = self.keys[slot]
+        out = self.next[slot]
+        other = np.flatnonzero(held != key)
+        out[other] = -1
+        other = other[held[other] >= 0]
+        while len(other):
+            slot = (slot[other] if len(slot) == len(key) else slot) + 1 & ((1 << self.bits) - 1)
+            held = self.keys[slot]
+            same = held == key[other]
+            out[other[same]] = self.next[slot[same]]
+            more = ~same & (held >= 0)
+            other, slot = other[more], slot[more]
+        return out
 
 
 class Long:
@@ -192,10 +220,11 @@ class Long:
 
 
 class Lattices:
-    """Sampling tables of all segments met so far, as flat arrays.
+    """Sampling tables of the segments met so far, as flat arrays.
 
-    Place g of the flat lattice has the arcs ``share`` in (g, g + 1]: cumulated
-    shares of the sum at g, shifted by g, so one search draws an arc anywhere.
+    Place g of the flat lattice has the arcs ``head[g]`` up to ``head[g + 1]``,
+    the longest first: ``share`` is cumulated up to 1, ``size`` counts
+    characters, ``kind`` is a piece's id or -1 - the character.
     """
 
     def __init__(self, p: Params) -> None:
@@ -204,11 +233,22 @@ class Lattices:
 
     def clear(self) -> None:
         self.end: dict[str, int] = {}
-        self.places = 0
+        self.head = np.zeros(1, np.int64)
         self.share = np.empty(0)
-        self.source = np.empty(0, np.int64)  # place before the arc; -1 at a segment's start
-        self.first = np.zeros(1, np.int64)  # where each arc's ids begin
-        self.ids = np.empty(0, np.int32)
+        self.size = np.empty(0, np.int8)
+        self.kind = np.empty(0, np.int32)
+
+    def keep(self, wanted: set[str]) -> None:
+        """Forgets all segments but the wanted ones."""
+        kept = [s for s in wanted if s in self.end]
+        lens = np.fromiter(map(len, kept), np.int64, len(kept)) + 1
+        end = np.fromiter(map(self.end.__getitem__, kept), np.int64, len(kept))
+        place = _ranges(end + 1 - lens, lens)
+        count = self.head[place + 1] - self.head[place]
+        arc = _ranges(self.head[place], count)
+        self.share, self.size, self.kind = self.share[arc], self.size[arc], self.kind[arc]
+        self.head = np.append(0, np.cumsum(count))
+        self.end = dict(zip(kept, (np.cumsum(lens) - 1).tolist()))
 
     def learn(self, new: list[str]) -> None:
         v, lens = self.words, np.array([len(s) for s in new], np.int64)
@@ -219,136 +259,157 @@ class Lattices:
         place = np.repeat(base, lens) + offset
         left = np.repeat(lens, lens) - offset
         at, node = np.arange(len(char)), np.zeros(len(char), np.int64)
-        starts, sizes, kinds, weights = [], [], [], []
+        found = []  # by size: where pieces start, and their kinds and weights
         covered = np.zeros(len(char), bool)
         for n in range(1, LONGEST + 1):
             node = v.step(node, char[at + n - 1])
-            real = node >= 0
+            real = np.flatnonzero(node >= 0)
             at, node = at[real], node[real]
-            full = v.piece[node] >= 0
-            starts.append(at[full])
-            sizes.append(np.full(full.sum(), n))
-            kinds.append(v.piece[node[full]])
-            weights.append((v.rank[node[full]] + 2.0) ** -self.p.alpha)
+            piece = v.piece[node]
+            full = np.flatnonzero(piece >= 0)
+            found.append((place[at[full]], piece[full], self.weight[node[full]]))
             if n == 1:
                 covered[at[full]] = True
-            more = left[at] > n
+            more = np.flatnonzero(left[at] > n)
             at, node = at[more], node[more]
             if not len(at):
                 break
         bare = np.flatnonzero(~covered)
-        starts.append(bare)
-        sizes.append(np.ones(len(bare), np.int64))
-        kinds.append(-1 - char[bare])
-        weights.append(np.full(len(bare), (v.ranks + 2.0) ** -self.p.alpha))
-        start, size, kind, weight = (np.concatenate(x) for x in (starts, sizes, kinds, weights))
-        source, target = place[start], place[start] + size
-
-        order = np.lexsort((source, target, offset[start] + size))
-        source, target, kind, weight, depth = source[order], target[order], kind[order], weight[order], (offset[start] + size)[order]
-        total = np.zeros(int((lens + 1).sum()))
+        single = [np.concatenate(x) for x in zip(found[0], (place[bare], -1 - char[bare], np.full(len(bare), (v.ranks + 2.0) ** -self.p.alpha)))]
+        found[0] = tuple(single)
+
+        # A place is reached by at most one arc of a size, so arcs are put in by size.
+        places = int((lens + 1).sum())
+        count = np.zeros(places, np.int64)
+        for n, (start, _, _) in enumerate(found, 1):
+            count[start + n] += 1
+        head = np.append(0, np.cumsum(count))
+        free, arcs = head[:-1].copy(), int(head[-1])
+        size, kind, weight = np.empty(arcs, np.int8), np.empty(arcs, np.int32), np.empty(arcs)
+        for n in range(len(found), 0, -1):
+            start, kinds, weights = found[n - 1]
+            slot = free[start + n]
+            free[start + n] += 1
+            size[slot], kind[slot], weight[slot] = n, kinds, weights
+        target = np.repeat(np.arange(places), count)
+        source = target - size
+
+        depth = np.zeros(places, np.int8)
+        depth[place + 1] = offset + 1
+        depth = depth[target]
+        order = np.argsort(depth, kind="stable")
+        levels = np.searchsorted(depth[order], np.arange(1, LONGEST + 2, dtype=np.int8))
+        by_source, by_target, by_weight = source[order], target[order], weight[order]
+        total = np.zeros(places)
         total[base] = 1.0
-        part = np.empty(len(source))
-        levels = np.searchsorted(depth, np.arange(1, LONGEST + 2))
+        part = np.empty(arcs)
         for x, y in zip(levels[:-1], levels[1:]):
             if x < y:
-                part[x:y] = total[source[x:y]] * weight[x:y]
-                heads = np.flatnonzero(np.diff(target[x:y], prepend=-1))
-                total[target[x:y][heads]] = np.add.reduceat(part[x:y], heads)
-
-        order = np.argsort(target, kind="stable")
-        source, target, kind = source[order], target[order], kind[order]
-        share = part[order] / total[target]
-        heads = np.flatnonzero(np.diff(target, prepend=-1))
+                part[x:y] = total[by_source[x:y]] * by_weight[x:y]
+                heads = np.flatnonzero(np.diff(by_target[x:y], prepend=-1))
+                total[by_target[x:y][heads]] = np.add.reduceat(part[x:y], heads)
+
+        share = np.empty(arcs)
+        share[order] = part
+        share /= total[target]
         sums = np.cumsum(share)
-        before = np.repeat(sums[heads] - share[heads], np.diff(np.append(heads, len(share))))
+        heads = head[:-1][count > 0]
+        before = np.repeat(sums[heads] - share[heads], count[count > 0])
         share = np.clip(sums - before, 0, 1)
-        share[np.append(heads[1:], len(share)) - 1] = 1.0
-        begins = np.zeros(len(total), bool)
-        begins[base] = True
-
-        # One id for a piece; the UTF-8 bytes for a character without one.
-        many = [v.byte_id[list(chr(-1 - k).encode("utf-8", "surrogatepass"))] for k in kind[kind < 0].tolist()]
-        width = np.ones(len(kind), np.int64)
-        width[kind < 0] = [len(x) for x in many]
-        first = np.cumsum(width) - width
-        ids = np.zeros(int(width.sum()), np.int32)
-        ids[first[kind >= 0]] = kind[kind >= 0]
-        for k, x in zip(first[kind < 0].tolist(), many):
-            ids[k : k + len(x)] = x
-
-        self.share = np.concatenate([self.share, share + target + self.places])
-        self.source = np.concatenate([self.source, np.where(begins[source], -1, source + self.places)])
-        self.first = np.concatenate([self.first[:-1], first + len(self.ids), [len(self.ids) + len(ids)]])
-        self.ids = np.concatenate([self.ids, ids])
-        self.end.update(zip(new, (base + lens + self.places).tolist()))
-        self.places += len(total)
+        share[np.append(heads[1:], arcs) - 1] = 1.0
+
+        self.end.update(zip(new, (base + lens + len(self.head) - 1).tolist()))
+        self.head = np.concatenate([self.head, head[1:] + len(self.share)])
+        self.share = np.concatenate([self.share, share])
+        self.size = np.concatenate([self.size, size])
+        self.kind = np.concatenate([self.kind, kind])
+
+    @functools.cached_property
+    def weight(self) -> np.ndarray:
+        """The weight of each trie node's piece."""
+        return (self.words.rank + 2.0) ** -self.p.alpha
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """The sampled ids of each text."""
         cut = [segments(t) for t in texts]
         every = [s for c in cut for s in c]
-        long = {i: s for i, s in enumerate(every) if len(s) > LONGEST}
+        if not every:
+            return [np.empty(0, np.int32) for _ in texts]
+        lens = np.fromiter(map(len, every), np.int64, len(every))
+        long = {i: every[i] for i in np.flatnonzero(lens > LONGEST).tolist()}
         # A long segment's place is taken by a blank here, and its own walk replaces it.
         for i in long:
-            every[i] = " "
-        new = list({s for s in every if s not in self.end})
+            every[i], lens[i] = " ", 1
+        wanted = set(every)
         if len(self.share) > self.p.remembered:
-            self.clear()
-            new = list(set(every))
+            self.keep(wanted)
+        new = [s for s in wanted if s not in self.end]
         for k in range(0, len(new), 20000):
             self.learn(new[k : k + 20000])
         counts = np.array([len(c) for c in cut], np.int64)
-        at = np.fromiter(map(self.end.__getitem__, every), np.int64, len(every))
-        number = np.arange(len(every)) - np.repeat(np.cumsum(counts) - counts, counts)
+        number = _ranges(np.zeros(len(counts), np.int64), counts)
         row = np.repeat(mix(keys.astype(np.int64).view(U64) + U64(self.p.seed) * U64(0x9E3779B97F4A7C15)), counts)
         noise = mix(row ^ mix(number.astype(U64)))
-        live = np.arange(len(every))
-        arcs, owners, steps = [], [], []
+
+        # Segments are walked from end to start; each drawn arc is put at its first character.
+        begin = np.cumsum(lens) - lens
+        drawn = np.full(int(lens.sum()), _EMPTY, np.int32)
+        place, left, start, live = np.fromiter(map(self.end.__getitem__, every), np.int64, len(every)), lens, begin, noise
         step = 0
-        while len(live):
-            u = (mix(noise[live] + U64(step)) >> U64(11)).astype(np.float64) * 2.0**-53
-            # The arcs of place g have shares in (g, g + 1]; u may round up to the end.
-            arc = np.searchsorted(self.share, at + u, side="right")
-            arc = np.minimum(arc, np.searchsorted(self.share, at + 1.0, side="left")) if (at + u >= at + 1.0).any() else arc
-            arcs.append(arc)
-            owners.append(live)
-            steps.append(np.full(len(live), step))
-            at = self.source[arc]
-            live, at = live[at >= 0], at[at >= 0]
+        while len(place):
+            u = (mix(live + U64(step)) >> U64(11)).astype(np.float64) * 2.0**-53
+            arc = self.head[place]
+            past = np.flatnonzero(self.share[arc] <= u)
+            while len(past):  # few arcs end at a place, and u is below the last share
+                arc[past] += 1
+                past = past[self.share[arc[past]] <= u[past]]
+            size = self.size[arc]
+            left = left - size
+            drawn[start + left] = self.kind[arc]
+            more = np.flatnonzero(left)
+            place, left, start, live = (place - size)[more], left[more], start[more], live[more]
             step += 1
-        if not arcs:
-            return [np.empty(0, np.int32) for _ in texts]
-        arc, owner, when = np.concatenate(arcs), np.concatenate(owners), np.concatenate(steps)
-        # Arcs were drawn from a segment's end to its start.
-        length = np.bincount(owner, minlength=len(every))
-        slot = np.cumsum(length)[owner] - 1 - when
-        ordered = np.empty(len(arc), np.int64)
-        ordered[slot] = arc
-        width = self.first[ordered + 1] - self.first[ordered]
-        ends = np.cumsum(width)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[ordered] - (ends - width), width)]
-        pieces_end = np.cumsum(length)[np.cumsum(counts) - 1]
-        made = np.split(ids, ends[pieces_end - 1][:-1])
+
+        # The arcs in order of text; a character without a piece gives its bytes.
+        segment_end = np.cumsum(drawn != _EMPTY)[begin + lens - 1]
+        ids = drawn[drawn != _EMPTY]
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):
+            chars, which = np.unique(-1 - ids[bare], return_inverse=True)
+            many = [self.words.byte_id[list(chr(c).encode("utf-8", "surrogatepass"))] for c in chars.tolist()]
+            width = np.ones(len(ids), np.int64)
+            width[bare] = np.array([len(x) for x in many])[which]
+            after = np.cumsum(width)
+            ids = np.repeat(ids, width)
+            for k in range(4):
+                some = np.array([len(x) > k for x in many])[which]
+                ids[(after - width)[bare[some]] + k] = np.array([x[k] if len(x) > k else 0 for x in many])[which[some]]
+            segment_end = after[segment_end - 1]
+        text_end = segment_end[np.cumsum(counts) - 1]
+        made = np.split(ids, text_end[:-1])
         if not long:
             return made
-        segment_end = ends[np.cumsum(length) - 1]
         text_of = np.repeat(np.arange(len(texts)), counts)
         walked: dict[int, list[np.ndarray]] = {}
-        text_begin = np.append(0, ends[pieces_end - 1][:-1])
+        text_begin = np.append(0, text_end[:-1])
         done: dict[int, int] = {}
         filtered = {s: Long(self.words, self.p.alpha, s) for s in set(long.values())}
         for i, s in long.items():
             t = int(text_of[i])
             parts = walked.setdefault(t, [])
-            begin = int(segment_end[i - 1]) if i else 0
-            parts += [ids[done.get(t, text_begin[t]) : begin], filtered[s].walk(noise[i])]
+            before = int(segment_end[i - 1]) if i else 0
+            parts += [ids[done.get(t, text_begin[t]) : before], filtered[s].walk(noise[i])]
             done[t] = int(segment_end[i])
         for t, parts in walked.items():
-            made[t] = np.concatenate([*parts, ids[done[t] : ends[pieces_end[t] - 1]]])
+            made[t] = np.concatenate([*parts, ids[done[t] : text_end[t]]])
         return made
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``first``, one range after the other."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 def lattices(p: Params) -> Lattices:
     if p not in _WORKERS:
         _WORKERS[p] = Lattices(p)
