@@ -76,3 +76,28 @@ def test_parts_of_months_follow_the_lines(spark, tables, monkeypatch):
     laid = clean.dedupe_clustered(invoices.sheets(spark, tables), parts)
     assert laid.rdd.getNumPartitions() == 2 * sum(parts.values())
     assert laid.drop("invoice_month", "copies").count() == clean.dedupe_exact(invoices.sheets(spark, tables)).count()
+
+
+def test_lines_of_an_invoice_stay_together_unless_it_is_hot(spark, tables, monkeypatch):
+    """Ordinary invoices lie in one part; where an order may outgrow a file, its lines are dealt out. Rows stay the same."""
+    from pyspark.sql import functions as F
+
+    assert invoices.order_spread(spark, tables) == 1
+    monkeypatch.setattr(invoices, "LINES_A_FILE", 4)
+    spread = invoices.order_spread(spark, tables)
+    assert spread >= 3  # 9 or 10 lines an order at most, and more in a shared bucket
+    raw, parts = invoices.sheets(spark, tables), {"1998-05": 9, "1998-06": 9, "1998-07": 9}
+    rows = lambda n: clean.dedupe_clustered(raw, parts, n)
+    files = lambda n: rows(n).withColumn("p", F.spark_partition_id()).groupBy("invoice").agg(F.countDistinct("p").alias("n")).agg(F.max("n")).first()[0]
+    assert files(1) == 1 and files(spread) > 1
+    plain = _rows(clean.dedupe_clustered(raw, parts))
+    assert _rows(rows(1)) == plain == _rows(rows(spread))
+
+
+def test_parts_of_a_time_are_those_of_its_month(spark):
+    """Split months by their number; other months, and no time, have one part."""
+    parts = {"1997-12": 3, "1998-02": 5, "1998-03": 1, "2999-01": 1}
+    times = [None, "1997-11-30", "1997-12-31 23:59:59", "1998-01-05", "1998-02-28", "1998-03-01", "2999-01-01", "0001-01-01"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").selectExpr("cast(t as timestamp_ntz) t")
+    assert [r[0] for r in df.select(clean._parts_of(df.t, parts)).collect()] == [1, 1, 3, 1, 5, 1, 1, 1]
+    assert [r[0] for r in df.select(clean._parts_of(df.t, {})).collect()] == [1] * 8

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar, money
@@ -45,10 +45,23 @@ def dedupe_exact(raw: DataFrame, parts: int | None = None) -> DataFrame:
     return _spread(raw, parts).dropDuplicates()
 
 
-def dedupe_clustered(raw: DataFrame, parts: Mapping[str, int] | None = None) -> DataFrame:
+def _parts_of(ts: Column, parts: Mapping[str, int]) -> Column:
+    """The parts of a time's month: looked up by its number in a list of the
+    split months, as a map would be searched anew for every line."""
+    split = {int(m[:-3]) * 12 + int(m[-2:]): int(n) for m, n in parts.items() if n > 1}
+    if not split:
+        return F.lit(1)
+    low = min(split)
+    counts = F.array(*[F.lit(split.get(m, 1)) for m in range(low, max(split) + 1)])
+    return F.coalesce(F.get(counts, F.year(ts) * 12 + F.month(ts) - low), F.lit(1))
+
+
+def dedupe_clustered(raw: DataFrame, parts: Mapping[str, int] | None = None, spread: int | None = None) -> DataFrame:
     """Exact dedupe laid out for a month-partitioned write, in one hash exchange.
 
-    Rows go to (month, hash of the row modulo ``parts[month]``), which satisfies
+    Rows go to (month, hash of the row modulo ``parts[month]``; with ``spread``,
+    hash of the invoice, whose rows are dealt into so many lots, so that readers
+    combine an invoice's lines before they shuffle), which satisfies
     the clustering that the duplicate-removal aggregate needs, so Spark adds no
     second shuffle, and nothing is sampled before it. A part writes one file, so
     a month has ``parts[month]`` files (1 if it is not in ``parts``), and a hot
@@ -62,10 +75,12 @@ def dedupe_clustered(raw: DataFrame, parts: Mapping[str, int] | None = None) ->
     if parts:
         if sum(parts.values()) > 2 * len(parts):
             partitions = [2 * sum(parts.values())]
-        known = F.create_map(*[F.lit(x) for m, n in sorted(parts.items()) for x in (m, max(1, int(n)))])
-        count = F.coalesce(known[F.col("invoice_month")], F.lit(1))
+        count = _parts_of(F.col("invoice_ts"), parts)
+    row = F.xxhash64(*RAW_COLUMNS)
+    if spread:
+        row = F.xxhash64("invoice") if spread == 1 else F.xxhash64(F.col("invoice"), F.pmod(row, F.lit(spread)))
     keyed = raw.withColumn("invoice_month", month)
-    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64(*RAW_COLUMNS), count)).repartition(*partitions, "invoice_month", "_part")
+    keyed = keyed.withColumn("_part", F.pmod(row, count)).repartition(*partitions, "invoice_month", "_part")
     # Grouping on every column is the exact dedupe; the count of identical raw
     # lines is kept as lineage (``copies``) so duplicate effects can be
     # measured later from the published table without re-reading the sources.
@@ -117,20 +132,21 @@ def derive_flags(df: DataFrame) -> DataFrame:
 
 
 def derive_calendar(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {"invoice_date": calendar.day("invoice_ts"), "invoice_month": calendar.month_key("invoice_ts")}
-    )
+    """Day and month; a month that the layout has already derived is kept."""
+    month = {} if "invoice_month" in df.columns else {"invoice_month": calendar.month_key("invoice_ts")}
+    return df.withColumns({"invoice_date": calendar.day("invoice_ts"), **month})
 
 
 def build_sales(sheets_df: DataFrame, parts: Mapping[str, int] | int | None = None, clustered: bool = True,
-                keep_copies: bool = False) -> DataFrame:
+                keep_copies: bool = False, spread: int | None = None) -> DataFrame:
     """The whole chain. Bad-debt rows are filtered before the dedupe shuffle:
     the predicate depends on row values only, so dedupe(filter(x)) equals
     filter(dedupe(x)) and less data crosses the network. ``parts`` are those of
     the months, or without ``clustered`` a number for all. ``keep_copies`` adds
-    the number of identical raw lines behind each row (clustered path)."""
+    the number of identical raw lines behind each row, ``spread`` keeps an
+    invoice's lines in so many lots (clustered path)."""
     kept = drop_bad_debt(sheets_df)
-    unique = dedupe_clustered(kept, parts) if clustered else dedupe_exact(kept, parts)
+    unique = dedupe_clustered(kept, parts, spread) if clustered else dedupe_exact(kept, parts)
     out = derive_calendar(derive_flags(derive_revenue(cast_rename(unique))))
     extra = ["copies"] if keep_copies and clustered else []
     return out.select(*SALES_COLUMNS, *extra)

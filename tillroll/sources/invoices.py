@@ -34,6 +34,7 @@ GUEST_CUSTOMER_EVERY = 5     # customers whose key is a multiple of this are gue
 # Sizes of the layout; they decide memory and files, not results.
 LINES_A_TASK = 250_000    # lines that a task joins to their orders or groups
 LINES_A_FILE = 125_000    # lines in a file of a month
+ORDER_BUCKETS = 1 << 16   # hash buckets in which the lines of orders are counted
 BROADCAST_PARTS = 2_000_000  # more parts than that are hashed by partition
 
 RAW_COLUMNS = (
@@ -116,6 +117,17 @@ def month_parts(spark: SparkSession, sf_dir: str, parts: int | None = None) -> d
     return {r["m"]: max(1, math.ceil(total * r["n"] / every)) for r in rows if r["m"] is not None}
 
 
+def order_spread(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many lots the lines of an invoice are dealt, so that a hot one
+    fills many files: 1 unless an order may have over ``LINES_A_FILE`` lines. No
+    order has more lines than its hash bucket, so only buckets are counted (one
+    column is read, a few rows are shuffled)."""
+    key = F.col("l_orderkey")
+    lines = read_table(spark, sf_dir, "lineitem", "l_orderkey").where(key.isNotNull())
+    buckets = lines.groupBy(F.pmod(F.xxhash64(key), F.lit(ORDER_BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return max(1, math.ceil((buckets.agg(F.max("n")).first()[0] or 0) / LINES_A_FILE))
+
+
 def sheet(raw: DataFrame, which: int) -> DataFrame:
     """One of the two overlapping year sheets."""
     ts = F.col("invoice_ts")

@@ -23,7 +23,7 @@ from ..operators import marts, quality
 from ..operators.clean import SALES_COLUMNS, build_sales
 from ..session import scratch_path
 from . import files
-from .invoices import month_parts, sheets
+from .invoices import month_parts, order_spread, sheets
 
 SALES_SCHEMA = T.StructType(
     [
@@ -134,9 +134,9 @@ def build(spark: SparkSession, sf_dir: str, target: str, baseline_path: str | No
     # Within each month folder, rows are clustered by country and product, so
     # parquet row-group statistics let market and product filters skip data.
     # The month prefix is the order the partitioned writer needs anyway.
-    sales = build_sales(sheets(spark, sf_dir), month_parts(spark, sf_dir), keep_copies=True).sortWithinPartitions(
-        "invoice_month", "country", "stock_code"
-    )
+    sales = build_sales(
+        sheets(spark, sf_dir), month_parts(spark, sf_dir), keep_copies=True, spread=order_spread(spark, sf_dir)
+    ).sortWithinPartitions("invoice_month", "country", "stock_code")
     paths = publication.write({"sales": sales}, {"sales": ["invoice_month"]})
     written = read_sales(spark, paths["sales"])
     publication.write({
